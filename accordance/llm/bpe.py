@@ -28,7 +28,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from accordance.llm.common import importable
+from accordance.llm.common import importable, plus
 
 LEAF, MEMO = 64, 300_000
 
@@ -167,7 +167,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``docs`` with its token ids as ``ids``."""
     importable(docs.sparkSession)
     base = docs.drop("ids")
-    schema = base.schema.add("ids", "array<int>")
+    schema = plus(base.schema, ids="array<int>")
     return base.mapInArrow(lambda it: _ids(it, ranks_path, pattern), schema)
 
 
@@ -175,4 +175,4 @@ def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     """``tokens`` with the text of ``ids`` as ``decoded``."""
     importable(tokens.sparkSession)
     base = tokens.drop("decoded")
-    return base.mapInArrow(lambda it: _texts(it, ranks_path), base.schema.add("decoded", "string"))
+    return base.mapInArrow(lambda it: _texts(it, ranks_path), plus(base.schema, decoded="string"))

@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -49,8 +50,8 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_buffers(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cuts a string column into runs of rows of about ``most`` bytes.
+def text_buffers(column: pa.Array, most: int = 4 << 20, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cuts a string column into runs of about ``most`` bytes and at most ``rows`` rows.
 
     Yields (first row, row after the last, bytes, offsets from the run's start); null texts are empty.
     """
@@ -65,6 +66,7 @@ def text_buffers(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, i
     row = 0
     while row < len(column):
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
+        stop = min(stop, row + rows)
         yield row, stop, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         row = stop
 
@@ -116,3 +118,8 @@ def substring_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
     """Hashes of the substrings [start, stop), equal for equal strings wherever they stand."""
     _, down = powers(len(h))
     return mix64((h[stop] - h[start]) * down[start] + (stop - start).astype(np.uint64) * _M1)
+
+
+def plus(schema: T.StructType, **kinds: str) -> T.StructType:
+    """``schema`` with further fields, given as name=type."""
+    return T.StructType([*schema.fields, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in kinds.items())).fields])

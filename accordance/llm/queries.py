@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from accordance.llm import bpe, decontaminate, hilbert, line_dedup
+from accordance.llm import bpe, decontaminate, hilbert, langid, line_dedup, multiset_hash, quality
 from accordance.llm.common import table
 
 
@@ -20,10 +21,30 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = langid.train(docs.filter(fold != 2))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = quality.train(docs, labels.filter(fold != 0))
+    out = quality.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
 
@@ -33,7 +54,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "contaminated", "n_items", "items")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op6_bpe_tree, op8_hilbert_shards, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_language_id, op5_quality, op6_bpe_tree, op7_multiset_hash, op8_hilbert_shards, op9_decontamination)}
 
 ORACLES = {
     "op1_line_dedup": """
