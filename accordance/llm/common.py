@@ -123,3 +123,25 @@ def substring_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
 def plus(schema: T.StructType, **kinds: str) -> T.StructType:
     """``schema`` with further fields, given as name=type."""
     return T.StructType([*schema.fields, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in kinds.items())).fields])
+
+
+#: ASCII white space, 0x20 and 0x09 to 0x0D.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, stops and row of each word; words are runs without ASCII white space and don't cross texts."""
+    solid = ~SPACE[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    edge = offsets[1:-1]
+    edge = edge[edge < len(data)]
+    first[edge] = solid[edge]
+    starts = np.flatnonzero(first)
+    row = np.searchsorted(offsets, starts, "right") - 1
+    # a word ends at the next white space or at the end of its text
+    gaps = np.flatnonzero(~solid)
+    at = np.searchsorted(gaps, starts)
+    stops = np.where(at < len(gaps), gaps[np.minimum(at, max(len(gaps) - 1, 0))], len(data)) if len(gaps) else np.full(len(starts), len(data))
+    return starts, np.minimum(stops, offsets[row + 1]), row

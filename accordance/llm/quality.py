@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordance.llm.common import importable, mix64, plus, prefix_hashes, substring_hashes, text_buffers
+from accordance.llm.common import SPACE, importable, mix64, plus, prefix_hashes, substring_hashes, text_buffers, word_bounds
 
 DIMS_LOG, SAMPLE, EPOCHS, SCALE = 18, 6000, 3, 30.0
 DIMS = 1 << DIMS_LOG
@@ -34,26 +34,7 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-3, 1e-3
 #: Bits of a byte's class: lower, upper, digit, mark, beyond ASCII.
 _BITS = np.full(256, 8, np.uint8)
 _BITS[97:123], _BITS[65:91], _BITS[48:58], _BITS[128:] = 1, 2, 4, 16
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BITS[_SPACE] = 0
-
-
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, stops and row of each word; words are runs without ASCII white space and don't cross texts."""
-    solid = ~_SPACE[data]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    edge = offsets[1:-1]
-    edge = edge[edge < len(data)]
-    first[edge] = solid[edge]
-    starts = np.flatnonzero(first)
-    row = np.searchsorted(offsets, starts, "right") - 1
-    # a word ends at the next white space or at the end of its text
-    gaps = np.flatnonzero(~solid)
-    at = np.searchsorted(gaps, starts)
-    stops = np.where(at < len(gaps), gaps[np.minimum(at, max(len(gaps) - 1, 0))], len(data)) if len(gaps) else np.full(len(starts), len(data))
-    return starts, np.minimum(stops, offsets[row + 1]), row
+_BITS[SPACE] = 0
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

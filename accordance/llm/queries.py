@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordance.llm import bpe, decontaminate, hilbert, langid, line_dedup, multiset_hash, quality
+from accordance.llm import bpe, decontaminate, hilbert, langid, line_dedup, multiset_hash, ngram_join, pii, quality
 from accordance.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
@@ -29,6 +33,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -54,7 +63,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "contaminated", "n_items", "items")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_language_id, op5_quality, op6_bpe_tree, op7_multiset_hash, op8_hilbert_shards, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_language_id, op4_pii_crf, op5_quality, op6_bpe_tree, op7_multiset_hash, op8_hilbert_shards, op9_decontamination)}
 
 ORACLES = {
     "op1_line_dedup": """
