@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordance.llm import bpe, decontaminate, hilbert, langid, line_dedup, multiset_hash, ngram_join, pii, quality
+from accordance.llm import bpe, decontaminate, hilbert, langid, line_dedup, multiset_hash, ngram_join, pii, quality, suffix_dedup
 from accordance.llm.common import table
 
 
@@ -63,7 +63,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "contaminated", "n_items", "items")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_language_id, op4_pii_crf, op5_quality, op6_bpe_tree, op7_multiset_hash, op8_hilbert_shards, op9_decontamination)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_language_id, op4_pii_crf, op5_quality, op6_bpe_tree, op7_multiset_hash, op8_hilbert_shards, op9_decontamination, op10_suffix_dedup)}
 
 ORACLES = {
     "op1_line_dedup": """
