@@ -18,8 +18,10 @@ INTERVAL = {"low": 0.025, "high": 0.975}
 
 
 def numbered_runs(df: DataFrame) -> DataFrame:
-    """(stratum, run_id, slot, runs): runs numbered from 0 within their stratum by id."""
-    runs = ranked(df.select("stratum", "run_id").distinct(), ["stratum"], "run_id")
+    """(stratum, run_id, slot, runs): runs numbered from 0 within their stratum, by id, or by a hash of ids that aren't numbers."""
+    runs = df.select("stratum", "run_id").distinct()
+    number = F.xxhash64("run_id") if dict(runs.dtypes)["run_id"] == "string" else F.col("run_id")
+    runs = ranked(runs.withColumn("_number", number), ["stratum"], "_number", ["run_id"])
     return runs.select("stratum", "run_id", (F.col("rank") - 1).alias("slot"), F.col("group_n").alias("runs"))
 
 
