@@ -23,10 +23,10 @@ def bearing_difference(u_a: Column, v_a: Column, u_b: Column, v_b: Column) -> Co
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance on a sphere of the mean Earth radius."""
+    """Great-circle distance on a sphere of the mean Earth radius; null if a coordinate is."""
     half_lat, half_lon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.pow(F.sin(half_lat), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_lon), F.lit(2.0))
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))
 
 
 def snap(coordinate: Column, grid_deg: float = GRID_DEG) -> Column:

@@ -160,7 +160,7 @@ def _win(unit: str) -> str:
 
 ISO = "strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start"
 WINDOWS = f"SELECT run_id, {ISO}, {', '.join(R(c, c) for c in ('onboard_u', 'onboard_v', 'var_u', 'var_v', 'lat', 'lon'))}, wind_samples, position_samples, complete FROM win"
-KM = lambda a, b, c, d: f"(2 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))))"
+KM = lambda a, b, c, d: f"(2 * 6371.0088e0 * asin(sqrt((pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))))"
 FIELD = f"""{_win('day')}, daily AS (SELECT *, round_even(lat / 0.25e0, 0)::INT AS la, round_even(lon / 0.25e0, 0)::INT AS lo FROM win WHERE complete),
   cells AS (SELECT DISTINCT t AS time, la, lo FROM (SELECT window_start AS t, la, lo FROM daily UNION ALL SELECT window_start + INTERVAL 1 HOUR, la, lo FROM daily)),
   waves AS (SELECT *, (la * 7 + lo * 3 + (epoch_us(time) // 3600000000)) % 41 AS wave FROM cells WHERE (la + lo) % 10 <> 0), grid AS (SELECT time, la, lo, wave / 8e0 - 2 AS u100, wave / 10e0 - 1 AS v100, wave / 16e0 - 2 AS u10, wave / 20e0 - 1 AS v10 FROM waves),
