@@ -41,6 +41,8 @@ from accordance.llm.components import components
 
 WORDS, PERCENT, MOST_L = 4, 85, 4
 SKETCH_LOG, SLICES = 21, 32
+#: Up to so many ids (16 MB) are sent to every task, rather than shuffling the texts to them.
+FEW_IDS = 1 << 21
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD3 = np.uint64(0xD6E8FEB86659FD93)
@@ -159,7 +161,9 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their full sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    if ids.count() <= FEW_IDS:  # else both sides are shuffled
+        ids = F.broadcast(ids)
     held = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     held = saved(held.mapInArrow(lambda it: _sets(it, words), "doc_id long, tokens array<long>"), "sets")
     one, two = held.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), held.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
