@@ -13,9 +13,9 @@ Only components are wanted, so links inside a known component need not be verifi
 1. documents with equal sets form a class, of which the smallest doc_id goes on;
 2. each document is verified against one leader, the document with which it shares most
    prefix shingles among those that hold them earliest; links found join components;
-3. pairs that share min(l, l') prefix shingles, pass the length and position bounds and lie
-   in different components are all verified, with none left out; what links joins the
-   components.
+3. pairs that share min(l, l') prefix shingles, pass the length and position bounds (see
+   ``possible``) and lie in different components are all verified, with none left out; what
+   links joins the components.
 
 A large group of near copies is joined by step 2 in rows as many as its postings, and step 3
 then has no pairs inside it. Full sets are only made for documents in candidate pairs.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordance.llm.common import importable, mix64, prefix_hashes, saved, substring_hashes, text_buffers, word_bounds
@@ -171,6 +171,23 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     return both.filter(F.col("both") * 100 >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
+def overlap(n: Column, m: Column, percent: int) -> Column:
+    """The least number of shared shingles of two linked sets of sizes n and m."""
+    return F.floor((percent * (n + m) + (99 + percent)) / (100 + percent))
+
+
+def possible(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """Whether a shared shingle at these places may belong to a linked pair.
+
+    It must lie in both prefixes as the pair's sizes make them; and what is shared up to it
+    (no more than the shingles before it that others hold too, nth) with what is left after
+    it must reach the needed overlap.
+    """
+    needed, asked = overlap(x["n"], y["n"], percent), F.least(x["l"], y["l"])
+    inside = (x["place"] < x["n"] - needed + asked) & (y["place"] < y["n"] - needed + asked)
+    return inside & (F.least(x["nth"], y["nth"]) + F.least(x["n"] - x["place"], y["n"] - y["place"]) >= needed)
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     spark = docs.sparkSession
@@ -182,26 +199,27 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     key = ["n", "s1", "s2"]
     classes = saved(made.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     reps = made.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    postings = saved(reps.select("doc_id", "n", "l", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), F.col("doc_id").alias("doc"), "n", "l", F.col("t.places").alias("place")), "postings")
+    entry = F.posexplode(F.arrays_zip("tokens", "places")).alias("nth", "t")
+    postings = saved(reps.select("doc_id", "n", "l", entry).select(F.col("t.tokens").alias("token"), F.col("doc_id").alias("doc"), "n", "l", F.col("t.places").alias("place"), "nth"), "postings")
     # step 2: a leader for each shared token, and the best leader of each document
-    leads = saved(postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min(F.struct("place", "doc", "n")).alias("lead")).filter("holders > 1").select("token", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n")), "leads")
+    leads = saved(postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min(F.struct("place", "doc", "n", "nth", "l")).alias("lead")).filter("holders > 1").select("token", "lead"), "leads")
     hits = saved(postings.join(leads, "token"), "hits")
     fits = lambda a, b: (a * 100 >= b * percent) & (b * 100 >= a * percent)
-    stars = hits.filter((F.col("doc") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("shared"))
-    stars = stars.groupBy("doc").agg(F.max(F.struct("shared", "lead")).alias("best")).select(F.least("doc", "best.lead").alias("a"), F.greatest("doc", "best.lead").alias("b")).distinct()
+    lead = {c: F.col(f"lead.{c}") for c in ("doc", "n", "nth", "l", "place")}
+    near = hits.filter((F.col("doc") != lead["doc"]) & fits(F.col("n"), lead["n"]) & possible({c: F.col(c) for c in lead}, lead, percent))
+    stars = near.groupBy("doc", lead["doc"].alias("other")).agg(F.count(F.lit(1)).alias("shared"))
+    stars = stars.groupBy("doc").agg(F.max(F.struct("shared", "other")).alias("best")).select(F.least("doc", "best.other").alias("a"), F.greatest("doc", "best.other").alias("b")).distinct()
     joined = components(verified(docs, saved(stars, "stars"), words, percent))
     # step 3: all candidate pairs between components
-    comp = F.coalesce("component", "doc")
-    held = saved(hits.select("token", "doc", "n", "l", "place").join(joined.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", comp), "held")
+    held = saved(hits.drop("lead").join(joined.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "held")
     open_tokens = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     held = saved(held.join(open_tokens, "token", "left_semi"), "held")
-    x = held.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("place").alias("pa"), F.col("component").alias("ca"))
-    y = held.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-    most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    reach = most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    met = x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & reach)
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("la", "lb")).alias("asked"), F.first("ca").alias("ca"), F.first("cb").alias("cb")).filter("shared >= asked")
-    pairs = saved(pairs.select("a", "b", "ca", "cb"), "pairs")
+    x, y = ({c: F.col(f"{c}_{side}") for c in held.columns if c != "token"} for side in "xy")
+    left, right = (held.select("token", *[F.col(c).alias(f"{c}_{side}") for c in held.columns if c != "token"]) for side in "xy")
+    met = left.join(right, (left["token"] == right["token"]) & (x["doc"] < y["doc"]) & (x["component"] != y["component"]) & fits(x["n"], y["n"]) & possible(x, y, percent))
+    after = F.least(F.first(x["n"]) - F.max(x["place"]), F.first(y["n"]) - F.max(y["place"])) - 1
+    pairs = met.groupBy(x["doc"].alias("a"), y["doc"].alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(F.least(x["l"], y["l"])).alias("asked"), after.alias("after"), F.first(overlap(x["n"], y["n"], percent)).alias("needed"), F.first(x["component"]).alias("ca"), F.first(y["component"]).alias("cb"))
+    pairs = saved(pairs.filter("shared >= asked and shared + after >= needed").select("a", "b", "ca", "cb"), "pairs")
     more = verified(docs, pairs, words, percent).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     upper = components(more)
     final = saved(joined.join(upper.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component")).union(upper.join(joined, "id", "left_anti").select("id", "component")), "final")
