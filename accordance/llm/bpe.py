@@ -22,15 +22,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from accordance.llm.common import importable, plus
 
-LEAF, MEMO = 64, 300_000
+LEAF, MEMO = 64, 150_000
 
 
 @lru_cache(4)
@@ -149,18 +151,30 @@ def _ids(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) -> It
     import regex
 
     encoder, split = _encoder(ranks_path), regex.compile(pattern).findall
+    memo: dict[str, array] = {}
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        ids = [[t for piece in (split(x) if x else []) for t in encoder.encode(piece.encode())] for x in texts]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
+        flat, ends = array("i"), array("i", [0])
+        for text in batch.column(batch.schema.get_field_index("text")):
+            for piece in split(text.as_py() or ""):
+                ids = memo.get(piece)
+                if ids is None:
+                    ids = array("i", encoder.encode(piece.encode()))
+                    if len(piece) <= LEAF:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        memo[piece] = ids
+                flat.extend(ids)
+            ends.append(len(flat))
+        lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(ranks_path)
     for batch in batches:
         at = batch.schema.get_field_index("ids")
-        back = [None if x is None else encoder.decode(x).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], [*batch.schema.names, "decoded"])
+        back = pa.array([encoder.decode(x.as_py()).decode("utf-8", "replace") if x.is_valid else None for x in batch.column(at)], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, back], [*batch.schema.names, "decoded"])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH, ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -23,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package when it is run from a checkout.
+    """Readies a session for tasks in Python: small batches, and this package on the workers' path when it is run from a checkout.
 
     On a cluster the package is installed or sent with ``--py-files``; the path added here
     is then simply absent.
     """
+    if int(spark.conf.get(_BATCH)) > ROWS_PER_BATCH:
+        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in have.split(":"):

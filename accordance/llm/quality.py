@@ -112,7 +112,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [sent.value.score(data, off) for _, _, data, off in text_buffers(batch.column(names.index("text")), 1 << 20)]
+            out = [sent.value.score(data, off) for _, _, data, off in text_buffers(batch.column(names.index("text")), 1 << 19)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], [*names, "score"])
 
     return base.mapInArrow(run, plus(base.schema, score="double"))

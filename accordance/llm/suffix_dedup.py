@@ -60,7 +60,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "text_key", "lo", "k", "d", "short", "long"]
     for batch in batches:
-        for a, b, data, offsets in text_buffers(batch.column(2), 2 << 20):
+        for a, b, data, offsets in text_buffers(batch.column(2), 1 << 19):
             for at, part, own in _pieces(data, offsets, length):
                 row, place, first, last, h = anchors(part, own, length, width)
                 if not len(row):
@@ -75,7 +75,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     """The remaining suffixes: (doc_id, text_key, p, name)."""
     for batch in batches:
         runs = batch.column(3).to_pylist()
-        for a, b, data, offsets in text_buffers(batch.column(2), 2 << 20):
+        for a, b, data, offsets in text_buffers(batch.column(2), 1 << 19):
             h = prefix_hashes(data)
             for i in range(a, b):
                 lo = np.array([r["lo"] for r in runs[i]], np.int64)
