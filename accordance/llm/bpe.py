@@ -190,3 +190,10 @@ def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     importable(tokens.sparkSession)
     base = tokens.drop("decoded")
     return base.mapInArrow(lambda it: _texts(it, ranks_path), plus(base.schema, decoded="string"))
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``docs`` with ids and decoded, in one pass: a task then holds one Python worker, not two."""
+    importable(docs.sparkSession)
+    base = docs.drop("ids", "decoded")
+    return base.mapInArrow(lambda it: _texts(_ids(it, ranks_path, pattern), ranks_path), plus(base.schema, ids="array<int>", decoded="string"))

@@ -48,8 +48,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path, pattern = tokenizer()
-    out = bpe.decode(bpe.encode(docs.select(*COLUMNS), path, pattern), path)
+    out = bpe.round_trip(docs.select(*COLUMNS), *tokenizer())
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
