@@ -13,9 +13,9 @@ Only components are wanted, so links inside a known component need not be verifi
 1. documents with equal sets form a class, of which the smallest doc_id goes on;
 2. each document is verified against one leader, the document with which it shares most
    prefix shingles among those that hold them earliest; links found join components;
-3. pairs that share min(l, l') prefix shingles, pass the length and position bounds (see
-   ``possible``) and lie in different components are all verified, with none left out; what
-   links joins the components.
+3. pairs in different components that share a shingle within the length and position bounds
+   of ``possible`` are candidates; those that share min(l, l') prefix shingles are all verified,
+   with none left out; what links joins the components.
 
 A large group of near copies is joined by step 2 in rows as many as its postings, and step 3
 then has no pairs inside it. Full sets are only made for documents in candidate pairs.
@@ -50,7 +50,7 @@ _ODD3 = np.uint64(0xD6E8FEB86659FD93)
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) for every row of a column."""
-    for a, b, data, offsets in text_buffers(texts, 2 << 20):
+    for a, b, data, offsets in text_buffers(texts, 1 << 19):
         data = _LOWER[data]
         starts, stops, row = word_bounds(data, offsets)
         w = substring_hashes(prefix_hashes(data), starts, stops)
@@ -159,12 +159,25 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))], ["doc_id", "tokens"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their full sets."""
+def only(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose doc_id stands in a pair (a, b), one for each doc_id."""
     ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     if ids.count() <= FEW_IDS:  # else both sides are shuffled
         ids = F.broadcast(ids)
-    held = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return df.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def multi_match(made: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose prefixes share as many shingles as both documents ask for."""
+    lists = saved(only(made.select("doc_id", "l", "tokens"), pairs), "lists")
+    one, two = (lists.select(F.col("doc_id").alias(side), F.col("l").alias(f"l_{side}"), F.col("tokens").alias(f"t_{side}")) for side in "ab")
+    both = pairs.join(one, "a").join(two, "b").filter(F.size(F.array_intersect("t_a", "t_b")) >= F.least("l_a", "l_b"))
+    return both.select(*pairs.columns)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their full sets."""
+    held = only(docs.select("doc_id", "text"), pairs)
     held = saved(held.mapInArrow(lambda it: _sets(it, words), "doc_id long, tokens array<long>"), "sets")
     one, two = held.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), held.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
@@ -179,12 +192,12 @@ def overlap(n: Column, m: Column, percent: int) -> Column:
 def possible(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
     """Whether a shared shingle at these places may belong to a linked pair.
 
-    It must lie in both prefixes as the pair's sizes make them; and what is shared up to it
+    It must lie in both 1-prefixes as the pair's sizes make them; and what is shared up to it
     (no more than the shingles before it that others hold too, nth) with what is left after
     it must reach the needed overlap.
     """
-    needed, asked = overlap(x["n"], y["n"], percent), F.least(x["l"], y["l"])
-    inside = (x["place"] < x["n"] - needed + asked) & (y["place"] < y["n"] - needed + asked)
+    needed = overlap(x["n"], y["n"], percent)
+    inside = (x["place"] <= x["n"] - needed) & (y["place"] <= y["n"] - needed)
     return inside & (F.least(x["nth"], y["nth"]) + F.least(x["n"] - x["place"], y["n"] - y["place"]) >= needed)
 
 
@@ -200,12 +213,13 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     classes = saved(made.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     reps = made.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     entry = F.posexplode(F.arrays_zip("tokens", "places")).alias("nth", "t")
-    postings = saved(reps.select("doc_id", "n", "l", entry).select(F.col("t.tokens").alias("token"), F.col("doc_id").alias("doc"), "n", "l", F.col("t.places").alias("place"), "nth"), "postings")
+    listed = reps.select("doc_id", "n", entry).select(F.col("t.tokens").alias("token"), F.col("doc_id").alias("doc"), "n", F.col("t.places").alias("place"), "nth")
+    postings = saved(listed.filter(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100)), "postings")
     # step 2: a leader for each shared token, and the best leader of each document
-    leads = saved(postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min(F.struct("place", "doc", "n", "nth", "l")).alias("lead")).filter("holders > 1").select("token", "lead"), "leads")
+    leads = saved(postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min(F.struct("place", "doc", "n", "nth")).alias("lead")).filter("holders > 1").select("token", "lead"), "leads")
     hits = saved(postings.join(leads, "token"), "hits")
     fits = lambda a, b: (a * 100 >= b * percent) & (b * 100 >= a * percent)
-    lead = {c: F.col(f"lead.{c}") for c in ("doc", "n", "nth", "l", "place")}
+    lead = {c: F.col(f"lead.{c}") for c in ("doc", "n", "nth", "place")}
     near = hits.filter((F.col("doc") != lead["doc"]) & fits(F.col("n"), lead["n"]) & possible({c: F.col(c) for c in lead}, lead, percent))
     stars = near.groupBy("doc", lead["doc"].alias("other")).agg(F.count(F.lit(1)).alias("shared"))
     stars = stars.groupBy("doc").agg(F.max(F.struct("shared", "other")).alias("best")).select(F.least("doc", "best.other").alias("a"), F.greatest("doc", "best.other").alias("b")).distinct()
@@ -217,9 +231,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     x, y = ({c: F.col(f"{c}_{side}") for c in held.columns if c != "token"} for side in "xy")
     left, right = (held.select("token", *[F.col(c).alias(f"{c}_{side}") for c in held.columns if c != "token"]) for side in "xy")
     met = left.join(right, (left["token"] == right["token"]) & (x["doc"] < y["doc"]) & (x["component"] != y["component"]) & fits(x["n"], y["n"]) & possible(x, y, percent))
-    after = F.least(F.first(x["n"]) - F.max(x["place"]), F.first(y["n"]) - F.max(y["place"])) - 1
-    pairs = met.groupBy(x["doc"].alias("a"), y["doc"].alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(F.least(x["l"], y["l"])).alias("asked"), after.alias("after"), F.first(overlap(x["n"], y["n"], percent)).alias("needed"), F.first(x["component"]).alias("ca"), F.first(y["component"]).alias("cb"))
-    pairs = saved(pairs.filter("shared >= asked and shared + after >= needed").select("a", "b", "ca", "cb"), "pairs")
+    pairs = saved(met.select(x["doc"].alias("a"), y["doc"].alias("b"), x["component"].alias("ca"), y["component"].alias("cb")).distinct(), "pairs")
+    pairs = saved(multi_match(made, pairs), "pairs")
     more = verified(docs, pairs, words, percent).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     upper = components(more)
     final = saved(joined.join(upper.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component")).union(upper.join(joined, "id", "left_anti").select("id", "component")), "final")
