@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordance.functions.classify import SPATIAL_TOLERANCE_KM, TEMPORAL_TOLERANCE_S, join_flags
-from accordance.functions.geometry import GRID_DEG, grid_index, haversine_km
+from accordance.functions.classify import SPATIAL_TOLERANCE_KM, TEMPORAL_TOLERANCE_S, join_flags, rounded
+from accordance.functions.geometry import EARTH_RADIUS_KM, GRID_DEG, grid_index, haversine_km
 
 VALUES = ("u100", "v100", "u10", "v10")
 HALF_WINDOW_S = 1800
@@ -44,6 +44,39 @@ def irregular_nearest(windows: DataFrame, points: DataFrame, key: str, reach_deg
     return near.groupBy(key).agg(F.min_by("point_id", F.struct(distance, F.col("point_id"))).alias("point_id"), F.min(distance).alias("distance_km"))
 
 
+def fixed_nearest(windows: DataFrame, points: DataFrame, key: str, reach_deg: float, cell_deg: float = 2.0) -> DataFrame:
+    """The nearest of all fixed points(point_id, plat, plon), at most ``reach_deg`` of latitude away, at any longitude.
+
+    Windows first look at the cells of latitude and longitude around them (an equi-join). A
+    point beyond those cells lies at least ``cell_deg`` of longitude away, hence no nearer than
+    a bound; windows whose find is farther than theirs, or that found nothing, search their
+    bands of latitude whole. Distances are compared to the millimetre; the smaller point_id wins a tie.
+    """
+    width = int(360 // cell_deg)
+    band = lambda lat: F.floor(lat / reach_deg).cast("int")
+    turn = lambda lon: F.floor(F.pmod(lon, F.lit(360.0)) * width / 360.0).cast("int") % width
+    around = lambda c: F.array(c - 1, c, c + 1)
+    placed = points.select("point_id", "plat", "plon", band(F.col("plat")).alias("_pband"), turn(F.col("plon")).alias("_pturn"))
+    asked = windows.select(F.col(key), "lat", "lon")
+    km = rounded(haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")))
+
+    def least(rows: DataFrame, on: list[str]) -> DataFrame:
+        near = rows.join(placed, [rows[c] == placed[f"_p{c[1:]}"] for c in on]).filter(F.abs(F.col("lat") - F.col("plat")) <= reach_deg)
+        return near.groupBy(key).agg(F.min(F.struct(km.alias("km"), "point_id")).alias("best"))
+
+    bands = asked.withColumn("_band", F.explode(around(band(F.col("lat")))))
+    cells = bands.withColumn("_turn", F.explode(F.array_distinct(F.transform(around(turn(F.col("lon"))), lambda t: F.pmod(t, F.lit(width))))))
+    first = least(cells, ["_band", "_turn"])
+    cos = lambda lat: F.greatest(F.lit(0.0), F.cos(F.radians(lat)))
+    far = F.least(F.lit(90.0), F.abs("lat") + reach_deg)
+    bound = F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(cos(F.col("lat")) * cos(far)) * F.sin(F.radians(F.lit(180.0 / width))))
+    found = asked.join(first, key, "left")
+    sure = F.coalesce(F.col("best.km") < bound - 1e-5, F.lit(False))
+    rest = found.filter(~sure).drop("best").withColumn("_band", F.explode(around(band(F.col("lat")))))
+    out = found.filter(sure).select(key, "best").union(least(rest, ["_band"]).select(key, "best"))
+    return out.select(key, F.col("best.point_id").alias("point_id"), F.col("best.km").alias("distance_km"))
+
+
 def midpoint(windows: DataFrame, grid: DataFrame) -> DataFrame:
     """The field at the window's middle: the mean of its hour and the next."""
     both = nearest_join(nearest_join(windows, grid), grid, 1, "_next")

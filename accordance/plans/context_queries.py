@@ -100,7 +100,7 @@ def haversine_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_station(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest of irregular points (suppliers as stations) within 2 degrees of latitude, for each daily window."""
+    """The nearest of points that change by day (each day a twelfth of the suppliers, as its SQL says); ``nearest_station_all`` searches all."""
     from accordance.session import table
 
     asked = bindings.daily(spark, sf_dir).withColumn("key", F.concat_ws("@", "run_id", F.date_format("window_start", "yyyy-MM-dd")))
@@ -111,6 +111,15 @@ def nearest_station(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "point_id", rounded(F.col("distance_km")).alias("distance_km"))
 
 
+def nearest_station_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of all suppliers (as stations) within 2 degrees of latitude, for each daily window."""
+    from accordance.session import table
+
+    asked = bindings.daily(spark, sf_dir).withColumn("key", F.concat_ws("@", "run_id", F.date_format("window_start", "yyyy-MM-dd")))
+    points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") % 97 / 4.0 + 30).alias("plat"), (F.col("s_suppkey") % 89 / 6.0 - 10).alias("plon"))
+    return context.fixed_nearest(asked, points, "key", 2.0)
+
+
 def release_marker_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows by release; the check runs before any read, and fails the query for a time outside the field."""
     rows = bindings.pairs(spark, sf_dir)
@@ -143,7 +152,7 @@ def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly(rows).select("run_id", _iso("window_start"), "wind_samples", "position_samples", rounded(F.col("mean_value")).alias("mean_value"))
 
 
-QUERIES = [clock_anchor, clock_rejects, hourly_windows, daily_windows, window_quality_flags, nearest_grid_join, midpoint_interpolation, join_flags_query, join_summary, context_features_tall, haversine_distance, nearest_station, release_marker_query, release_markers_seen, context_requests, hourly_counts]
+QUERIES = [clock_anchor, clock_rejects, hourly_windows, daily_windows, window_quality_flags, nearest_grid_join, midpoint_interpolation, join_flags_query, join_summary, context_features_tall, haversine_distance, nearest_station, nearest_station_all, release_marker_query, release_markers_seen, context_requests, hourly_counts]
 
 R = lambda x, name: f"round({x}, 6) + 0e0 AS {name}"
 SAMPLES = """samples AS (SELECT user_id AS run_id, event_id, ts, CASE WHEN event_type IN ('view', 'purchase') THEN 'wind' WHEN event_type IN ('click', 'signup') THEN 'position' ELSE 'other' END AS topic, value / 50 - 2 AS east,
@@ -183,6 +192,8 @@ ORACLES = {
     "haversine_distance": f"""WITH {SAMPLES}, g AS (SELECT *, round_even(lat / 0.25e0, 0) * 0.25e0 AS glat, round_even(lon / 0.25e0, 0) * 0.25e0 AS glon FROM samples WHERE topic = 'position') SELECT event_id, {R('glat', 'grid_lat')}, {R('glon', 'grid_lon')}, {R(KM('lat', 'lon', 'glat', 'glon'), 'distance_km')}, {R('lon - 360 * floor(lon / 360)', 'east_lon')}, {KM('lat', 'lon', 'glat', 'glon')} <= 6371.0088e0 * radians(0.25e0) / sqrt(2e0) AS inside_cell FROM g""",
     "nearest_station": f"""WITH {_win('day')}, s AS (SELECT s_suppkey AS point_id, s_suppkey % 97 / 4e0 + 30 AS plat, s_suppkey % 89 / 6e0 - 10 AS plon FROM supplier WHERE s_suppkey % 4 = 0), n AS (SELECT run_id || '@' || strftime(window_start, '%Y-%m-%d') AS key, point_id, {KM('lat', 'lon', 'plat', 'plon')} AS km FROM win JOIN s ON abs(lat - plat) <= 2 AND (point_id // 4) % 3 = dayofyear(window_start) % 3 WHERE complete),
       r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY km, point_id) AS rn FROM n) SELECT key, point_id, {R('km', 'distance_km')} FROM r WHERE rn = 1""",
+    "nearest_station_all": f"""WITH {_win('day')}, s AS (SELECT s_suppkey AS point_id, s_suppkey % 97 / 4e0 + 30 AS plat, s_suppkey % 89 / 6e0 - 10 AS plon FROM supplier), n AS (SELECT run_id || '@' || strftime(window_start, '%Y-%m-%d') AS key, point_id, {R(KM('lat', 'lon', 'plat', 'plon'), 'km')} FROM win JOIN s ON abs(lat - plat) <= 2 WHERE complete)
+      SELECT key, point_id, km AS distance_km FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY km, point_id) AS rn FROM n) WHERE rn = 1""",
     "release_marker": f"SELECT strftime(l_shipdate, '%Y') AS year, CASE WHEN l_shipdate::DATE <= DATE '2000-12-31' THEN '0001' ELSE '0005' END AS marker, count(*) AS n FROM {PAIR_YEARS} GROUP BY ALL",
     "release_markers_seen": f"""WITH cut AS (SELECT max(o_orderdate)::DATE - 365 AS cutoff FROM orders), m AS (SELECT r_name || '|' || (CASE WHEN o_orderdate::DATE >= cutoff THEN 'within' ELSE 'older' END) AS stratum, CASE WHEN l_shipdate::DATE < DATE '1996-01-01' THEN NULL WHEN l_shipdate::DATE <= DATE '1998-06-30' THEN '0001' WHEN l_shipdate::DATE <= DATE '2000-12-31' THEN '0005' END AS marker FROM {PAIR_YEARS}, cut)
       SELECT stratum, coalesce(array_to_string(list_sort(list(DISTINCT marker) FILTER (WHERE marker IS NOT NULL)), ','), '') AS markers, count_if(marker IS NULL)::BIGINT AS outside FROM m GROUP BY stratum""",

@@ -168,3 +168,21 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(spark.table("hourly_out").collect()) == sorted(hourly(batch).collect())
+
+
+def test_nearest_of_all_fixed_points_equals_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    spots = [("w%d" % i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(150)] + [("east", 10.0, 179.9), ("west", 10.0, -179.9), ("pole", 89.9, 0.0), ("tie", 0.0, 1.0), ("none", None, 1.0)]
+    points = [(i, rng.uniform(-90, 90), rng.choice([1.0, 180.0]) * rng.uniform(-1, 1)) for i in range(1, 400)] + [(500, 10.0, -179.8), (501, 89.5, 170.0), (502, 0.0, 2.0), (503, 0.0, 0.0)]
+
+    def km(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return round(2 * geometry.EARTH_RADIUS_KM * math.asin(math.sqrt(min(1, h))), 6)
+
+    want = {k: min(near) for k, a, b in spots if a is not None and (near := [(km(a, b, c, d), i) for i, c, d in points if abs(a - c) <= 2])}
+    out = context.fixed_nearest(spark.createDataFrame(spots, "key string, lat double, lon double"), spark.createDataFrame(points, "point_id long, plat double, plon double"), "key", 2.0)
+    got = {r.key: (r.distance_km, r.point_id) for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=2e-6) for k in want)
