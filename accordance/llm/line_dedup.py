@@ -13,7 +13,9 @@ collides with one of its own host's few boilerplate lines.
 
 Defined cases: a null text stays null and counts as a page without lines; a null host is a
 host of its own; blank lines are never boilerplate; a line that a page repeats counts once
-for that page; repeated rows count as repeated pages; an empty table gives an empty table;
+for that page; repeated rows count as repeated pages, unless ``copies_once``, which counts each
+distinct text of a host (by 64-bit hash) as one page, so that no group of copies makes its own
+text boilerplate; an empty table gives an empty table;
 further columns of the input are kept, and names that clash with the result's are replaced.
 """
 
@@ -29,19 +31,22 @@ def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """(host_key, drop_keys): each host's boilerplate lines as hashes."""
-    totals = pages.groupBy(F.col(host).alias("host_key")).agg(F.count(F.lit(1)).alias("pages"))
     keys = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
-    seen = pages.select(F.col(host).alias("line_host"), F.explode(keys).alias("line_key"))
+    counted = pages.select(F.col(host).alias("page_host"), F.xxhash64(text).alias("page_key"), keys.alias("line_keys"))
+    if copies_once:
+        counted = counted.groupBy("page_host", "page_key").agg(F.first("line_keys").alias("line_keys"))
+    totals = counted.groupBy(F.col("page_host").alias("host_key")).agg(F.count(F.lit(1)).alias("pages"))
+    seen = counted.select(F.col("page_host").alias("line_host"), F.explode("line_keys").alias("line_key"))
     often = seen.groupBy("line_host", "line_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     over = often.join(totals, often["line_host"].eqNullSafe(totals["host_key"])).filter(F.col("n") > max_ratio * F.col("pages"))
     return over.groupBy("host_key").agg(F.collect_list("line_key").alias("drop_keys"))
 
 
-def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text``, and the counts n_lines and n_dropped."""
-    over = boilerplate(pages, host, text, max_ratio, min_pages)
+    over = boilerplate(pages, host, text, max_ratio, min_pages, copies_once)
     base = pages.drop("n_lines", "n_dropped", "host_key", "drop_keys")
     joined = base.join(over, base[host].eqNullSafe(over["host_key"]), "left")
     kept = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("drop_keys"), F.xxhash64(x)))

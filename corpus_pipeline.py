@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and reread.
 
 1. language: documents that language identification rejects go.
-2. lines: lines that many pages of a source share leave their documents.
+2. lines: lines that many pages of a source share leave their documents; copies of a text count as one page.
 3. near_copies: of each group of near copies (word 5-grams, similarity 0.8 or more), the
    document with the smallest doc_id stays.
 4. benchmark: documents in which a benchmark item occurs, up to its error budget, go.
@@ -32,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(docs.select(*COLUMNS))
+    out = line_dedup.line_dedup(docs.select(*COLUMNS), copies_once=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

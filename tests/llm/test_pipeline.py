@@ -97,3 +97,13 @@ def test_line_dedup_matches_sql(spark):
     df = queries.QUERIES["op1_line_dedup"](spark, SMALL)
     sql = con.sql(queries.ORACLES["op1_line_dedup"])
     assert sorted(map(tuple, df.select(sql.columns).collect())) == sorted(sql.fetchall())
+
+
+def test_lines_stage_leaves_copies_to_the_join(spark):
+    copy = "first line of a copied page\nsecond line of it with some more words"
+    rows = [(i, copy if i < 10 else f"menu\npage {i} has words of its own", "en", "s", 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.lines(spark, docs, SMALL)
+    kept = {r.doc_id: r.text for r in out.collect()}
+    assert all(kept[i] == copy for i in range(10)) and all(kept[i] == f"page {i} has words of its own" for i in range(10, 30))
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, out, SMALL).collect()} >= {0} and not {r.doc_id for r in corpus_pipeline.near_copies(spark, out, SMALL).collect()} & set(range(1, 10))
