@@ -122,6 +122,19 @@ def test_language_held_out(spark):
     assert out[63].lang_pred in WORDS and all(0 <= r.score <= 1 for r in out)
 
 
+def test_language_rejects_by_distance_and_keeps_short_clean_texts(spark):
+    rng = random.Random(8)
+    langs = [x for x in ("en", "de") for _ in range(60)] + ["en"]
+    texts = [t for x in ("en", "de") for t in sentences(x, 60, rng)] + ["zq xj kw vv qq jx wq zk"]  # one odd row
+    model = langid.train(docs(spark, texts, langs=langs))
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw."
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan."
+    junk = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300))
+    clean = ["the of and", "der und das ist", "is on", "that it was for the", "und"]
+    out = langid.identify(docs(spark, [polish, finnish, junk, "1234567890 " * 30 + "q", *clean]), model).orderBy("doc_id").collect()
+    assert [r.rejected for r in out] == [True] * 4 + [False] * 5
+
+
 def test_language_without_training_rows(spark):
     model = langid.train(docs(spark, ["a"], langs=[None]))
     assert langid.identify(docs(spark, ["a b", None]), model).select("lang_pred").distinct().collect()[0][0] == "und"
