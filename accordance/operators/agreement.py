@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from accordance.functions.classify import altitude_band, sigma_band
 from accordance.functions.geometry import bearing_difference
+from accordance.operators import bootstrap
 from accordance.operators.ranking import linear_quantiles, weighted_quantiles
 
 # Fixed values of the studied method.
@@ -160,7 +161,8 @@ def validation_artifacts(df: DataFrame, ties: Sequence[str], band: float, weight
     signed = bland_altman(df, by, ("du", "dv", "dspeed"), F.col(weight))
     size = magnitude_limits(df, by, ties, weight)
     turn = direction_statistics(with_direction(df), by, ties)
-    out = cells.join(signed, by).join(size, by).join(turn, by)
+    drawn = bootstrap.intervals(df.join(cells.select(*by), by, "left_semi"), by, weight).withColumnsRenamed({s: f"ci_{s}" for s in bootstrap.STATISTICS})
+    out = cells.join(signed, by).join(size, by).join(turn, by).join(drawn, by)
     limits = lambda x: F.struct(F.col(f"bias_{x}").alias("bias"), F.col(f"sd_{x}").alias("sd"), F.array(f"loa_low_{x}", f"loa_high_{x}").alias("limits_of_agreement"))
     return out.select(
         F.concat_ws("-", F.lit("agreement"), "axis", "cell", "level", F.lit(pooling)).alias("validation_model_id"),
@@ -168,6 +170,6 @@ def validation_artifacts(df: DataFrame, ties: Sequence[str], band: float, weight
         F.struct("n_windows", "n_runs", "n_vehicles").alias("support"),
         F.struct(limits("du").alias("u"), limits("dv").alias("v"), limits("dspeed").alias("speed"), F.struct(F.col("mean_magnitude").alias("mean"), F.col("sd_magnitude").alias("sd"), *MAGNITUDE_QUANTILES).alias("vector_difference_magnitude")).alias("statistics"),
         F.struct("n_defined", "n_undefined", "mean_abs", "median_abs", "p90_abs", "p95_abs", "circular_mean", "resultant", "circular_sd").alias("direction"),
-        F.struct(F.lit("run").alias("unit")).alias("bootstrap"),
+        F.struct(F.lit("run").alias("unit"), F.lit(bootstrap.RESAMPLES).alias("n_resamples"), F.lit(bootstrap.SEED).alias("seed"), *[F.col(f"ci_{s}").alias(f"{s}_ci") for s in bootstrap.STATISTICS]).alias("bootstrap"),
         (F.col("p97_5") <= band).alias("useful"),
     )
