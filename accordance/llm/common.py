@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH, ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+_BATCH_BYTES, BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,51 +26,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Readies a session for tasks in Python: small batches, and this package on the workers' path when it is run from a checkout.
+    """Puts this package on the Python workers' path when it is run from a checkout.
 
     On a cluster the package is installed or sent with ``--py-files``; the path added here
-    is then simply absent.
+    is then simply absent. The session keeps both the path and the
+    smaller batches, as plans are lazy and run after the operator has returned.
     """
-    if int(spark.conf.get(_BATCH)) > ROWS_PER_BATCH:
-        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in have.split(":"):
         env["PYTHONPATH"] = f"{ROOT}:{have}" if have else ROOT
+    for name, most in ((_BATCH, ROWS_PER_BATCH), (_BATCH_BYTES, BYTES_PER_BATCH)):
+        have = spark.conf.get(name)
+        if not have.isdigit() or not 0 < int(have) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where that is unset a local session gets a temporary one, as in tests; a cluster is refused.
+
+    On a cluster a machine's own folder would lose rows without an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "accordance-shared")
-        spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = _OWN.setdefault("folder", tempfile.mkdtemp(prefix="spark-accordance-"))
     return folder.rstrip("/")
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, which cuts its lineage.
+class Scratch:
+    """Intermediate tables of one run in a folder of their own below the shared folder."""
 
-    Where Spark has the setting, the shuffle files of the written query go when it has ended.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, was) if was else spark.conf.unset(_CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables made by ``saved`` that nothing reads any more."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        for file in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder, self.tables = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes ``df`` and reads it back, which cuts its lineage.
+
+        Where Spark has the setting, the shuffle files of the written query go when it has ended.
+        """
+        self.tables += 1
+        path = f"{self.folder}/{self.tables}-{name}"
+        was = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, was) if was else self.spark.conf.unset(_CLEANUP)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Empties tables that nothing reads any more: each is overwritten by one without rows."""
+        for df in tables:
+            for file in df.inputFiles()[:1]:
+                self.spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(file.rsplit("/", 1)[0])
+
+    def clear(self) -> None:
+        """Empties the whole folder; nothing that is still to be read may lie in it."""
+        if self.tables:
+            self.spark.createDataFrame([], "gone int").write.mode("overwrite").parquet(self.folder)
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """A table that a result still reads, in a folder of its own."""
+    return Scratch(df.sparkSession, label).saved(df, "table")
 
 
 def text_buffers(column: pa.Array, most: int = 4 << 20, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordance.llm.anchors import anchors
-from accordance.llm.common import dropped, importable, mix64, prefix_hashes, saved, substring_hashes, text_buffers
+from accordance.llm.common import importable, mix64, prefix_hashes, saved, substring_hashes, text_buffers
 
 LENGTH, WIDTH = 400, 160
 _MOST = 4 << 20
@@ -119,7 +119,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataFr
     # 1. names that occur more than once
     often = named.groupBy("short").agg(F.count(F.lit(1)).alias("n"), F.min("long").alias("one"), F.max("long").alias("other")).filter("n > 1").select("short", (F.col("one") != F.col("other")).alias("mixed"))
     found = saved(named.join(saved(often, "names"), "short"), "found")
-    dropped(named)
     # 2. longer names: a class with one longer name is settled, and so is a longer name that occurs again
     run = F.struct("lo", "k", "d", "short")
     mixed = found.filter("mixed")
