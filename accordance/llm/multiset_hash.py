@@ -9,14 +9,20 @@ in any order, and a paragraph is inserted or deleted by adding or subtracting it
 (``insert`` and ``delete``). Read as counts c of set bits among n paragraphs, the lanes
 2c - n are random projections of the multiset, whose cosine estimates the likeness of two.
 
-The next document is found in the only shuffle of texts: rows are dealt by ranges of doc_id
-(cut at quantiles, so that clustered ids do no harm), the first row of a range is also sent
-to the range before it, and ``lead`` then never leaves a range.
+The next document is found in the only shuffle of texts: rows are dealt by ranges of doc_id,
+the first row of a range is also sent to the range before it, and ``lead`` then never leaves
+a range. The ranges are those of Spark's own range partitioning of the ids, so that clustered
+ids do no harm; their number is a parameter, and a row finds its range by bisection, in steps
+as many as the logarithm of that number.
 
 Defined cases: a null text is empty; an empty text has the fingerprint of no paragraphs,
 which is like itself (1.0) and like nothing else (0.0); rows with equal doc_id follow one
-another by text; null doc_ids come first; an only document is followed by itself; an empty
-table gives an empty table.
+another by text; null doc_ids come first, also where the last document is followed by the
+first; an only document is followed by itself; an empty table gives an empty table; only
+doc_id and text are read, so that further columns, whatever their names, don't matter.
+A field of a word is 20 bits wide: beyond 2**20 - 1 paragraphs (over 25 million characters)
+fields carry into their neighbours. Equality, insertion and deletion stay exact then;
+likeness doesn't, and is 1 or 0 as fingerprints are equal or not.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RUN, ROWS = 48, 3000
+RUN, MOST = 48, (1 << 20) - 1
 SHIFTS, SEEDS = 20, (17, 91)
 LANES = 3 * SHIFTS * len(SEEDS)
 _BITS, _MOD = (1 << 40) | (1 << 20) | 1, (1 << 60) - 1
@@ -88,27 +94,39 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, a_lanes: Column, b_lanes: Column) -> Column:
-    """1 for equal fingerprints, else the lanes' cosine, not below 0."""
+    """1 for equal fingerprints, else the lanes' cosine, not below 0; 0 beyond what the lanes can count."""
     norm = F.sqrt(_dot(a_lanes, a_lanes) * _dot(b_lanes, b_lanes))
-    return F.when(a == b, F.lit(1.0)).when((a["n"] == 0) | (b["n"] == 0) | (norm == 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), _dot(a_lanes, b_lanes) / norm)))
+    none = (a["n"] == 0) | (b["n"] == 0) | (a["n"] > MOST) | (b["n"] > MOST) | (norm == 0)
+    return F.when(a == b, F.lit(1.0)).when(none, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), _dot(a_lanes, b_lanes) / norm)))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    spark = docs.sparkSession
+def range_starts(docs: DataFrame, ranges: int) -> DataFrame:
+    """One row: starts, the sorted first doc_ids of the ranges (at most ``ranges`` values; null ids stand before them), and the first doc_id of all."""
+    dealt = docs.select("doc_id").repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id().alias("range")).agg(F.min("doc_id").alias("start"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    starts = F.array_sort(F.collect_list("start"))
+    return dealt.agg(starts.alias("starts"), F.when(F.sum("nulls") == 0, F.min("start")).alias("first_id"))
+
+
+def below(starts: Column, value: Column, ranges: int) -> Column:
+    """How many of the sorted ``starts`` are at most ``value``, by bisection; 0 for null."""
+    steps = F.array(*[F.lit(1 << b) for b in range(ranges.bit_length() - 1, -1, -1)])
+    step = lambda at, width: F.when((at + width <= F.size(starts)) & (F.get(starts, at + width - 1) <= value), at + width).otherwise(at)
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    ``ranges``: four for each shuffle partition unless given.
+    """
+    ranges = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n, least = base.agg(F.count(F.lit(1)), F.min("doc_id")).first()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // ROWS + 1)
-    cuts = sorted(set(base.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges + 1000)).first()[0] or [])) if ranges > 1 and n else []
-    # the range of a doc_id: the number of cuts below it
-    at = F.lit(0) if not cuts else F.coalesce(F.size(F.filter(F.split(F.lit(",".join(map(str, cuts))), ","), lambda c: c.cast("long") < F.col("doc_id"))), F.lit(0))
-    base = base.withColumn("range", at)
-    # at most one row for each range: its first doc_id, and the range before it
-    firsts = base.groupBy("range").agg(F.min("doc_id").alias("first_id")).withColumn("before", F.lag("range").over(Window.orderBy("range")))
-    last = F.max("range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    firsts = firsts.select("first_id", F.coalesce("before", last).alias("also"), F.col("before").isNull().alias("wraps"))
-    base = base.join(F.broadcast(firsts), F.col("doc_id") == F.col("first_id"), "left")
-    copies = F.when(F.col("also").isNull(), F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("late")))).otherwise(F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("late")), F.struct(F.col("also").alias("r"), F.when(F.col("wraps"), 2).otherwise(1).alias("late"))))
+    base = base.crossJoin(F.broadcast(range_starts(docs, ranges)))  # one row, of at most ``ranges`` ids
+    base = base.withColumn("range", below(F.col("starts"), F.col("doc_id"), ranges))
+    starts_range = F.coalesce(F.get("starts", F.col("range") - 1) == F.col("doc_id"), F.lit(False))
+    to = lambda r, late: F.struct(r.alias("r"), F.lit(late).alias("late"))
+    # the first document also stands behind the last one, in the last range
+    copies = F.filter(F.array(to(F.col("range"), 0), F.when(starts_range, to(F.col("range") - 1, 1)), F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), to(F.size("starts"), 2))), lambda x: x.isNotNull())
     rows = base.select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", "to.r", "to.late")
     rows = with_fingerprint(rows, "text", "fp")
     order = Window.partitionBy("r").orderBy("late", "doc_id", "text")
