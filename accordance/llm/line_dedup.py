@@ -1,22 +1,26 @@
 """Line dedup by site-relative frequency.
 
 A page is one row. Within each host, a line's share is the number of the host's pages that
-contain it over the host's pages; lines whose share exceeds ``max_ratio`` on at least
-``min_pages`` pages are boilerplate and leave every page of that host.
+contain it over the host's pages; lines whose share exceeds ``max_ratio`` are boilerplate and
+leave every page of that host. Each distinct text of a host counts as one page, so that no
+group of copies makes its own text boilerplate. A line needs ``min_pages`` pages in any case:
+with fewer, no line can be told to repeat.
+
+The ratio: a template's line stands on a good part of a site's pages, a phrase on a few in a
+hundred. 0.07 leaves room on both sides; it is a parameter.
 
 Plan: one aggregation of (host, 64-bit line hash), which combines on the map side, so that
 a host with a third of all rows costs no more per task than any other; the lines that stay
-above the ratio number at most (lines per page / max_ratio) for a host and are joined to
-the pages by host, where Spark picks a broadcast by measured size or a sort-merge join
-whose skewed partitions AQE splits. A rare line is lost by a hash collision only if it
-collides with one of its own host's few boilerplate lines.
+above the ratio number at most (lines per page / max_ratio) for a host. They are written, and
+their size is looked at: up to ``FEW_KEYS`` hashes are sent to the pages, which then aren't
+shuffled; beyond that pages are dealt by (host, salt), so that no host stays in one task. A
+rare line is lost by a hash collision only if it collides with one of its own host's few
+boilerplate lines.
 
 Defined cases: a null text stays null and counts as a page without lines; a null host is a
 host of its own; blank lines are never boilerplate; a line that a page repeats counts once
-for that page; repeated rows count as repeated pages, unless ``copies_once``, which counts each
-distinct text of a host (by 64-bit hash) as one page, so that no group of copies makes its own
-text boilerplate; an empty table gives an empty table;
-further columns of the input are kept, and names that clash with the result's are replaced.
+for that page; repeated rows count as one page (by the text's 64-bit hash); very long texts are
+split like others, within one row; an empty table gives an empty table; further columns of the input are kept, and names that clash with the result's are replaced.
 """
 
 from __future__ import annotations
@@ -24,19 +28,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RATIO, MIN_PAGES = 0.1, 3
+from accordance.llm.common import saved
+
+MAX_RATIO, MIN_PAGES = 0.07, 3
+#: Hashes of 8 bytes, over all hosts, up to which a broadcast is cheaper than dealing the pages; and the salts beyond.
+FEW_KEYS, SALTS = 1 << 20, 16
 
 
 def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host_key, drop_keys): each host's boilerplate lines as hashes."""
     keys = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
     counted = pages.select(F.col(host).alias("page_host"), F.xxhash64(text).alias("page_key"), keys.alias("line_keys"))
-    if copies_once:
-        counted = counted.groupBy("page_host", "page_key").agg(F.first("line_keys").alias("line_keys"))
+    counted = counted.groupBy("page_host", "page_key").agg(F.first("line_keys").alias("line_keys"))
     totals = counted.groupBy(F.col("page_host").alias("host_key")).agg(F.count(F.lit(1)).alias("pages"))
     seen = counted.select(F.col("page_host").alias("line_host"), F.explode("line_keys").alias("line_key"))
     often = seen.groupBy("line_host", "line_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
@@ -44,11 +51,17 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_
     return over.groupBy("host_key").agg(F.collect_list("line_key").alias("drop_keys"))
 
 
-def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, few_keys: int = FEW_KEYS) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text``, and the counts n_lines and n_dropped."""
-    over = boilerplate(pages, host, text, max_ratio, min_pages, copies_once)
+    over = saved(boilerplate(pages, host, text, max_ratio, min_pages), "over")
+    held = over.agg(F.sum(F.size("drop_keys") + 1)).first()[0] or 0
     base = pages.drop("n_lines", "n_dropped", "host_key", "drop_keys")
-    joined = base.join(over, base[host].eqNullSafe(over["host_key"]), "left")
+    if held <= few_keys:
+        joined = base.join(F.broadcast(over), base[host].eqNullSafe(over["host_key"]), "left")
+    else:
+        salted = over.withColumn("over_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")
+        joined = base.join(salted, base[host].eqNullSafe(salted["host_key"]) & (salt == salted["over_salt"]), "left")
     kept = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("drop_keys"), F.xxhash64(x)))
     n_lines = F.coalesce(F.size(_lines(text)), F.lit(0))
     joined = joined.withColumn("kept_lines", F.when(F.col("drop_keys").isNotNull(), kept))
