@@ -1,17 +1,20 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
 A text is the concatenation of the matches of the split pattern, each encoded separately.
-A match longer than ``LEAF`` bytes is halved, the halves are encoded recursively and joined:
-the last tokens of the left and the first of the right are re-encoded together, over
-windows that grow until the tokens at both edges of the window are stable. Stable means
-that the pair of neighbours across the edge, encoded by itself, gives that pair again: a
-sequence whose neighbouring pairs all have this property is the encoding of its bytes, so
-tokens outside the window can't change. A window that reaches both ends is a plain
-encoding, so that the reduction always ends. Decoding concatenates bytes up the same tree:
-tokens to matches, matches to texts.
+A match is halved down to strings that are tokens themselves, single bytes at last, and the
+halves' tokens are joined on the way up: the last token of the left and the first of the right are re-encoded together, over windows that
+grow until the tokens at both edges of the window are stable. Stable means that the pair of
+neighbours across the edge, encoded by itself, gives that pair again: a sequence whose
+neighbouring pairs all have this property is the encoding of its bytes, so tokens outside
+the window can't change. A window that reaches both ends is a plain encoding, so that the
+reduction always ends. Before a window grows, a token at the end of the left that commutes
+with a run of equal tokens at the start of the right (the same bytes in either order, as in
+runs of one character) is moved behind the run, as long as the pairs stay stable: so long
+runs are joined without being encoded again. Halves with equal bytes are encoded once.
+Decoding concatenates up a tree over the text's ids.
 
 Runs as ``mapInArrow``: rows are independent, nothing is shuffled, and each Python worker
-keeps a bounded memo of matches.
+keeps bounded memos of matches, windows and pairs.
 
 Defined cases: a null text is empty (no tokens, the digest of nothing); any bytes of valid
 UTF-8 are covered, as all 256 single bytes have ranks; an empty table gives an empty table;
@@ -22,8 +25,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +36,8 @@ from pyspark.sql import DataFrame
 
 from accordance.llm.common import importable, plus
 
-LEAF, MEMO = 64, 150_000
+#: Memos hold at most so many entries, twice; longer matches and windows aren't remembered.
+MEMO, SHORT, HALF = 80_000, 64, 8
 
 
 @lru_cache(4)
@@ -42,18 +47,22 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Encodes single matches, with a bounded memo."""
+    """Encodes single matches. ``joins`` counts the inner nodes of all trees, ``merged`` the bytes that were merged in windows."""
 
-    def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF):
-        self.ranks, self.leaf = ranks, leaf
-        self.bytes_of = {v: k for k, v in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.bytes_of = ranks, {v: k for k, v in ranks.items()}
+        #: What two tokens side by side become; for most they stay.
+        self.pairs: dict[tuple[int, int], tuple[int, ...]] = {}
+        self.nodes: dict[bytes, tuple[int, ...]] = {}
+        self.joins = self.merged = 0
 
     def merge(self, piece: bytes) -> list[int]:
-        """Plain byte-pair merging, lowest rank first, leftmost among equals."""
+        """Plain byte-pair merging, lowest rank first, leftmost among equals: of windows, and as the measure of the tests."""
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return [whole]
+        if len(piece) > SHORT:
+            return self.merge_long(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
         none = 1 << 60
         costs = [ranks.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
@@ -70,38 +79,107 @@ class Encoder:
                 costs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
         return [ranks[p] for p in parts]
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether tokens a, b side by side stay as they are."""
+    def merge_long(self, piece: bytes) -> list[int]:
+        """The same with a heap of pairs, n log n steps."""
+        ranks, n = self.ranks, len(piece)
+        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            j = after[i] if end[i] else n
+            if j >= n or end[j] != stop:  # one of the two has changed since
+                continue
+            end[i], after[i], end[j] = stop, after[j], 0
+            if after[i] < n:
+                before[after[i]] = i
+                if (r := ranks.get(piece[i : end[after[i]]])) is not None:
+                    heapq.heappush(heap, (r, i, end[after[i]]))
+            if before[i] >= 0 and (r := ranks.get(piece[before[i] : stop])) is not None:
+                heapq.heappush(heap, (r, before[i], stop))
+        return [ranks[piece[i : end[i]]] for i in range(n) if end[i]]
+
+    def pair(self, a: int, b: int) -> tuple[int, ...]:
+        """The encoding of two tokens' bytes."""
         if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= MEMO:
+            if len(self.pairs) >= 2 * MEMO:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.pairs[a, b] = tuple(self.merge(self.bytes_of[a] + self.bytes_of[b]))
         return known
 
-    def encode(self, piece: bytes) -> list[int]:
+    def stable(self, a: int, b: int) -> bool:
+        """Whether tokens a, b side by side stay as they are."""
+        return self.pair(a, b) == (a, b)
+
+    def encode(self, piece: bytes) -> Sequence[int]:
         """The tree: halves, then their join."""
-        if len(piece) <= self.leaf:
-            return self.merge(piece)
-        half = len(piece) // 2
-        return self.join(self.encode(piece[:half]), self.encode(piece[half:]))
+        if len(piece) > SHORT:
+            return self._long(piece, {})
+        return self._node(piece) if piece else ()
+
+    def _node(self, piece: bytes) -> tuple[int, ...]:
+        if (token := self.ranks.get(piece)) is not None:
+            return (token,)
+        if (known := self.nodes.get(piece)) is None:
+            half = len(piece) // 2
+            known = self.join(self._node(piece[:half]), self._node(piece[half:]))
+            if len(piece) <= HALF:
+                if len(self.nodes) >= MEMO:
+                    self.nodes.clear()
+                self.nodes[piece] = known
+        return known
+
+    def _long(self, piece: bytes, own: dict[bytes, tuple[int, ...]]) -> tuple[int, ...]:
+        """The same, with a memo of this match's own halves."""
+        if len(piece) <= SHORT:
+            return self._node(piece)
+        if (known := own.get(piece)) is None:
+            half = len(piece) // 2
+            known = own[piece] = self.join(self._long(piece[:half], own), self._long(piece[half:], own))
+        return known
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the concatenation, from those of its parts."""
-        if not left or not right:
-            return left or right
+        self.joins += 1
+        a, b = left[-1], right[0]
+        if (inner := self.pairs.get((a, b))) is None:
+            inner = self.pair(a, b)
+        if len(inner) == 2 and inner[0] == a:
+            return left + right
+        if len(left) == 1 == len(right):
+            return inner
+        if len(right) > 2:
+            left, right = self.commuted(left, right)
+            if not right:
+                return left
         reach = 1
         while True:
             i, j = min(reach, len(left)), min(reach, len(right))
-            window = b"".join(self.bytes_of[t] for t in left[len(left) - i :] + right[:j])
-            inner = self.merge(window) if len(window) <= 2 * self.leaf or (i == len(left) and j == len(right)) else self.window(left[len(left) - i :], right[:j])
+            inner = self.pair(left[-1], right[0]) if reach == 1 else self.window(left[len(left) - i :] + right[:j])
             if (i == len(left) or self.stable(left[-i - 1], inner[0])) and (j == len(right) or self.stable(inner[-1], right[j])):
                 return left[: len(left) - i] + inner + right[j:]
             reach *= 2
 
-    def window(self, left: list[int], right: list[int]) -> list[int]:
-        return self.merge(b"".join(self.bytes_of[t] for t in left + right))
-
-    def decode(self, ids: list[int]) -> bytes:
+    def commuted(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """The same bytes, with left's last tokens moved behind the run of equal tokens that right starts with."""
+        t, m = right[0], 1
+        while m < len(right) and right[m] == t:
+            m += 1
+        if m < 3:  # a window is cheaper
+            return left, right
+        tail: tuple[int, ...] = ()
+        while left and left[-1] != t and self.bytes_of[left[-1]] + self.bytes_of[t] == self.bytes_of[t] + self.bytes_of[left[-1]]:
+            left, tail = left[:-1], left[-1:] + tail
+        if not tail or not self.stable(t, tail[0]) or not self.stable(t, t) or (left and not self.stable(left[-1], t)):
+            return left + tail, right
+        return left + (t,) * m + tail, right[m:]
+
+    def window(self, tokens: tuple[int, ...]) -> tuple[int, ...]:
+        piece = b"".join([self.bytes_of[t] for t in tokens])
+        self.merged += len(piece)
+        return tuple(self.merge(piece))
+
+    def decode(self, ids: Sequence[int]) -> bytes:
         """Concatenation up the tree."""
         if len(ids) <= 256:
             return b"".join([self.bytes_of[t] for t in ids])
@@ -114,30 +192,52 @@ def _encoder(path: str) -> Encoder:
     return Encoder(load_ranks(path))
 
 
+class Matches:
+    """Splits texts and encodes their matches, with a memo of short ones in two halves: a full half replaces the other, so that frequent matches stay."""
+
+    def __init__(self, ranks_path: str, pattern: str):
+        import regex
+
+        self.encoder, self.split = _encoder(ranks_path), regex.compile(pattern).findall
+        self.new: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
+
+    def of(self, text: str | None) -> list[tuple[bytes, str]]:
+        """(ids as an array's bytes, the ids in decimal) of each match."""
+        found = self.split(text) if text else []
+        out = list(map(self.new.get, found))
+        if None in out:
+            new, old = self.new, self.old
+            for i, hit in enumerate(out):
+                if hit is None:
+                    x = found[i]
+                    if (hit := new.get(x) or old.get(x)) is None:
+                        ids = self.encoder.encode(x.encode())
+                        hit = array("i", ids).tobytes(), " ".join(map(str, ids))
+                    if len(x) <= SHORT:
+                        if len(new) >= MEMO:
+                            self.new, self.old = {}, new
+                            new, old = self.new, self.old
+                        new[x] = hit
+                    out[i] = hit
+        return out
+
+
+def joined_ids(found: list[tuple[bytes, str]]) -> array:
+    return array("i", b"".join([x[0] for x in found]))
+
+
 def encode_batches(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, n_tokens, ids, decoded)."""
-    import regex
-
-    encoder, split = _encoder(ranks_path), regex.compile(pattern).findall
-    memo: dict[str, tuple[int, str, bytes]] = {}
+    matches = Matches(ranks_path, pattern)
     for batch in batches:
         counts, ids_out, back = [], [], []
-        for text in batch.column(1).to_pylist():
-            pieces = split(text) if text else []
-            found = []
-            for piece in pieces:
-                hit = memo.get(piece)
-                if hit is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    ids = encoder.encode(piece.encode())
-                    hit = len(ids), " ".join(map(str, ids)), encoder.decode(ids)
-                    if len(piece) <= LEAF:
-                        memo[piece] = hit
-                found.append(hit)
-            counts.append(sum([x[0] for x in found]))
+        for text in batch.column(1):
+            found = matches.of(text.as_py())
+            ids = joined_ids(found)
+            counts.append(len(ids))
             ids_out.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
-            back.append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
+            back.append(hashlib.sha256(matches.encoder.decode(ids)).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_out, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -148,22 +248,11 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def _ids(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    import regex
-
-    encoder, split = _encoder(ranks_path), regex.compile(pattern).findall
-    memo: dict[str, array] = {}
+    matches = Matches(ranks_path, pattern)
     for batch in batches:
         flat, ends = array("i"), array("i", [0])
         for text in batch.column(batch.schema.get_field_index("text")):
-            for piece in split(text.as_py() or ""):
-                ids = memo.get(piece)
-                if ids is None:
-                    ids = array("i", encoder.encode(piece.encode()))
-                    if len(piece) <= LEAF:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        memo[piece] = ids
-                flat.extend(ids)
+            flat += joined_ids(matches.of(text.as_py()))
             ends.append(len(flat))
         lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
         yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
@@ -173,7 +262,7 @@ def _texts(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Iterator[pa.Re
     encoder = _encoder(ranks_path)
     for batch in batches:
         at = batch.schema.get_field_index("ids")
-        back = pa.array([encoder.decode(x.as_py()).decode("utf-8", "replace") if x.is_valid else None for x in batch.column(at)], pa.string())
+        back = pa.array([encoder.decode(x.values.to_numpy().tolist()).decode("utf-8", "replace") if x.is_valid else None for x in batch.column(at)], pa.string())
         yield pa.RecordBatch.from_arrays([*batch.columns, back], [*batch.schema.names, "decoded"])
 
 
