@@ -3,46 +3,51 @@
 A document is the set of its word shingles. Two link when 100 * |x & y| >= percent * |x | y|.
 All sets are ordered by one order of shingles, rare ones first: by a count sketch of fixed
 size over the whole corpus, then by hash. With a = ceil(percent * n / 100), the first
-n - a + l shingles are the l-prefix; linked documents share at least min(l, l') shingles of
-their prefixes (any l of their shared shingles that come first lie there). Each document
-takes the l for which the estimated cost is least: postings read, from the sketch's counts,
-plus candidates to be verified, which fall as more shared shingles are asked for.
-
-Only components are wanted, so links inside a known component need not be verified:
-
-1. documents with equal sets form a class, of which the smallest doc_id goes on;
-2. each document is verified against one leader, the document with which it shares most
-   prefix shingles among those that hold them earliest; links found join components;
-3. pairs in different components that share a shingle within the length and position bounds
-   of ``possible`` are candidates; those that share min(l, l') prefix shingles are all verified,
-   with none left out; what links joins the components.
-
-A large group of near copies is joined by step 2 in rows as many as its postings, and step 3
-then has no pairs inside it. Full sets are only made for documents in candidate pairs.
+n - a + l shingles are the l-prefix. Of the shingles that two linked documents share, of which
+there are ``needed`` at least, all but max(a - l, a' - l') lie in both prefixes; so that many
+shared prefix shingles (min(l, l') at the very least) are asked for before a pair is verified.
+Each document takes the l with the least estimated cost: its prefix's rows, the other holders
+of its shingles by the sketch, and candidates to be verified, which fall as more shared
+shingles are asked for. Ordinary texts stay at l = 1; texts with many near copies get long
+prefixes, and their candidates are few beyond the links.
+
+1. Documents with equal sets form a class, of which the smallest doc_id goes on.
+2. Prefix shingles are an index. Classes that meet in it are counted by pair; pairs that share
+   enough of it are candidates. Holders of a shingle only meet within a factor of size.
+3. Candidates are verified by their full sets, in cells: the components of the candidate
+   graph, each split by the size of its sets. A set is sent to the cells where it has a
+   candidate, once for each cell, not for each pair; only these texts are read again.
+4. Links between classes give components and, with the sizes of classes, every document's
+   number of links. Nothing is left out; copies are never expanded into pairs.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with
 nothing; with fewer words than ``words`` the whole sequence is one shingle; rows that share a
-doc_id are taken for one document; a null doc_id keeps its row with component null; an empty
-table gives an empty table; further columns of the input don't matter.
+doc_id are taken for one document, and counted as rows in n_links; a null doc_id keeps its row
+with component null and doesn't count as a link; ties in the order of shingles go by hash; an
+empty table gives an empty table; only doc_id and text are read, so that further columns,
+whatever their names, don't matter.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordance.llm.common import importable, mix64, prefix_hashes, saved, substring_hashes, text_buffers, word_bounds
+from accordance.llm.common import Scratch, importable, mix64, prefix_hashes, saved, substring_hashes, text_buffers, word_bounds
 from accordance.llm.components import components
 
-WORDS, PERCENT, MOST_L = 4, 85, 4
+WORDS, PERCENT, VERIFY = 4, 85, 0.25
 SKETCH_LOG, SLICES = 21, 32
 #: Up to so many ids (16 MB) are sent to every task, rather than shuffling the texts to them.
 FEW_IDS = 1 << 21
+#: Shingles in a part of a cell, as a rule: half a megabyte.
+CELL = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD3 = np.uint64(0xD6E8FEB86659FD93)
@@ -112,25 +117,27 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def adaptive_l(cost: np.ndarray, n: int, least: int) -> int:
-    """The l with the least estimated cost: postings read, and candidates at eight times a posting's cost."""
-    total = np.cumsum(cost)
-    best, chosen = None, 1
-    for el in range(1, min(MOST_L, least) + 1):
-        read = float(total[n - least + el - 1])
-        now = read + 8 * read / el**2
-        if best is None or now < best:
-            best, chosen = now, el
-    return chosen
+def adaptive_l(others: np.ndarray, n: int, least: int) -> int:
+    """The l with the least estimated cost, from the estimated number of other holders of each token in order.
+
+    A prefix costs a row for each of its tokens and one for each other holder; candidates, of
+    which each uses up l of the other holders, cost ``VERIFY * n`` rows each. Longer prefixes
+    are tried for as long as that lowers the cost.
+    """
+    read = np.cumsum(1.0 + others)[n - least :]
+    met = np.cumsum(others)[n - least :]
+    cost = read + VERIFY * n * met / np.arange(1, least + 1)
+    rises = np.flatnonzero(cost[1:] >= cost[:-1])
+    return int(rises[0]) + 1 if len(rises) else least
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], sent, words: int, percent: int) -> Iterator[pa.RecordBatch]:
     counts = sent.value
-    usual = float(counts.mean()) + 3 * float(counts.mean()) ** 0.5
+    usual = float(counts.mean()) + 3 * float(counts.mean()) ** 0.5  # what a cell holds of other shingles, at most as a rule
     for batch in batches:
         rows = len(batch)
         size, el, s1, s2 = np.zeros(rows, np.int64), np.zeros(rows, np.int32), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        tokens, places, ends = [], [], np.zeros(rows + 1, np.int64)
+        tokens, ends = [], np.zeros(rows + 1, np.int64)
         for i, own in shingle_sets(batch.column(1), words):
             n = len(own)
             if n:
@@ -140,16 +147,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sent, words: int, percent: int)
                 order = np.argsort(seen, kind="stable")  # ties by hash, as own is sorted
                 seen, own = seen[order], own[order]
                 least = -(-percent * n // 100)
-                el[i] = adaptive_l(np.maximum(seen - usual, 1.0), n, least)
+                el[i] = adaptive_l(np.maximum(seen - usual, 0.0), n, least)
                 p = n - least + int(el[i])
-                at = np.flatnonzero(seen[:p] > 1)  # a count of one: nobody else has it
-                tokens.append(own[:p][at].view(np.int64))
-                places.append(at.astype(np.int32))
-                ends[i + 1] = len(at)
-        ends = np.cumsum(ends).astype(np.int32)
-        flat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat(x, k))) for x, k in ((tokens, np.int64), (places, np.int32))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(s1), pa.array(s2), pa.array(el), *lists], ["doc_id", "n", "s1", "s2", "l", "tokens", "places"])
+                held = own[:p][seen[:p] > 1]  # a count of one: nobody else has it
+                tokens.append(held.view(np.int64))
+                ends[i + 1] = len(held)
+        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(s1), pa.array(s2), pa.array(el), lists], ["doc_id", "n", "s1", "s2", "l", "tokens"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -159,82 +164,86 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))], ["doc_id", "tokens"])
 
 
-def only(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose doc_id stands in a pair (a, b), one for each doc_id."""
-    ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+def only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose doc_id stands in ``ids``, one for each doc_id."""
     if ids.count() <= FEW_IDS:  # else both sides are shuffled
         ids = F.broadcast(ids)
     return df.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def multi_match(made: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose prefixes share as many shingles as both documents ask for."""
-    lists = saved(only(made.select("doc_id", "l", "tokens"), pairs), "lists")
-    one, two = (lists.select(F.col("doc_id").alias(side), F.col("l").alias(f"l_{side}"), F.col("tokens").alias(f"t_{side}")) for side in "ab")
-    both = pairs.join(one, "a").join(two, "b").filter(F.size(F.array_intersect("t_a", "t_b")) >= F.least("l_a", "l_b"))
-    return both.select(*pairs.columns)
-
-
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their full sets."""
-    held = only(docs.select("doc_id", "text"), pairs)
-    held = saved(held.mapInArrow(lambda it: _sets(it, words), "doc_id long, tokens array<long>"), "sets")
-    one, two = held.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), held.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
-    return both.filter(F.col("both") * 100 >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
-
-
-def overlap(n: Column, m: Column, percent: int) -> Column:
-    """The least number of shared shingles of two linked sets of sizes n and m."""
-    return F.floor((percent * (n + m) + (99 + percent)) / (100 + percent))
-
-
-def possible(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
-    """Whether a shared shingle at these places may belong to a linked pair.
-
-    It must lie in both 1-prefixes as the pair's sizes make them; and what is shared up to it
-    (no more than the shingles before it that others hold too, nth) with what is left after
-    it must reach the needed overlap.
-    """
-    needed = overlap(x["n"], y["n"], percent)
-    inside = (x["place"] <= x["n"] - needed) & (y["place"] <= y["n"] - needed)
-    return inside & (F.least(x["nth"], y["nth"]) + F.least(x["n"] - x["place"], y["n"] - y["place"]) >= needed)
-
-
-def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
-    spark = docs.sparkSession
+def candidates(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of every pair that shares as many prefix shingles as a link needs; postings(token, doc, n, l)."""
+    step = math.log(100 / percent)
+    band = F.floor(F.log("n") / step + 1e-9).cast("int")
+    x = postings.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.explode(F.array(band, band + 1)).alias("band"))
+    y = postings.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), band.alias("band"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    met = x.join(y, ["token", "band"]).filter(smaller & (F.col("na") * 100 >= F.col("nb") * percent))
+    pairs = met.groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count(F.lit(1)).alias("shared"))
+    least = lambda n: F.ceil(F.col(n) * percent / 100)
+    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    beyond = F.greatest(least("na") - F.col("la"), least("nb") - F.col("lb"))
+    return pairs.filter(F.col("shared") >= needed - beyond).select("a", "b")
+
+
+def _verify(sets: pa.Table, pairs: pa.Table, percent: int) -> pa.Table:
+    """The pairs of one cell that link."""
+    tokens = sets.column("tokens").combine_chunks()
+    own = {d: tokens[i].values.to_numpy() for i, d in enumerate(sets.column("doc_id").to_pylist())}
+    keep = []
+    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+        x, y = own[a], own[b]
+        both = len(x) + len(y) - len(np.union1d(x, y))
+        keep.append(100 * both >= percent * (len(x) + len(y) - both))
+    return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that link, by their full sets; sizes(doc_id, n)."""
+    groups = components(pairs)
+    held = groups.join(sizes, groups["id"] == sizes["doc_id"]).select("id", "component", "n")
+    parts = held.groupBy("component").agg(F.ceil(F.sum("n") / CELL).alias("parts"))
+    placed = held.join(parts, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    placed = scratch.saved(placed, "placed")
+    end = lambda side: placed.select(F.col("id").alias(side), F.col("part").alias(f"part_{side}"))
+    cells = pairs.join(placed.select(F.col("id").alias("a"), "component", F.col("part").alias("part_a")), "a").join(end("b"), "b")
+    cells = scratch.saved(cells.select(F.xxhash64("component", F.least("part_a", "part_b"), F.greatest("part_a", "part_b")).alias("cell"), "a", "b"), "cells")
+    asked = cells.select(F.col("cell").alias("at"), F.col("a").alias("doc_id")).union(cells.select("cell", "b")).distinct()
+    texts = only(docs.select("doc_id", "text"), placed.select(F.col("id").alias("doc_id")))
+    sets = scratch.saved(texts.mapInArrow(lambda it: _sets(it, words), "doc_id long, tokens array<long>"), "sets")
+    sent = asked.join(sets, "doc_id")
+    return sent.groupBy("at").cogroup(cells.groupBy("cell")).applyInArrow(lambda x, y: _verify(x, y, percent), "a long, b long")
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, links): doc_id, n, s1, s2 of every row; n, s1, s2, rep, m of every class; a, b of every link between classes."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngram-join")
     importable(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = spark.sparkContext.broadcast(sketch(docs, words))
-    made = docs.mapInArrow(lambda it: _prefixes(it, sent, words, percent), "doc_id long, n long, s1 long, s2 long, l int, tokens array<long>, places array<int>")
+    made = docs.mapInArrow(lambda it: _prefixes(it, sent, words, percent), "doc_id long, n long, s1 long, s2 long, l int, tokens array<long>")
     made = saved(made, "prefixes")
-    key = ["n", "s1", "s2"]
-    classes = saved(made.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = made.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    entry = F.posexplode(F.arrays_zip("tokens", "places")).alias("nth", "t")
-    listed = reps.select("doc_id", "n", entry).select(F.col("t.tokens").alias("token"), F.col("doc_id").alias("doc"), "n", F.col("t.places").alias("place"), "nth")
-    postings = saved(listed.filter(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100)), "postings")
-    # step 2: a leader for each shared token, and the best leader of each document
-    leads = saved(postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min(F.struct("place", "doc", "n", "nth")).alias("lead")).filter("holders > 1").select("token", "lead"), "leads")
-    hits = saved(postings.join(leads, "token"), "hits")
-    fits = lambda a, b: (a * 100 >= b * percent) & (b * 100 >= a * percent)
-    lead = {c: F.col(f"lead.{c}") for c in ("doc", "n", "nth", "place")}
-    near = hits.filter((F.col("doc") != lead["doc"]) & fits(F.col("n"), lead["n"]) & possible({c: F.col(c) for c in lead}, lead, percent))
-    stars = near.groupBy("doc", lead["doc"].alias("other")).agg(F.count(F.lit(1)).alias("shared"))
-    stars = stars.groupBy("doc").agg(F.max(F.struct("shared", "other")).alias("best")).select(F.least("doc", "best.other").alias("a"), F.greatest("doc", "best.other").alias("b")).distinct()
-    joined = components(verified(docs, saved(stars, "stars"), words, percent))
-    # step 3: all candidate pairs between components
-    held = saved(hits.drop("lead").join(joined.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "held")
-    open_tokens = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    held = saved(held.join(open_tokens, "token", "left_semi"), "held")
-    x, y = ({c: F.col(f"{c}_{side}") for c in held.columns if c != "token"} for side in "xy")
-    left, right = (held.select("token", *[F.col(c).alias(f"{c}_{side}") for c in held.columns if c != "token"]) for side in "xy")
-    met = left.join(right, (left["token"] == right["token"]) & (x["doc"] < y["doc"]) & (x["component"] != y["component"]) & fits(x["n"], y["n"]) & possible(x, y, percent))
-    pairs = saved(met.select(x["doc"].alias("a"), y["doc"].alias("b"), x["component"].alias("ca"), y["component"].alias("cb")).distinct(), "pairs")
-    pairs = saved(multi_match(made, pairs), "pairs")
-    more = verified(docs, pairs, words, percent).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    upper = components(more)
-    final = saved(joined.join(upper.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component")).union(upper.join(joined, "id", "left_anti").select("id", "component")), "final")
-    top = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    return made.select("doc_id", *key).join(top, key, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    classes = made.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m"))
+    classes = saved(classes, "classes")
+    reps = made.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    postings = scratch.saved(reps.select(F.explode("tokens").alias("token"), F.col("doc_id").alias("doc"), "n", "l"), "postings")
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("token")
+    postings = scratch.saved(postings.join(shared, "token"), "shared")
+    pairs = scratch.saved(candidates(postings, percent), "pairs")
+    links = saved(verified(docs, classes.select(F.col("rep").alias("doc_id"), "n").dropDuplicates(["doc_id"]), pairs, words, percent, scratch), "links")
+    scratch.clear()
+    return made.select("doc_id", "n", "s1", "s2"), classes, links
+
+
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of ``docs``."""
+    made, classes, links = join(docs, words, percent)
+    both = links.union(links.select("b", "a"))
+    size = classes.groupBy(F.col("rep").alias("b")).agg(F.sum("m").alias("m"))
+    degree = both.join(size, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("m").alias("others"))
+    label = components(links).withColumnRenamed("id", "rep")
+    top = classes.join(label, "rep", "left").join(degree, "rep", "left")
+    top = top.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    known = F.col("doc_id").isNotNull()
+    out = made.join(top, ["n", "s1", "s2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
