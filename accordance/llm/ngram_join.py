@@ -9,16 +9,19 @@ shared prefix shingles (min(l, l') at the very least) are asked for before a pai
 Each document takes the l with the least estimated cost: its prefix's rows, the other holders
 of its shingles by the sketch, and candidates to be verified, which fall as more shared
 shingles are asked for. Ordinary texts stay at l = 1; texts with many near copies get long
-prefixes, and their candidates are few beyond the links.
+prefixes.
 
 1. Documents with equal sets form a class, of which the smallest doc_id goes on.
-2. Prefix shingles are an index. Classes that meet in it are counted by pair; pairs that share
-   enough of it are candidates. Holders of a shingle only meet within a factor of size.
-3. Candidates are verified by their full sets, in cells: the components of the candidate
-   graph, each split by the size of its sets. A set is sent to the cells where it has a
-   candidate, once for each cell, not for each pair; only these texts are read again.
-4. Links between classes give components and, with the sizes of classes, every document's
-   number of links. Nothing is left out; copies are never expanded into pairs.
+2. The l-prefixes are an index. Each class is verified against one leader, the class with which
+   it shares most prefix shingles among those that hold them earliest; the links found join
+   classes to families. A large family costs rows as many as its postings.
+3. Between families: classes that meet in the index within the bounds of ``possible`` are
+   counted by pair, and pairs that share min(l, l') prefix shingles are candidates, all of
+   which are verified by their full sets.
+4. Within families: the sets of a family meet in cells of bounded size, where shared shingles
+   are counted for all pairs at once and only each document's links are given back. So no
+   link is lost, and a family's pairs never become rows.
+5. Links join families to components; class sizes give every document's number of links.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with
 nothing; with fewer words than ``words`` the whole sequence is one shingle; rows that share a
@@ -30,13 +33,12 @@ whatever their names, don't matter.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordance.llm.common import Scratch, importable, mix64, prefix_hashes, saved, substring_hashes, text_buffers, word_bounds
@@ -46,8 +48,8 @@ WORDS, PERCENT, VERIFY = 4, 85, 0.25
 SKETCH_LOG, SLICES = 21, 32
 #: Up to so many ids (16 MB) are sent to every task, rather than shuffling the texts to them.
 FEW_IDS = 1 << 21
-#: Shingles in a part of a cell, as a rule: half a megabyte.
-CELL = 1 << 16
+#: Shingles and sets in a part of a cell, as a rule.
+CELL, CELL_SETS = 1 << 18, 1024
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD3 = np.uint64(0xD6E8FEB86659FD93)
@@ -137,7 +139,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sent, words: int, percent: int)
     for batch in batches:
         rows = len(batch)
         size, el, s1, s2 = np.zeros(rows, np.int64), np.zeros(rows, np.int32), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        tokens, ends = [], np.zeros(rows + 1, np.int64)
+        tokens, places, ends = [], [], np.zeros(rows + 1, np.int64)
         for i, own in shingle_sets(batch.column(1), words):
             n = len(own)
             if n:
@@ -149,12 +151,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch], sent, words: int, percent: int)
                 least = -(-percent * n // 100)
                 el[i] = adaptive_l(np.maximum(seen - usual, 0.0), n, least)
                 p = n - least + int(el[i])
-                held = own[:p][seen[:p] > 1]  # a count of one: nobody else has it
-                tokens.append(held.view(np.int64))
-                ends[i + 1] = len(held)
-        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(s1), pa.array(s2), pa.array(el), lists], ["doc_id", "n", "s1", "s2", "l", "tokens"])
+                at = np.flatnonzero(seen[:p] > 1)  # a count of one: nobody else has it
+                tokens.append(own[:p][at].view(np.int64))
+                places.append(at.astype(np.int32))
+                ends[i + 1] = len(at)
+        ends = np.cumsum(ends).astype(np.int32)
+        flat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat(x, k))) for x, k in ((tokens, np.int64), (places, np.int32))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(s1), pa.array(s2), pa.array(el), *lists], ["doc_id", "n", "s1", "s2", "l", "tokens", "places"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -171,79 +175,127 @@ def only(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of every pair that shares as many prefix shingles as a link needs; postings(token, doc, n, l)."""
-    step = math.log(100 / percent)
-    band = F.floor(F.log("n") / step + 1e-9).cast("int")
-    x = postings.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.explode(F.array(band, band + 1)).alias("band"))
-    y = postings.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), band.alias("band"))
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    met = x.join(y, ["token", "band"]).filter(smaller & (F.col("na") * 100 >= F.col("nb") * percent))
-    pairs = met.groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count(F.lit(1)).alias("shared"))
-    least = lambda n: F.ceil(F.col(n) * percent / 100)
-    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    beyond = F.greatest(least("na") - F.col("la"), least("nb") - F.col("lb"))
-    return pairs.filter(F.col("shared") >= needed - beyond).select("a", "b")
-
-
-def _verify(sets: pa.Table, pairs: pa.Table, percent: int) -> pa.Table:
-    """The pairs of one cell that link."""
-    tokens = sets.column("tokens").combine_chunks()
-    own = {d: tokens[i].values.to_numpy() for i, d in enumerate(sets.column("doc_id").to_pylist())}
-    keep = []
-    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-        x, y = own[a], own[b]
-        both = len(x) + len(y) - len(np.union1d(x, y))
-        keep.append(100 * both >= percent * (len(x) + len(y) - both))
-    return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that link, by their full sets; sizes(doc_id, n)."""
-    groups = components(pairs)
-    held = groups.join(sizes, groups["id"] == sizes["doc_id"]).select("id", "component", "n")
-    parts = held.groupBy("component").agg(F.ceil(F.sum("n") / CELL).alias("parts"))
-    placed = held.join(parts, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
-    placed = scratch.saved(placed, "placed")
-    end = lambda side: placed.select(F.col("id").alias(side), F.col("part").alias(f"part_{side}"))
-    cells = pairs.join(placed.select(F.col("id").alias("a"), "component", F.col("part").alias("part_a")), "a").join(end("b"), "b")
-    cells = scratch.saved(cells.select(F.xxhash64("component", F.least("part_a", "part_b"), F.greatest("part_a", "part_b")).alias("cell"), "a", "b"), "cells")
-    asked = cells.select(F.col("cell").alias("at"), F.col("a").alias("doc_id")).union(cells.select("cell", "b")).distinct()
-    texts = only(docs.select("doc_id", "text"), placed.select(F.col("id").alias("doc_id")))
-    sets = scratch.saved(texts.mapInArrow(lambda it: _sets(it, words), "doc_id long, tokens array<long>"), "sets")
-    sent = asked.join(sets, "doc_id")
-    return sent.groupBy("at").cogroup(cells.groupBy("cell")).applyInArrow(lambda x, y: _verify(x, y, percent), "a long, b long")
-
-
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, links): doc_id, n, s1, s2 of every row; n, s1, s2, rep, m of every class; a, b of every link between classes."""
+def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their full sets."""
+    one, two = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
+    both = pairs.select("a", "b").join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    return both.filter(F.col("both") * 100 >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+
+
+def full_sets(docs: DataFrame, pairs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, tokens) of every document in a pair."""
+    ids = scratch.saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    return scratch.saved(only(docs, ids).mapInArrow(lambda it: _sets(it, words), "doc_id long, tokens array<long>"), "sets")
+
+
+def overlap(n: Column, m: Column, percent: int) -> Column:
+    """The least number of shared shingles of two linked sets of sizes n and m."""
+    return F.floor((percent * (n + m) + (99 + percent)) / (100 + percent))
+
+
+def possible(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """Whether a shared shingle at these places may belong to a linked pair.
+
+    Of a linked pair, min(l, l') shared shingles lie in the prefixes that its own sizes make
+    so long; and what is shared up to a shingle (no more than the shingles before it that
+    others hold too, nth) with what is left after it must reach the needed overlap.
+    """
+    needed = overlap(x["n"], y["n"], percent)
+    asked = F.least(x["l"], y["l"]) - 1
+    inside = (x["place"] <= x["n"] - needed + asked) & (y["place"] <= y["n"] - needed + asked)
+    return inside & (F.least(x["nth"], y["nth"]) + F.least(x["n"] - x["place"], y["n"] - y["place"]) >= needed)
+
+
+def _cell_links(group: pa.Table, percent: int) -> pa.Table:
+    """(doc_id, others): the weight of the sets of a cell that each of its sets links with; across the two parts of a cell, or within its only one."""
+    ids, part, weight = (group.column(c).to_numpy() for c in ("doc_id", "part", "m"))
+    lists = group.column("tokens").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    token, of = lists.values.to_numpy(), np.repeat(np.arange(len(ids)), size)
+    order = np.argsort(token, kind="stable")
+    token, of = token[order], of[order]
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+    held = np.diff(np.r_[starts, len(token)])
+    rows = len(ids)
+    both = np.zeros(rows * rows, np.int64)
+    for h in np.unique(held[held > 1]):  # shingles with equally many holders at once
+        first = starts[held == h]
+        step = max(1, 4_000_000 // int(h) ** 2)
+        for i in range(0, len(first), step):
+            who = of[first[i : i + step, None] + np.arange(h)]
+            both += np.bincount((who[:, :, None] * rows + who[:, None, :]).ravel(), minlength=rows * rows)
+    both = both.reshape(rows, rows)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    linked &= part[:, None] != part[None, :] if len(np.unique(part)) > 1 else ~np.eye(rows, dtype=bool)
+    return pa.table({"doc_id": ids, "others": (linked * weight[None, :]).sum(1)})
+
+
+def family_links(docs: DataFrame, families: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, others) in one or more rows for each class of a family; families(doc_id, component, n, m)."""
+    sums = families.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / CELL), F.ceil(F.count(F.lit(1)) / CELL_SETS)).alias("parts"))
+    placed = scratch.saved(families.join(sums, "component").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), "placed")
+    texts = only(docs, placed.select("doc_id")).mapInArrow(lambda it: _sets(it, words), "doc_id long, tokens array<long>")
+    sets = scratch.saved(texts.join(placed, "doc_id"), "family-sets")
+    sent = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cell = F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other"))
+    return sent.select(cell.alias("cell"), "doc_id", "part", "m", "tokens").groupBy("cell").applyInArrow(lambda t: _cell_links(t, percent), "doc_id long, others long")
+
+
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of ``docs``."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngram-join")
     importable(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = spark.sparkContext.broadcast(sketch(docs, words))
-    made = docs.mapInArrow(lambda it: _prefixes(it, sent, words, percent), "doc_id long, n long, s1 long, s2 long, l int, tokens array<long>")
-    made = saved(made, "prefixes")
-    classes = made.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m"))
-    classes = saved(classes, "classes")
+    made = docs.mapInArrow(lambda it: _prefixes(it, sent, words, percent), "doc_id long, n long, s1 long, s2 long, l int, tokens array<long>, places array<int>")
+    made = scratch.saved(made, "prefixes")
+    key = ["n", "s1", "s2"]
+    # 1: classes
+    classes = scratch.saved(made.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")), "classes")
     reps = made.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    postings = scratch.saved(reps.select(F.explode("tokens").alias("token"), F.col("doc_id").alias("doc"), "n", "l"), "postings")
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("token")
-    postings = scratch.saved(postings.join(shared, "token"), "shared")
-    pairs = scratch.saved(candidates(postings, percent), "pairs")
-    links = saved(verified(docs, classes.select(F.col("rep").alias("doc_id"), "n").dropDuplicates(["doc_id"]), pairs, words, percent, scratch), "links")
-    scratch.clear()
-    return made.select("doc_id", "n", "s1", "s2"), classes, links
-
-
-def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of ``docs``."""
-    made, classes, links = join(docs, words, percent)
+    weights = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("m").alias("m"))
+    # 2: an index, the leader of each shared shingle, and the best leader of each class
+    entry = F.posexplode(F.arrays_zip("tokens", "places")).alias("nth", "t")
+    postings = reps.select("doc_id", "n", "l", entry).select(F.col("t.tokens").alias("token"), F.col("doc_id").alias("doc"), "n", "l", F.col("t.places").alias("place"), "nth")
+    postings = scratch.saved(postings, "postings")
+    leads = scratch.saved(postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min(F.struct("place", "doc", "n", "l", "nth")).alias("lead")).filter("holders > 1").select("token", "lead"), "leads")
+    hits = scratch.saved(postings.join(leads, "token"), "hits")
+    scratch.drop(postings)
+    fits = lambda a, b: (a * 100 >= b * percent) & (b * 100 >= a * percent)
+    lead = {c: F.col(f"lead.{c}") for c in ("doc", "n", "l", "nth", "place")}
+    near = hits.filter((F.col("doc") != lead["doc"]) & fits(F.col("n"), lead["n"]) & possible({c: F.col(c) for c in lead}, lead, percent))
+    stars = near.groupBy("doc", lead["doc"].alias("other")).agg(F.count(F.lit(1)).alias("shared"))
+    stars = stars.groupBy("doc").agg(F.max(F.struct("shared", "other")).alias("best")).select(F.least("doc", "best.other").alias("a"), F.greatest("doc", "best.other").alias("b")).distinct()
+    stars = scratch.saved(stars, "stars")
+    family = components(verified(full_sets(docs, stars, words, scratch), stars, percent))
+    # 3: candidates between families
+    held = hits.drop("lead").join(family.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    held = scratch.saved(held, "held")
+    scratch.drop(hits)
+    open_tokens = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
+    held = scratch.saved(held.join(open_tokens, "token", "left_semi"), "open")
+    x, y = ({c: F.col(f"{c}_{side}") for c in held.columns if c != "token"} for side in "xy")
+    left, right = (held.select("token", *[F.col(c).alias(f"{c}_{side}") for c in held.columns if c != "token"]) for side in "xy")
+    met = left.join(right, (left["token"] == right["token"]) & (x["doc"] < y["doc"]) & (x["component"] != y["component"]) & fits(x["n"], y["n"]) & possible(x, y, percent))
+    counted = met.groupBy(x["doc"].alias("a"), y["doc"].alias("b"), F.least(x["l"], y["l"]).alias("asked")).agg(F.count(F.lit(1)).alias("shared"))
+    pairs = scratch.saved(counted.filter("shared >= asked").select("a", "b"), "pairs")
+    links = scratch.saved(verified(full_sets(docs, pairs, words, scratch), pairs, percent), "links")
+    # 4: links within families
+    inner = family.join(classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.sum("m").alias("m")), "id").select(F.col("id").alias("doc_id"), "component", "n", "m")
+    others = family_links(docs, inner, words, percent, scratch)
+    # 5: components of families, and degrees
     both = links.union(links.select("b", "a"))
-    size = classes.groupBy(F.col("rep").alias("b")).agg(F.sum("m").alias("m"))
-    degree = both.join(size, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("m").alias("others"))
-    label = components(links).withColumnRenamed("id", "rep")
-    top = classes.join(label, "rep", "left").join(degree, "rep", "left")
-    top = top.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    others = others.union(both.join(weights.withColumnRenamed("doc_id", "b"), "b").select(F.col("a").alias("doc_id"), F.col("m").alias("others")))
+    degree = others.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("others").alias("others"))
+    label = family.withColumnRenamed("id", "rep").select("rep", F.col("component").alias("own"))
+    name = lambda side: links.join(label.withColumnRenamed("rep", side), side, "left").select("a", "b", F.coalesce("own", side).alias(f"{side}_own"))
+    ends = name("a").join(name("b"), ["a", "b"])
+    upper = components(ends.select(F.col("a_own").alias("a"), F.col("b_own").alias("b"))).select(F.col("id").alias("own"), F.col("component").alias("top"))
+    found = classes.join(label, "rep", "left").withColumn("own", F.coalesce("own", "rep")).join(upper, "own", "left").join(degree, "rep", "left")
+    found = found.select(*key, F.coalesce("top", "own").alias("component_id"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     known = F.col("doc_id").isNotNull()
-    out = made.join(top, ["n", "s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+    out = made.select("doc_id", *key).join(found, key, "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+    out = saved(out, "near-groups")
+    scratch.clear()
+    return out
