@@ -40,31 +40,31 @@ def _lines(text: str) -> Column:
 
 
 def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host_key, drop_keys): each host's boilerplate lines as hashes."""
+    """(_line_host, _line_drop): each host's boilerplate lines as hashes."""
     keys = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
     counted = pages.select(F.col(host).alias("page_host"), F.xxhash64(text).alias("page_key"), keys.alias("line_keys"))
     counted = counted.groupBy("page_host", "page_key").agg(F.first("line_keys").alias("line_keys"))
-    totals = counted.groupBy(F.col("page_host").alias("host_key")).agg(F.count(F.lit(1)).alias("pages"))
+    totals = counted.groupBy(F.col("page_host").alias("_line_host")).agg(F.count(F.lit(1)).alias("pages"))
     seen = counted.select(F.col("page_host").alias("line_host"), F.explode("line_keys").alias("line_key"))
     often = seen.groupBy("line_host", "line_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    over = often.join(totals, often["line_host"].eqNullSafe(totals["host_key"])).filter(F.col("n") > max_ratio * F.col("pages"))
-    return over.groupBy("host_key").agg(F.collect_list("line_key").alias("drop_keys"))
+    over = often.join(totals, often["line_host"].eqNullSafe(totals["_line_host"])).filter(F.col("n") > max_ratio * F.col("pages"))
+    return over.groupBy("_line_host").agg(F.collect_list("line_key").alias("_line_drop"))
 
 
 def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, few_keys: int = FEW_KEYS) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text``, and the counts n_lines and n_dropped."""
     over = saved(boilerplate(pages, host, text, max_ratio, min_pages), "over")
-    held = over.agg(F.sum(F.size("drop_keys") + 1)).first()[0] or 0
-    base = pages.drop("n_lines", "n_dropped", "host_key", "drop_keys")
+    held = over.agg(F.sum(F.size("_line_drop") + 1)).first()[0] or 0
+    base = pages.drop("n_lines", "n_dropped", "_line_host", "_line_drop", "_line_kept", "_line_salt")
     if held <= few_keys:
-        joined = base.join(F.broadcast(over), base[host].eqNullSafe(over["host_key"]), "left")
+        joined = base.join(F.broadcast(over), base[host].eqNullSafe(over["_line_host"]), "left")
     else:
-        salted = over.withColumn("over_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = over.withColumn("_line_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")
-        joined = base.join(salted, base[host].eqNullSafe(salted["host_key"]) & (salt == salted["over_salt"]), "left")
-    kept = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("drop_keys"), F.xxhash64(x)))
+        joined = base.join(salted, base[host].eqNullSafe(salted["_line_host"]) & (salt == salted["_line_salt"]), "left")
+    kept = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_line_drop"), F.xxhash64(x)))
     n_lines = F.coalesce(F.size(_lines(text)), F.lit(0))
-    joined = joined.withColumn("kept_lines", F.when(F.col("drop_keys").isNotNull(), kept))
-    n_dropped = F.when(F.col("kept_lines").isNotNull(), n_lines - F.size("kept_lines")).otherwise(F.lit(0))
-    columns = [F.when(F.col("kept_lines").isNotNull(), F.array_join("kept_lines", "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in base.columns]
+    joined = joined.withColumn("_line_kept", F.when(F.col("_line_drop").isNotNull(), kept))
+    n_dropped = F.when(F.col("_line_kept").isNotNull(), n_lines - F.size("_line_kept")).otherwise(F.lit(0))
+    columns = [F.when(F.col("_line_kept").isNotNull(), F.array_join("_line_kept", "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in base.columns]
     return joined.select(*columns, F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
