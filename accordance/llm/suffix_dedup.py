@@ -92,7 +92,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "repeated"]
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
         for text, runs in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -106,7 +106,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
             for o, x in zip(out, (len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), ",".join(f"{s}:{e}" for s, e in spans)), strict=True):
                 o.append(x)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), pa.array([bool(x) for x in out[1]], pa.bool_())], names)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataFrame:
@@ -136,9 +136,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataFr
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans as ``start:end`` in bytes, comma-joined."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans as ``start:end`` in bytes, comma-joined, and repeated: whether any byte goes."""
     importable(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     runs = repeats(docs, length, width).withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "key")
     joined = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(_cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
+    return joined.mapInArrow(_cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, repeated boolean")
