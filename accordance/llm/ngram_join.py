@@ -241,8 +241,8 @@ def family_links(docs: DataFrame, families: DataFrame, words: int, percent: int,
     return sent.select(cell.alias("cell"), "doc_id", "part", "m", "tokens").groupBy("cell").applyInArrow(lambda t: _cell_links(t, percent), "doc_id long, others long")
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of ``docs``."""
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of ``docs``. Who only needs the components can do without the count; n_links is null then."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngram-join")
     importable(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -282,7 +282,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     links = scratch.saved(verified(full_sets(docs, pairs, words, scratch), pairs, percent), "links")
     # 4: links within families
     inner = family.join(classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.sum("m").alias("m")), "id").select(F.col("id").alias("doc_id"), "component", "n", "m")
-    others = family_links(docs, inner, words, percent, scratch)
+    others = family_links(docs, inner, words, percent, scratch) if count_links else spark.createDataFrame([], "doc_id long, others long")
     # 5: components of families, and degrees
     both = links.union(links.select("b", "a"))
     others = others.union(both.join(weights.withColumnRenamed("doc_id", "b"), "b").select(F.col("a").alias("doc_id"), F.col("m").alias("others")))
@@ -295,7 +295,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     found = found.select(*key, F.coalesce("top", "own").alias("component_id"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     known = F.col("doc_id").isNotNull()
     out = made.select("doc_id", *key).join(found, key, "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.lit(count_links), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0)).alias("n_links"))
     out = saved(out, "near-groups")
     scratch.clear()
     return out
