@@ -8,19 +8,25 @@
 5. tokens: token ids and the text decoded from them.
 
 Every stage works on all that the one before it kept. All but the last return the columns
-of ``documents``; n_chars follows the text.
+of ``documents``; n_chars follows the text. A stage's table is emptied once the next stage
+is written; the last one stays for the reader.
+
+Defined cases: null and letterless texts go in the first stage; in later stages a null text
+stays null and has no lines, copies or items, and no tokens (its decoded text is empty); empty
+texts are copies of nothing and stay; repeated rows share a doc_id and stay or go together;
+rows without doc_id stay; very long texts are treated whole; an empty table gives an empty
+table; further columns, whatever their names, go.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accordance.llm import bpe, decontaminate, langid, line_dedup, ngram_join
-from accordance.llm.common import saved, shared_dir, table
+from accordance.llm.common import Scratch, saved, table
 from accordance.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,7 +43,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.near_groups(docs, words=5, percent=80)
+    groups = ngram_join.near_groups(docs, words=5, percent=80, count_links=False)
     extra = saved(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "extra")
     return docs.select(*COLUMNS).join(extra, "doc_id", "left_anti").select(*COLUMNS)
 
@@ -61,8 +67,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    scratch, before = Scratch(spark, "pipeline"), []
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = scratch.saved(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = [docs]
     return docs
