@@ -14,6 +14,7 @@ from accordance.operators.ranking import linear_quantiles, weighted_quantiles
 
 # Fixed values of the studied method.
 Z, MIN_RUNS, MIN_VEHICLES, DRAWN = 1.96, 20, 10, 800
+SPAN, HEADROOM = 3.2, 1.6
 DIRECTION_THRESHOLD, CAPS_KM = 2.0, (10.0, 15.0, 20.0, 30.0)
 LEVELS = {"100m": ("u100", "v100"), "10m": ("u10", "v10")}
 MAGNITUDE_QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p97_5": 0.975}
@@ -46,11 +47,14 @@ def differences(pairs: DataFrame, levels: dict[str, tuple[str, str]] = LEVELS) -
 def weighted_mean_sd(df: DataFrame, by: Sequence[str], values: Sequence[str], weight: Column | None = None) -> DataFrame:
     """mean_x and sd_x for each value: frequency weights with sum(w) - 1 below, 0 where that isn't positive.
 
-    Two passes: squares are summed around the group's mean, so that large offsets cancel
-    exactly. The means are a row for each group, which Spark broadcasts if small.
+    Unweighted, Spark's own one-pass deviation does. Weighted, two passes: squares are summed
+    around the group's mean, so that large offsets cancel exactly; the means are a row for
+    each group, which Spark broadcasts if small.
     """
-    w = F.lit(1.0) if weight is None else weight
-    base = df.withColumn("_w", w)
+    if weight is None:
+        moments = [c for x in values for c in (F.avg(x).alias(f"mean_{x}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"sd_{x}"))]
+        return df.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("sum_w"), *moments)
+    base = df.withColumn("_w", weight)
     means = base.groupBy(*by).agg(F.sum("_w").alias("sum_w"), *[(F.sum(F.col("_w") * F.col(x)) / F.sum("_w")).alias(f"mean_{x}") for x in values])
     right = means.withColumnsRenamed({b: f"_{b}" for b in by})
     on = F.lit(True)
@@ -71,7 +75,8 @@ def bland_altman(df: DataFrame, by: Sequence[str], values: Sequence[str] = ("du"
 
 def distinct_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Exact counts of windows, runs and vehicles; they decide about publication."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_windows"), F.count_distinct("run_id").alias("n_runs"), F.count_distinct("vehicle").alias("n_vehicles"))
+    runs = df.groupBy(*by, "run_id", "vehicle").agg(F.count(F.lit(1)).alias("_n"))  # far fewer rows to count distinct ids in
+    return runs.groupBy(*by).agg(F.sum("_n").alias("n_windows"), F.count_distinct("run_id").alias("n_runs"), F.count_distinct("vehicle").alias("n_vehicles"))
 
 
 def publishable(runs: Column, vehicles: Column, min_runs: int = MIN_RUNS, min_vehicles: int = MIN_VEHICLES) -> Column:
@@ -83,10 +88,10 @@ def suppressed_split(df: DataFrame, by: Sequence[str], min_runs: int = MIN_RUNS,
     return distinct_counts(df, by).withColumn("published", publishable(F.col("n_runs"), F.col("n_vehicles"), min_runs, min_vehicles))
 
 
-def magnitude_limits(df: DataFrame, by: Sequence[str], ties: Sequence[str], weight: str) -> DataFrame:
+def magnitude_limits(df: DataFrame, by: Sequence[str], weight: str) -> DataFrame:
     """Mean, deviation and empirical quantiles of the vector difference's magnitude."""
     base = weighted_mean_sd(df, by, ["magnitude"], F.col(weight)).drop("sum_w")
-    quantiles = weighted_quantiles(df, by, "magnitude", weight, ties, MAGNITUDE_QUANTILES)
+    quantiles = weighted_quantiles(df, by, "magnitude", weight, MAGNITUDE_QUANTILES)
     return base.join(quantiles, list(by))
 
 
@@ -97,13 +102,13 @@ def with_direction(df: DataFrame, threshold: Column | float = DIRECTION_THRESHOL
     return df.withColumn("angle", F.when(both, bearing_difference(F.col("ctx_u"), F.col("ctx_v"), F.col("onboard_u"), F.col("onboard_v"))))
 
 
-def direction_statistics(df: DataFrame, by: Sequence[str], ties: Sequence[str]) -> DataFrame:
+def direction_statistics(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Counts of defined and undefined directions, absolute errors, and circular statistics of ``angle``."""
     sin, cos = F.avg(F.sin(F.radians("angle"))), F.avg(F.cos(F.radians("angle")))
     base = df.groupBy(*by).agg(F.count("angle").alias("n_defined"), F.count_if(F.col("angle").isNull()).alias("n_undefined"), F.avg(F.abs("angle")).alias("mean_abs"), sin.alias("_s"), cos.alias("_c"))
     base = base.withColumn("circular_mean", F.degrees(F.atan2("_s", "_c"))).withColumn("resultant", F.hypot("_s", "_c"))
     base = base.withColumn("circular_sd", F.when(F.col("resultant") > 0, F.degrees(F.sqrt(F.greatest(F.lit(0.0), F.lit(-2.0) * F.ln(F.least("resultant", F.lit(1.0)))))))).drop("_s", "_c")
-    wide = linear_quantiles(df.filter("angle is not null").withColumn("abs_angle", F.abs("angle")), by, "abs_angle", ties, {"median_abs": 0.5, "p90_abs": 0.9, "p95_abs": 0.95})
+    wide = linear_quantiles(df.filter("angle is not null").withColumn("abs_angle", F.abs("angle")), by, "abs_angle", {"median_abs": 0.5, "p90_abs": 0.9, "p95_abs": 0.95})
     return base.join(wide, list(by), "left")
 
 
@@ -115,8 +120,8 @@ def estimator_ratio(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.select(*by, "sigma_u", "sigma_v", ratio("sd_du", "sigma_u").alias("ratio_u"), ratio("sd_dv", "sigma_v").alias("ratio_v"))
 
 
-def regime_cells(df: DataFrame) -> DataFrame:
-    """Each row once for every analysis axis: (axis, cell). One pass over the rows, whatever the axes."""
+def regime_cells(df: DataFrame, pooled: bool = False) -> DataFrame:
+    """Each row once for every analysis axis: (axis, cell); ``pooled``: also for its stratum and for all rows. One pass over the rows, whatever the axes."""
     cells = {
         "airframe": F.col("airframe"),
         "airspeed_topic": F.when(F.col("has_airspeed"), "present").otherwise("absent"),
@@ -124,10 +129,20 @@ def regime_cells(df: DataFrame) -> DataFrame:
         "season": F.col("season"),
         "altitude_proxy": altitude_band(F.col("height_m")),
     }
+    if pooled:
+        cells |= {"pooled": F.lit("all"), "stratum": F.col("stratum")}
     entry = F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), v.alias("cell")) for k, v in cells.items()]))
     return df.withColumn("_a", entry).select(*df.columns, "_a.axis", "_a.cell")
 
 
+def looked_up(artifacts: DataFrame, asked: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """The artifact of each asked (axis, cell, level); one that is missing fails the query."""
+    keys = artifacts.sparkSession.createDataFrame(list(asked), "axis string, cell string, level string")
+    found = keys.join(artifacts.withColumn("_found", F.lit(True)), ["axis", "cell", "level"], "left")
+    name = F.concat_ws(" ", F.lit("no such artifact:"), "axis", "cell", "level")
+    return found.withColumn("level", F.when(F.col("_found").isNull(), F.raise_error(name)).otherwise(F.col("level"))).drop("_found")
+
+
 def with_weights(df: DataFrame, strata: DataFrame, drawn: int = DRAWN) -> DataFrame:
     """Design weights N_h / drawn; a row of a stratum that isn't listed fails the query."""
     right = strata.select(F.col("stratum").alias("_stratum"), (F.col("frame_size") / F.lit(float(drawn))).alias("design_weight"))
@@ -141,26 +156,35 @@ def implied_population(df: DataFrame, strata: DataFrame, drawn: int = DRAWN) ->
     return used.join(strata, "stratum").select("stratum", "n_runs", (F.col("frame_size") * F.col("n_runs") / F.lit(float(drawn))).alias("implied"))
 
 
-def tolerance_sensitivity(df: DataFrame, ties: Sequence[str], band: float, caps: Sequence[float] = CAPS_KM, min_runs: int = MIN_RUNS, min_vehicles: int = MIN_VEHICLES) -> DataFrame:
+def outside_frame(df: DataFrame, span: float = SPAN, headroom: float = HEADROOM) -> DataFrame:
+    """How many points a plot leaves out at each level: differences or means beyond ``span`` times the widest limit, magnitudes beyond the next whole number above ``headroom`` times p97.5."""
+    limits = bland_altman(df, ["level"], ("du", "dv")).join(weighted_quantiles(df.withColumn("_one", F.lit(1.0)), ["level"], "magnitude", "_one", {"p97_5": 0.975}), "level")
+    widest = F.greatest(*[F.abs(f"loa_{side}_{x}") for side in ("low", "high") for x in ("du", "dv")])
+    joined = df.join(limits.select("level", (widest * span).alias("span"), F.ceil(F.col("p97_5") * headroom).alias("top")), "level")
+    out = lambda d, a, b: F.count_if((F.abs(d) > F.col("span")) | (F.abs((F.col(a) + F.col(b)) / 2) > F.col("span")))
+    return joined.groupBy("level").agg(out("du", "ctx_u", "onboard_u").alias("outside_u"), out("dv", "ctx_v", "onboard_v").alias("outside_v"), F.count_if(F.col("magnitude") > F.col("top")).alias("beyond"))
+
+
+def tolerance_sensitivity(df: DataFrame, band: float, caps: Sequence[float] = CAPS_KM, min_runs: int = MIN_RUNS, min_vehicles: int = MIN_VEHICLES) -> DataFrame:
     """Bias, p97.5 and verdict for each distance cap, level and stratum; the floor for publication holds again under each cap."""
     fits = F.filter(F.array(*map(F.lit, caps)), lambda c: F.col("distance_km") <= c)
     rows = df.filter(F.col("distance_km").isNotNull()).withColumn("cap_km", F.explode(fits)).withColumn("_one", F.lit(1.0))
     by = ["cap_km", "level", "stratum"]
     cells = suppressed_split(rows, by, min_runs, min_vehicles)
     stats = rows.groupBy(*by).agg(F.avg("du").alias("bias_u"), F.avg("dv").alias("bias_v"))
-    stats = stats.join(weighted_quantiles(rows, by, "magnitude", "_one", ties, {"p97_5": 0.975}), by)
+    stats = stats.join(weighted_quantiles(rows, by, "magnitude", "_one", {"p97_5": 0.975}), by)
     out = cells.join(stats, by)
     shown = lambda c: F.when(F.col("published"), c)
     return out.select(*by, "n_windows", "n_runs", "n_vehicles", "published", shown(F.col("bias_u")).alias("bias_u"), shown(F.col("bias_v")).alias("bias_v"), shown(F.col("p97_5")).alias("p97_5"), shown(F.col("p97_5") <= band).alias("useful"))
 
 
-def validation_artifacts(df: DataFrame, ties: Sequence[str], band: float, weight: str, pooling: str) -> DataFrame:
+def validation_artifacts(df: DataFrame, band: float, weight: str, pooling: str) -> DataFrame:
     """One nested record for each published regime cell and level."""
     by = ["axis", "cell", "level"]
     cells = suppressed_split(df, by).filter("published")
     signed = bland_altman(df, by, ("du", "dv", "dspeed"), F.col(weight))
-    size = magnitude_limits(df, by, ties, weight)
-    turn = direction_statistics(with_direction(df), by, ties)
+    size = magnitude_limits(df, by, weight)
+    turn = direction_statistics(with_direction(df), by)
     drawn = bootstrap.intervals(df.join(cells.select(*by), by, "left_semi"), by, weight).withColumnsRenamed({s: f"ci_{s}" for s in bootstrap.STATISTICS})
     out = cells.join(signed, by).join(size, by).join(turn, by).join(drawn, by)
     limits = lambda x: F.struct(F.col(f"bias_{x}").alias("bias"), F.col(f"sd_{x}").alias("sd"), F.array(f"loa_low_{x}", f"loa_high_{x}").alias("limits_of_agreement"))

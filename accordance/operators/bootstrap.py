@@ -47,14 +47,14 @@ def bias_interval(df: DataFrame, drawn: DataFrame, values: Sequence[str], by: Se
     sums = df.groupBy(*by, "stratum", "run_id").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_s_{v}") for v in values])
     each = sums.join(drawn, ["stratum", "run_id"]).groupBy(*by, "b").agg(*[(F.sum(F.col("m") * F.col(f"_s_{v}")) / F.sum(F.col("m") * F.col("_n"))).alias(v) for v in values])
     tall = each.unpivot([*by, "b"], list(values), "statistic", "value")
-    return linear_quantiles(tall, [*by, "statistic"], "value", ["b"], INTERVAL)
+    return linear_quantiles(tall, [*by, "statistic"], "value", INTERVAL)
 
 
-def quantile_interval(df: DataFrame, drawn: DataFrame, value: str, quantile: float, ties: Sequence[str], by: Sequence[str]) -> DataFrame:
+def quantile_interval(df: DataFrame, drawn: DataFrame, value: str, quantile: float, by: Sequence[str]) -> DataFrame:
     """2.5 and 97.5 percentiles over resamples of a quantile at positions (i - 1/2) / n of the repeated rows."""
     rows = df.join(drawn, ["stratum", "run_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).withColumn("_one", F.lit(1.0))
-    each = weighted_quantiles(rows, [*by, "b"], value, "_one", [*ties, "_copy"], {"value": quantile})
-    return linear_quantiles(each, list(by), "value", ["b"], INTERVAL)
+    each = weighted_quantiles(rows, [*by, "b"], value, "_one", {"value": quantile})
+    return linear_quantiles(each, list(by), "value", INTERVAL)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

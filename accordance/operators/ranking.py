@@ -1,8 +1,13 @@
 """Ranks and quantiles within groups of any size.
 
-A group is cut at approximate quantiles of its values into buckets; counts and weights of
-buckets are running-summed (a few rows a group), and rows are numbered within their bucket.
-So the rows of one large group are ranked by many tasks, and ranks are exact.
+Ranks of all rows: a group is cut at approximate quantiles of its values into buckets; counts
+and weights of buckets are running-summed (a few rows a group), and rows are numbered within
+their bucket. So the rows of one large group are ranked by many tasks, and ranks are exact.
+
+Quantiles need no sort of all rows: a group's span of values is cut into equal cells, whose
+counts and weights, running-summed, tell in which cells the asked quantiles lie. Only the
+values of these cells are looked at again, equal values as one. A cell with too many rows
+(far outliers make such cells) is cut again, until it is small or holds a single value.
 """
 
 from __future__ import annotations
@@ -12,7 +17,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordance.operators.tables import written
+
 BUCKETS = 32
+#: Cells of a span, rows up to which a group or a cell isn't cut, and levels of cutting at most.
+CELLS, SMALL, LARGE, LEVELS = 512, 1000, 1_000_000, 12
 
 
 def _on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Column]:
@@ -27,7 +36,8 @@ def _on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> tuple[DataFr
 def ranked(df: DataFrame, by: Sequence[str], value: str, ties: Sequence[str] = (), weight: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """``df`` with rank (from 1), group_n, and, if weighted, weight_before and group_weight.
 
-    Rows are ordered by value and then by ``ties``, which should make the order total.
+    Rows are ordered by value and then by ``ties``, which should make the order total. The
+    rows of one value are numbered by one task, as their order is that of ``ties``.
     Null values are left out, as are values that aren't numbers.
     """
     by = list(by) or ["_all"]
@@ -37,7 +47,9 @@ def ranked(df: DataFrame, by: Sequence[str], value: str, ties: Sequence[str] = (
     cuts = df.groupBy(*by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
     right, condition = _on(df, cuts, by)
     d = df.join(right, condition).drop(*[f"_{n}" for n in by])
-    d = d.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    # how many cuts lie below the value, by bisection
+    step = lambda at, width: F.when((at + width <= F.size("_cuts")) & (F.get("_cuts", at + width - 1) < F.col(value)), at + width).otherwise(at)
+    d = d.withColumn("_bucket", F.aggregate(F.array(*[F.lit(1 << b) for b in range(buckets.bit_length() - 1, -1, -1)]), F.lit(0), step)).drop("_cuts")
     mass = F.col(weight) if weight else F.lit(1)
     sums = d.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum(mass).alias("_w"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,37 +69,80 @@ def ranked(df: DataFrame, by: Sequence[str], value: str, ties: Sequence[str] = (
     return d.drop("_bucket", "_rn", "_wr", "_n0", "_w0", "_all", "__all", *[f"_{n}" for n in [*by, "_bucket"]])
 
 
-def weighted_quantiles(df: DataFrame, by: Sequence[str], value: str, weight: str, ties: Sequence[str], quantiles: dict[str, float]) -> DataFrame:
+def around(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], weight: str | None = None, large: int = LARGE) -> DataFrame:
+    """The distinct values near the asked quantiles of each group, exact and in their place.
+
+    ``by``, v, n and w (rows and weight of the value), w_min, w_max (of its rows), n0 and w0
+    (rows and weight before it), group_n, group_w. All values are there whose rows lie within
+    two rows' weights of a quantile's place. Nulls and values that aren't numbers are left out.
+    """
+    by = list(by)
+    mass = F.col(weight).cast("double") if weight else F.lit(1.0)
+    base = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).alias("_v"), mass.alias("_w"))
+    x = F.col("_v").cast("double")
+    spans = base.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(F.lit(1)).alias("_n"), F.count(F.lit(1)).alias("group_n"), F.sum("_w").alias("group_w"), F.max("_w").alias("_most"))
+    spans = spans.withColumn("_n0", F.lit(0).cast("long")).withColumn("_w0", F.lit(0.0))
+    rows, keys = base, by
+    for level in range(LEVELS):
+        cell = F.when((F.col("_n") <= SMALL) | (F.col("_hi") <= F.col("_lo")), 0).otherwise(F.least(F.lit(CELLS - 1), F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS))).cast("int")
+        right, condition = _on(rows, spans.select(*keys, "_lo", "_hi", "_n"), keys)
+        rows = rows.join(right, condition).withColumn(f"_cell{level}", cell).select(*keys, f"_cell{level}", "_v", "_w")
+        sums = rows.groupBy(*keys, f"_cell{level}").agg(F.count(F.lit(1)).alias("_cn"), F.sum("_w").alias("_cw"), F.min(x).alias("_clo"), F.max(x).alias("_chi"))
+        right, condition = _on(sums, spans.select(*keys, "_n0", "_w0", "group_n", "group_w", "_most"), keys)
+        before = Window.partitionBy(*keys).orderBy(f"_cell{level}").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.join(right, condition).select(*keys, f"_cell{level}", F.col("_clo").alias("_lo"), F.col("_chi").alias("_hi"), F.col("_cn").alias("_n"), "group_n", "group_w", "_most", "_cw", (F.coalesce(F.sum("_cn").over(before), F.lit(0)) + F.col("_n0")).alias("_n0"), (F.coalesce(F.sum("_cw").over(before), F.lit(0.0)) + F.col("_w0")).alias("_w0"))
+        near = F.lit(False)
+        for q in quantiles:
+            place, reach = F.col("group_w") * F.lit(float(q)), F.col("_most") * 2
+            near |= (F.col("_w0") <= place + reach) & (F.col("_w0") + F.col("_cw") >= place - reach)
+        keys = [*keys, f"_cell{level}"]
+        spans = written(sums.filter(near).select(*keys, "_lo", "_hi", "_n", "group_n", "group_w", "_most", "_n0", "_w0"), "spans")
+        if spans.filter((F.col("_n") > large) & (F.col("_hi") > F.col("_lo"))).isEmpty():
+            break
+    right, condition = _on(rows, spans.select(*keys, "_n0", "_w0", "group_n", "group_w"), keys)
+    values = rows.join(right, condition).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), F.min("_w").alias("w_min"), F.max("_w").alias("w_max"), *[F.first(c).alias(c) for c in ("_n0", "_w0", "group_n", "group_w")])
+    before = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    return values.select(*by, F.col("_v").alias("v"), "n", "w", "w_min", "w_max", (F.coalesce(F.sum("n").over(before), F.lit(0)) + F.col("_n0")).alias("n0"), (F.coalesce(F.sum("w").over(before), F.lit(0.0)) + F.col("_w0")).alias("w0"), "group_n", "group_w")
+
+
+def weighted_quantiles(df: DataFrame, by: Sequence[str], value: str, weight: str, quantiles: dict[str, float]) -> DataFrame:
     """Quantiles at the plotting positions (weight before + half the own weight) / all weight, linear between, clamped at the ends.
 
-    The bracket of each quantile is found by two aggregates over the positions, so that
-    nothing is sorted again.
+    Rows of one value stand in the order of their weights, so that its first and last places
+    follow from its least and greatest weight.
     """
-    r = ranked(df, by, value, [weight, *ties], weight)
-    r = r.withColumn("_c", (F.col("weight_before") + F.col(weight) * 0.5) / F.col("group_weight"))
-    point = F.struct(F.col("_c").alias("c"), F.col("rank").alias("i"), F.col(value).cast("double").alias("v"))
+    r = around(df, by, value, list(quantiles.values()), weight)
+    first, last = (F.col("w0") + F.col("w_min") * 0.5) / F.col("group_w"), (F.col("w0") + F.col("w") - F.col("w_max") * 0.5) / F.col("group_w")
+    v = F.col("v").cast("double")
     aggregates = []
     for name, q in quantiles.items():
-        aggregates += [F.max(F.when(F.col("_c") <= q, point)).alias(f"_lo_{name}"), F.min(F.when(F.col("_c") > q, point)).alias(f"_hi_{name}")]
+        inside = (first <= q) & (last > q)  # both neighbours have this value
+        aggregates += [F.max(F.when(last <= q, F.struct(last.alias("c"), v.alias("v")))).alias(f"_lo_{name}"), F.min(F.when(first > q, F.struct(first.alias("c"), v.alias("v")))).alias(f"_hi_{name}"), F.max(F.when(inside, v)).alias(f"_at_{name}")]
     out = r.groupBy(*by).agg(*aggregates)
     for name, q in quantiles.items():
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         between = lo["v"] + (hi["v"] - lo["v"]) * (F.lit(q) - lo["c"]) / (hi["c"] - lo["c"])
-        out = out.withColumn(name, F.when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(between))
+        out = out.withColumn(name, F.coalesce(f"_at_{name}", F.when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(between)))
     return out.select(*by, *quantiles)
 
 
-def nearest_rank(df: DataFrame, by: Sequence[str], value: str, ties: Sequence[str], quantiles: dict[str, float]) -> DataFrame:
+def _at(place, value=None):
+    """The value at a place counted from 1."""
+    return F.max(F.when((F.col("n0") < place) & (place <= F.col("n0") + F.col("n")), F.col("v") if value is None else value))
+
+
+def nearest_rank(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """The element at place floor(q * n) counted from 0 (the upper median at one half), at most the last."""
-    r = ranked(df, by, value, ties)
+    r = around(df, by, value, list(quantiles.values()))
     place = lambda q: F.least(F.floor(F.col("group_n") * F.lit(q)), F.col("group_n") - 1) + 1
-    return r.groupBy(*by).agg(*[F.max(F.when(F.col("rank") == place(q), F.col(value))).alias(name) for name, q in quantiles.items()])
+    return r.groupBy(*by).agg(*[_at(place(q)).alias(name) for name, q in quantiles.items()])
 
 
-def linear_quantiles(df: DataFrame, by: Sequence[str], value: str, ties: Sequence[str], quantiles: dict[str, float]) -> DataFrame:
+def linear_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Quantiles with linear interpolation at place q * (n - 1) (type 7)."""
-    r = ranked(df, by, value, ties)
-    out = r.groupBy(*by).agg(F.max("group_n").alias("_n"), *[F.max(F.when(F.col("rank") == f((F.col("group_n") - 1) * F.lit(q)) + 1, F.col(value).cast("double"))).alias(f"_{side}_{name}") for name, q in quantiles.items() for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    r = around(df, by, value, list(quantiles.values()))
+    v = F.col("v").cast("double")
+    out = r.groupBy(*by).agg(F.max("group_n").alias("_n"), *[_at(f((F.col("group_n") - 1) * F.lit(q)) + 1, v).alias(f"_{side}_{name}") for name, q in quantiles.items() for side, f in (("lo", F.floor), ("hi", F.ceil))])
     for name, q in quantiles.items():
         place = (F.col("_n") - 1) * F.lit(q)
         out = out.withColumn(name, F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (place - F.floor(place)))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordance.operators.tables import written
+
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """``df`` with ``place``: a hash of seed and key, the same on every run and engine, ties by key."""
@@ -21,7 +23,7 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 def draw(frame: DataFrame, per_stratum: int, seed: int, strata: list[str] | None = None, log: str = "log_id", vehicle: str = "vehicle") -> DataFrame:
     """The rows of ``frame`` (with column stratum) that the sequential rule takes."""
     rows = shuffled(frame if strata is None else frame.filter(F.col("stratum").isin(strata)), log, seed)
-    rows = rows.withColumn("_order", F.struct("place", F.col(log))).persist()  # read once a round
+    rows = written(rows.withColumn("_order", F.struct("place", F.col(log))), "places")  # read once a round
     closed: dict[str, tuple] = {}
     while True:
         open_rows = rows

@@ -17,7 +17,7 @@ def clock_anchors(gps: DataFrame, run: str = "run_id", boot_us: str = "boot_us",
     dated = gps.filter((F.col(utc_us) != 0) & F.col(utc_us).isNotNull() & F.col(boot_us).isNotNull())
     dated = dated.withColumn("_off", F.try_subtract(F.col(utc_us), F.col(boot_us))).filter("_off is not null")
     spread = dated.groupBy(run).agg(((F.max("_off") - F.min("_off")) / 1e6).alias("spread_s"), F.count(F.lit(1)).alias("samples"), F.min(boot_us).alias("first_boot_us"))
-    middle = nearest_rank(dated, [run], "_off", [boot_us], {"offset_us": 0.5})
+    middle = nearest_rank(dated, [run], "_off", {"offset_us": 0.5})
     return spread.join(middle, run)
 
 

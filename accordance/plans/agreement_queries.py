@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from accordance.functions.classify import rounded
 from accordance.operators import agreement as ops
 from accordance.operators import bootstrap, contracts, frame, ranking, sampling
+from accordance.operators.tables import written
 from accordance.plans import bindings
 from accordance.plans.bindings import BAND, TIES
 
@@ -18,11 +19,11 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.differences(bindings.pairs(spark, sf_dir))
 
 
-def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.with_weights(_levels(spark, sf_dir), bindings.strata(spark, sf_dir))
 
 
-def _r(df: DataFrame, *keep: str) -> DataFrame:
+def rounded_doubles(df: DataFrame, *keep: str) -> DataFrame:
     """Doubles rounded for comparison; the rest as it is."""
     return df.select(*[rounded(F.col(c)).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
@@ -38,43 +39,43 @@ def pairs_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def difference_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean_u = (F.col("ctx_u") + F.col("onboard_u")) / 2
-    return _r(_levels(spark, sf_dir).select(*TIES, "level", "du", "dv", "magnitude", "dspeed", mean_u.alias("mean_u")))
+    return rounded_doubles(_levels(spark, sf_dir).select(*TIES, "level", "du", "dv", "magnitude", "dspeed", mean_u.alias("mean_u")))
 
 
 def agreement_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _levels(spark, sf_dir)
-    return _r(ops.distinct_counts(base, ["level", "stratum"]).join(ops.bland_altman(base, ["level", "stratum"]), ["level", "stratum"]))
+    return rounded_doubles(ops.distinct_counts(base, ["level", "stratum"]).join(ops.bland_altman(base, ["level", "stratum"]), ["level", "stratum"]))
 
 
 def agreement_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(ops.bland_altman(_levels(spark, sf_dir), ["level"]))
+    return rounded_doubles(ops.bland_altman(_levels(spark, sf_dir), ["level"]))
 
 
 def agreement_reweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(ops.bland_altman(_weighted(spark, sf_dir), ["level"], weight=F.col("design_weight")))
+    return rounded_doubles(ops.bland_altman(weighted(spark, sf_dir), ["level"], weight=F.col("design_weight")))
 
 
 def implied_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(ops.implied_population(bindings.pairs(spark, sf_dir), bindings.strata(spark, sf_dir)))
+    return rounded_doubles(ops.implied_population(bindings.pairs(spark, sf_dir), bindings.strata(spark, sf_dir)))
 
 
 def magnitude_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ops.magnitude_limits(_levels(spark, sf_dir), ["level", "stratum"], TIES, "one")
-    return _r(out.withColumn("useful", F.col("p97_5") <= BAND))
+    out = ops.magnitude_limits(_levels(spark, sf_dir), ["level", "stratum"], "one")
+    return rounded_doubles(out.withColumn("useful", F.col("p97_5") <= BAND))
 
 
 def weighted_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(ranking.weighted_quantiles(_weighted(spark, sf_dir), ["level"], "magnitude", "design_weight", TIES, {"q0": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p97_5": 0.975, "q1": 1.0}))
+    return rounded_doubles(ranking.weighted_quantiles(weighted(spark, sf_dir), ["level"], "magnitude", "design_weight", {"q0": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p97_5": 0.975, "q1": 1.0}))
 
 
 def direction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(ops.direction_statistics(ops.with_direction(_levels(spark, sf_dir)), ["level", "stratum"], TIES))
+    return rounded_doubles(ops.direction_statistics(ops.with_direction(_levels(spark, sf_dir)), ["level", "stratum"]))
 
 
 def direction_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directions under several speed thresholds, in one pass."""
     rows = _levels(spark, sf_dir).withColumn("threshold", F.explode(F.array(*map(F.lit, (1.0, 2.0, 3.0)))))
-    return _r(ops.direction_statistics(ops.with_direction(rows, F.col("threshold")), ["level", "threshold"], TIES))
+    return rounded_doubles(ops.direction_statistics(ops.with_direction(rows, F.col("threshold")), ["level", "threshold"]))
 
 
 def vector_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +84,11 @@ def vector_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = lambda i: F.col("embedding")[i].cast("double")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", e(0).alias("onboard_u"), e(1).alias("onboard_v"), e(2).alias("ctx_u"), e(3).alias("ctx_v"))
-    return _r(ops.direction_statistics(ops.with_direction(rows, 0.05), ["label"], ["vec_id"]))
+    return rounded_doubles(ops.direction_statistics(ops.with_direction(rows, 0.05), ["label"]))
 
 
 def estimator_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(ops.estimator_ratio(_levels(spark, sf_dir), ["level", "stratum"]))
+    return rounded_doubles(ops.estimator_ratio(_levels(spark, sf_dir), ["level", "stratum"]))
 
 
 def regime_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,18 +100,18 @@ def suppressed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ops.differences(bindings.pairs(spark, sf_dir), {"100m": ("u100", "v100")}).withColumn("month", F.date_format("window_start", "yyyy-MM"))
     by = ["nation", "month"]
     out = ops.suppressed_split(rows, by).join(rows.groupBy(*by).agg(F.avg("du").alias("bias_u")), by)
-    return _r(out.withColumn("bias_u", F.when(F.col("published"), F.col("bias_u"))))
+    return rounded_doubles(out.withColumn("bias_u", F.when(F.col("published"), F.col("bias_u"))))
 
 
 def regime_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ops.regime_cells(_levels(spark, sf_dir))
     by = ["axis", "cell", "level"]
     cells = ops.suppressed_split(rows, by).filter("published").drop("published")
-    return _r(cells.join(ops.bland_altman(rows, by, ("du", "dv")), by).join(ranking.weighted_quantiles(rows, by, "magnitude", "one", TIES, {"p50": 0.5, "p97_5": 0.975}), by))
+    return rounded_doubles(cells.join(ops.bland_altman(rows, by, ("du", "dv")), by).join(ranking.weighted_quantiles(rows, by, "magnitude", "one", {"p50": 0.5, "p97_5": 0.975}), by))
 
 
 def tolerance_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(ops.tolerance_sensitivity(_levels(spark, sf_dir), TIES, BAND), "cap_km")
+    return rounded_doubles(ops.tolerance_sensitivity(_levels(spark, sf_dir), BAND), "cap_km")
 
 
 def mismatch_constancy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,25 +122,25 @@ def mismatch_constancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_window_per_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ops.differences(bindings.pairs(spark, sf_dir), {"100m": ("u100", "v100")}).withColumn("row_key", F.concat_ws("-", *TIES))
-    return _r(sampling.one_per_group(rows, "run_id", "row_key", SEED).select("run_id", "row_key", "du", "dv"))
+    rows = ops.differences(bindings.pairs(spark, sf_dir), {"100m": ("u100", "v100")}).select("run_id", F.concat_ws("-", *TIES).alias("row_key"), "du", "dv")
+    return rounded_doubles(sampling.one_per_group(rows, "run_id", "row_key", SEED).select("run_id", "row_key", "du", "dv"))
 
 
 def bootstrap_bias_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _levels(spark, sf_dir)
     drawn = bootstrap.draws(bootstrap.numbered_runs(base), 20, SEED)
-    return _r(bootstrap.bias_interval(base, drawn, ["du", "dv", "magnitude"], ["level"]))
+    return rounded_doubles(bootstrap.bias_interval(base, drawn, ["du", "dv", "magnitude"], ["level"]))
 
 
 def bootstrap_quantile_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ops.differences(bindings.pairs(spark, sf_dir), {"100m": ("u100", "v100")})
     drawn = bootstrap.draws(bootstrap.numbered_runs(base), 5, SEED)
-    return _r(bootstrap.quantile_interval(base, drawn, "magnitude", 0.975, TIES, ["level"]))
+    return rounded_doubles(bootstrap.quantile_interval(base, drawn, "magnitude", 0.975, ["level"]))
 
 
 def validation_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ops.regime_cells(_weighted(spark, sf_dir))
-    return ops.validation_artifacts(rows, TIES, BAND, "one", "sample").unionByName(ops.validation_artifacts(rows, TIES, BAND, "design_weight", "reweighted"))
+    rows = ops.regime_cells(weighted(spark, sf_dir), pooled=True)
+    return ops.validation_artifacts(rows, BAND, "one", "sample").unionByName(ops.validation_artifacts(rows, BAND, "design_weight", "reweighted"))
 
 
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,17 +151,12 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.violations(rows, "key", rules)
 
 
-def artifact_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Broken rules among the validation artifacts: none is expected."""
-    return contracts.violations(validation_artifacts(spark, sf_dir), "validation_model_id", contracts.artifact_rules())
-
-
 def variant_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the p97.5 of each published cell moves from the 100 m to the 10 m level: upper median, range, changed verdicts."""
     cells = regime_agreement(spark, sf_dir)
     base, other = (cells.filter(F.col("level") == name).select("axis", "cell", F.col("p97_5").alias(f"p_{name}")) for name in ("100m", "10m"))
     both = base.join(other, ["axis", "cell"]).withColumn("shift", rounded(F.col("p_10m") - F.col("p_100m")))
-    middle = ranking.nearest_rank(both.withColumn("all", F.lit("all")), ["all"], "shift", ["axis", "cell"], {"median": 0.5})
+    middle = ranking.nearest_rank(both.withColumn("all", F.lit("all")), ["all"], "shift", {"median": 0.5})
     rest = both.agg(F.count(F.lit(1)).alias("n"), F.min("shift").alias("least"), F.max("shift").alias("most"), F.count_if((F.col("p_100m") <= BAND) != (F.col("p_10m") <= BAND)).alias("flips"))
     return rest.crossJoin(middle.drop("all"))  # one row each
 
@@ -182,38 +178,31 @@ def forest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outside_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points that a plot of 3.2 times the widest limit would not show, and magnitudes beyond ceil(1.6 p97.5)."""
-    rows = _levels(spark, sf_dir)
-    limits = ops.bland_altman(rows, ["level"], ("du", "dv")).join(ranking.weighted_quantiles(rows, ["level"], "magnitude", "one", TIES, {"p97_5": 0.975}), "level")
-    widest = F.greatest(*[F.abs(f"loa_{side}_{x}") for side in ("low", "high") for x in ("du", "dv")])
-    edges = limits.select("level", (widest * 1.1).alias("span"), F.ceil(F.col("p97_5") * 1.1).alias("beyond"))
-    joined = rows.join(edges, "level")
-    mean = lambda a, b: F.abs((F.col(a) + F.col(b)) / 2)
-    out = joined.groupBy("level").agg(F.count_if((F.abs("du") > F.col("span")) | (mean("ctx_u", "onboard_u") > F.col("span"))).alias("outside_u"), F.count_if((F.abs("dv") > F.col("span")) | (mean("ctx_v", "onboard_v") > F.col("span"))).alias("outside_v"), F.count_if(F.col("magnitude") > F.col("beyond")).alias("beyond"))
-    return out
+    """Points that the plots of differences and of magnitudes would not show."""
+    return ops.outside_frame(_levels(spark, sf_dir))
 
 
 def altitude_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from accordance.functions.classify import altitude_band
 
     rows = bindings.pairs(spark, sf_dir).filter("height_m is not null")
-    runs = ranking.linear_quantiles(rows, ["run_id"], "height_m", ["line", "part", "supp"], {"median_m": 0.5, "p90_m": 0.9})
+    runs = ranking.linear_quantiles(rows, ["run_id"], "height_m", {"median_m": 0.5, "p90_m": 0.9})
     runs = runs.join(rows.groupBy("run_id").agg(F.max("height_m").alias("max_m"), F.count(F.lit(1)).alias("n")), "run_id")
-    return _r(runs.withColumn("band", altitude_band(F.col("median_m"))))
+    return rounded_doubles(runs.withColumn("band", altitude_band(F.col("median_m"))))
 
 
 def route_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two reads of the field compared value by value: here the two levels of gappy pairs."""
-    rows = bindings.gappy_pairs(spark, sf_dir)
-    gap = F.when(~F.isnan("v100"), F.abs(F.col("u100") - F.col("u10")))
-    rows = rows.withColumn("gap", gap)
-    middle = ranking.linear_quantiles(rows, ["stratum"], "gap", TIES, {"median_gap": 0.5})
-    agree = (F.col("u100") > 0) == (F.col("u10") > 0)
-    out = rows.groupBy("stratum").agg(F.count("gap").alias("compared"), F.max("gap").alias("largest_gap"), F.count_if(agree).alias("agree"), F.count_if(~agree).alias("disagree"))
-    return _r(out.join(middle, "stratum", "left"))
+    """Two reads of the field compared value by value: the pairs' own, and one written and read by itself. A null on either side stays null."""
+    rows = bindings.gappy_pairs(spark, sf_dir).select(*TIES, "stratum", F.when(~F.isnan("v100"), F.col("u100")).alias("value"))
+    other = written(bindings.gappy_pairs(spark, sf_dir).select(*TIES, F.col("u10").alias("other")), "route")
+    joined = rows.join(other, TIES).withColumn("gap", F.abs(F.col("value") - F.col("other")))
+    middle = ranking.linear_quantiles(joined, ["stratum"], "gap", {"median_gap": 0.5})
+    agree = (F.col("value") > 0) == (F.col("other") > 0)
+    out = joined.groupBy("stratum").agg(F.count("gap").alias("compared"), F.max("gap").alias("largest_gap"), F.count_if(agree).alias("agree"), F.count_if(~agree).alias("disagree"))
+    return rounded_doubles(out.join(middle, "stratum", "left"))
 
 
-QUERIES = [paired_complete, pairs_excluded, difference_series, agreement_by_stratum, agreement_pooled, agreement_reweighted, implied_population, magnitude_quantiles, weighted_quantiles, direction_stats, direction_sweep, vector_directions, estimator_ratio, regime_cells, suppressed_cells, regime_agreement, tolerance_sensitivity, mismatch_constancy, one_window_per_run, bootstrap_bias_ci, bootstrap_quantile_ci, validation_artifacts, contract_violations, artifact_violations, variant_shift, ecdf, forest_table, outside_frame, altitude_bands, route_comparison]
+QUERIES = [paired_complete, pairs_excluded, difference_series, agreement_by_stratum, agreement_pooled, agreement_reweighted, implied_population, magnitude_quantiles, weighted_quantiles, direction_stats, direction_sweep, vector_directions, estimator_ratio, regime_cells, suppressed_cells, regime_agreement, tolerance_sensitivity, mismatch_constancy, one_window_per_run, bootstrap_bias_ci, bootstrap_quantile_ci, validation_artifacts, contract_violations, variant_shift, ecdf, forest_table, outside_frame, altitude_bands, route_comparison]
 
 PAIRS = """cut AS (SELECT max(o_orderdate)::DATE - 365 AS cutoff FROM orders),
   b AS (SELECT l_orderkey AS run_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, o_custkey AS vehicle, r_name || '|' || (CASE WHEN o_orderdate::DATE >= cutoff THEN 'within' ELSE 'older' END) AS stratum, n_name AS nation,
@@ -301,14 +290,13 @@ ORACLES = {
     "bootstrap_quantile_ci": f"""WITH {LEVELS}, {_draws(5)}, ex AS (SELECT lv.*, b, copy FROM lv JOIN drawn USING (stratum, run_id), unnest(range(1, m + 1)) AS y(copy) WHERE level = '100m'), {_quantiles('ex', 'level, b', {'v': 0.975}, ties='run_id, line, part, supp, copy', name='bq')}
       SELECT level, {R('quantile_cont(v, 0.025)', 'low')}, {R('quantile_cont(v, 0.975)', 'high')} FROM bq GROUP BY level""",
     "contract_violations": f"""WITH {GAPPY}, k AS (SELECT *, run_id || '-' || line || '-' || part || '-' || supp AS key FROM gappy) SELECT key, 'join.distance_to_grid_point_km' AS path, 'maximum' AS rule FROM k WHERE distance_km > 24.5 UNION ALL SELECT key, 'values.v100', 'number' FROM k WHERE isnan(v100) UNION ALL SELECT key, 'values.u10', 'number' FROM k WHERE u10 IS NULL""",
-    "artifact_violations": "SELECT '' AS key, '' AS path, '' AS rule WHERE false",
     "variant_shift": f"""WITH {REGIMES}, sh AS (SELECT x.p97_5 AS a, y.p97_5 AS c, round(y.p97_5 - x.p97_5, 6) + 0e0 AS shift FROM regimes x JOIN regimes y ON x.axis = y.axis AND x.cell = y.cell WHERE x.level = '100m' AND y.level = '10m')
       SELECT count(*) AS n, min(shift) AS least, max(shift) AS most, count_if((a <= {BAND}) <> (c <= {BAND}))::BIGINT AS flips, list(shift ORDER BY shift)[(floor(count(*) / 2) + 1)::BIGINT] AS median FROM sh""",
     "ecdf": f"WITH {PAIRS}, m AS (SELECT *, sqrt((u100 - onboard_u) * (u100 - onboard_u) + (v100 - onboard_v) * (v100 - onboard_v)) AS magnitude FROM pairs) SELECT run_id, line, part, supp, stratum, round(magnitude, 6) + 0e0 AS magnitude, round(row_number() OVER (PARTITION BY stratum ORDER BY magnitude, run_id, line, part, supp) / count(*) OVER (PARTITION BY stratum), 9) + 0e0 AS share FROM m",
     "forest_table": f"WITH {REGIMES} SELECT axis, cell, row_number() OVER (PARTITION BY axis ORDER BY p97_5 DESC, cell) AS place, p50, p97_5, ceil(max(p97_5) OVER () * 1.15e0)::BIGINT AS clip, p97_5 <= {BAND} AS useful FROM regimes WHERE level = '100m'",
-    "outside_frame": f"""WITH {LEVELS}, {_quantiles('lv', 'level', {'p97_5': 0.975})}, l AS (SELECT level, greatest(abs(avg(du) - 1.96e0 * stddev_samp(du)), abs(avg(du) + 1.96e0 * stddev_samp(du)), abs(avg(dv) - 1.96e0 * stddev_samp(dv)), abs(avg(dv) + 1.96e0 * stddev_samp(dv))) * 1.1e0 AS span FROM lv GROUP BY level)
-      SELECT level, count_if(abs(du) > span OR abs((ctx_u + onboard_u) / 2) > span)::BIGINT AS outside_u, count_if(abs(dv) > span OR abs((ctx_v + onboard_v) / 2) > span)::BIGINT AS outside_v, count_if(magnitude > ceil(p97_5 * 1.1e0))::BIGINT AS beyond FROM lv JOIN l USING (level) JOIN wq USING (level) GROUP BY level""",
+    "outside_frame": f"""WITH {LEVELS}, {_quantiles('lv', 'level', {'p97_5': 0.975})}, l AS (SELECT level, greatest(abs(avg(du) - 1.96e0 * stddev_samp(du)), abs(avg(du) + 1.96e0 * stddev_samp(du)), abs(avg(dv) - 1.96e0 * stddev_samp(dv)), abs(avg(dv) + 1.96e0 * stddev_samp(dv))) * 3.2e0 AS span FROM lv GROUP BY level)
+      SELECT level, count_if(abs(du) > span OR abs((ctx_u + onboard_u) / 2) > span)::BIGINT AS outside_u, count_if(abs(dv) > span OR abs((ctx_v + onboard_v) / 2) > span)::BIGINT AS outside_v, count_if(magnitude > ceil(p97_5 * 1.6e0))::BIGINT AS beyond FROM lv JOIN l USING (level) JOIN wq USING (level) GROUP BY level""",
     "altitude_bands": f"""WITH {PAIRS}, h AS (SELECT run_id, quantile_cont(height_m, 0.5) AS q5, quantile_cont(height_m, 0.9) AS q9, max(height_m) AS mx, count(*) AS n FROM pairs GROUP BY run_id) SELECT run_id, {R('q5', 'median_m')}, {R('q9', 'p90_m')}, {R('mx', 'max_m')}, n,
       CASE WHEN q5 < -50 OR q5 > 5000 THEN 'unknown' WHEN q5 < 50 THEN 'agl_proxy_lt_50m' WHEN q5 < 120 THEN 'agl_proxy_50_to_120m' ELSE 'agl_proxy_ge_120m' END AS band FROM h""",
-    "route_comparison": f"WITH {GAPPY}, g AS (SELECT *, CASE WHEN NOT isnan(v100) THEN abs(u100 - u10) END AS gap FROM gappy) SELECT stratum, count(gap) AS compared, {R('max(gap)', 'largest_gap')}, count_if((u100 > 0) = (u10 > 0))::BIGINT AS agree, count_if((u100 > 0) <> (u10 > 0))::BIGINT AS disagree, {R('quantile_cont(gap, 0.5)', 'median_gap')} FROM g GROUP BY stratum",
+    "route_comparison": f"WITH {GAPPY}, a AS (SELECT run_id, line, part, supp, stratum, CASE WHEN NOT isnan(v100) THEN u100 END AS x FROM gappy), g AS (SELECT stratum, x, y, abs(x - y) AS gap FROM a JOIN (SELECT run_id, line, part, supp, u10 AS y FROM gappy) USING (run_id, line, part, supp)) SELECT stratum, count(gap) AS compared, {R('max(gap)', 'largest_gap')}, count_if((x > 0) = (y > 0))::BIGINT AS agree, count_if((x > 0) <> (y > 0))::BIGINT AS disagree, {R('quantile_cont(gap, 0.5)', 'median_gap')} FROM g GROUP BY stratum",
 }

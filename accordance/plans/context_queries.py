@@ -50,12 +50,12 @@ def window_quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", _iso("window_start"), F.array_join("quality_flags", ",").alias("flags"))
 
 
-def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.with_join_flags(context.nearest_join(bindings.daily(spark, sf_dir), bindings.grid(spark, sf_dir)))
 
 
 def nearest_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _joined(spark, sf_dir)
+    out = joined(spark, sf_dir)
     return out.select("run_id", _iso("window_start"), *[rounded(F.col(c)).alias(c) for c in ("grid_lat", "grid_lon", "u100", "v100", "u10", "v10", "distance_km", "mismatch_s")])
 
 
@@ -77,15 +77,15 @@ join_flags_query.__name__ = "join_flags"
 
 def join_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows seen and paired, and the least, upper median and greatest distance to a grid point."""
-    out = _joined(spark, sf_dir).withColumn("all", F.lit("all"))
+    out = joined(spark, sf_dir).withColumn("all", F.lit("all"))
     counts = out.groupBy("all").agg(F.count(F.lit(1)).alias("seen"), F.count("u100").alias("paired"), rounded(F.min("distance_km"), 2).alias("least_km"), rounded(F.max("distance_km"), 2).alias("greatest_km"))
-    middle = ranking.nearest_rank(out, ["all"], "distance_km", ["run_id", "window_start"], {"median_km": 0.5})
+    middle = ranking.nearest_rank(out, ["all"], "distance_km", {"median_km": 0.5})
     return counts.join(middle.select("all", rounded(F.col("median_km"), 2).alias("median_km")), "all").drop("all")
 
 
 def context_features_tall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four features for each paired window, with flags and release marker."""
-    out = _joined(spark, sf_dir).filter("u100 is not null").withColumn("window", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")).withColumn("flags", F.array_join("quality_flags", ","))
+    out = joined(spark, sf_dir).filter("u100 is not null").withColumn("window", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")).withColumn("flags", F.array_join("quality_flags", ","))
     names = {"u100": "wind_u_100m", "v100": "wind_v_100m", "u10": "wind_u_10m", "v10": "wind_v_10m"}
     tall = context.tall(out, ["run_id", "window", "flags"], names)
     return tall.withColumn("value", rounded(F.col("value")))
@@ -100,13 +100,10 @@ def haversine_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_station(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest of points that change by day (each day a twelfth of the suppliers, as its SQL says); ``nearest_station_all`` searches all."""
-    from accordance.session import table
-
+    """For each daily window the nearest of points that change by day: every place at which wind was sampled that day."""
     asked = bindings.daily(spark, sf_dir).withColumn("key", F.concat_ws("@", "run_id", F.date_format("window_start", "yyyy-MM-dd")))
-    days = asked.select(F.col("window_start").alias("time")).distinct()
-    stations = table(spark, sf_dir, "supplier").filter("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") % 97 / 4.0 + 30).alias("plat"), (F.col("s_suppkey") % 89 / 6.0 - 10).alias("plon"))
-    points = days.withColumn("slot", F.dayofyear("time") % 3).join(stations.withColumn("slot", (F.col("point_id") / 4).cast("int") % 3), "slot").drop("slot")
+    seen = bindings.samples(spark, sf_dir).filter("topic = 'wind' and lat is not null and lon is not null")
+    points = seen.select(F.date_trunc("day", "ts").alias("time"), F.col("event_id").alias("point_id"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     out = context.irregular_nearest(asked, points, "key", 2.0)
     return out.select("key", "point_id", rounded(F.col("distance_km")).alias("distance_km"))
 
@@ -190,7 +187,7 @@ ORACLES = {
     "context_features_tall": f"""WITH {FIELD}, f AS (SELECT run_id, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS "window", concat_ws(',', CASE WHEN distance_km > 30 THEN 'outside_spatial_tolerance' END) AS flags, u100, v100, u10, v10 FROM jd WHERE u100 IS NOT NULL)
       {' UNION ALL '.join(f'''SELECT run_id, "window", flags, '{n}' AS feature_name, {R(c, 'value')}, 'm s-1' AS unit FROM f''' for c, n in (('u100', 'wind_u_100m'), ('v100', 'wind_v_100m'), ('u10', 'wind_u_10m'), ('v10', 'wind_v_10m')))}""",
     "haversine_distance": f"""WITH {SAMPLES}, g AS (SELECT *, round_even(lat / 0.25e0, 0) * 0.25e0 AS glat, round_even(lon / 0.25e0, 0) * 0.25e0 AS glon FROM samples WHERE topic = 'position') SELECT event_id, {R('glat', 'grid_lat')}, {R('glon', 'grid_lon')}, {R(KM('lat', 'lon', 'glat', 'glon'), 'distance_km')}, {R('lon - 360 * floor(lon / 360)', 'east_lon')}, {KM('lat', 'lon', 'glat', 'glon')} <= 6371.0088e0 * radians(0.25e0) / sqrt(2e0) AS inside_cell FROM g""",
-    "nearest_station": f"""WITH {_win('day')}, s AS (SELECT s_suppkey AS point_id, s_suppkey % 97 / 4e0 + 30 AS plat, s_suppkey % 89 / 6e0 - 10 AS plon FROM supplier WHERE s_suppkey % 4 = 0), n AS (SELECT run_id || '@' || strftime(window_start, '%Y-%m-%d') AS key, point_id, {KM('lat', 'lon', 'plat', 'plon')} AS km FROM win JOIN s ON abs(lat - plat) <= 2 AND (point_id // 4) % 3 = dayofyear(window_start) % 3 WHERE complete),
+    "nearest_station": f"""WITH {_win('day')}, s AS (SELECT date_trunc('day', ts) AS day, event_id AS point_id, lat AS plat, lon AS plon FROM samples WHERE topic = 'wind'), n AS (SELECT run_id || '@' || strftime(window_start, '%Y-%m-%d') AS key, point_id, {KM('lat', 'lon', 'plat', 'plon')} AS km FROM win JOIN s ON day = window_start AND abs(lat - plat) <= 2 WHERE complete),
       r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY km, point_id) AS rn FROM n) SELECT key, point_id, {R('km', 'distance_km')} FROM r WHERE rn = 1""",
     "nearest_station_all": f"""WITH {_win('day')}, s AS (SELECT s_suppkey AS point_id, s_suppkey % 97 / 4e0 + 30 AS plat, s_suppkey % 89 / 6e0 - 10 AS plon FROM supplier), n AS (SELECT run_id || '@' || strftime(window_start, '%Y-%m-%d') AS key, point_id, {R(KM('lat', 'lon', 'plat', 'plon'), 'km')} FROM win JOIN s ON abs(lat - plat) <= 2 WHERE complete)
       SELECT key, point_id, km AS distance_km FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY km, point_id) AS rn FROM n) WHERE rn = 1""",

@@ -29,7 +29,7 @@ def duration_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duration_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = bindings.frame(spark, sf_dir).filter(~F.col("simulated") & ops.plausible())
-    return ranking.nearest_rank(base, ["type"], "duration_s", ["log_id"], {"p50": 0.5, "p90": 0.9, "p99": 0.99, "longest": 1.0})
+    return ranking.nearest_rank(base, ["type"], "duration_s", {"p50": 0.5, "p90": 0.9, "p99": 0.99, "longest": 1.0})
 
 
 def retention_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def retrieval_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("log_id", "cell", "state", F.when(F.col("state") == "pending", F.floor((F.col("rank") - 1) / 100)).cast("long").alias("chunk"))
 
 
-def _usable(df: DataFrame) -> DataFrame:
+def usable(df: DataFrame) -> DataFrame:
     topics = ("wind", "position")
     missing = classify.flags(*[(t, ~F.col(f"{t}_present")) for t in topics])
     empty = classify.flags(*[(t, F.col(f"{t}_present") & (F.coalesce(f"{t}_rows", F.lit(0)) <= 0)) for t in topics])
@@ -118,13 +118,13 @@ def _usable(df: DataFrame) -> DataFrame:
 
 
 def inventory_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _usable(bindings.inventory(spark, sf_dir))
+    base = usable(bindings.inventory(spark, sf_dir))
     return base.groupBy("stratum").agg(F.count(F.lit(1)).alias("runs"), F.count_if("usable").alias("usable"), rounded(F.count_if("usable") / F.count(F.lit(1)), 4).alias("usable_rate"))
 
 
 def inventory_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why runs are unusable; a run may have several reasons, but absent columns only count if nothing else is wrong."""
-    base = _usable(bindings.inventory(spark, sf_dir)).filter(~F.col("usable"))
+    base = usable(bindings.inventory(spark, sf_dir)).filter(~F.col("usable"))
     late = F.when(~F.col("absolute_time"), "no_absolute_time").when((F.size("missing_required") == 0) & (F.size("empty_required") == 0), "columns_absent")
     reasons = F.concat(F.transform("missing_required", lambda x: F.concat(F.lit("missing:"), x)), F.transform("empty_required", lambda x: F.concat(F.lit("empty:"), x)), F.filter(F.array(late), lambda x: x.isNotNull()))
     return base.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
