@@ -47,16 +47,38 @@ def exclusions(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("kind", F.when(valid, F.col("kind")).otherwise(F.raise_error(F.lit("invalid exclusion"))))
 
 
-def is_log(content: Column, length: Column) -> Column:
+def topic_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(run_id, topic, rows, columns) of one topic written by run and topic: row counts, and the columns that hold anything."""
+    kinds = T._parse_datatype_string(TOPIC_COLUMNS[name]).fields
+    schema = T.StructType([*kinds, T.StructField("run_id", T.LongType()), T.StructField("topic", T.StringType())])
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(root).filter(F.col("topic") == name)
+    present = [F.max(F.when(F.col(k.name).isNotNull(), F.lit(k.name))) for k in kinds]
+    return rows.groupBy("run_id", "topic").agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(",", *present).alias("columns"))
+
+
+def is_log(content: Column, length: Column, magic: str = LOG_MAGIC, least: int = LOG_LEAST) -> Column:
     """Long enough and with the first bytes of a log."""
-    return (length >= LOG_LEAST) & (F.hex(F.substring(content, 1, len(LOG_MAGIC) // 2)) == LOG_MAGIC)
+    return (length >= least) & (F.hex(F.substring(content, 1, len(magic) // 2)) == magic)
 
 
 def log_files(spark: SparkSession, root: str) -> DataFrame:
-    """(log_id, available) of the files under ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """(log_id, available) of the files under ``root``; only the first bytes of a file are read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")  # no contents
+    magic, least = bytes.fromhex(LOG_MAGIC), LOG_LEAST
+
+    def first_bytes(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            good = []
+            for path, length in zip(batch["path"], batch["length"], strict=True):
+                where, at = fs.FileSystem.from_uri(path)
+                with where.open_input_stream(at) as f:
+                    good.append(bool(length >= least and f.read(len(magic)) == magic))
+            yield batch.assign(available=good)[["path", "available"]]
+
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("log_id"), is_log(F.col("content"), F.col("length")).alias("available"))
+    return found.mapInPandas(first_bytes, "path string, available boolean").select(F.regexp_replace(name, r"\.[^.]*$", "").alias("log_id"), "available")
 
 
 def hours_spanned(start: Column, end: Column) -> Column:

@@ -1,16 +1,14 @@
-"""Sinks: line-delimited JSON, and a manifest beside what a query wrote."""
+"""Sinks, and a record of what was written: a table's shape and its content's digest.
+
+The record is itself a DataFrame row, computed by Spark from the written table, so that it
+works wherever Spark can read: no file is opened on the driver.
+"""
 
 from __future__ import annotations
 
-import hashlib
-import json
-import platform
-import uuid
-from datetime import UTC, datetime
-from pathlib import Path
-from typing import Any
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -18,39 +16,45 @@ def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_summary(df: DataFrame, path: str) -> None:
+    """A small summary as a single JSON file: one row, or a few."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
 def append_observations(df: DataFrame, path: str) -> None:
     """Adds to an observation log; the last attempt wins when it is read."""
     df.write.mode("append").parquet(path)
 
 
-def hash_file(path: str | Path) -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            digest.update(block)
-    return f"sha256:{digest.hexdigest()}"
-
-
-def build_manifest(name: str, inputs: list[str], parameters: dict[str, Any], seed: int | None = None, commit: str = "unknown", dirty: bool = True) -> dict[str, Any]:
-    """What produced an output; made before it is written."""
-    return {"manifest_id": str(uuid.uuid4()), "name": name, "created": datetime.now(UTC).isoformat(), "code": {"commit": commit, "dirty": dirty}, "environment": {"python": platform.python_version()}, "inputs": [{"path": p, "hash": hash_file(p) if Path(p).is_file() else None} for p in inputs], "parameters": parameters, "seed": seed, "outputs": []}
+def content_digest(df: DataFrame) -> DataFrame:
+    """One row: rows, and a digest that doesn't depend on their order: sums of two halves of each row's SHA-256, modulo 2**48."""
+    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    half = lambda at: F.conv(F.substring(row, at, 12), 16, 10).cast("decimal(20,0)")
+    total = lambda at: F.lpad(F.lower(F.conv(F.coalesce(F.sum(half(at)) % F.lit(1 << 48), F.lit(0)).cast("string"), 10, 16)), 12, "0")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.concat(total(1), total(13)).alias("digest"))
 
 
-def add_output(manifest: dict[str, Any], folder: str | Path) -> dict[str, Any]:
-    """Adds the hashes of the files of an output."""
-    root = Path(folder)
-    files = [root] if root.is_file() else sorted(p for p in root.rglob("*") if p.is_file() and not p.name.startswith((".", "_")))
-    return manifest | {"outputs": [*manifest["outputs"], *({"path": str(p), "hash": hash_file(p)} for p in files)]}
+def recorded(df: DataFrame, path: str, name: str, seed: int | None = None, revision: str | None = None, clean: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet and gives its record, made from what can be read back."""
+    spark: SparkSession = df.sparkSession
+    df.write.mode("overwrite").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    parts = back.select(F.col("_metadata.file_path").alias("file")).distinct().agg(F.count(F.lit(1)).alias("part_files"))
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in back.schema.fields)
+    shape = content_digest(back).crossJoin(parts)  # one row each
+    return shape.select(F.lit(name).alias("name"), F.lit(path).alias("path"), "rows", "part_files", F.lit(columns).alias("columns"), "digest", F.lit(seed).cast("long").alias("seed"), F.lit(revision).cast("string").alias("revision"), F.lit(clean).alias("clean"))
 
 
-def require_publishable(manifest: dict[str, Any]) -> None:
-    """Refuses what an unknown or changed tree produced."""
-    if manifest["code"]["dirty"] or manifest["code"]["commit"] == "unknown":
-        raise RuntimeError("not publishable: the code's state is unknown or changed")
+def intact(spark: SparkSession, records: DataFrame) -> DataFrame:
+    """(name, intact): whether each recorded table still has the rows and digest of its record. Records are few: one for each table."""
+    found = None
+    for r in records.select("name", "path", "columns", "rows", "digest").toLocalIterator():
+        now = content_digest(spark.read.schema(r["columns"]).parquet(r["path"])).select(F.lit(r["name"]).alias("name"), ((F.col("rows") == r["rows"]) & (F.col("digest") == r["digest"])).alias("intact"))
+        found = now if found is None else found.unionByName(now)
+    return found if found is not None else spark.createDataFrame([], "name string, intact boolean")
 
 
-def write_manifest(manifest: dict[str, Any], folder: str | Path) -> Path:
-    path = Path(folder) / f"{manifest['manifest_id']}.json"
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(manifest, indent=2, sort_keys=True) + "\n")
-    return path
+def publishable(records: DataFrame) -> DataFrame:
+    """The records, failing the query for one whose code is unknown or has changes."""
+    known = F.col("clean") & F.col("revision").isNotNull()
+    return records.withColumn("clean", F.when(known, True).otherwise(F.raise_error(F.concat(F.lit("not publishable, its code isn't a known state: "), F.col("name")))))
