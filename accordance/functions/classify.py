@@ -76,6 +76,12 @@ def altitude_band(height: Column) -> Column:
     )
 
 
+def height_above(z: Column, valid: Column) -> Column:
+    """Height from a downward z; null unless it is marked valid and a finite number."""
+    finite = ~F.isnan(z) & (F.abs(z) < F.lit(float("inf")))
+    return F.when(F.coalesce(valid, F.lit(False)) & finite, -z)
+
+
 def release_marker(when: Column, start: str, stop: str, stop_preliminary: str) -> Column:
     """0001 up to ``stop``, 0005 up to ``stop_preliminary``, boundary days included; null outside."""
     day = F.to_date(when)

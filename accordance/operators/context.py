@@ -78,11 +78,32 @@ def fixed_nearest(windows: DataFrame, points: DataFrame, key: str, reach_deg: fl
 
 
 def midpoint(windows: DataFrame, grid: DataFrame) -> DataFrame:
-    """The field at the window's middle: the mean of its hour and the next."""
+    """The field at the window's middle: the mean of its hour and the next. ``later_time`` is that of the next hour, whose release the mean takes."""
     both = nearest_join(nearest_join(windows, grid), grid, 1, "_next")
     for v in VALUES:
         both = both.withColumn(v, (F.col(v) + F.col(f"{v}_next")) / 2)
-    return both.drop("time_next", "grid_lat_next", "grid_lon_next", *[f"{v}_next" for v in VALUES])
+    return both.withColumnRenamed("time_next", "later_time").drop("grid_lat_next", "grid_lon_next", *[f"{v}_next" for v in VALUES])
+
+
+def source_metadata(marker: Column, coverage: tuple[str, str, str], retrieved: Column, dataset: str = "reanalysis") -> Column:
+    """What a context value was read from: constants, the release and when it was read."""
+    start, stop, preliminary = coverage
+    return F.struct(F.lit(dataset).alias("dataset"), marker.alias("release"), F.struct(F.lit(start).alias("start"), F.lit(stop).alias("stop"), F.lit(preliminary).alias("stop_preliminary")).alias("coverage"), F.lit(GRID_DEG).alias("grid_deg"), retrieved.alias("retrieved_at"))
+
+
+def with_optional(pairs: DataFrame, heights: DataFrame | None = None, airspeed: DataFrame | None = None, strata: DataFrame | None = None, run: str = "run_id") -> DataFrame:
+    """Pairs with what other tables may know of their runs: height_m (else null), has_airspeed (else false), stratum (else unknown).
+
+    Each of the tables (run, value) may be missing altogether; none of them loses a pair.
+    """
+    for other, name, default in ((heights, "height_m", F.lit(None).cast("double")), (airspeed, "has_airspeed", F.lit(False)), (strata, "stratum", F.lit("unknown"))):
+        pairs = pairs.drop(name)
+        if other is None:
+            pairs = pairs.withColumn(name, default)
+        else:
+            known = other.select(F.col(run).alias("_run"), F.col(name).alias("_value"))
+            pairs = pairs.join(known, pairs[run] == known["_run"], "left").withColumn(name, F.coalesce("_value", default)).drop("_run", "_value")
+    return pairs
 
 
 def with_join_flags(joined: DataFrame, context_time: str = "time", km: float = SPATIAL_TOLERANCE_KM, seconds: float = TEMPORAL_TOLERANCE_S) -> DataFrame:

@@ -31,6 +31,31 @@ def at_least(path: str, least: float, null_ok: bool = True) -> Rule:
     return path, "minimum", (F.col(path) >= least) | (F.col(path).isNull() if null_ok else F.lit(False))
 
 
+#: How a field's declared type is tested, on values that may have been read as strings.
+_TYPES = {"integer": "bigint", "number": "double", "boolean": "boolean", "string": "string"}
+
+
+def schema_rules(schema: dict, columns: list[str]) -> list[Rule]:
+    """Rules of a JSON schema's required, type, enum, const, minimum, maximum, minItems and maxItems; fields that it doesn't name must be absent.
+
+    A null is only judged by ``required``; a value of the wrong type is only reported as such.
+    """
+    rules = [required(c) for c in schema.get("required", ())]
+    for name, kind in schema.get("properties", {}).items():
+        if name not in columns:
+            continue
+        value = F.col(name)
+        typed = F.expr(f"try_cast(`{name}` AS {_TYPES[kind['type']]})") if kind.get("type") in _TYPES else value
+        absent = value.isNull() | (typed.isNull() if "type" in kind else F.lit(False))
+        tests = {"enum": lambda v, x: x.isin(list(v)), "const": lambda v, x: x == F.lit(v), "minimum": lambda v, x: x >= v, "maximum": lambda v, x: x <= v, "minItems": lambda v, x: F.size(x) >= v, "maxItems": lambda v, x: F.size(x) <= v}
+        if kind.get("type") in _TYPES:
+            rules.append((name, "type", value.isNull() | typed.isNotNull()))
+        rules += [(name, rule, absent | test(kind[rule], typed)) for rule, test in tests.items() if rule in kind]
+    if not schema.get("additionalProperties", False):
+        rules += [(c, "additional", F.col(c).isNull()) for c in columns if c not in schema.get("properties", {})]
+    return rules
+
+
 def artifact_rules() -> list[Rule]:
     """Rules of a validation artifact: resampled by run, both components present, ordered limits, counts that add up."""
     ordered = lambda c: (f"statistics.{c}.limits_of_agreement", "ordered", F.col(f"statistics.{c}.limits_of_agreement")[0] <= F.col(f"statistics.{c}.limits_of_agreement")[1])

@@ -73,6 +73,33 @@ def without_objections(df: DataFrame, objections: DataFrame, log: str = "log_id"
     return df
 
 
+def restricted(records: DataFrame, sample: DataFrame | None, key: str = "log_id") -> tuple[DataFrame, DataFrame]:
+    """The records whose run was drawn, and one row with the count of those outside; without a sample nothing is restricted."""
+    if sample is None:
+        return records, records.limit(0).agg(F.count(F.lit(1)).alias("outside"))
+    drawn = sample.select(key).distinct()
+    return records.join(drawn, key, "left_semi"), records.join(drawn, key, "left_anti").agg(F.count(F.lit(1)).alias("outside"))
+
+
+def plain_id(column: Column) -> Column:
+    """An id without its dashes."""
+    return F.replace(column, F.lit("-"), F.lit(""))
+
+
+def require_within(sample: DataFrame, frame: DataFrame, key: str = "log_id") -> DataFrame:
+    """``sample``, refused if one of its ids (dashes aside) isn't in the frame."""
+    drawn, known = sample.withColumn("_id", plain_id(F.col(key))), frame.select(plain_id(F.col(key)).alias("_id")).distinct()
+    absent = drawn.join(known, "_id", "left_anti").select(key).limit(3).collect()  # a few to name
+    if absent:
+        raise ValueError(f"the sample isn't of this frame: {', '.join(str(r[0]) for r in absent)}")
+    return sample
+
+
+def first_usable(runs: DataFrame, most: int, usable: str = "usable", key: str = "log_id") -> DataFrame:
+    """The first ``most`` usable runs in the order of their ids."""
+    return runs.filter(usable).orderBy(key).limit(most)
+
+
 def eligible(frame: DataFrame, objections: DataFrame | None = None) -> DataFrame:
     """Real, plausible, long enough, and not objected to."""
     out = frame.filter(~F.col("simulated") & plausible() & (F.col("duration_s") >= MIN_DURATION_S))
