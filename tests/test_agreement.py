@@ -43,7 +43,8 @@ def test_one_row_has_no_spread_and_none_no_row(spark):
 def test_unit_weights_change_nothing_and_swapping_negates(spark):
     data = [window(i, u=i % 3, cu=i % 5, cv=i % 2) for i in range(20)]
     plain = ops.bland_altman(levels(spark, data), ["level"]).first()
-    assert ops.bland_altman(levels(spark, data), ["level"], weight=F.lit(1.0)).first() == plain
+    weighted = ops.bland_altman(levels(spark, data), ["level"], weight=F.lit(1.0)).first()
+    assert weighted[1:] == pytest.approx(plain[1:], rel=1e-12) and weighted.level == plain.level
     swapped = ops.bland_altman(levels(spark, [window(i, u=i % 5, v=i % 2, cu=i % 3) for i in range(20)]), ["level"]).first()
     assert swapped.bias_du == pytest.approx(-plain.bias_du)
 
@@ -70,13 +71,13 @@ def test_bearing_crosses_the_wrap_point(spark):
 
 def test_undefined_directions_are_counted(spark):
     data = [window(0, u=0.5, cu=0.4), window(1, u=5, cu=0.4), window(2, u=5, cv=5)]
-    r = ops.direction_statistics(ops.with_direction(levels(spark, data), 2.0), ["level"], ["run_id"]).first()
+    r = ops.direction_statistics(ops.with_direction(levels(spark, data), 2.0), ["level"]).first()
     assert (r.n_defined, r.n_undefined, round(r.mean_abs, 9)) == (1, 2, 90.0)
 
 
 def test_circular_mean_is_not_an_average(spark):
     data = [window(0, u=5, cu=-4.92, cv=0.87), window(1, u=5, cu=-4.92, cv=-0.87)]
-    r = ops.direction_statistics(ops.with_direction(levels(spark, data)), ["level"], ["run_id"]).first()
+    r = ops.direction_statistics(ops.with_direction(levels(spark, data)), ["level"]).first()
     assert abs(r.circular_mean) == pytest.approx(180, abs=0.01) and r.resultant == pytest.approx(0.985, abs=0.001) and r.mean_abs == pytest.approx(170, abs=0.1)
 
 
@@ -96,10 +97,10 @@ def test_suppression_needs_runs_and_vehicles(spark):
 
 def test_verdict_moves_with_the_tolerance(spark):
     data = [window(i, cu=0.2, distance=5) for i in range(30)] + [window(100 + i, cu=8, distance=25) for i in range(30)]
-    out = {r.cap_km: r for r in ops.tolerance_sensitivity(levels(spark, data), ["run_id"], 3.0).collect()}
+    out = {r.cap_km: r for r in ops.tolerance_sensitivity(levels(spark, data), 3.0).collect()}
     assert out[10.0].useful and out[10.0].n_windows == 30 and out[30.0].useful is False and out[30.0].n_windows == 60
     few = [window(i, distance=5) for i in range(4)] + [window(100 + i, distance=25) for i in range(40)]
-    thin = {r.cap_km: r for r in ops.tolerance_sensitivity(levels(spark, few), ["run_id"], 3.0).collect()}[10.0]
+    thin = {r.cap_km: r for r in ops.tolerance_sensitivity(levels(spark, few), 3.0).collect()}[10.0]
     assert not thin.published and thin.n_runs == 4 and thin.useful is None
 
 
@@ -122,17 +123,17 @@ def test_weighted_quantiles(spark):
     values = [0.4, 1.1, 2.2, 3.9, 5.0, 7.7, 9.1, 11.4]
     for weights in ([1.0] * 8, [40.0] + [1.0] * 7, [0.5, 3.0, 1.0, 2.0, 0.1, 7.0, 1.0, 4.0]):
         df = spark.createDataFrame([("g", i, v, w) for i, (v, w) in enumerate(zip(values, weights, strict=True))], "g string, i int, v double, w double")
-        out = ranking.weighted_quantiles(df, ["g"], "v", "w", ["i"], {"a": 0.0, "b": 0.5, "c": 0.9, "d": 1.0}).first()
+        out = ranking.weighted_quantiles(df, ["g"], "v", "w", {"a": 0.0, "b": 0.5, "c": 0.9, "d": 1.0}).first()
         for name, q in (("a", 0.0), ("b", 0.5), ("c", 0.9), ("d", 1.0)):
             assert out[name] == pytest.approx(quantile(values, weights, q))
-    assert ranking.linear_quantiles(df, ["g"], "v", ["i"], {"p": 0.9}).first().p == pytest.approx(9.79)
+    assert ranking.linear_quantiles(df, ["g"], "v", {"p": 0.9}).first().p == pytest.approx(9.79)
 
 
 def test_ranks_with_ties_nulls_and_null_groups(spark):
     df = spark.createDataFrame([(None, 1, 2.0), (None, 2, 2.0), (None, 3, 1.0), ("g", 4, None), ("g", 5, float("nan")), ("g", 6, 3.0)], "g string, i int, v double")
     out = {r.i: (r["rank"], r.group_n) for r in ranking.ranked(df, ["g"], "v", ["i"]).collect()}
     assert out == {3: (1, 3), 1: (2, 3), 2: (3, 3), 6: (1, 1)}
-    assert ranking.nearest_rank(df, ["g"], "v", ["i"], {"m": 0.5}).filter("g is null").first().m == 2.0
+    assert ranking.nearest_rank(df, ["g"], "v", {"m": 0.5}).filter("g is null").first().m == 2.0
 
 
 def test_bootstrap_draws_runs_not_windows(spark):
@@ -141,7 +142,7 @@ def test_bootstrap_draws_runs_not_windows(spark):
     runs = bootstrap.numbered_runs(base)
     r = bootstrap.bias_interval(base, bootstrap.draws(runs, 200, 7), ["du"], ["level"]).first()
     assert r.low < 1 and r.high == pytest.approx(10)
-    q = bootstrap.quantile_interval(base, bootstrap.draws(runs, 20, 7), "magnitude", 0.975, ["run_id", "line"], ["level"]).first()
+    q = bootstrap.quantile_interval(base, bootstrap.draws(runs, 20, 7), "magnitude", 0.975, ["level"]).first()
     assert 0 <= q.low <= q.high <= 10
 
 
@@ -242,3 +243,43 @@ def test_broken_artifacts_name_their_path(spark):
     schema = "validation_model_id string, statistics struct<u:struct<bias:double,limits_of_agreement:array<double>>,v:struct<bias:double,limits_of_agreement:array<double>>,vector_difference_magnitude:struct<p50:double,p97_5:double>>, bootstrap struct<unit:string>, direction struct<n_defined:long,n_undefined:long>, support struct<n_windows:long,n_runs:long,n_vehicles:long>"
     paths = {(r.path, r.rule) for r in contracts.violations(spark.createDataFrame([row], schema), "validation_model_id", contracts.artifact_rules()).collect()}
     assert {("bootstrap.unit", "const"), ("statistics.v", "required"), ("direction", "partition"), ("support.n_vehicles", "minimum")} <= paths
+
+
+@pytest.mark.parametrize("values", [[float(i % 7) for i in range(200)], [1e9] + [i / 1000 for i in range(300)], [0.0] * 120 + [float(i) for i in range(60)]])
+def test_quantiles_by_cells_equal_sorting(spark, values, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ranking, "SMALL", 5)
+    monkeypatch.setattr(ranking, "CELLS", 8)
+    rng = random.Random(3)
+    weights = [rng.choice([0.5, 1.0, 4.0]) for _ in values]
+    df = spark.createDataFrame([("g", v, w) for v, w in zip(values, weights, strict=True)], "g string, v double, w double")
+    by_weight = ranking.weighted_quantiles(df, ["g"], "v", "w", {"a": 0.0, "b": 0.5, "c": 0.975}).first()
+    for name, q in (("a", 0.0), ("b", 0.5), ("c", 0.975)):
+        assert by_weight[name] == pytest.approx(quantile(values, weights, q))
+    ordered, n = sorted(values), len(values)
+    assert ranking.nearest_rank(df, ["g"], "v", {"m": 0.5, "top": 1.0}).first()[1:] == (ordered[n // 2], ordered[-1])
+    place = 0.9 * (n - 1)
+    low = int(place)
+    assert ranking.linear_quantiles(df, ["g"], "v", {"p": 0.9}).first().p == pytest.approx(ordered[low] + (ordered[min(low + 1, n - 1)] - ordered[low]) * (place - low))
+    assert ranking.around(df, ["g"], "v", [0.5], large=10).count() <= n
+
+
+def test_schema_rules(spark):
+    schema = {"required": ["a"], "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"enum": ["x", "y"]}, "c": {"const": "run"}, "d": {"minItems": 1, "maxItems": 2}}}
+    df = spark.createDataFrame([(1, "1", "x", "run", ["p"], None), (2, None, None, None, None, None), (3, "q", "z", "window", [], "more"), (4, "0", "y", "run", ["p", "q", "r"], None)], "key int, a string, b string, c string, d array<string>, e string")
+    out = sorted((r.key, r.path, r.rule) for r in contracts.violations(df, "key", contracts.schema_rules(schema, ["a", "b", "c", "d", "e"])).collect())
+    assert out == [(2, "a", "required"), (3, "a", "type"), (3, "b", "enum"), (3, "c", "const"), (3, "d", "minItems"), (3, "e", "additional"), (4, "a", "minimum"), (4, "d", "maxItems")]
+
+
+def test_points_outside_of_a_plot(spark):
+    data = [window(i, cu=1.0 if i % 2 else -1.0) for i in range(400)] + [window(1000, cu=90.0)]
+    out = {r.level: r for r in ops.outside_frame(levels(spark, data)).collect()}
+    assert out["100m"].outside_u == 1 and out["100m"].outside_v == 0 and out["100m"].beyond == 1
+
+
+def test_a_missing_artifact_fails(spark):
+    made = spark.createDataFrame([("season", "JJA", "100m", 3)], "axis string, cell string, level string, n int")
+    assert ops.looked_up(made, [("season", "JJA", "100m")]).first().n == 3
+    with pytest.raises(Exception, match="no such artifact"):
+        ops.looked_up(made, [("season", "DJF", "100m")]).collect()

@@ -149,14 +149,43 @@ def test_requests_span_hours_within_a_month(spark):
     assert spark.range(1).select(readers.hours_spanned(F.lit("2026-01-31").cast("timestamp"), F.lit("2026-02-01").cast("timestamp"))).first()[0] is None
 
 
-def test_manifest_closes_over_outputs(spark, tmp_path):
-    sinks.write_lines(spark.range(3), str(tmp_path / "out"))
-    m = sinks.add_output(sinks.build_manifest("x", [], {"seed": 1}), tmp_path / "out")
-    assert m["outputs"] and all(sinks.hash_file(o["path"]) == o["hash"] for o in m["outputs"])
-    with pytest.raises(RuntimeError):
-        sinks.require_publishable(m)
-    sinks.require_publishable(m | {"code": {"commit": "abc", "dirty": False}})
-    assert json.loads(sinks.write_manifest(m, tmp_path / "manifests").read_text())["name"] == "x"
+def test_records_of_written_tables(spark, tmp_path):
+    first = sinks.recorded(spark.range(30).repartition(3), str(tmp_path / "a"), "a", seed=7, revision="abc", clean=True)
+    r = first.first()
+    assert (r.name, r.rows, r.columns, r.seed) == ("a", 30, "id bigint", 7) and r.part_files == 3
+    again = sinks.recorded(spark.range(30).orderBy(F.desc("id")), str(tmp_path / "b"), "b").first()
+    assert again.digest == r.digest and sinks.recorded(spark.range(31), str(tmp_path / "c"), "c").first().digest != r.digest
+    kept = spark.createDataFrame([r], first.schema)
+    assert [x.intact for x in sinks.intact(spark, kept).collect()] == [True] and sinks.publishable(kept).count() == 1
+    spark.range(29).write.mode("overwrite").parquet(str(tmp_path / "a"))
+    assert [x.intact for x in sinks.intact(spark, kept).collect()] == [False]
+    with pytest.raises(Exception, match="not publishable"):
+        sinks.publishable(kept.withColumn("clean", F.lit(False))).collect()
+
+
+def test_samples_stay_within_their_frame(spark):
+    known = spark.createDataFrame([("abc1",), ("abc2",)], "log_id string")
+    assert frame.require_within(spark.createDataFrame([("ab-c1",)], "log_id string"), known).count() == 1
+    with pytest.raises(ValueError, match="zz"):
+        frame.require_within(spark.createDataFrame([("ab-c1",), ("zz",)], "log_id string"), known)
+    inside, outside = frame.restricted(spark.createDataFrame([("abc1",), ("x",)], "log_id string"), known)
+    assert (inside.count(), outside.first().outside) == (1, 1)
+    whole, none = frame.restricted(known, None)
+    assert (whole.count(), none.first().outside) == (2, 0)
+    runs = spark.createDataFrame([(3, True), (1, False), (2, True), (4, True)], "log_id long, usable boolean")
+    assert [r.log_id for r in frame.first_usable(runs, 2).collect()] == [2, 3]
+
+
+def test_optional_joins_lose_no_pair(spark):
+    pairs = spark.createDataFrame([(1, 5.0), (2, 6.0)], "run_id long, u double")
+    heights, flags = spark.createDataFrame([(1, 30.0)], "run_id long, height_m double"), spark.createDataFrame([(2, True)], "run_id long, has_airspeed boolean")
+    out = [tuple(r) for r in context.with_optional(pairs, heights, flags).orderBy("run_id").select("height_m", "has_airspeed", "stratum").collect()]
+    assert out == [(30.0, False, "unknown"), (None, True, "unknown")]
+
+
+def test_heights_need_validity(spark):
+    df = spark.createDataFrame([(-3.0, True), (-3.0, False), (-3.0, None), (float("nan"), True), (float("inf"), True), (None, True)], "z double, ok boolean")
+    assert [r.h for r in df.select(classify.height_above(F.col("z"), F.col("ok")).alias("h")).collect()] == [3.0, None, None, None, None, None]
 
 
 def test_stream_equals_batch(spark, tmp_path):
