@@ -376,6 +376,20 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
     assert sorted(r.n_removed for r in suffix_dedup.suffix_dedup(nulls).collect()) == [0, 0, 500]
 
 
+def test_sorted_triples_equal_brute_force(spark):
+    rng = random.Random(13)
+    bases = ["".join(rng.choice("abcd é\n") for _ in range(1500)) for _ in range(3)]
+    texts = []
+    for i in range(24):
+        x = list(rng.choice(bases))[rng.randint(0, 400) :]
+        for _ in range(rng.randint(0, 3)):
+            x[rng.randrange(len(x))] = rng.choice("xyz")
+        texts.append("".join(x))
+    texts += [None, "", "ab" * 400, "a" * 1000, texts[4], bases[0] + bases[0], "q" * 399, "q" * 400]
+    get = lambda m: [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs(spark, texts), method=m).orderBy("doc_id").collect()]
+    assert get("triples") == get("content") == brute_cut([(t or "").encode() for t in texts], 400)
+
+
 def test_long_texts_are_cut_into_pieces_without_losing_windows(monkeypatch):
     rng = random.Random(12)
     monkeypatch.setattr(suffix_dedup, "_MOST", 1000)
