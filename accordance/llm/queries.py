@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from accordance.llm import bpe, decontaminate, hilbert, langid, line_dedup, multiset_hash, ngram_join, pii, quality, suffix_dedup
 from accordance.llm.common import table
+from accordance.llm.oracles import ORACLES  # noqa: F401
 
 
 def tokenizer() -> tuple[str, str]:
@@ -68,17 +69,3 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_language_id, op4_pii_crf, op5_quality, op6_bpe_tree, op7_multiset_hash, op8_hilbert_shards, op9_decontamination, op10_suffix_dedup)}
-
-ORACLES = {
-    "op1_line_dedup": """
-        WITH p AS (SELECT DISTINCT source, text FROM documents),
-        lines AS (SELECT source, unnest(list_distinct(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))) AS line FROM p),
-        totals AS (SELECT source, count(*) AS pages FROM p GROUP BY source),
-        often AS (SELECT source, line, count(*) AS n FROM lines GROUP BY source, line HAVING count(*) >= 3),
-        over AS (SELECT o.source, list(o.line) AS bad FROM often o JOIN totals t ON o.source IS NOT DISTINCT FROM t.source WHERE o.n > 0.07 * t.pages GROUP BY o.source),
-        cut AS (SELECT d.*, o.bad, string_split(d.text, chr(10)) AS ls FROM documents d LEFT JOIN over o ON d.source IS NOT DISTINCT FROM o.source),
-        kept AS (SELECT *, CASE WHEN bad IS NULL OR text IS NULL THEN ls ELSE list_filter(ls, lambda x: trim(x) = '' OR NOT list_contains(bad, x)) END AS ks FROM cut)
-        SELECT doc_id, source, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - len(ks), 0)::BIGINT AS n_dropped,
-               CASE WHEN text IS NULL THEN NULL ELSE array_to_string(ks, chr(10)) END AS text FROM kept
-    """,
-}
