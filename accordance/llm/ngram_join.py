@@ -12,16 +12,18 @@ shingles are asked for. Ordinary texts stay at l = 1; texts with many near copie
 prefixes.
 
 1. Documents with equal sets form a class, of which the smallest doc_id goes on.
-2. The l-prefixes are an index. Each class is verified against one leader, the class with which
-   it shares most prefix shingles among those that hold them earliest; the links found join
-   classes to families. A large family costs rows as many as its postings.
-3. Between families: classes that meet in the index within the bounds of ``possible`` are
+2. The l-prefixes are an index. Each class is compared with one leader, the class with which
+   it shares most prefix shingles among those that hold them earliest; where the two are at
+   least ``NEAR`` below the asked similarity they join a family. A family is no component: it
+   only gathers what is alike, linked or not. It costs rows as many as its postings.
+3. Within families: sets meet in cells of bounded size, where shared shingles are counted for
+   all pairs at once. A cell gives back each document's links and one edge to the smallest
+   document that it reaches in the cell. So no link is lost, and a family's pairs, linked or
+   nearly so, never become rows.
+4. Between families: classes that meet in the index within the bounds of ``possible`` are
    counted by pair, and pairs that share min(l, l') prefix shingles are candidates, all of
    which are verified by their full sets.
-4. Within families: the sets of a family meet in cells of bounded size, where shared shingles
-   are counted for all pairs at once and only each document's links are given back. So no
-   link is lost, and a family's pairs never become rows.
-5. Links join families to components; class sizes give every document's number of links.
+5. Edges and links give components; class sizes give every document's number of links.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with
 nothing; with fewer words than ``words`` the whole sequence is one shingle; rows that share a
@@ -50,6 +52,8 @@ SKETCH_LOG, SLICES = 21, 32
 FEW_IDS = 1 << 21
 #: Shingles and sets in a part of a cell, as a rule.
 CELL, CELL_SETS = 1 << 18, 1024
+#: How far below the asked percent two classes may lie and still be gathered in a family.
+NEAR = 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD3 = np.uint64(0xD6E8FEB86659FD93)
@@ -207,7 +211,7 @@ def possible(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column
 
 
 def _cell_links(group: pa.Table, percent: int) -> pa.Table:
-    """(doc_id, others): the weight of the sets of a cell that each of its sets links with; across the two parts of a cell, or within its only one."""
+    """(doc_id, others, least) of each set of a cell: the weight of those it links with, across the cell's two parts or within its only one, and the smallest doc_id it reaches."""
     ids, part, weight = (group.column(c).to_numpy() for c in ("doc_id", "part", "m"))
     lists = group.column("tokens").combine_chunks()
     size = np.diff(lists.offsets.to_numpy())
@@ -227,22 +231,28 @@ def _cell_links(group: pa.Table, percent: int) -> pa.Table:
     both = both.reshape(rows, rows)
     linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
     linked &= part[:, None] != part[None, :] if len(np.unique(part)) > 1 else ~np.eye(rows, dtype=bool)
-    return pa.table({"doc_id": ids, "others": (linked * weight[None, :]).sum(1)})
+    least = ids.copy()  # the smallest document reached: minima along links, until they settle
+    while True:
+        near = np.minimum(least, np.where(linked, least[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
+        if (near == least).all():
+            break
+        least = near
+    return pa.table({"doc_id": ids, "others": (linked * weight[None, :]).sum(1), "least": least})
 
 
 def family_links(docs: DataFrame, families: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, others) in one or more rows for each class of a family; families(doc_id, component, n, m)."""
+    """(doc_id, others, least) in one or more rows for each class of a family; families(doc_id, component, n, m)."""
     sums = families.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / CELL), F.ceil(F.count(F.lit(1)) / CELL_SETS)).alias("parts"))
     placed = scratch.saved(families.join(sums, "component").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), "placed")
     texts = only(docs, placed.select("doc_id")).mapInArrow(lambda it: _sets(it, words), "doc_id long, tokens array<long>")
     sets = scratch.saved(texts.join(placed, "doc_id"), "family-sets")
     sent = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     cell = F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other"))
-    return sent.select(cell.alias("cell"), "doc_id", "part", "m", "tokens").groupBy("cell").applyInArrow(lambda t: _cell_links(t, percent), "doc_id long, others long")
+    return sent.select(cell.alias("cell"), "doc_id", "part", "m", "tokens").groupBy("cell").applyInArrow(lambda t: _cell_links(t, percent), "doc_id long, others long, least long")
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of ``docs``. Who only needs the components can do without the count; n_links is null then."""
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of ``docs``."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngram-join")
     importable(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -267,8 +277,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cou
     stars = near.groupBy("doc", lead["doc"].alias("other")).agg(F.count(F.lit(1)).alias("shared"))
     stars = stars.groupBy("doc").agg(F.max(F.struct("shared", "other")).alias("best")).select(F.least("doc", "best.other").alias("a"), F.greatest("doc", "best.other").alias("b")).distinct()
     stars = scratch.saved(stars, "stars")
-    family = components(verified(full_sets(docs, stars, words, scratch), stars, percent))
-    # 3: candidates between families
+    family = components(verified(full_sets(docs, stars, words, scratch), stars, max(1, percent - NEAR)))
+    # 4: candidates between families
     held = hits.drop("lead").join(family.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     held = scratch.saved(held, "held")
     scratch.drop(hits)
@@ -280,22 +290,19 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cou
     counted = met.groupBy(x["doc"].alias("a"), y["doc"].alias("b"), F.least(x["l"], y["l"]).alias("asked")).agg(F.count(F.lit(1)).alias("shared"))
     pairs = scratch.saved(counted.filter("shared >= asked").select("a", "b"), "pairs")
     links = scratch.saved(verified(full_sets(docs, pairs, words, scratch), pairs, percent), "links")
-    # 4: links within families
+    # 3: links within families
     inner = family.join(classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.sum("m").alias("m")), "id").select(F.col("id").alias("doc_id"), "component", "n", "m")
-    others = family_links(docs, inner, words, percent, scratch) if count_links else spark.createDataFrame([], "doc_id long, others long")
-    # 5: components of families, and degrees
+    inside = scratch.saved(family_links(docs, inner, words, percent, scratch), "inside")
+    # 5: components and degrees
     both = links.union(links.select("b", "a"))
-    others = others.union(both.join(weights.withColumnRenamed("doc_id", "b"), "b").select(F.col("a").alias("doc_id"), F.col("m").alias("others")))
-    degree = others.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("others").alias("others"))
-    label = family.withColumnRenamed("id", "rep").select("rep", F.col("component").alias("own"))
-    name = lambda side: links.join(label.withColumnRenamed("rep", side), side, "left").select("a", "b", F.coalesce("own", side).alias(f"{side}_own"))
-    ends = name("a").join(name("b"), ["a", "b"])
-    upper = components(ends.select(F.col("a_own").alias("a"), F.col("b_own").alias("b"))).select(F.col("id").alias("own"), F.col("component").alias("top"))
-    found = classes.join(label, "rep", "left").withColumn("own", F.coalesce("own", "rep")).join(upper, "own", "left").join(degree, "rep", "left")
-    found = found.select(*key, F.coalesce("top", "own").alias("component_id"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    outside = both.join(weights.withColumnRenamed("doc_id", "b"), "b").select(F.col("a").alias("doc_id"), F.col("m").alias("others"))
+    degree = inside.select("doc_id", "others").union(outside).groupBy(F.col("doc_id").alias("rep")).agg(F.sum("others").alias("others"))
+    label = components(links.union(inside.select("doc_id", "least"))).withColumnRenamed("id", "rep")
+    found = classes.join(label, "rep", "left").join(degree, "rep", "left")
+    found = found.select(*key, F.coalesce("component", "rep").alias("component_id"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     known = F.col("doc_id").isNotNull()
     out = made.select("doc_id", *key).join(found, key, "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.lit(count_links), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0)).alias("n_links"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
     out = saved(out, "near-groups")
     scratch.clear()
     return out
