@@ -12,7 +12,7 @@ shingles are asked for. Ordinary texts stay at l = 1; texts with many near copie
 prefixes.
 
 1. Documents with equal sets form a class, of which the smallest doc_id goes on.
-2. The l-prefixes are an index. Each class is compared with one leader, the class with which
+2. The 1-prefixes are an index. Each class is compared with one leader, the class with which
    it shares most prefix shingles among those that hold them earliest; where the two are at
    least ``NEAR`` below the asked similarity they join a family. A family is no component: it
    only gathers what is alike, linked or not. It costs rows as many as its postings.
@@ -21,8 +21,9 @@ prefixes.
    document that it reaches in the cell. So no link is lost, and a family's pairs, linked or
    nearly so, never become rows.
 4. Between families: classes that meet in the index within the bounds of ``possible`` are
-   counted by pair, and pairs that share min(l, l') prefix shingles are candidates, all of
-   which are verified by their full sets.
+   pairs; those whose l-prefixes share enough shingles are candidates, all of which are
+   verified by their full sets. (An index of l-prefixes would meet a pair once for each
+   shingle of its longer prefixes.)
 5. Edges and links give components; class sizes give every document's number of links.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and link with
@@ -200,16 +201,26 @@ def overlap(n: Column, m: Column, percent: int) -> Column:
 def possible(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
     """Whether a shared shingle at these places may belong to a linked pair.
 
-    Of a linked pair, min(l, l') shared shingles lie in the prefixes that its own sizes make
-    so long; and what is shared up to a shingle (no more than the shingles before it that
-    others hold too, nth) with what is left after it must reach the needed overlap.
+    It must lie in both 1-prefixes as the pair's sizes make them; and what is shared up to it
+    (no more than the shingles before it that others hold too, nth) with what is left after
+    it must reach the needed overlap.
     """
     needed = overlap(x["n"], y["n"], percent)
-    asked = F.least(x["l"], y["l"]) - 1
-    inside = (x["place"] <= x["n"] - needed + asked) & (y["place"] <= y["n"] - needed + asked)
+    inside = (x["place"] <= x["n"] - needed) & (y["place"] <= y["n"] - needed)
     return inside & (F.least(x["nth"], y["nth"]) + F.least(x["n"] - x["place"], y["n"] - y["place"]) >= needed)
 
 
+def multi_match(made: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose l-prefixes share as many shingles as a link needs there."""
+    ids = scratch.saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    lists = scratch.saved(only(made.select("doc_id", "n", "l", "tokens"), ids), "lists")
+    one, two = (lists.select(F.col("doc_id").alias(side), F.struct("n", "l", "tokens").alias(f"p_{side}")) for side in "ab")
+    both = pairs.join(one, "a").join(two, "b")
+    p, q = F.col("p_a"), F.col("p_b")
+    beyond = lambda x: F.ceil(x["n"] * percent / 100) - x["l"]
+    return both.filter(F.size(F.array_intersect(p["tokens"], q["tokens"])) >= overlap(p["n"], q["n"], percent) - F.greatest(beyond(p), beyond(q))).select("a", "b")
+
+
 def _cell_links(group: pa.Table, percent: int) -> pa.Table:
     """(doc_id, others, least) of each set of a cell: the weight of those it links with, across the cell's two parts or within its only one, and the smallest doc_id it reaches."""
     ids, part, weight = (group.column(c).to_numpy() for c in ("doc_id", "part", "m"))
@@ -267,7 +278,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     # 2: an index, the leader of each shared shingle, and the best leader of each class
     entry = F.posexplode(F.arrays_zip("tokens", "places")).alias("nth", "t")
     postings = reps.select("doc_id", "n", "l", entry).select(F.col("t.tokens").alias("token"), F.col("doc_id").alias("doc"), "n", "l", F.col("t.places").alias("place"), "nth")
-    postings = scratch.saved(postings, "postings")
+    postings = scratch.saved(postings.filter(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100)), "postings")
     leads = scratch.saved(postings.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min(F.struct("place", "doc", "n", "l", "nth")).alias("lead")).filter("holders > 1").select("token", "lead"), "leads")
     hits = scratch.saved(postings.join(leads, "token"), "hits")
     scratch.drop(postings)
@@ -287,8 +298,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     x, y = ({c: F.col(f"{c}_{side}") for c in held.columns if c != "token"} for side in "xy")
     left, right = (held.select("token", *[F.col(c).alias(f"{c}_{side}") for c in held.columns if c != "token"]) for side in "xy")
     met = left.join(right, (left["token"] == right["token"]) & (x["doc"] < y["doc"]) & (x["component"] != y["component"]) & fits(x["n"], y["n"]) & possible(x, y, percent))
-    counted = met.groupBy(x["doc"].alias("a"), y["doc"].alias("b"), F.least(x["l"], y["l"]).alias("asked")).agg(F.count(F.lit(1)).alias("shared"))
-    pairs = scratch.saved(counted.filter("shared >= asked").select("a", "b"), "pairs")
+    pairs = scratch.saved(met.select(x["doc"].alias("a"), y["doc"].alias("b")).distinct(), "met")
+    pairs = scratch.saved(multi_match(made, pairs, percent, scratch), "pairs")
     links = scratch.saved(verified(full_sets(docs, pairs, words, scratch), pairs, percent), "links")
     # 3: links within families
     inner = family.join(classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.sum("m").alias("m")), "id").select(F.col("id").alias("doc_id"), "component", "n", "m")
