@@ -81,7 +81,7 @@ def around(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[flo
     base = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).alias("_v"), mass.alias("_w"))
     x = F.col("_v").cast("double")
     spans = base.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(F.lit(1)).alias("_n"), F.count(F.lit(1)).alias("group_n"), F.sum("_w").alias("group_w"), F.max("_w").alias("_most"))
-    spans = spans.withColumn("_n0", F.lit(0).cast("long")).withColumn("_w0", F.lit(0.0))
+    spans = written(spans.withColumn("_n0", F.lit(0).cast("long")).withColumn("_w0", F.lit(0.0)), "spans")  # read by every later step
     rows, keys = base, by
     for level in range(LEVELS):
         cell = F.when((F.col("_n") <= SMALL) | (F.col("_hi") <= F.col("_lo")), 0).otherwise(F.least(F.lit(CELLS - 1), F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS))).cast("int")
