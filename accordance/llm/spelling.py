@@ -106,7 +106,7 @@ def _counts(batches: Iterator[pa.RecordBatch], slip: int, least: int) -> Iterato
         codes = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
         doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         crc, size, n = grown()
-        h = _hashes(batch.column(0).to_pylist(), words, doc, size[codes], crc[codes])
+        h = _hashes(batch.column(0).to_pylist(), words, doc, size[codes], crc[codes]).astype(np.int64)
         hit = h % slip == 0
         n += np.bincount(codes[~hit], minlength=len(n))
         changed = np.array([numbers[slipped(words[i], int(h[i]))] for i in np.flatnonzero(hit)], np.int64)
