@@ -128,39 +128,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-#: A random 64-bit value for each byte.
-BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * ODD)
-_POWERS = {"n": 0}
+#: Substrings are hashed by polynomials in two bases modulo the prime 2**31 - 1. (A power of two as
+#: modulus would be defeated by words like Thue and Morse's, whatever the base.)
+PRIME = (1 << 31) - 1
+_P, _S31P = np.uint64(PRIME), np.uint64(31)
+_BASES = (1_664_525_013, 1_013_904_223)
+#: A random value for each byte in either lane.
+BYTE_CODE = np.stack([mix64(np.arange(1, 257, dtype=np.uint64) * ODD + np.uint64(k)) % _P for k in (0, 1)])
+_POWERS: dict[str, np.ndarray] = {"up": np.ones((2, 1), np.uint64), "down": np.ones((2, 1), np.uint64)}
 
 
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, for x below 2**62."""
+    x = (x & _P) + (x >> _S31P)
+    return np.where(x >= _P, x - _P, x)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """ODD**i and ODD**-i modulo 2**64 for i < n."""
-    if _POWERS["n"] < n:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i of both lanes for i < n."""
+    if _POWERS["up"].shape[1] < n:
         size = 1 << max(16, n.bit_length())
-        up = np.full(size, ODD, np.uint64)
-        up[0] = 1
-        down = np.full(size, np.uint64(_inverse(int(ODD))), np.uint64)
-        down[0] = 1
-        _POWERS.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+        for name, bases in (("up", _BASES), ("down", tuple(pow(b, -1, PRIME) for b in _BASES))):
+            out = np.ones((2, size), np.uint64)
+            have = 1
+            while have < size:  # doubling: what follows is what is there, times base**have
+                more = np.array([[pow(b, have, PRIME)] for b in bases], np.uint64)
+                out[:, have : 2 * have] = _reduced(out[:, :have] * more)
+                have *= 2
+            _POWERS[name] = out
+    return _POWERS["up"][:, :n], _POWERS["down"][:, :n]
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """h[i] = sum of code(byte j) * ODD**j over j < i, so that any substring's hash is a difference."""
-    up, _ = powers(len(data) + 1)
-    h = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * up[: len(data)], out=h[1:])
+    """h[:, i] = sum of code(byte j) * base**j over j < i in both lanes, so that any substring's hash is a difference."""
+    up, _ = _powers(len(data) + 1)
+    h = np.zeros((2, len(data) + 1), np.uint64)
+    for lane in range(2):
+        np.cumsum(_reduced(BYTE_CODE[lane][data] * up[lane, : len(data)]), out=h[lane, 1:])
     return h
 
 
 def substring_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hashes of the substrings [start, stop), equal for equal strings wherever they stand."""
-    _, down = powers(len(h))
-    return mix64((h[stop] - h[start]) * down[start] + (stop - start).astype(np.uint64) * _M1)
+    _, down = _powers(h.shape[1])
+    one, two = (_reduced(_reduced(h[lane, stop] - h[lane, start]) * down[lane, start]) for lane in range(2))
+    return mix64((one << _S31P | two) + (stop - start).astype(np.uint64) * _M1)
 
 
 def plus(schema: T.StructType, **kinds: str) -> T.StructType:

@@ -166,7 +166,7 @@ class Crf:
 
     def _padded(self, rows: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
         longest = max(map(len, rows))
-        x = np.zeros((len(rows), longest, WIDE), np.int64)
+        x = np.zeros((len(rows), longest, len(rows[0][0])), np.int64)
         for i, r in enumerate(rows):
             x[i, : len(r)] = r
         return x, np.array([len(r) for r in rows])
@@ -204,7 +204,7 @@ class Crf:
             np.add.at(real, (y[:, :-1][inside[:, 1:]], y[:, 1:][inside[:, 1:]]), 1)
             off = (node - gold)[inside]
             g = np.zeros_like(self.emit)
-            for f in range(WIDE):
+            for f in range(x.shape[2]):
                 np.add.at(g, x[..., f][inside], off)
             for i, grad in enumerate((g / n + decay * self.emit, (pair - real) / n + decay * self.step, (node[:, 0] - gold[:, 0]).sum(0) / n)):
                 moment[i] = 0.9 * moment[i] + 0.1 * grad

@@ -30,6 +30,18 @@ def test_equal_substrings_have_equal_hashes():
     assert len(np.unique(mix64(np.arange(10_000, dtype=np.uint64)))) == 10_000
 
 
+def test_words_that_defeat_a_modulus_of_a_power_of_two_differ(spark):
+    text = "a"
+    for _ in range(12):
+        text += text.translate(str.maketrans("ab", "ba"))
+    other = text.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((text + other).encode(), np.uint8)
+    starts = np.array([0, len(text)])
+    assert len(set(substring_hashes(prefix_hashes(data), starts, starts + len(text)).tolist())) == 2
+    out = ngram_join.near_groups(docs(spark, [text, other, "some words more than one"])).collect()
+    assert all(r.n_links == 0 and r.component_id == r.doc_id for r in out)
+
+
 # --- 1: line dedup ----------------------------------------------------------------------------
 
 
@@ -187,7 +199,7 @@ def test_viterbi_equals_enumeration():
     rng = np.random.default_rng(6)
     field = pii.Crf(["O", "B-email", "I-email"])
     field.emit, field.step, field.first = rng.normal(size=(pii.DIMS, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
-    rows = [[[int(x) for x in rng.integers(0, pii.DIMS, 6)] for _ in range(n)] for n in (1, 2, 5, 3, 5)]
+    rows = [[[int(x) for x in rng.integers(0, pii.DIMS, pii.WIDE)] for _ in range(n)] for n in (1, 2, 5, 3, 5)]
     score = lambda r, y: field.first[y[0]] + sum(field.emit[r[t]].sum(0)[y[t]] for t in range(len(r))) + sum(field.step[a, b] for a, b in itertools.pairwise(y))
     for r, got in zip(rows, field.viterbi(rows), strict=True):
         best = max(itertools.product(range(3), repeat=len(r)), key=lambda y: score(r, y))
