@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from accordance.functions.classify import altitude_band, sigma_band
 from accordance.functions.geometry import bearing_difference
-from accordance.operators import bootstrap
+from accordance.operators import resample
 from accordance.operators.ranking import linear_quantiles, weighted_quantiles
+from accordance.operators.tables import written
 
 # Fixed values of the studied method.
 Z, MIN_RUNS, MIN_VEHICLES, DRAWN = 1.96, 20, 10, 800
@@ -178,14 +179,33 @@ def tolerance_sensitivity(df: DataFrame, band: float, caps: Sequence[float] = CA
     return out.select(*by, "n_windows", "n_runs", "n_vehicles", "published", shown(F.col("bias_u")).alias("bias_u"), shown(F.col("bias_v")).alias("bias_v"), shown(F.col("p97_5")).alias("p97_5"), shown(F.col("p97_5") <= band).alias("useful"))
 
 
-def validation_artifacts(df: DataFrame, band: float, weight: str, pooling: str) -> DataFrame:
-    """One nested record for each published regime cell and level."""
+def artifact_intervals(df: DataFrame, weights: dict[str, str], n: int = resample.RESAMPLES, seed: int = resample.SEED) -> DataFrame:
+    """(axis, cell, level, pooling, statistic, low, high) of the published cells; ``weights`` has a column for each pooling. Both levels of a cell share their draws."""
+    by = ["axis", "cell", "level"]
+    cells = written(suppressed_split(df, by).filter("published").select(*by), "published")  # every pass reads it
+    out = resample.intervals(df.join(cells, by, "left_semi"), by, by[:2], list(weights.values()), n, seed)
+    pooling = F.element_at(F.array(*map(F.lit, weights)), F.col("weighting") + 1)
+    return out.select(*by, pooling.alias("pooling"), "statistic", "low", "high")
+
+
+def validation_artifacts(df: DataFrame, band: float, weights: dict[str, str]) -> DataFrame:
+    """One nested record for each published regime cell, level and pooling."""
+    by = ["axis", "cell", "level"]
+    pairs = F.map_from_entries(F.collect_list(F.struct("statistic", F.array("low", "high").alias("ends"))))
+    drawn = written(artifact_intervals(df, weights).groupBy(*by, "pooling").agg(pairs.alias("_ci")), "intervals")
+    out = None
+    for pooling, weight in weights.items():
+        made = _artifacts(df, band, weight, pooling, drawn.filter(F.col("pooling") == pooling).drop("pooling"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def _artifacts(df: DataFrame, band: float, weight: str, pooling: str, drawn: DataFrame) -> DataFrame:
     by = ["axis", "cell", "level"]
     cells = suppressed_split(df, by).filter("published")
     signed = bland_altman(df, by, ("du", "dv", "dspeed"), F.col(weight))
     size = magnitude_limits(df, by, weight)
     turn = direction_statistics(with_direction(df), by)
-    drawn = bootstrap.intervals(df.join(cells.select(*by), by, "left_semi"), by, weight).withColumnsRenamed({s: f"ci_{s}" for s in bootstrap.STATISTICS})
     out = cells.join(signed, by).join(size, by).join(turn, by).join(drawn, by)
     limits = lambda x: F.struct(F.col(f"bias_{x}").alias("bias"), F.col(f"sd_{x}").alias("sd"), F.array(f"loa_low_{x}", f"loa_high_{x}").alias("limits_of_agreement"))
     return out.select(
@@ -194,6 +214,6 @@ def validation_artifacts(df: DataFrame, band: float, weight: str, pooling: str)
         F.struct("n_windows", "n_runs", "n_vehicles").alias("support"),
         F.struct(limits("du").alias("u"), limits("dv").alias("v"), limits("dspeed").alias("speed"), F.struct(F.col("mean_magnitude").alias("mean"), F.col("sd_magnitude").alias("sd"), *MAGNITUDE_QUANTILES).alias("vector_difference_magnitude")).alias("statistics"),
         F.struct("n_defined", "n_undefined", "mean_abs", "median_abs", "p90_abs", "p95_abs", "circular_mean", "resultant", "circular_sd").alias("direction"),
-        F.struct(F.lit("run").alias("unit"), F.lit(bootstrap.RESAMPLES).alias("n_resamples"), F.lit(bootstrap.SEED).alias("seed"), *[F.col(f"ci_{s}").alias(f"{s}_ci") for s in bootstrap.STATISTICS]).alias("bootstrap"),
+        F.struct(F.lit("run").alias("unit"), F.lit(resample.RESAMPLES).alias("n_resamples"), F.lit(resample.SEED).alias("seed"), *[F.col("_ci")[s].alias(f"{s}_ci") for s in resample.STATISTICS]).alias("bootstrap"),
         (F.col("p97_5") <= band).alias("useful"),
     )

@@ -1,28 +1,21 @@
-"""Percentile bootstrap that draws whole runs, with replacement, within strata.
+"""Percentile bootstrap that draws whole runs, with replacement, within strata: small numbers of resamples as rows.
 
 A draw is a hash of (seed, resample, stratum, slot), so that it is the same on every run,
-engine and partitioning. Biases come from sufficient statistics of runs; quantiles weigh
-each window by its run's number of draws, which stands for so many repeated rows.
+engine and partitioning, and SQL can make it too. Biases come from sufficient statistics of
+runs; quantiles weigh each window by its run's number of draws, which stands for so many
+repeated rows. For thousands of resamples see ``resample``.
 """
 
 from __future__ import annotations
 
-import os
-import zlib
 from collections.abc import Sequence
-from pathlib import Path
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordance.operators.ranking import linear_quantiles, ranked, weighted_quantiles
 
 INTERVAL = {"low": 0.025, "high": 0.975}
-#: As in the studied method; the resamples of a group are worked on in blocks.
-RESAMPLES, SEED, Z, BLOCKS = 2000, 20260827, 1.96, 8
-STATISTICS = [f"{s}_{x}" for x in ("du", "dv", "dspeed") for s in ("bias", "loa_low", "loa_high")] + ["mean_magnitude", "p95", "p97_5"]
 
 
 def numbered_runs(df: DataFrame) -> DataFrame:
@@ -51,105 +44,7 @@ def bias_interval(df: DataFrame, drawn: DataFrame, values: Sequence[str], by: Se
 
 
 def quantile_interval(df: DataFrame, drawn: DataFrame, value: str, quantile: float, by: Sequence[str]) -> DataFrame:
-    """2.5 and 97.5 percentiles over resamples of a quantile at positions (i - 1/2) / n of the repeated rows."""
-    rows = df.join(drawn, ["stratum", "run_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).withColumn("_one", F.lit(1.0))
-    each = weighted_quantiles(rows, [*by, "b"], value, "_one", {"value": quantile})
+    """2.5 and 97.5 percentiles over resamples of a quantile at positions (i - 1/2) / n of the repeated rows, which stand as one row weighed by its draws."""
+    rows = df.join(drawn, ["stratum", "run_id"])
+    each = weighted_quantiles(rows, [*by, "b"], value, "m", {"value": quantile}, copies=True)
     return linear_quantiles(each, list(by), "value", INTERVAL)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def drawn_slots(seed: int, b: int, stratum: str, runs: int) -> np.ndarray:
-    """How often each of a stratum's runs is drawn in resample ``b``; each slot's draw is a hash."""
-    start = _mixed(np.array([(seed << 32) ^ (b << 1)], np.uint64) ^ _mixed(np.array([zlib.crc32(str(stratum).encode())], np.uint64)))
-    picks = _mixed(start + np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(runs)
-    return np.bincount(picks.astype(np.int64), minlength=runs)
-
-
-def copies_quantile(value: np.ndarray, weight: np.ndarray, ends: np.ndarray, q: float) -> float:
-    """A quantile at plotting positions of repeated rows, from their running weight ``ends``; rows are sorted."""
-    target = q * ends[-1]
-    r = min(int(np.searchsorted(ends, target, "right")), int(np.searchsorted(ends, ends[-1])))
-    before, w = (ends[r - 1] if r else 0.0), weight[r]
-    copies, k = round((ends[r] - before) / w), int(np.floor((target - before) / w + 0.5))
-    k = min(max(k, 0), copies)
-    low = high = None
-    if k:
-        low = before + (k - 0.5) * w, value[r]
-    elif before > 0:
-        p = np.searchsorted(ends, before)
-        low = before - 0.5 * weight[p], value[p]
-    if k < copies:
-        high = before + (k + 0.5) * w, value[r]
-    elif ends[r] < ends[-1]:
-        p = np.searchsorted(ends, ends[r], "right")
-        high = ends[r] + 0.5 * weight[p], value[p]
-    if low is None or high is None:
-        return float((low or high)[1])
-    return float(low[1] + (high[1] - low[1]) * (target - low[0]) / (high[0] - low[0]))
-
-
-def resampled(values: dict[str, np.ndarray], weight: np.ndarray, stratum: np.ndarray, run: np.ndarray, which: Sequence[int], seed: int) -> np.ndarray:
-    """STATISTICS of each resample of one group's rows, which are (stratum, run) clusters."""
-    names, at = np.unique(stratum, return_inverse=True)
-    place, sizes = np.zeros(len(run), np.int64), []
-    for i in range(len(names)):
-        own, place[at == i] = np.unique(run[at == i], return_inverse=True)
-        place[at == i] += sum(sizes)
-        sizes.append(len(own))
-    order = np.lexsort((weight, values["magnitude"]))
-    size, w, of = values["magnitude"][order], weight[order], place[order]
-    total = sum(sizes)
-    sums = {"n": np.bincount(place, weight, total)}
-    centre = {x: float(np.average(v, weights=weight)) for x, v in values.items()}
-    for x, v in values.items():
-        sums[x] = np.bincount(place, weight * (v - centre[x]), total)
-        sums[x, 2] = np.bincount(place, weight * (v - centre[x]) ** 2, total)
-    out = []
-    for b in which:
-        m = np.concatenate([drawn_slots(seed, b, s, n) for s, n in zip(names, sizes, strict=True)])
-        n, row = float(m @ sums["n"]), []
-        for x in ("du", "dv", "dspeed"):
-            mean, square = float(m @ sums[x]) / n, float(m @ sums[x, 2])
-            sd = (max(0.0, square - n * mean * mean) / (n - 1)) ** 0.5 if n > 1 else 0.0
-            row += [mean + centre[x], mean + centre[x] - Z * sd, mean + centre[x] + Z * sd]
-        ends = np.cumsum(m[of] * w)
-        row += [float(m @ sums["magnitude"]) / n + centre["magnitude"], *[copies_quantile(size, w, ends, q) for q in (0.95, 0.975)]]
-        out.append(row)
-    return np.array(out).reshape(-1, len(STATISTICS))
-
-
-def intervals(df: DataFrame, by: Sequence[str], weight: str, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """``by`` and a [low, high] array for each of STATISTICS, over resamples of whole runs within strata.
-
-    Biases and limits of agreement come from the sums of runs, quantiles from the running
-    multiplicity of sorted rows; the draw of a resample depends on the seed, its number and the
-    stratum alone. A group's rows are held by one task for each block of resamples.
-    """
-    env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])  # so that workers can import this module
-    have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if root not in have.split(":"):
-        env["PYTHONPATH"] = f"{root}:{have}" if have else root
-    values, by = ["du", "dv", "dspeed", "magnitude"], list(by)
-    schema = ", ".join(f"{c} {t}" for c, t in df.select(*by).dtypes)
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_block")
-    rows = df.filter(F.col("magnitude").isNotNull() & ~F.isnan("magnitude")).select(*by, "stratum", "run_id", F.col(weight).cast("double").alias("_w"), *values, blocks)
-
-    def run(group: pa.Table) -> pa.Table:
-        col = lambda c: group.column(c).to_numpy()
-        which = range(int(col("_block")[0]), resamples, BLOCKS)
-        made = resampled({v: col(v) for v in values}, col("_w"), col("stratum").astype(str), col("run_id"), which, seed)
-        keys = [pa.array([group.column(c)[0].as_py()] * len(made), group.schema.field(c).type) for c in by]
-        return pa.Table.from_arrays([*keys, *[pa.array(x) for x in made.T]], names=[*by, *STATISTICS])
-
-    def ends(group: pa.Table) -> pa.Table:
-        keys = [group.column(c).slice(0, 1) for c in by]
-        pairs = [pa.array([np.percentile(group.column(s).to_numpy(), [100 * INTERVAL["low"], 100 * INTERVAL["high"]]).tolist()]) for s in STATISTICS]
-        return pa.Table.from_arrays([*keys, *pairs], names=[*by, *STATISTICS])
-
-    each = rows.groupBy(*by, "_block").applyInArrow(run, f"{schema}, " + ", ".join(f"{s} double" for s in STATISTICS))
-    return each.groupBy(*by).applyInArrow(ends, f"{schema}, " + ", ".join(f"{s} array<double>" for s in STATISTICS))

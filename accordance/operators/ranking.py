@@ -105,14 +105,15 @@ def around(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[flo
     return values.select(*by, F.col("_v").alias("v"), "n", "w", "w_min", "w_max", (F.coalesce(F.sum("n").over(before), F.lit(0)) + F.col("_n0")).alias("n0"), (F.coalesce(F.sum("w").over(before), F.lit(0.0)) + F.col("_w0")).alias("w0"), "group_n", "group_w")
 
 
-def weighted_quantiles(df: DataFrame, by: Sequence[str], value: str, weight: str, quantiles: dict[str, float]) -> DataFrame:
+def weighted_quantiles(df: DataFrame, by: Sequence[str], value: str, weight: str, quantiles: dict[str, float], copies: bool = False) -> DataFrame:
     """Quantiles at the plotting positions (weight before + half the own weight) / all weight, linear between, clamped at the ends.
 
     Rows of one value stand in the order of their weights, so that its first and last places
-    follow from its least and greatest weight.
+    follow from its least and greatest weight. ``copies``: a row stands for as many rows of weight one.
     """
     r = around(df, by, value, list(quantiles.values()), weight)
-    first, last = (F.col("w0") + F.col("w_min") * 0.5) / F.col("group_w"), (F.col("w0") + F.col("w") - F.col("w_max") * 0.5) / F.col("group_w")
+    least, most = (F.lit(1.0), F.lit(1.0)) if copies else (F.col("w_min"), F.col("w_max"))
+    first, last = (F.col("w0") + least * 0.5) / F.col("group_w"), (F.col("w0") + F.col("w") - most * 0.5) / F.col("group_w")
     v = F.col("v").cast("double")
     aggregates = []
     for name, q in quantiles.items():

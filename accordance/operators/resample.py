@@ -9,7 +9,7 @@ blocks together are one multinomial draw. Random numbers are seeded by the node,
 result depends neither on partitions nor on lost tasks.
 
 1. Biases, limits of agreement and means come from the sums of runs, which a block multiplies by
-   the multiplicities; Spark adds up the blocks.
+   the multiplicities and by the stratum's weights; Spark adds up the blocks.
 2. Quantiles: values are cut into buckets, narrow ones around the asked quantiles. The same
    product gives every resample's mass in each bucket, and so the one or two buckets in which its
    quantile lies. Buckets that are needed and hold more than ``ROWS`` rows are cut again, unless they
@@ -21,7 +21,8 @@ result depends neither on partitions nor on lost tasks.
 A task holds a block or a bucket, whatever the group's size. In a bucket of one value its least
 and greatest weight stand for those of its first and last drawn copy.
 
-Null values and values that aren't numbers are left out. No rows give no rows.
+Weights are those of a sampling design: constant within a stratum (others end the run with an
+error). Null values and values that aren't numbers are left out. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -91,7 +92,8 @@ def _key(group: pa.Table, names: Sequence[str]) -> str:
 def _bucket(value: Column, cuts: Column) -> Column:
     """How many cuts are no greater than the value, by bisection."""
     step = lambda at, width: F.when((at + width <= F.size(cuts)) & (F.get(cuts, at + width - 1) <= value), at + width).otherwise(at)
-    return F.aggregate(F.array(*[F.lit(1 << b) for b in range(9, -1, -1)]), F.lit(0), step)
+    inside = F.aggregate(F.array(*[F.lit(1 << b) for b in range(9, -1, -1)]), F.lit(0), step)
+    return F.when(value < F.get(cuts, F.lit(0)), 0).otherwise(inside)  # most values lie before the first
 
 
 def _matched(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
@@ -119,27 +121,27 @@ class _Groups:
     def edges(self) -> DataFrame:
         """For each group: cuts, centre of each value, greatest weights, and the depth of its tree of blocks."""
         out = self.rows.groupBy(*self.by).agg(
-            F.percentile_approx(SIZE, GRID, 10_000).alias("cuts"), F.approx_count_distinct(F.struct("stratum", "run_id"), 0.02).alias("_runs"),
+            F.percentile_approx(SIZE, GRID, 2000).alias("cuts"), F.approx_count_distinct("run_id").alias("_runs"),
             *[F.avg(c).alias(f"c_{c}") for c in (*SIGNED, SIZE)], *[F.max(f"w{i}").alias(f"most{i}") for i in range(len(self.weights))],
         )
-        most = F.max("_runs").over(Window.partitionBy(*self.draw_by))  # a few rows: the groups that share draws
-        bits = F.greatest(F.lit(0), F.ceil(F.log2(most / self.block))).cast("int")
+        shared = Window.partitionBy(*self.draw_by)  # a few rows: the groups that share draws
+        bits = F.greatest(F.lit(0), F.ceil(F.log2(F.max("_runs").over(shared) / self.block))).cast("int")
+        out = out.withColumn("gid", F.monotonically_increasing_id()).withColumn("did", F.min("gid").over(shared))
         return written(out.withColumn("bits", bits).withColumn("cuts", F.array_sort(F.array_distinct("cuts"))).drop("_runs"), "edges")
 
     def summed(self, edges: DataFrame) -> DataFrame:
-        """For each run and bucket: rows, moments of each weighting, least and greatest value; and the run's block and number in it."""
+        """For each run and bucket: rows, sums and squares around the group's centre, least and greatest value and weights; and the run's block and number in it."""
         d = _matched(self.rows, edges, self.by)
-        moments = []
-        for i in range(len(self.weights)):
-            w = F.col(f"w{i}")
-            moments += [F.sum(w).alias(f"m{i}_0"), *[F.sum(w * (F.col(c) - F.col(f"c_{c}"))).alias(f"m{i}_{k + 1}") for k, c in enumerate((*SIGNED, SIZE))]]
-            moments += [F.sum(w * (F.col(c) - F.col(f"c_{c}")) * (F.col(c) - F.col(f"c_{c}"))).alias(f"m{i}_{k + 2 + len(SIGNED)}") for k, c in enumerate(SIGNED)]
-            moments += [F.min(w).alias(f"least{i}"), F.max(w).alias(f"top{i}")]
-        block = F.when(F.col("bits") > 0, F.shiftrightunsigned(F.xxhash64("stratum", "run_id"), 40).bitwiseAND((F.lit(1).cast("long") * F.pow(F.lit(2), F.col("bits")).cast("long")) - 1)).otherwise(0).cast("int")
-        d = d.withColumn("bucket", _bucket(F.col(SIZE), F.col("cuts"))).withColumn("block", block)
-        out = d.groupBy(*self.by, "stratum", "run_id", "block", "bits", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min(SIZE).alias("v_min"), F.max(SIZE).alias("v_max"), *moments)
-        inside = Window.partitionBy(*self.draw_by, "stratum", "block").orderBy("run_id")  # a block's runs
-        return written(out.withColumn("idx", (F.dense_rank().over(inside) - 1).cast("int")), "run-sums")
+        off = {c: F.col(c) - F.col(f"c_{c}") for c in (*SIGNED, SIZE)}
+        moments = [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s_{c}") for c, x in off.items()], *[F.sum(off[c] * off[c]).alias(f"q_{c}") for c in SIGNED], F.min(SIZE).alias("v_min"), F.max(SIZE).alias("v_max")]
+        moments += [f(f"w{i}").alias(f"{name}{i}") for i in range(len(self.weights)) for name, f in (("least", F.min), ("top", F.max))]
+        d = d.withColumn("bucket", _bucket(F.col(SIZE), F.col("cuts"))).withColumn("sid", F.xxhash64("stratum"))
+        each = d.groupBy("gid", "sid", "run_id", "bucket").agg(*moments)  # by numbers; names come back after
+        strata = self.rows.select("stratum", F.xxhash64("stratum").alias("sid")).distinct()
+        each = each.join(edges.select("gid", "did", "bits", *self.by), "gid").join(strata, "sid")
+        block = F.when(F.col("bits") > 0, F.shiftrightunsigned(F.xxhash64("sid", "run_id"), 40).bitwiseAND(F.pow(F.lit(2), F.col("bits")).cast("long") - 1)).otherwise(0).cast("int")
+        inside = Window.partitionBy("did", "sid", "block").orderBy("run_id")  # a block's runs
+        return written(each.withColumn("block", block).withColumn("idx", (F.dense_rank().over(inside) - 1).cast("int")), "run-sums")
 
     def paths(self, sums: DataFrame) -> DataFrame:
         """For each block and stratum the runs of the nodes above it, from the root."""
@@ -155,7 +157,7 @@ class _Groups:
         width = MOMENTS + buckets
         names = [f"x{i}_{k}" for i in range(len(self.weights)) for k in range(width)]
         by, more, draw_by, resamples, seed, weights = self.by, self.more, self.draw_by, self.resamples, self.seed, len(self.weights)
-        moments = [f"m{i}_{k}" for i in range(weights) for k in range(MOMENTS)]
+        moments = ["n", *[f"s_{c}" for c in (*SIGNED, SIZE)], *[f"q_{c}" for c in SIGNED]]
 
         def run(group: pa.Table, above: pa.Table) -> pa.Table:
             kinds: dict[tuple, int] = {}
@@ -165,25 +167,28 @@ class _Groups:
             for at, stratum in enumerate(strata):
                 places.setdefault(stratum, []).append(at)
             values = np.stack([group.column(m).to_numpy() for m in moments])
-            total = np.zeros((resamples, len(kinds) * weights * width))
+            least, top = (np.stack([group.column(f"{name}{i}").to_numpy() for i in range(weights)]) for name in ("least", "top"))
+            total = np.zeros((resamples, len(kinds), weights, width))
             key = _key(group, draw_by)
             for row in above.to_pylist():
                 mine = np.array(places[row["stratum"]])
-                dense = np.zeros((row["path"][-1], total.shape[1]))
-                for i in range(weights):
-                    base = (which[mine] * weights + i) * width
-                    for k in range(MOMENTS):
-                        np.add.at(dense, (idx[mine], base + k), values[i * MOMENTS + k, mine])
-                    np.add.at(dense, (idx[mine], base + MOMENTS + bucket[mine]), values[i * MOMENTS, mine])
+                if (top[:, mine] != least[:, mine[:1]]).any() or (least[:, mine] != least[:, mine[:1]]).any():
+                    raise ValueError("weights must be constant within a stratum")
+                dense = np.zeros((row["path"][-1], len(kinds) * width))
+                for k in range(MOMENTS):
+                    np.add.at(dense, (idx[mine], which[mine] * width + k), values[k, mine])
+                np.add.at(dense, (idx[mine], which[mine] * width + MOMENTS + bucket[mine]), values[0, mine])
                 used = np.flatnonzero(dense.any(0))
                 small = dense[:, used]
                 for start, m in multiplicities(key, row["stratum"], row["block"], row["path"], resamples, seed):
-                    total[start : start + len(m), used] += m.astype(np.float64) @ small
+                    made = np.zeros((len(m), dense.shape[1]))
+                    made[:, used] = m.astype(np.float64) @ small
+                    total[start : start + len(m)] += made.reshape(len(m), len(kinds), 1, width) * least[:, mine[0]][:, None]
             out, first = [], [group.column(c)[0].as_py() for c in draw_by]
             for other, k in kinds.items():
                 keys = dict(zip(draw_by, first, strict=True)) | dict(zip(more, other, strict=True))
                 arrays = [pa.array([keys[c]] * resamples, group.schema.field(c).type) for c in by]
-                part = total[:, k * weights * width : (k + 1) * weights * width]
+                part = total[:, k].reshape(resamples, weights * width)
                 out.append(pa.Table.from_arrays([*arrays, pa.array(np.arange(resamples, dtype=np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in part.T]], names=[*by, "b", *names]))
             return pa.concat_tables(out)
 

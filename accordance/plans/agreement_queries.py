@@ -138,9 +138,31 @@ def bootstrap_quantile_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_doubles(bootstrap.quantile_interval(base, drawn, "magnitude", 0.975, ["level"]))
 
 
+#: The weight column of each pooling.
+POOLINGS = {"sample": "one", "reweighted": "design_weight"}
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of every cell. The pairs are written once, narrow; levels and axes are formed as they are read."""
+    pairs = ops.with_weights(bindings.pairs(spark, sf_dir), bindings.strata(spark, sf_dir)).drop("nation", "lat", "distance_km", "window_start", "supp", "part")
+    return ops.regime_cells(ops.differences(written(pairs, "pairs")), pooled=True)
+
+
 def validation_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ops.regime_cells(weighted(spark, sf_dir), pooled=True)
-    return ops.validation_artifacts(rows, BAND, "one", "sample").unionByName(ops.validation_artifacts(rows, BAND, "design_weight", "reweighted"))
+    return ops.validation_artifacts(_cells(spark, sf_dir), BAND, POOLINGS)
+
+
+def artifact_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of 2,000 resamples for every published cell, level, pooling and statistic."""
+    return rounded_doubles(ops.artifact_intervals(_cells(spark, sf_dir), POOLINGS))
+
+
+def forest_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest plot's rows with the interval of p97.5, cut at the plot's edge, and whether it was cut."""
+    rows = _cells(spark, sf_dir).filter("level = '100m' AND axis NOT IN ('pooled', 'stratum')")
+    ends = ops.artifact_intervals(rows, {"sample": "one"}).filter("statistic = 'p97_5'").select("axis", "cell", "low", "high")
+    out = forest_table(spark, sf_dir).join(ends, ["axis", "cell"])
+    return rounded_doubles(out.select("axis", "cell", "place", "p97_5", F.least("low", "clip").alias("low"), F.least("high", "clip").alias("high"), (F.col("high") > F.col("clip")).alias("cut"), "useful"))
 
 
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +224,7 @@ def route_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_doubles(out.join(middle, "stratum", "left"))
 
 
-QUERIES = [paired_complete, pairs_excluded, difference_series, agreement_by_stratum, agreement_pooled, agreement_reweighted, implied_population, magnitude_quantiles, weighted_quantiles, direction_stats, direction_sweep, vector_directions, estimator_ratio, regime_cells, suppressed_cells, regime_agreement, tolerance_sensitivity, mismatch_constancy, one_window_per_run, bootstrap_bias_ci, bootstrap_quantile_ci, validation_artifacts, contract_violations, variant_shift, ecdf, forest_table, outside_frame, altitude_bands, route_comparison]
+QUERIES = [paired_complete, pairs_excluded, difference_series, agreement_by_stratum, agreement_pooled, agreement_reweighted, implied_population, magnitude_quantiles, weighted_quantiles, direction_stats, direction_sweep, vector_directions, estimator_ratio, regime_cells, suppressed_cells, regime_agreement, tolerance_sensitivity, mismatch_constancy, one_window_per_run, bootstrap_bias_ci, bootstrap_quantile_ci, validation_artifacts, artifact_intervals, forest_intervals, contract_violations, variant_shift, ecdf, forest_table, outside_frame, altitude_bands, route_comparison]
 
 PAIRS = """cut AS (SELECT max(o_orderdate)::DATE - 365 AS cutoff FROM orders),
   b AS (SELECT l_orderkey AS run_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, o_custkey AS vehicle, r_name || '|' || (CASE WHEN o_orderdate::DATE >= cutoff THEN 'within' ELSE 'older' END) AS stratum, n_name AS nation,

@@ -146,37 +146,6 @@ def test_bootstrap_draws_runs_not_windows(spark):
     assert 0 <= q.low <= q.high <= 10
 
 
-@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 1.0}, {"a": 2.5, "b": 0.7}])
-def test_bootstrap_intervals_equal_brute_force(spark, weights):
-    import random
-
-    import numpy as np
-
-    rng = random.Random(2)
-    data = [window(i, cu=rng.gauss(1, 2), cv=rng.choice([0, 1, 2]), u=rng.gauss(0, 3), run=f"r{rng.randrange(25)}", stratum="a") for i in range(60)]
-    data += [window(100 + i, cu=rng.gauss(0, 1), run=f"q{rng.randrange(6)}", stratum="b") for i in range(20)]
-    base = levels(spark, data).withColumn("w", F.when(F.col("stratum") == "a", weights["a"]).otherwise(weights["b"]))
-    got = bootstrap.intervals(base, ["level"], "w", 60, 7).first()
-    rows, each = base.collect(), []
-    for b in range(60):
-        copies = []
-        for s in "ab":
-            runs = sorted({r.run_id for r in rows if r.stratum == s})
-            times = dict(zip(runs, bootstrap.drawn_slots(7, b, s, len(runs)), strict=True))
-            assert sum(times.values()) == len(runs)
-            copies += [r for r in rows if r.stratum == s for _ in range(times[r.run_id])]
-        w, one = np.array([r.w for r in copies]), []
-        for x in ("du", "dv", "dspeed"):
-            v = np.array([r[x] for r in copies])
-            mean = (w * v).sum() / w.sum()
-            sd = ((w * (v - mean) ** 2).sum() / (w.sum() - 1)) ** 0.5
-            one += [mean, mean - 1.96 * sd, mean + 1.96 * sd]
-        size = [r.magnitude for r in copies]
-        each.append([*one, (w * size).sum() / w.sum(), quantile(size, list(w), 0.95), quantile(size, list(w), 0.975)])
-    want = np.percentile(np.array(each), [2.5, 97.5], axis=0).T
-    assert np.allclose([got[s] for s in bootstrap.STATISTICS], want) and len(set(map(tuple, each))) > 50
-
-
 def test_artifacts_hold_the_intervals_of_their_bootstrap(spark):
     import os
 
