@@ -58,3 +58,21 @@ def publishable(records: DataFrame) -> DataFrame:
     """The records, failing the query for one whose code is unknown or has changes."""
     known = F.col("clean") & F.col("revision").isNotNull()
     return records.withColumn("clean", F.when(known, True).otherwise(F.raise_error(F.concat(F.lit("not publishable, its code isn't a known state: "), F.col("name")))))
+
+
+def write_arrays(df: DataFrame, path: str) -> None:
+    """JSON arrays of records, one file for each partition."""
+
+    def bracketed(frames):
+        import pandas as pd
+
+        lead = "["
+        for frame in frames:
+            if len(frame):
+                lines = [f"{lead if not i else ','}{x}" for i, x in enumerate(frame["value"])]
+                lead = ","
+                yield pd.DataFrame({"value": lines})
+        yield pd.DataFrame({"value": ["]" if lead == "," else "[]"]})
+
+    whole = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")
+    df.select(whole).mapInPandas(bracketed, "value string").write.mode("overwrite").text(path)
