@@ -117,3 +117,40 @@ def tall(pairs: DataFrame, keys: list[str], names: dict[str, str], unit: str = "
     """One row for each window and variable: feature_name, value, unit."""
     renamed = pairs.select(*keys, *[F.col(c).alias(n) for c, n in names.items()])
     return renamed.unpivot(keys, list(names.values()), "feature_name", "value").withColumn("unit", F.lit(unit))
+
+
+def sphere_nearest(windows: DataFrame, points: DataFrame, key: str, first: float = 1 / 128) -> DataFrame:
+    """The nearest of all fixed points(point_id, plat, plon) for every window, however far: (key, point_id, distance_km).
+
+    Places are unit vectors in space, so that poles and the date line are places like any other.
+    Space is cut into cubes; a window looks at its own and the 26 around it (an equi-join). What lies
+    beyond is at least a cube's edge away in a straight line, so that a find nearer than that is sure. The other
+    windows look again with cubes twice as wide, until the cubes hold the whole sphere; they are few where points are
+    dense. A window whose points are all far meets all points of its block at last. ``first`` is the first edge, of a
+    sphere of radius 1 (1/128: about 50 km). Distances are compared to the millimetre; the smaller
+    point_id wins a tie. Windows without a place get nulls; so do all if there are no points.
+    """
+    from accordance.operators.tables import written
+
+    def placed(df: DataFrame, lat: str, lon: str) -> DataFrame:
+        flat = F.cos(F.radians(lat))
+        return df.withColumns({"_x": flat * F.cos(F.radians(lon)), "_y": flat * F.sin(F.radians(lon)), "_z": F.sin(F.radians(lat))})
+
+    stations = written(placed(points.filter("plat is not null and plon is not null").select("point_id", "plat", "plon"), "plat", "plon"), "stations")
+    left = written(placed(windows.select(F.col(key).alias("_key"), "lat", "lon"), "lat", "lon"), "windows")
+    km, found, edge = rounded(haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))), None, first
+    around = F.transform(F.sequence(F.lit(0), F.lit(26)), lambda i: F.struct((i % 3 - 1).alias("x"), (F.floor(i / 3) % 3 - 1).alias("y"), (F.floor(i / 9) - 1).alias("z")))
+    while True:
+        at = lambda c, e=edge: F.floor(F.col(c) / e).cast("long")
+        asked = left.filter("_x is not null").withColumn("_o", F.explode(around)).select("_key", "lat", "lon", *[(at(f"_{c}") + F.col(f"_o.{c}")).alias(f"_c{c}") for c in "xyz"])
+        cubes = stations.select("point_id", "plat", "plon", *[at(f"_{c}").alias(f"_c{c}") for c in "xyz"])
+        best = asked.join(cubes, ["_cx", "_cy", "_cz"]).groupBy("_key").agg(F.min(F.struct(km.alias("km"), "point_id")).alias("best"))
+        straight = 2 * EARTH_RADIUS_KM * F.asin(F.lit(min(1.0, edge / 2)))  # along the ground
+        last = edge > 2
+        sure = F.lit(True) if last else F.coalesce(F.col("best.km") < straight - 1e-5, F.lit(False))
+        looked = written(left.join(best, "_key", "left").withColumn("_sure", sure), "looked")
+        done = looked.filter("_sure").select(F.col("_key").alias(key), F.col("best.point_id").alias("point_id"), F.col("best.km").alias("distance_km"))
+        found = done if found is None else found.union(done)
+        left, edge = looked.filter("not _sure").drop("best", "_sure"), edge * 2
+        if last or left.isEmpty():
+            return found

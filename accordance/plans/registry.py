@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accordance.plans import agreement_queries, context_queries, frame_queries, record_queries
+from accordance.plans import agreement_queries, context_queries, frame_queries, record_queries, source_queries
 
-MODULES = (frame_queries, agreement_queries, context_queries, record_queries)
+MODULES = (frame_queries, agreement_queries, context_queries, record_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -46,14 +46,14 @@ def parquet_footers(spark: SparkSession, root: str, pattern: str = "*.parquet")
 
 
 def topic_presence(footers: DataFrame, required: dict[str, list[str]]) -> DataFrame:
-    """(run_id, topic, rows, columns, complete) for each topic file run/topic.parquet: the columns it declares, and whether all required ones are among them.
+    """(run_id, topic, files, rows, columns, complete) from footers with run_id and topic: the columns that all files of a topic declare, and whether the required ones are among them.
 
-    A topic whose file is missing has no row; an unreadable file counts as absent, its columns being null.
+    A topic without files has no row; one with a file that can't be read counts as absent: its rows and columns are null.
     """
-    at = lambda i: F.element_at(F.split("path", "/"), i)
-    named = footers.withColumn("run_id", at(-2)).withColumn("topic", F.regexp_replace(at(-1), r"\.parquet$", ""))
-    own = named.groupBy("run_id", "topic").agg(F.first("rows").alias("rows"), F.max("readable").alias("readable"), F.array_sort(F.collect_set("column")).alias("_c"))
+    files = footers.groupBy("run_id", "topic", "path").agg(F.first("rows").alias("rows"), F.first("readable").alias("readable"), F.collect_set("column").alias("_c"))  # a file's columns
+    shared = F.aggregate("_all", F.get("_all", F.lit(0)), lambda x, y: F.array_intersect(x, y))
+    own = files.groupBy("run_id", "topic").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.bool_and("readable").alias("readable"), F.collect_set("_c").alias("_all")).withColumn("_c", F.array_sort(shared))
     complete = F.lit(True)
     for topic, columns in required.items():
         complete = F.when(F.col("topic") == topic, F.size(F.array_except(F.array(*map(F.lit, columns)), "_c")) == 0).otherwise(complete)
-    return own.select("run_id", "topic", F.when(F.col("readable"), F.col("rows")).alias("rows"), F.when(F.col("readable"), F.array_join("_c", ",")).alias("columns"), (F.col("readable") & complete).alias("complete"))
+    return own.select("run_id", "topic", "files", F.when(F.col("readable"), F.col("rows")).alias("rows"), F.when(F.col("readable"), F.array_join("_c", ",")).alias("columns"), (F.col("readable") & complete).alias("complete"))
