@@ -94,6 +94,12 @@ def required_marker(when: Column, start: str, stop: str, stop_preliminary: str)
     return F.when(marker.isNull(), F.raise_error(F.concat(F.lit("outside the field's coverage: "), F.coalesce(when.cast("string"), F.lit("null"))))).otherwise(marker)
 
 
+def markers_of(marker: Column) -> Column:
+    """An aggregate: a retrieval's distinct markers, sorted and comma-joined; the query fails if there is none, as its release can't be told any more."""
+    found = F.array_sort(F.collect_set(F.when(F.trim(marker) != "", marker)))
+    return F.when(F.size(found) == 0, F.raise_error(F.lit("no release marker"))).otherwise(F.array_join(found, ","))
+
+
 def flags(*named: tuple[str, Column]) -> Column:
     """The names whose condition holds, in the given order."""
     return F.filter(F.array(*[F.when(condition, F.lit(name)) for name, condition in named]), lambda x: x.isNotNull())

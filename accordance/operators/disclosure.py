@@ -75,7 +75,7 @@ def guarded(rows: DataFrame, axes: dict[str, Column], min_runs: int = MIN_RUNS,
     while True:
         shown = np.array([np.ones(len(combos)), *[inside[k] for k, s in state.items() if s == "published"]])
         kept = [k for k, s in state.items() if s != "published"]
-        open_cells = [k for k, d in zip(kept, derivable(shown, np.array([inside[k] for k in kept]).reshape(len(kept), -1)), strict=True) if d and state[k] == "primary"]
+        open_cells = [k for k, d in zip(kept, derivable(shown, np.array([inside[k] for k in kept]).reshape(len(kept), len(combos))), strict=True) if d and state[k] == "primary"]
         if not open_cells or not any([hide(axis) for axis in dict.fromkeys(a for a, _ in open_cells)] or [False]) and not any([hide(axis) for axis in names]):
             break
     marked = spark.createDataFrame([(*k, s) for k, s in state.items()], STATES)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from accordance.operators.tables import written
 
 BUCKETS = 32
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 #: Cells of a span, rows up to which a group or a cell isn't cut, and levels of cutting at most.
 CELLS, SMALL, LARGE, LEVELS = 512, 1000, 1_000_000, 12
 
@@ -33,11 +34,12 @@ def _on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> tuple[DataFr
     return right, condition
 
 
-def ranked(df: DataFrame, by: Sequence[str], value: str, ties: Sequence[str] = (), weight: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+def ranked(df: DataFrame, by: Sequence[str], value: str, ties: Sequence[str] = (), weight: str | None = None, buckets: int = BUCKETS, large: int = LARGE) -> DataFrame:
     """``df`` with rank (from 1), group_n, and, if weighted, weight_before and group_weight.
 
-    Rows are ordered by value and then by ``ties``, which should make the order total. The
-    rows of one value are numbered by one task, as their order is that of ``ties``.
+    Rows are ordered by value and then by ``ties``, which should make the order total. A value
+    of more than ``large`` rows has a bucket of its own, whose rows are ranked by the first of ``ties`` in
+    the same way; so one value is numbered by many tasks as long as ties that are numbers tell its rows apart.
     Null values are left out, as are values that aren't numbers.
     """
     by = list(by) or ["_all"]
@@ -49,17 +51,32 @@ def ranked(df: DataFrame, by: Sequence[str], value: str, ties: Sequence[str] = (
     d = df.join(right, condition).drop(*[f"_{n}" for n in by])
     # how many cuts lie below the value, by bisection
     step = lambda at, width: F.when((at + width <= F.size("_cuts")) & (F.get("_cuts", at + width - 1) < F.col(value)), at + width).otherwise(at)
-    d = d.withColumn("_bucket", F.aggregate(F.array(*[F.lit(1 << b) for b in range(buckets.bit_length() - 1, -1, -1)]), F.lit(0), step)).drop("_cuts")
+    d = d.withColumn("_bucket", F.aggregate(F.array(*[F.lit(1 << b) for b in range(buckets.bit_length() - 1, -1, -1)]), F.lit(0), step))
+    own = F.coalesce(F.get("_cuts", "_bucket") == F.col(value), F.lit(False)).cast("int")  # a value that is a cut has a bucket of its own
+    d = d.withColumn("_bucket", F.col("_bucket") * 2 + own).drop("_cuts")
     mass = F.col(weight) if weight else F.lit(1)
-    sums = d.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum(mass).alias("_w"))
+    sums = d.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum(mass).alias("_w"), (F.min(value) == F.max(value)).alias("_one"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    sums = sums.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_w0"), F.sum("_n").over(whole).alias("group_n"), F.sum("_w").over(whole).alias("group_weight"))
-    right, condition = _on(d, sums, [*by, "_bucket"])
+    sums = sums.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_w0"), F.sum("_n").over(whole).alias("group_n"), F.sum("_w").over(whole).alias("group_weight"), (F.col("_one") & (F.col("_n") > large)).alias("_hot"))
+    splits = bool(ties) and dict(df.dtypes)[ties[0]] in _NUMBERS
+    if splits:
+        sums = written(sums, "buckets")
+        splits = not sums.filter("_hot").isEmpty()
+    if splits:  # a few buckets
+        hot, condition = _on(d, sums.filter("_hot").select(*by, "_bucket"), [*by, "_bucket"])
+        inner = ranked(d.join(hot, condition, "left_semi"), [*by, "_bucket"], ties[0], ties[1:], weight, buckets, large).withColumnRenamed("rank", "_rn").drop("group_n", "group_weight")
+        inner = inner.withColumnRenamed("weight_before", "_wr") if weight else inner
+        hot, condition = _on(d, sums.filter("_hot").select(*by, "_bucket"), [*by, "_bucket"])
+        d, rest = d.join(hot, condition, "left_anti"), inner
+    sums = sums.drop("_hot")
     inside = Window.partitionBy(*by, "_bucket").orderBy(value, *ties)
     d = d.withColumn("_rn", F.row_number().over(inside))
     if weight:
         d = d.withColumn("_wr", F.sum(mass).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight))
+    if splits:
+        d = d.unionByName(rest)
+    right, condition = _on(d, sums, [*by, "_bucket"])
     d = d.join(right, condition)
     d = d.withColumn("rank", F.col("_rn") + F.col("_n0"))
     if weight:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordance.functions.classify import altitude_band, rounded, sigma_band
+from accordance.functions.classify import altitude_band, exclusion_id, markers_of, release_marker, rounded, sigma_band
 from accordance.functions.geometry import grid_index
 from accordance.operators import context, disclosure, json_schema
 from accordance.operators.tables import written
 from accordance.plans import agreement_queries, bindings, context_queries
 from accordance.plans.record_queries import _folder
 from accordance.session import table
-from accordance.sources import array_source, chunks, footers, sinks
+from accordance.sources import array_source, chunks, footers, readers, sinks
 from accordance.sources.versions import Versions
 from accordance.streaming import late
 
@@ -129,7 +129,76 @@ def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("batch", "late").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
-QUERIES = [json_array_scan, chunked_point_reads, topic_footers, nested_schema_violations, disclosure_guard, release_gaps, nearest_station_far, restated_events, late_events]
+def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field in two archives, the second in single precision, shifted in some rows and without some columns: read at the windows' points and compared value by value, by day."""
+    hour = lambda c: F.floor(F.unix_micros(c) / 3_600_000_000).cast("long")
+    field = written(bindings.grid(spark, sf_dir).select(hour("time").alias("t"), F.col("lat_index").alias("la"), (F.col("lon_index") + WEST).alias("lo"), "u100"), "field")
+    other = field.withColumn("u100", F.when(F.col("lo") % 7 != 0, F.when(F.col("la") % 5 == 0, F.col("u100") + 0.25).otherwise(F.col("u100"))))
+    asked = written(bindings.daily(spark, sf_dir).select(hour("window_start").alias("t"), grid_index(F.col("lat")).alias("la"), (grid_index(F.col("lon")) + WEST).alias("lo")), "points")
+    read = []
+    for name, rows, kind in (("a", field, "<f8"), ("b", other, "<f4")):
+        root = _folder(spark, f"route-{name}")
+        chunks.write_chunks(rows, root, ["u100"], chunks.header(SHAPE, BOX, kind)).write.format("noop").mode("overwrite").save()
+        read.append(chunks.read_points(asked, root, ["u100"]).select("t", "la", "lo", F.col("u100").alias(name)))
+    both = read[0].join(read[1], ["t", "la", "lo"]).withColumn("gap", F.abs(F.col("a") - F.col("b")))
+    day = F.date_format(F.timestamp_seconds(F.col("t") * 3600), "yyyy-MM-dd").alias("day")
+    return both.groupBy(day).agg(F.count("gap").alias("compared"), F.count_if(F.col("gap") > 1e-6).alias("differing"), F.count_if(F.col("a").isNotNull() & F.col("b").isNull()).alias("only_a"), rounded(F.max("gap")).alias("largest_gap"))
+
+
+def field_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's request for a day of the field: its hours and box; a span that can't be asked for would fail the query."""
+    rows = bindings.samples(spark, sf_dir)
+    spans = rows.groupBy("run_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.floor(F.min("lat")).alias("south"), F.ceil(F.max("lat")).alias("north"))
+    hours = F.transform(readers.asked_hours(F.col("start"), F.col("end")), lambda h: F.date_format(h, "HH:00"))
+    return spans.select("run_id", "day", F.array_join(hours, ",").alias("hours"), F.col("south").cast("long").alias("south"), F.col("north").cast("long").alias("north"))
+
+
+def release_markers_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The markers of each region's windows; a region without any would fail the query."""
+    rows = bindings.pairs(spark, sf_dir)
+    return rows.groupBy(F.substring_index("stratum", "|", 1).alias("region")).agg(markers_of(release_marker(F.col("window_start"), *bindings.COVERAGE)).alias("markers"))
+
+
+def run_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written by nation as run directories, and the directories as they are listed."""
+    root = _folder(spark, "runs")
+    table(spark, sf_dir, "supplier").withColumn("run", F.col("s_nationkey")).write.partitionBy("run").parquet(root)
+    return readers.run_directories(spark, root).select(F.regexp_replace("run_id", "run=", "").cast("long").alias("run")).filter("run is not null")
+
+
+def log_magic_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files, some with a log's first bytes and some too short: how many are logs."""
+    root = _folder(spark, "logs")
+    magic = bytes.fromhex(readers.LOG_MAGIC).decode()
+    rows = table(spark, sf_dir, "nation")
+    head = F.when(F.col("n_nationkey") % 3 == 0, F.lit("no log")).otherwise(F.lit(magic))
+    rows.select("n_nationkey", F.concat(head, F.repeat(F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, 1000).otherwise(100))).alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(root)
+    return readers.log_files(spark, root).filter("log_id LIKE 'part-%'").groupBy("available").agg(F.count(F.lit(1)).alias("files"))
+
+
+def exclusion_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objections that name a log by its id, by a link to its file or by a page's address: normalised, and the runs that they meet."""
+    rows = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_orderkey").alias("k"))
+    text = F.col("k").cast("string")
+    form = F.when(F.col("k") % 3 == 0, F.concat(F.lit(" "), text, F.lit(" "))).when(F.col("k") % 3 == 1, F.concat(F.lit("https://logs.example/files/"), text, F.lit(".ulg"))).otherwise(F.concat(F.lit("https://logs.example/plot?log_id="), text, F.lit("&page=2")))
+    named = rows.select(exclusion_id(form).alias("log_id"), (F.col("k") % 3).alias("form"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("log_id"))
+    return lines.join(named, "log_id").groupBy("form").agg(F.count(F.lit(1)).alias("windows"), F.count_distinct("log_id").alias("runs"))
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made of two inputs, its manifest with their digests, and whether the manifest keeps its rules."""
+    customers, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    made = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"))
+    record = sinks.recorded(made, _folder(spark, "by-nation"), "by-nation", 7, "r1", True)
+    out = written(sinks.manifest(record, {"customer": customers, "nation": nations}), "manifest")
+    broken = json_schema.violations(out, "name", "manifest", sinks.MANIFEST).groupBy(F.col("key").alias("name")).agg(F.count(F.lit(1)).alias("broken"))
+    field = lambda path: F.get_json_object("manifest", path)
+    own = out.select("name", field("$.rows").cast("long").alias("rows"), field("$.inputs[0].rows").cast("long").alias("customer_rows"), field("$.inputs[1].rows").cast("long").alias("nation_rows"))
+    return own.join(broken, "name", "left").select("name", "rows", "customer_rows", "nation_rows", F.coalesce("broken", F.lit(0)).cast("long").alias("broken"))
+
+
+QUERIES = [json_array_scan, chunked_point_reads, topic_footers, nested_schema_violations, disclosure_guard, release_gaps, nearest_station_far, restated_events, late_events, route_files, field_requests, release_markers_required, run_listing, log_magic_files, exclusion_references, manifests]
 
 P, C = agreement_queries.PAIRS, context_queries
 R = agreement_queries.R
@@ -159,4 +228,13 @@ ORACLES = {
     "restated_events": """SELECT CASE WHEN event_id % 10 = 9 THEN 'added' ELSE 'changed' END AS change, count(*) AS n, sum(event_id)::BIGINT AS keys FROM events WHERE event_id % 10 = 9 OR event_type = 'purchase' GROUP BY 1 UNION ALL SELECT 'rows', count(*), sum(event_id)::BIGINT FROM events""",
     "late_events": """WITH b AS (SELECT event_id, ts, (event_id % 3)::INT AS batch, epoch_us(date_trunc('hour', ts) + INTERVAL 1 HOUR) // 1000 AS stop FROM events), m AS (SELECT batch, epoch_us(max(ts)) // 1000 AS top FROM b GROUP BY batch),
       k AS (SELECT b.*, coalesce(stop <= (SELECT max(top) FROM m WHERE m.batch < b.batch) - 7200000, false) AS late FROM b) SELECT batch, late, count(*) AS n, sum(event_id)::BIGINT AS ids FROM k GROUP BY ALL""",
+    "route_files": f"""WITH {C.FIELD}, q AS (SELECT DISTINCT window_start, la, lo FROM daily), x AS (SELECT q.*, u100 AS a, CASE WHEN (q.lo + {WEST}) % 7 <> 0 THEN u100 + CASE WHEN q.la % 5 = 0 THEN 0.25e0 ELSE 0e0 END END AS b FROM q LEFT JOIN grid g ON g.time = window_start AND g.la = q.la AND g.lo = q.lo)
+      SELECT strftime(window_start, '%Y-%m-%d') AS day, count(abs(a - b)) AS compared, count_if(abs(a - b) > 1e-6)::BIGINT AS differing, count_if(a IS NOT NULL AND b IS NULL)::BIGINT AS only_a, {R('max(abs(a - b))', 'largest_gap')} FROM x GROUP BY 1""",
+    "field_requests": f"""WITH {C.SAMPLES}, s AS (SELECT run_id, strftime(ts, '%Y-%m-%d') AS day, min(ts) AS a, max(ts) AS b, floor(min(lat))::BIGINT AS south, ceil(max(lat))::BIGINT AS north FROM samples GROUP BY ALL)
+      SELECT run_id, day, array_to_string(list_transform(range(date_part('hour', a)::BIGINT, date_part('hour', b)::BIGINT + 1), lambda h: lpad(h::VARCHAR, 2, '0') || ':00'), ',') AS hours, south, north FROM s""",
+    "release_markers_required": f"SELECT r_name AS region, array_to_string(list_sort(list(DISTINCT CASE WHEN l_shipdate::DATE < DATE '{bindings.COVERAGE[0]}' THEN NULL WHEN l_shipdate::DATE <= DATE '{bindings.COVERAGE[1]}' THEN '0001' WHEN l_shipdate::DATE <= DATE '{bindings.COVERAGE[2]}' THEN '0005' END)), ',') AS markers FROM {C.PAIR_YEARS} GROUP BY 1",
+    "run_listing": "SELECT DISTINCT s_nationkey::BIGINT AS run FROM supplier",
+    "log_magic_files": "SELECT n_nationkey % 3 <> 0 AND 8 + length(n_name) * CASE WHEN n_nationkey % 2 = 0 THEN 1000 ELSE 100 END >= 4096 AS available, count(*) AS files FROM nation GROUP BY 1",
+    "exclusion_references": "SELECT o_orderkey % 3 AS form, count(*) AS windows, count(DISTINCT o_orderkey) AS runs FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 300000 GROUP BY 1",
+    "manifests": "SELECT 'by-nation' AS name, (SELECT count(DISTINCT c_nationkey) FROM customer) AS rows, (SELECT count(*) FROM customer) AS customer_rows, (SELECT count(*) FROM nation) AS nation_rows, 0::BIGINT AS broken",
 }

@@ -87,6 +87,13 @@ def hours_spanned(start: Column, end: Column) -> Column:
     return F.when((start <= end) & (F.trunc(start, "month") == F.trunc(end, "month")), F.sequence(lo, hi, F.expr("interval 1 hour")))
 
 
+def asked_hours(start: Column, end: Column) -> Column:
+    """As ``hours_spanned``, but a span that runs backwards, crosses a month or has no end fails the query."""
+    hours = hours_spanned(start, end)
+    said = F.when(start.isNull() | end.isNull(), "a request without start or end").when(end < start, "a request that ends before it starts").otherwise("a request over more than one month; split it")
+    return F.when(hours.isNull(), F.raise_error(said)).otherwise(hours)
+
+
 def request_key(request: Column) -> Column:
     """A short digest of a request's canonical JSON; give a struct with its fields in sorted order."""
     return F.substring(F.sha2(F.to_json(request), 256), 1, 16)
