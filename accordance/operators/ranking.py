@@ -65,7 +65,9 @@ def ranked(df: DataFrame, by: Sequence[str], value: str, ties: Sequence[str] = (
         splits = not sums.filter("_hot").isEmpty()
     if splits:  # a few buckets
         hot, condition = _on(d, sums.filter("_hot").select(*by, "_bucket"), [*by, "_bucket"])
-        inner = ranked(d.join(hot, condition, "left_semi"), [*by, "_bucket"], ties[0], ties[1:], weight, buckets, large).withColumnRenamed("rank", "_rn").drop("group_n", "group_weight")
+        own = f"_in{len(by)}"  # the bucket is a key of the inner ranks
+        inner = ranked(d.join(hot, condition, "left_semi").withColumnRenamed("_bucket", own), [*by, own], ties[0], ties[1:], weight, buckets, large)
+        inner = inner.withColumnsRenamed({"rank": "_rn", own: "_bucket"}).drop("group_n", "group_weight")
         inner = inner.withColumnRenamed("weight_before", "_wr") if weight else inner
         hot, condition = _on(d, sums.filter("_hot").select(*by, "_bucket"), [*by, "_bucket"])
         d, rest = d.join(hot, condition, "left_anti"), inner
