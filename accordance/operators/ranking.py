@@ -4,10 +4,10 @@ Ranks of all rows: a group is cut at approximate quantiles of its values into bu
 and weights of buckets are running-summed (a few rows a group), and rows are numbered within
 their bucket. So the rows of one large group are ranked by many tasks, and ranks are exact.
 
-Quantiles need no sort of all rows: a group's span of values is cut into equal cells, whose
-counts and weights, running-summed, tell in which cells the asked quantiles lie. Only the
-values of these cells are looked at again, equal values as one. A cell with too many rows
-(far outliers make such cells) is cut again, until it is small or holds a single value.
+Quantiles need no sort of all rows: a first read counts rows and weights in cells, of a width
+in proportion to the values, whose running sums tell in which cells the asked quantiles lie. A
+second read looks at the values of these cells alone, equal values as one. A cell with too many rows
+is cut again into equal parts, until it is small or holds a single value.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from accordance.operators.tables import written
 
 BUCKETS = 32
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
-#: Cells of a span, rows up to which a group or a cell isn't cut, and levels of cutting at most.
-CELLS, SMALL, LARGE, LEVELS = 512, 1000, 1_000_000, 12
+#: Cells of an octave; cells of a span, rows up to which a group or a cell isn't cut, and levels of cutting at most.
+OCTAVE, CELLS, SMALL, LARGE, LEVELS = 256, 512, 1000, 1_000_000, 12
 
 
 def _on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Column]:
@@ -88,6 +88,18 @@ def ranked(df: DataFrame, by: Sequence[str], value: str, ties: Sequence[str] = (
     return d.drop("_bucket", "_rn", "_wr", "_n0", "_w0", "_all", "__all", *[f"_{n}" for n in [*by, "_bucket"]])
 
 
+def octave_cell(x: Column) -> Column:
+    """Numbers in order as cells in order: each octave of magnitude is cut into ``OCTAVE`` equal cells. No look at the data is needed to place them.
+
+    A logarithm that is rounded across a power of two is made good by the part within the octave.
+    """
+    size = F.abs(x)
+    octave = F.floor(F.log2(size))
+    inside = F.floor(size / F.pow(F.lit(2.0), octave) * OCTAVE) - OCTAVE
+    place = F.when(size == float("inf"), F.lit(4000 * OCTAVE)).otherwise((octave + 1100) * OCTAVE + inside)
+    return F.when(size > 0, F.signum(x) * place).otherwise(0).cast("int")
+
+
 def around(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], weight: str | None = None, large: int = LARGE) -> DataFrame:
     """The distinct values near the asked quantiles of each group, exact and in their place.
 
@@ -99,10 +111,18 @@ def around(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[flo
     mass = F.col(weight).cast("double") if weight else F.lit(1.0)
     base = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).alias("_v"), mass.alias("_w"))
     x = F.col("_v").cast("double")
-    spans = base.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(F.lit(1)).alias("_n"), F.count(F.lit(1)).alias("group_n"), F.sum("_w").alias("group_w"), F.max("_w").alias("_most"))
-    spans = written(spans.withColumn("_n0", F.lit(0).cast("long")).withColumn("_w0", F.lit(0.0)), "spans")  # read by every later step
-    rows, keys = base, by
-    for level in range(LEVELS):
+    rows, keys, whole = base.withColumn("_cell0", octave_cell(x)), [*by, "_cell0"], Window.partitionBy(*by)
+    before = whole.orderBy("_cell0").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_cw"), F.max("_w").alias("_cm"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    sums = sums.select(*keys, "_lo", "_hi", "_n", "_cw", F.sum("_n").over(whole).alias("group_n"), F.sum("_cw").over(whole).alias("group_w"), F.max("_cm").over(whole).alias("_most"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_cw").over(before), F.lit(0.0)).alias("_w0"))
+    near = F.lit(False)
+    for q in quantiles:
+        place, reach = F.col("group_w") * F.lit(float(q)), F.col("_most") * 2
+        near |= (F.col("_w0") <= place + reach) & (F.col("_w0") + F.col("_cw") >= place - reach)
+    spans = written(sums.filter(near).drop("_cw"), "spans")
+    for level in range(1, LEVELS):
+        if spans.filter((F.col("_n") > large) & (F.col("_hi") > F.col("_lo"))).isEmpty():
+            break
         cell = F.when((F.col("_n") <= SMALL) | (F.col("_hi") <= F.col("_lo")), 0).otherwise(F.least(F.lit(CELLS - 1), F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS))).cast("int")
         right, condition = _on(rows, spans.select(*keys, "_lo", "_hi", "_n"), keys)
         rows = rows.join(right, condition).withColumn(f"_cell{level}", cell).select(*keys, f"_cell{level}", "_v", "_w")
@@ -110,14 +130,8 @@ def around(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[flo
         right, condition = _on(sums, spans.select(*keys, "_n0", "_w0", "group_n", "group_w", "_most"), keys)
         before = Window.partitionBy(*keys).orderBy(f"_cell{level}").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.join(right, condition).select(*keys, f"_cell{level}", F.col("_clo").alias("_lo"), F.col("_chi").alias("_hi"), F.col("_cn").alias("_n"), "group_n", "group_w", "_most", "_cw", (F.coalesce(F.sum("_cn").over(before), F.lit(0)) + F.col("_n0")).alias("_n0"), (F.coalesce(F.sum("_cw").over(before), F.lit(0.0)) + F.col("_w0")).alias("_w0"))
-        near = F.lit(False)
-        for q in quantiles:
-            place, reach = F.col("group_w") * F.lit(float(q)), F.col("_most") * 2
-            near |= (F.col("_w0") <= place + reach) & (F.col("_w0") + F.col("_cw") >= place - reach)
         keys = [*keys, f"_cell{level}"]
         spans = written(sums.filter(near).select(*keys, "_lo", "_hi", "_n", "group_n", "group_w", "_most", "_n0", "_w0"), "spans")
-        if spans.filter((F.col("_n") > large) & (F.col("_hi") > F.col("_lo"))).isEmpty():
-            break
     right, condition = _on(rows, spans.select(*keys, "_n0", "_w0", "group_n", "group_w"), keys)
     values = rows.join(right, condition).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), F.min("_w").alias("w_min"), F.max("_w").alias("w_max"), *[F.first(c).alias(c) for c in ("_n0", "_w0", "group_n", "group_w")])
     before = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)

@@ -19,6 +19,16 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.differences(bindings.pairs(spark, sf_dir))
 
 
+def _kept_levels(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """As ``_levels``, from a narrow table written once, for what reads the rows more than once."""
+    columns = ["stratum", "onboard_u", "onboard_v", "u100", "v100", "u10", "v10", "one", *names]
+    return ops.differences(written(bindings.pairs(spark, sf_dir).select(*columns), "pairs"))
+
+
+#: What the axes of cells and the counts for publication read.
+CELL_COLUMNS = ("run_id", "vehicle", "airframe", "has_airspeed", "var_u", "var_v", "season", "height_m")
+
+
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.with_weights(_levels(spark, sf_dir), bindings.strata(spark, sf_dir))
 
@@ -60,7 +70,7 @@ def implied_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def magnitude_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ops.magnitude_limits(_levels(spark, sf_dir), ["level", "stratum"], "one")
+    out = ops.magnitude_limits(_kept_levels(spark, sf_dir), ["level", "stratum"], "one")
     return rounded_doubles(out.withColumn("useful", F.col("p97_5") <= BAND))
 
 
@@ -69,12 +79,12 @@ def weighted_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def direction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_doubles(ops.direction_statistics(ops.with_direction(_levels(spark, sf_dir)), ["level", "stratum"]))
+    return rounded_doubles(ops.direction_statistics(ops.with_direction(_kept_levels(spark, sf_dir)), ["level", "stratum"]))
 
 
 def direction_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directions under several speed thresholds, in one pass."""
-    rows = _levels(spark, sf_dir).withColumn("threshold", F.explode(F.array(*map(F.lit, (1.0, 2.0, 3.0)))))
+    rows = _kept_levels(spark, sf_dir).withColumn("threshold", F.explode(F.array(*map(F.lit, (1.0, 2.0, 3.0)))))
     return rounded_doubles(ops.direction_statistics(ops.with_direction(rows, F.col("threshold")), ["level", "threshold"]))
 
 
@@ -104,14 +114,14 @@ def suppressed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regime_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ops.regime_cells(_levels(spark, sf_dir))
+    rows = ops.regime_cells(_kept_levels(spark, sf_dir, *CELL_COLUMNS))
     by = ["axis", "cell", "level"]
     cells = ops.suppressed_split(rows, by).filter("published").drop("published")
     return rounded_doubles(cells.join(ops.bland_altman(rows, by, ("du", "dv")), by).join(ranking.weighted_quantiles(rows, by, "magnitude", "one", {"p50": 0.5, "p97_5": 0.975}), by))
 
 
 def tolerance_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_doubles(ops.tolerance_sensitivity(_levels(spark, sf_dir), BAND), "cap_km")
+    return rounded_doubles(ops.tolerance_sensitivity(_kept_levels(spark, sf_dir, "run_id", "vehicle", "distance_km"), BAND), "cap_km")
 
 
 def mismatch_constancy(spark: SparkSession, sf_dir: str) -> DataFrame:

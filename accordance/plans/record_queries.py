@@ -199,7 +199,8 @@ def join_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def artifact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The artifacts flat: every axis cell, the strata and all together, at both levels and under both weightings."""
-    rows = ops.regime_cells(pairs_sql.weighted(spark, sf_dir), pooled=True)
+    levels = pairs_sql._kept_levels(spark, sf_dir, *pairs_sql.CELL_COLUMNS)
+    rows = ops.regime_cells(ops.with_weights(levels, bindings.strata(spark, sf_dir)), pooled=True)
     by = ["axis", "cell", "level"]
     cells = ops.suppressed_split(rows, by).filter("published").drop("published")
     out = None
