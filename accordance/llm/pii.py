@@ -263,9 +263,10 @@ def rewritten(kind: str, value: str) -> list[str]:
         local, _, domain = value.partition("@")
         return [f"{local} @ {domain}", f"{local}@ {domain}", f"{local} [at] {domain}"]
     if kind == "phone":
-        return [f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}", f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}"]
+        a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+        return [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}/{b}-{c}", f"({a}){b}-{c}"]
     if kind == "card":
-        return [".".join(digits[i : i + 4] for i in range(0, len(digits), 4))]
+        return [mark.join(digits[i : i + 4] for i in range(0, len(digits), 4)) for mark in (".", "/", "_", " - ")]
     return []
 
 
@@ -284,6 +285,7 @@ def written(count: int = WRITTEN, seed: int = 4) -> list[tuple[str, list[Span]]]
     harmless = [
         lambda: f"{rng.randint(1, 30)}.{rng.randint(0, 9)}", lambda: f"{rng.randint(1900, 2030)}", lambda: f"{rng.randint(1, 12)}/{rng.randint(1, 28)}/{rng.randint(1990, 2030)}", lambda: f"{draw(low, 4)}{rng.randint(1, 99)}", lambda: f"{draw(upper[:26], 3)}-{rng.randint(1, 999)}",
         lambda: f"{rng.randint(1, 999)},{rng.randint(100, 999)}", lambda: f"${rng.randint(1, 99)}.{rng.randint(10, 99)}", lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", lambda: f"{rng.randint(1, 40)}.", lambda: f"{name()} = {rng.randint(1, 99)}",
+        lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"{rng.randint(0, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", lambda: f"{rng.randint(1, 99)}.{rng.randint(100, 999)}.{rng.randint(100, 999)}", lambda: f"{rng.randint(1, 99)} {rng.randint(100, 999)} {draw(low, 4)}", lambda: f"{rng.randint(100, 999)}-{rng.randint(10, 99)}",
     ]
     out = []
     for _ in range(count):
