@@ -41,6 +41,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: The kinds in the order of their spans; base patterns exist for the first four.
 ALL_KINDS = (*KINDS, "secret")
 SAMPLE, WRITTEN, EPOCHS, REACH, DIMS, WIDE, LONGEST = 800, 40, 40, 2, 1 << 12, 8, 24
+#: How many digits an added span of a kind may have, as in the base.
+_DIGITS = {"phone": (10, 15), "card": (14, 19)}
 #: An @ with its domain. What stands before it is looked up by hand, so that long runs cost linear time.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -285,7 +287,7 @@ def written(count: int = WRITTEN, seed: int = 4) -> list[tuple[str, list[Span]]]
     harmless = [
         lambda: f"{rng.randint(1, 30)}.{rng.randint(0, 9)}", lambda: f"{rng.randint(1900, 2030)}", lambda: f"{rng.randint(1, 12)}/{rng.randint(1, 28)}/{rng.randint(1990, 2030)}", lambda: f"{draw(low, 4)}{rng.randint(1, 99)}", lambda: f"{draw(upper[:26], 3)}-{rng.randint(1, 999)}",
         lambda: f"{rng.randint(1, 999)},{rng.randint(100, 999)}", lambda: f"${rng.randint(1, 99)}.{rng.randint(10, 99)}", lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", lambda: f"{rng.randint(1, 40)}.", lambda: f"{name()} = {rng.randint(1, 99)}",
-        lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"{rng.randint(0, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", lambda: f"{rng.randint(1, 99)}.{rng.randint(100, 999)}.{rng.randint(100, 999)}", lambda: f"{rng.randint(1, 99)} {rng.randint(100, 999)} {draw(low, 4)}", lambda: f"{rng.randint(100, 999)}-{rng.randint(10, 99)}",
+        lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", lambda: f"{rng.randint(0, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", lambda: f"{rng.randint(1, 99)}.{rng.randint(100, 999)}.{rng.randint(100, 999)}", lambda: f"{rng.randint(1, 999)} {word()} {rng.randint(1, 999)}", lambda: f"{rng.randint(100, 999)} {word()}", lambda: f"{rng.randint(100, 999)}-{rng.randint(10, 99)}",
     ]
     out = []
     for _ in range(count):
@@ -339,7 +341,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, examples: int = WRITTEN) -> Crf
 
 
 def added_spans(text: str, words: list[Word], tags: list[int], base: list[Span]) -> list[Span]:
-    """The field's spans that touch no base span, without marks around them and a name before a secret."""
+    """The field's spans that touch no base span, without marks around them and a name before a secret; phones and cards have as many digits as in the base."""
     out: list[Span] = []
     i = 0
     while i < len(tags):
@@ -357,7 +359,8 @@ def added_spans(text: str, words: list[Word], tags: list[int], base: list[Span])
             a += 1
         while b > a and text[b - 1] in "\"'>]},;:!?.":
             b -= 1
-        if a < b and not any(s < b and e > a for _, s, e in base):
+        least, most = _DIGITS.get(kind, (0, 1 << 30))
+        if a < b and least <= len(_digits(text[a:b])) <= most and not any(s < b and e > a for _, s, e in base):
             out.append((kind, a, b))
         i = j
     return out
