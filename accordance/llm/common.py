@@ -135,7 +135,9 @@ _P, _S31P = np.uint64(PRIME), np.uint64(31)
 _BASES = (1_664_525_013, 1_013_904_223)
 #: A random value for each byte in either lane.
 BYTE_CODE = np.stack([mix64(np.arange(1, 257, dtype=np.uint64) * ODD + np.uint64(k)) % _P for k in (0, 1)])
-_POWERS: dict[str, np.ndarray] = {"up": np.ones((2, 1), np.uint64), "down": np.ones((2, 1), np.uint64)}
+_POWERS: dict[str, np.ndarray] = {"up": np.ones((2, 1), np.uint32), "down": np.ones((2, 1), np.uint32)}
+#: Bytes that are hashed at once, and by which the table of powers grows; a worker keeps 16 bytes for each byte of its longest text.
+_BLOCK = 1 << 17
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
@@ -146,15 +148,18 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i of both lanes for i < n."""
-    if _POWERS["up"].shape[1] < n:
-        size = 1 << max(16, n.bit_length())
+    have = _POWERS["up"].shape[1]
+    if have < n:
+        size = -(-n // _BLOCK) * _BLOCK
         for name, bases in (("up", _BASES), ("down", tuple(pow(b, -1, PRIME) for b in _BASES))):
-            out = np.ones((2, size), np.uint64)
-            have = 1
-            while have < size:  # doubling: what follows is what is there, times base**have
-                more = np.array([[pow(b, have, PRIME)] for b in bases], np.uint64)
-                out[:, have : 2 * have] = _reduced(out[:, :have] * more)
-                have *= 2
+            out = np.empty((2, size), np.uint32)
+            out[:, :have] = _POWERS[name]
+            done = have
+            while done < size:  # what follows is what is there, times base**done
+                more = np.array([[pow(b, done, PRIME)] for b in bases], np.uint64)
+                step = min(done, size - done, _BLOCK)
+                out[:, done : done + step] = _reduced(out[:, :step] * more)
+                done += step
             _POWERS[name] = out
     return _POWERS["up"][:, :n], _POWERS["down"][:, :n]
 
@@ -164,7 +169,10 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     up, _ = _powers(len(data) + 1)
     h = np.zeros((2, len(data) + 1), np.uint64)
     for lane in range(2):
-        np.cumsum(_reduced(BYTE_CODE[lane][data] * up[lane, : len(data)]), out=h[lane, 1:])
+        for at in range(0, len(data), _BLOCK):
+            stop = min(at + _BLOCK, len(data))
+            np.cumsum(_reduced(BYTE_CODE[lane][data[at:stop]] * up[lane, at:stop]), out=h[lane, at + 1 : stop + 1])
+            h[lane, at + 1 : stop + 1] += h[lane, at]
     return h
 
 
