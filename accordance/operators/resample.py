@@ -81,6 +81,12 @@ def _importable(df: DataFrame) -> None:
         env["PYTHONPATH"] = f"{root}:{have}" if have else root
 
 
+def _dealt(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows dealt by key to as many tasks as a shuffle has. Few rows may mean much work here, so that partitions must not be merged by their bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *key)
+
+
 def _kinds(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"{c} {t}" for c, t in df.select(*names).dtypes)
 
@@ -193,7 +199,7 @@ class _Groups:
             return pa.concat_tables(out)
 
         key = [*draw_by, "block"]
-        each = sums.groupBy(*key).cogroup(paths.groupBy(*key)).applyInArrow(run, f"{_kinds(sums, by)}, b int, " + ", ".join(f"{n} double" for n in names))
+        each = _dealt(sums, key).groupBy(*key).cogroup(_dealt(paths, key).groupBy(*key)).applyInArrow(run, f"{_kinds(sums, by)}, b int, " + ", ".join(f"{n} double" for n in names))
         return written(each.groupBy(*by, "b").agg(*[F.sum(n).alias(n) for n in names]), "resamples")
 
     def needed(self, table: DataFrame, edges: DataFrame, buckets: int) -> DataFrame:
@@ -272,7 +278,7 @@ class _Groups:
             return pa.table({c: group.column(c) for c in [*by, "bucket", "v", "n", *ws]} | {"m": pa.array(out, pa.binary())})
 
         schema = f"{_kinds(d, [*by, 'bucket', 'v', 'n', *ws])}, m binary"
-        rows = d.groupBy(*key).cogroup(lists.groupBy(*key)).applyInArrow(drawn, schema)
+        rows = _dealt(d, key).groupBy(*key).cogroup(_dealt(lists, key).groupBy(*key)).applyInArrow(drawn, schema)
 
         def beside(group: pa.Table, wanted: pa.Table) -> pa.Table:
             names = [*by, "weighting", "q", "b", "target"]
@@ -306,7 +312,7 @@ class _Groups:
 
         key = [*by, "bucket"]
         pair = lambda side: F.when(F.col(f"{side}_c").isNotNull(), F.struct(F.col(f"{side}_c").alias("c"), F.col(f"{side}_v").alias("v"))).alias(side)
-        many = rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(beside, f"{_kinds(asked, [*by, 'weighting', 'q', 'b', 'target'])}, lo_c double, lo_v double, hi_c double, hi_v double")
+        many = _dealt(rows, key).groupBy(*key).cogroup(_dealt(asked, key).groupBy(*key)).applyInArrow(beside, f"{_kinds(asked, [*by, 'weighting', 'q', 'b', 'target'])}, lo_c double, lo_v double, hi_c double, hi_v double")
         return one.unionByName(many.select(*by, "weighting", "q", "b", "target", pair("lo"), pair("hi")))
 
 
