@@ -283,11 +283,12 @@ def written(count: int = WRITTEN, seed: int = 4) -> list[tuple[str, list[Span]]]
     secret = [
         lambda: ("", draw("AKS", 2) + draw(upper, rng.randint(16, 22)), ""), lambda: (f"{name()}=", value(), ""), lambda: (f"{name()}: ", value(), ""),
         lambda: (f'{name()} = "', value(), '"'), lambda: (f"{name()} = '", value(), "'"), lambda: ("Bearer ", value(), ""), lambda: ("", rng.choice(["sk-", "ghp_", "xoxb-"]) + value(), ""),
+        lambda: ("", draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", rng.randint(18, 24)), ""),
     ]
     harmless = [
         lambda: f"{rng.randint(1, 30)}.{rng.randint(0, 9)}", lambda: f"{rng.randint(1900, 2030)}", lambda: f"{rng.randint(1, 12)}/{rng.randint(1, 28)}/{rng.randint(1990, 2030)}", lambda: f"{draw(low, 4)}{rng.randint(1, 99)}", lambda: f"{draw(upper[:26], 3)}-{rng.randint(1, 999)}",
         lambda: f"{rng.randint(1, 999)},{rng.randint(100, 999)}", lambda: f"${rng.randint(1, 99)}.{rng.randint(10, 99)}", lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", lambda: f"{rng.randint(1, 40)}.", lambda: f"{name()} = {rng.randint(1, 99)}",
-        lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", lambda: f"{rng.randint(0, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", lambda: f"{rng.randint(1, 99)}.{rng.randint(100, 999)}.{rng.randint(100, 999)}", lambda: f"{rng.randint(1, 999)} {word()} {rng.randint(1, 999)}", lambda: f"{rng.randint(100, 999)} {word()}", lambda: f"{rng.randint(100, 999)}-{rng.randint(10, 99)}",
+        lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", lambda: f"{rng.randint(1, 999)} {word()} {rng.randint(1, 999)}",
     ]
     out = []
     for _ in range(count):
