@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH, ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _BATCH_BYTES, BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: Makes Python workers, which serve many stages, give large freed blocks back to the system.
+_GIVE_BACK = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20)}
 ROOT = str(Path(__file__).resolve().parents[2])
 _OWN: dict[str, str] = {}
 
@@ -29,13 +31,15 @@ def importable(spark: SparkSession) -> None:
     """Puts this package on the Python workers' path when it is run from a checkout.
 
     On a cluster the package is installed or sent with ``--py-files``; the path added here
-    is then simply absent. The session keeps both the path and the
+    is then simply absent. The session keeps the path, the workers' settings of memory and the
     smaller batches, as plans are lazy and run after the operator has returned.
     """
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in have.split(":"):
         env["PYTHONPATH"] = f"{ROOT}:{have}" if have else ROOT
+    for name, value in _GIVE_BACK.items():
+        env.setdefault(name, value)
     for name, most in ((_BATCH, ROWS_PER_BATCH), (_BATCH_BYTES, BYTES_PER_BATCH)):
         have = spark.conf.get(name)
         if not have.isdigit() or not 0 < int(have) <= most:

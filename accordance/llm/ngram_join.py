@@ -232,23 +232,32 @@ def _cell_links(group: pa.Table, percent: int) -> pa.Table:
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
     held = np.diff(np.r_[starts, len(token)])
     rows = len(ids)
-    both = np.zeros(rows * rows, np.int64)
+    both = np.zeros(rows * rows, np.int32)
     for h in np.unique(held[held > 1]):  # shingles with equally many holders at once
         first = starts[held == h]
-        step = max(1, 4_000_000 // int(h) ** 2)
+        step = max(1, 1_000_000 // int(h) ** 2)
         for i in range(0, len(first), step):
             who = of[first[i : i + step, None] + np.arange(h)]
-            both += np.bincount((who[:, :, None] * rows + who[:, None, :]).ravel(), minlength=rows * rows)
+            both += np.bincount((who[:, :, None] * rows + who[:, None, :]).ravel(), minlength=rows * rows).astype(np.int32)
     both = both.reshape(rows, rows)
-    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    linked &= part[:, None] != part[None, :] if len(np.unique(part)) > 1 else ~np.eye(rows, dtype=bool)
+    linked, apart = np.zeros((rows, rows), bool), len(np.unique(part)) > 1
+    blocks = [slice(i, i + 256) for i in range(0, rows, 256)]  # whole matrices of 64-bit numbers would be large
+    for at in blocks:
+        shared = both[at].astype(np.int64)
+        linked[at] = 100 * shared >= percent * (size[at, None] + size[None, :] - shared)
+        if apart:
+            linked[at] &= part[at, None] != part[None, :]
+    if not apart:
+        np.fill_diagonal(linked, False)
+    del both
     least = ids.copy()  # the smallest document reached: minima along links, until they settle
     while True:
-        near = np.minimum(least, np.where(linked, least[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
+        near = np.concatenate([np.minimum(least[at], np.where(linked[at], least[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)) for at in blocks]) if rows else least
         if (near == least).all():
             break
         least = near
-    return pa.table({"doc_id": ids, "others": (linked * weight[None, :]).sum(1), "least": least})
+    others = np.concatenate([(linked[at] * weight[None, :]).sum(1) for at in blocks]) if rows else weight
+    return pa.table({"doc_id": ids, "others": others, "least": least})
 
 
 def family_links(docs: DataFrame, families: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
