@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordance.functions.classify import SPATIAL_TOLERANCE_KM, TEMPORAL_TOLERANCE_S, join_flags, rounded
-from accordance.functions.geometry import EARTH_RADIUS_KM, GRID_DEG, grid_index, haversine_km
+from accordance.functions.geometry import GRID_DEG, grid_index, haversine_km
+from accordance.operators.tables import written
 
 VALUES = ("u100", "v100", "u10", "v10")
 HALF_WINDOW_S = 1800
+#: The search for nearest points: halvings of space at most and at a time, stations in a cube, and what straight distances may err (6 mm on the ground).
+FINEST, STEP, HELD, SLACK = 16, 2, 16, 1e-9
 
 
 def mismatch_s(context_time: Column, window_start: Column) -> Column:
@@ -30,51 +33,103 @@ def nearest_join(windows: DataFrame, grid: DataFrame, offset_hours: int = 0, suf
     return out.withColumn(f"grid_lat{suffix}", F.col("_lat") * GRID_DEG).withColumn(f"grid_lon{suffix}", F.col("_lon") * GRID_DEG).drop("_lat", "_lon")
 
 
+def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Places as unit vectors in space, so that poles and the date line are places like any other, and their cubes at the finest level; rows without a place go."""
+    flat = F.cos(F.radians(lat))
+    df = df.filter(f"{lat} is not null and {lon} is not null and not isnan({lat}) and not isnan({lon})")
+    out = df.withColumns({"_x": flat * F.cos(F.radians(lon)), "_y": flat * F.sin(F.radians(lon)), "_z": F.sin(F.radians(lat)), "_lat": F.col(lat)})
+    return out.withColumns({f"_i{c}": F.floor((F.col(f"_{c}") + 1) * (1 << (FINEST - 1))).cast("long") for c in "xyz"})
+
+
+def _cubes(side: str, level: int) -> dict[str, Column]:
+    """A place's cube: space from -1 to 1 is halved ``level`` times along each axis."""
+    return {f"{side}{c}": F.shiftright(f"_i{c}", FINEST - level) for c in "xyz"}
+
+
+def candidates(asked: DataFrame, stations: DataFrame, by: list[str], reach_deg: float | None, least_edge: float) -> DataFrame | None:
+    """``asked`` with ``near``, an array of the stations that may be the nearest of a place in its cube; None if there are no stations.
+
+    Cubes of asked places meet cubes of stations from coarse to fine. Between the boxes of what lies in two
+    cubes there is a least and a greatest distance; a pair goes on only if its least is no more than the smallest greatest one
+    of its asked cube. So a cube keeps the few others around its nearest stations, however far these are, until no
+    cube holds more than ``HELD`` stations. The work grows with cubes and windows, not with windows times stations.
+    """
+    axes, sides, pairs = ("_x", "_y", "_z", "_lat"), ("a", "p"), None
+    names = {side: [f"{side}{c}" for c in "xyz"] for side in sides}
+    for level in range(STEP, FINEST + 1, STEP):
+        boxes = {}
+        for side, df in zip(sides, (asked, stations), strict=True):
+            ends = [f(c).alias(f"{side}{name}{c}") for c in axes for name, f in (("least", F.min), ("most", F.max))]
+            boxes[side] = df.groupBy(*by, *[v.alias(k) for k, v in _cubes(side, level).items()]).agg(*ends, F.count(F.lit(1)).alias(f"{side}n"))
+        fullest = boxes["p"].agg(F.max("pn")).first()[0]
+        if fullest is None:
+            return None
+        if pairs is None:
+            both = boxes["a"].join(boxes["p"], by) if by else boxes["a"].crossJoin(boxes["p"])  # the coarsest cubes: of a fixed number
+        else:
+            both = pairs.withColumnsRenamed({c: f"_u{c}" for c in (*names["a"], *names["p"])})
+            for side in sides:
+                up = {f"_u{c}": F.shiftright(c, STEP) for c in names[side]}
+                both = both.join(boxes[side].withColumns(up), [*by, *up])
+        least = {c: F.greatest(F.lit(0.0), F.col(f"aleast{c}") - F.col(f"pmost{c}"), F.col(f"pleast{c}") - F.col(f"amost{c}")) for c in axes}
+        most = {c: F.greatest(F.col(f"amost{c}") - F.col(f"pleast{c}"), F.col(f"pmost{c}") - F.col(f"aleast{c}")) for c in axes}
+        straight = lambda d: F.sqrt(d["_x"] * d["_x"] + d["_y"] * d["_y"] + d["_z"] * d["_z"])
+        sure = straight(most)
+        if reach_deg is not None:  # what lies partly out of reach may be found by none
+            both, sure = both.filter(least["_lat"] <= reach_deg), F.when(most["_lat"] <= reach_deg, sure).otherwise(F.lit(float("inf")))
+        met = both.select(*by, *names["a"], sure.alias("sure"), F.struct(straight(least).alias("least"), *names["p"]).alias("other"))
+        met = met.groupBy(*by, *names["a"]).agg(F.min("sure").alias("sure"), F.collect_list("other").alias("others"))
+        kept = met.select(*by, *names["a"], F.explode(F.filter("others", lambda o: o["least"] <= F.col("sure") + SLACK)).alias("o"))
+        pairs = written(kept.select(*by, *names["a"], *[F.col("o")[c].alias(c) for c in names["p"]]), "cubes")
+        if fullest <= HELD or 2.0 ** (1 - level) <= least_edge:
+            break
+    held = stations.groupBy(*by, *[v.alias(k) for k, v in _cubes("p", level).items()]).agg(F.collect_list(F.struct("point_id", "plat", "plon", "_x", "_y", "_z")).alias("held"))
+    near = pairs.join(held, [*by, *names["p"]]).groupBy(*by, *names["a"]).agg(F.flatten(F.collect_list("held")).alias("near"))
+    return asked.withColumns(_cubes("a", level)).join(near, [*by, *names["a"]]).drop(*names["a"])
+
+
+def _nearest(windows: DataFrame, points: DataFrame, key: str, by: list[str], digits: int | None, reach_deg: float | None = None, least_edge: float = 0.0) -> DataFrame | None:
+    """(key, point_id, distance_km) of the windows that have a nearest of points(by, point_id, plat, plon); None if there are no points.
+
+    Of the points of one place the smallest has it. Distances are compared as they are, or to ``digits``; the smaller point_id wins a tie.
+    """
+    places = points.groupBy(*by, "plat", "plon").agg(F.min("point_id").alias("point_id"))
+    stations = written(_on_sphere(places, "plat", "plon"), "stations")
+    asked = written(_on_sphere(windows.select(F.col(key).alias("_key"), *by, "lat", "lon"), "lat", "lon"), "windows")
+    found = candidates(asked, stations, by, reach_deg, least_edge)
+    if found is None:
+        return None
+    if reach_deg is not None:
+        found = found.withColumn("near", F.filter("near", lambda p: F.abs(F.col("lat") - p["plat"]) <= reach_deg)).filter("size(near) > 0")
+    off = lambda p, c: (p[c] - F.col(c)) * (p[c] - F.col(c))
+    found = found.withColumn("_off", F.transform("near", lambda p: F.sqrt(off(p, "_x") + off(p, "_y") + off(p, "_z"))))
+    found = found.withColumn("_least", F.array_min("_off") + SLACK)
+    close = F.filter("near", lambda _, i: F.get("_off", i) <= F.col("_least"))
+    km = lambda p: haversine_km(F.col("lat"), F.col("lon"), p["plat"], p["plon"])
+    best = F.array_min(F.transform(close, lambda p: F.struct((km(p) if digits is None else rounded(km(p), digits)).alias("km"), p["point_id"].alias("point_id"))))
+    return found.select("_key", best.alias("best")).select(F.col("_key").alias(key), F.col("best.point_id").alias("point_id"), F.col("best.km").alias("distance_km"))
+
+
+def _none(windows: DataFrame, points: DataFrame, key: str) -> DataFrame:
+    return windows.select(key, F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.lit(None).cast("double").alias("distance_km"))
+
+
 def irregular_nearest(windows: DataFrame, points: DataFrame, key: str, reach_deg: float) -> DataFrame:
-    """The nearest of irregular points(time, point_id, plat, plon), at most ``reach_deg`` of latitude away.
+    """The nearest of irregular points(time, point_id, plat, plon) of a window's time, at most ``reach_deg`` of latitude away, at any longitude.
 
-    Windows look at the bands of latitude around them (an equi-join), and the least distance
-    is an aggregate; longitude may wrap.
+    Windows without a point in reach are left out; distances are compared as they are, and the smaller point_id wins a tie.
     """
-    band = lambda lat: F.floor(lat / reach_deg).cast("int")
-    asked = windows.withColumn("_band", F.explode(F.array(band(F.col("lat")) - 1, band(F.col("lat")), band(F.col("lat")) + 1)))
-    placed = points.withColumn("_pband", band(F.col("plat")))
-    near = asked.join(placed, (asked["window_start"] == placed["time"]) & (asked["_band"] == placed["_pband"])).filter(F.abs(F.col("lat") - F.col("plat")) <= reach_deg)
-    distance = haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    return near.groupBy(key).agg(F.min_by("point_id", F.struct(distance, F.col("point_id"))).alias("point_id"), F.min(distance).alias("distance_km"))
+    out = _nearest(windows.withColumn("time", F.col("window_start")), points, key, ["time"], None, reach_deg)
+    return _none(windows, points, key).limit(0) if out is None else out
 
 
-def fixed_nearest(windows: DataFrame, points: DataFrame, key: str, reach_deg: float, cell_deg: float = 2.0) -> DataFrame:
+def fixed_nearest(windows: DataFrame, points: DataFrame, key: str, reach_deg: float) -> DataFrame:
     """The nearest of all fixed points(point_id, plat, plon), at most ``reach_deg`` of latitude away, at any longitude.
 
-    Windows first look at the cells of latitude and longitude around them (an equi-join). A
-    point beyond those cells lies at least ``cell_deg`` of longitude away, hence no nearer than
-    a bound; windows whose find is farther than theirs, or that found nothing, search their
-    bands of latitude whole. Distances are compared to the millimetre; the smaller point_id wins a tie.
+    Windows without a point in reach are left out. Distances are compared to the millimetre; the smaller point_id wins a tie.
     """
-    width = int(360 // cell_deg)
-    band = lambda lat: F.floor(lat / reach_deg).cast("int")
-    turn = lambda lon: F.floor(F.pmod(lon, F.lit(360.0)) * width / 360.0).cast("int") % width
-    around = lambda c: F.array(c - 1, c, c + 1)
-    placed = points.select("point_id", "plat", "plon", band(F.col("plat")).alias("_pband"), turn(F.col("plon")).alias("_pturn"))
-    asked = windows.select(F.col(key), "lat", "lon")
-    km = rounded(haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")))
-
-    def least(rows: DataFrame, on: list[str]) -> DataFrame:
-        near = rows.join(placed, [rows[c] == placed[f"_p{c[1:]}"] for c in on]).filter(F.abs(F.col("lat") - F.col("plat")) <= reach_deg)
-        return near.groupBy(key).agg(F.min(F.struct(km.alias("km"), "point_id")).alias("best"))
-
-    bands = asked.withColumn("_band", F.explode(around(band(F.col("lat")))))
-    cells = bands.withColumn("_turn", F.explode(F.array_distinct(F.transform(around(turn(F.col("lon"))), lambda t: F.pmod(t, F.lit(width))))))
-    first = least(cells, ["_band", "_turn"])
-    cos = lambda lat: F.greatest(F.lit(0.0), F.cos(F.radians(lat)))
-    far = F.least(F.lit(90.0), F.abs("lat") + reach_deg)
-    bound = F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(cos(F.col("lat")) * cos(far)) * F.sin(F.radians(F.lit(180.0 / width))))
-    found = asked.join(first, key, "left")
-    sure = F.coalesce(F.col("best.km") < bound - 1e-5, F.lit(False))
-    rest = found.filter(~sure).drop("best").withColumn("_band", F.explode(around(band(F.col("lat")))))
-    out = found.filter(sure).select(key, "best").union(least(rest, ["_band"]).select(key, "best"))
-    return out.select(key, F.col("best.point_id").alias("point_id"), F.col("best.km").alias("distance_km"))
+    out = _nearest(windows, points, key, [], 6, reach_deg)
+    return _none(windows, points, key).limit(0) if out is None else out
 
 
 def midpoint(windows: DataFrame, grid: DataFrame) -> DataFrame:
@@ -119,38 +174,11 @@ def tall(pairs: DataFrame, keys: list[str], names: dict[str, str], unit: str = "
     return renamed.unpivot(keys, list(names.values()), "feature_name", "value").withColumn("unit", F.lit(unit))
 
 
-def sphere_nearest(windows: DataFrame, points: DataFrame, key: str, first: float = 1 / 128) -> DataFrame:
+def sphere_nearest(windows: DataFrame, points: DataFrame, key: str, first: float = 0.0) -> DataFrame:
     """The nearest of all fixed points(point_id, plat, plon) for every window, however far: (key, point_id, distance_km).
 
-    Places are unit vectors in space, so that poles and the date line are places like any other.
-    Space is cut into cubes; a window looks at its own and the 26 around it (an equi-join). What lies
-    beyond is at least a cube's edge away in a straight line, so that a find nearer than that is sure. The other
-    windows look again with cubes twice as wide, until the cubes hold the whole sphere; they are few where points are
-    dense. A window whose points are all far meets all points of its block at last. ``first`` is the first edge, of a
-    sphere of radius 1 (1/128: about 50 km). Distances are compared to the millimetre; the smaller
+    Cubes of an edge of at most ``first``, of a sphere of radius 1, are not cut again. Distances are compared to the millimetre; the smaller
     point_id wins a tie. Windows without a place get nulls; so do all if there are no points.
     """
-    from accordance.operators.tables import written
-
-    def placed(df: DataFrame, lat: str, lon: str) -> DataFrame:
-        flat = F.cos(F.radians(lat))
-        return df.withColumns({"_x": flat * F.cos(F.radians(lon)), "_y": flat * F.sin(F.radians(lon)), "_z": F.sin(F.radians(lat))})
-
-    stations = written(placed(points.filter("plat is not null and plon is not null").select("point_id", "plat", "plon"), "plat", "plon"), "stations")
-    left = written(placed(windows.select(F.col(key).alias("_key"), "lat", "lon"), "lat", "lon"), "windows")
-    km, found, edge = rounded(haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))), None, first
-    around = F.transform(F.sequence(F.lit(0), F.lit(26)), lambda i: F.struct((i % 3 - 1).alias("x"), (F.floor(i / 3) % 3 - 1).alias("y"), (F.floor(i / 9) - 1).alias("z")))
-    while True:
-        at = lambda c, e=edge: F.floor(F.col(c) / e).cast("long")
-        asked = left.filter("_x is not null").withColumn("_o", F.explode(around)).select("_key", "lat", "lon", *[(at(f"_{c}") + F.col(f"_o.{c}")).alias(f"_c{c}") for c in "xyz"])
-        cubes = stations.select("point_id", "plat", "plon", *[at(f"_{c}").alias(f"_c{c}") for c in "xyz"])
-        best = asked.join(cubes, ["_cx", "_cy", "_cz"]).groupBy("_key").agg(F.min(F.struct(km.alias("km"), "point_id")).alias("best"))
-        straight = 2 * EARTH_RADIUS_KM * F.asin(F.lit(min(1.0, edge / 2)))  # along the ground
-        last = edge > 2
-        sure = F.lit(True) if last else F.coalesce(F.col("best.km") < straight - 1e-5, F.lit(False))
-        looked = written(left.join(best, "_key", "left").withColumn("_sure", sure), "looked")
-        done = looked.filter("_sure").select(F.col("_key").alias(key), F.col("best.point_id").alias("point_id"), F.col("best.km").alias("distance_km"))
-        found = done if found is None else found.union(done)
-        left, edge = looked.filter("not _sure").drop("best", "_sure"), edge * 2
-        if last or left.isEmpty():
-            return found
+    out = _nearest(windows, points, key, [], 6, None, first)
+    return _none(windows, points, key) if out is None else windows.select(key).join(out, key, "left")

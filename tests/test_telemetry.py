@@ -215,3 +215,24 @@ def test_nearest_of_all_fixed_points_equals_brute_force(spark):
     out = context.fixed_nearest(spark.createDataFrame(spots, "key string, lat double, lon double"), spark.createDataFrame(points, "point_id long, plat double, plon double"), "key", 2.0)
     got = {r.key: (r.distance_km, r.point_id) for r in out.collect()}
     assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=2e-6) for k in want)
+
+
+def test_the_search_for_nearest_points_does_not_pair_dense_windows_and_points(spark):
+    import math
+    import random
+
+    rng = random.Random(7)
+    windows = [("w%d" % i, 1 + i % 2, rng.uniform(30, 34), rng.uniform(-3, 1)) for i in range(1000)]
+    points = [(i, 1 + i % 2, rng.uniform(30, 34), rng.uniform(-3, 1)) for i in range(2000)]
+    asked = spark.createDataFrame(windows, "key string, day int, lat double, lon double").withColumn("window_start", F.make_date(F.lit(2024), F.lit(1), "day").cast("timestamp"))
+    seen = spark.createDataFrame(points, "point_id long, day int, plat double, plon double").withColumn("time", F.make_date(F.lit(2024), F.lit(1), "day").cast("timestamp")).drop("day")
+    copies = seen.union(seen.withColumn("point_id", F.col("point_id") + 5000))  # of the same places
+    got = {r.key: r.point_id for r in context.irregular_nearest(asked, copies, "key", 2.0).collect()}
+
+    def off(a, b, c, d):
+        return math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+
+    assert got == {k: min((off(a, b, c, d), i) for i, e, c, d in points if e == day and abs(a - c) <= 2)[1] for k, day, a, b in windows}
+    placed = context._on_sphere(asked.withColumnsRenamed({"window_start": "time"}), "lat", "lon"), context._on_sphere(seen, "plat", "plon")
+    sizes = [r.n for r in context.candidates(*placed, ["time"], 2.0, 0.0).select(F.size("near").alias("n")).collect()]
+    assert len(sizes) == 1000 and max(sizes) < 200  # of the 1,000 points of a day
