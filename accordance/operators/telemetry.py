@@ -10,6 +10,8 @@ from accordance.operators.ranking import nearest_rank
 
 #: 2000-01-01 and 9999-12-31 in microseconds: before, a receiver had no date; after, no timestamp can hold it.
 _YEAR_2000_US, _LAST_US = 946_684_800_000_000, 253_402_214_400_000_000
+#: A hundredth of a millimetre.
+PLACE_DIGITS = 10
 
 
 def clock_anchors(gps: DataFrame, run: str = "run_id", boot_us: str = "boot_us", utc_us: str = "utc_us") -> DataFrame:
@@ -47,7 +49,8 @@ def windows(samples: DataFrame, unit: str = "hour") -> DataFrame:
 
     Rows of topic ``wind`` count if both components are there, their variances if both are;
     rows of topic ``position`` if both coordinates are. A window with only one of the topics
-    is kept, as a full outer join of the two would.
+    is kept, as a full outer join of the two would. Mean coordinates are rounded to ``PLACE_DIGITS``,
+    so that the order of a sum doesn't decide a tie between two grid points.
     """
     start = F.date_trunc(unit, F.col("ts").cast("timestamp"))
     wind = (F.col("topic") == "wind") & F.col("north").isNotNull() & F.col("east").isNotNull()
@@ -56,7 +59,7 @@ def windows(samples: DataFrame, unit: str = "hour") -> DataFrame:
     mean = lambda when, name: F.avg(F.when(when, F.col(name)))
     out = samples.filter(wind | place).groupBy("run_id", start.alias("window_start")).agg(
         mean(wind, "east").alias("onboard_u"), mean(wind, "north").alias("onboard_v"), mean(varied, "var_u").alias("var_u"), mean(varied, "var_v").alias("var_v"),
-        F.count_if(wind).alias("wind_samples"), F.count_if(place).alias("position_samples"), mean(place, "lat").alias("lat"), mean(place, "lon").alias("lon"),
+        F.count_if(wind).alias("wind_samples"), F.count_if(place).alias("position_samples"), F.round(mean(place, "lat"), PLACE_DIGITS).alias("lat"), F.round(mean(place, "lon"), PLACE_DIGITS).alias("lon"),
     )
     return out.withColumn("complete", (F.col("wind_samples") > 0) & (F.col("position_samples") > 0))
 

@@ -160,7 +160,7 @@ GPS = """gps AS (SELECT user_id AS run_id, event_id * 1000000 AS boot_us, CASE W
 
 def _win(unit: str) -> str:
     return f"""{SAMPLES}, win AS (SELECT run_id, date_trunc('{unit}', ts) AS window_start, avg(CASE WHEN w THEN east END) AS onboard_u, avg(CASE WHEN w THEN north END) AS onboard_v, avg(CASE WHEN w AND var_u IS NOT NULL THEN var_u END) AS var_u, avg(CASE WHEN w AND var_u IS NOT NULL THEN var_v END) AS var_v,
-  count_if(w)::BIGINT AS wind_samples, count_if(p)::BIGINT AS position_samples, avg(CASE WHEN p THEN lat END) AS lat, avg(CASE WHEN p THEN lon END) AS lon, count_if(w) > 0 AND count_if(p) > 0 AS complete
+  count_if(w)::BIGINT AS wind_samples, count_if(p)::BIGINT AS position_samples, round(avg(CASE WHEN p THEN lat END), 10) AS lat, round(avg(CASE WHEN p THEN lon END), 10) AS lon, count_if(w) > 0 AND count_if(p) > 0 AS complete
   FROM (SELECT *, topic = 'wind' AND north IS NOT NULL AS w, topic = 'position' AS p FROM samples) WHERE w OR p GROUP BY ALL)"""
 
 

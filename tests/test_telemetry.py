@@ -236,3 +236,10 @@ def test_the_search_for_nearest_points_does_not_pair_dense_windows_and_points(sp
     placed = context._on_sphere(asked.withColumnsRenamed({"window_start": "time"}), "lat", "lon"), context._on_sphere(seen, "plat", "plon")
     sizes = [r.n for r in context.candidates(*placed, ["time"], 2.0, 0.0).select(F.size("near").alias("n")).collect()]
     assert len(sizes) == 1000 and max(sizes) < 200  # of the 1,000 points of a day
+
+
+def test_the_order_of_samples_does_not_decide_the_grid_point(spark):
+    lons = [0.1, 0.2, 0.3, -0.1]  # their mean is 0.125, halfway between two grid points
+    rows = [(run, datetime(2024, 1, 1, 1, 0, i), "position", 0.0, 0.0, None, None, 30.0, lon) for run, order in ((1, lons), (2, lons[::-1]), (3, [0.3, 0.1, -0.1, 0.2])) for i, lon in enumerate(order)]
+    df = spark.createDataFrame(rows, "run_id long, ts timestamp, topic string, east double, north double, var_u double, var_v double, lat double, lon double").coalesce(1)
+    assert {r.lon for r in telemetry.windows(df).collect()} == {0.125}
