@@ -7,9 +7,8 @@ shard can then be pruned on any of the dimensions.
 
 lang and source are coded by the rank of a value among the distinct values, scaled to 15
 classes, so that neighbours on the curve are neighbours in the sorted values. Ranks are taken
-among at most ``DISTINCT`` distinct values (those with the least hashes, a uniform sample of
-the values if there are more), so that the table of ranks doesn't grow with the input. The
-third dimension is the size in steps of factor two.
+among all distinct values: these are sorted in ranges, numbered within their range, and only the
+classes' least values are kept. The third dimension is the size in steps of factor two.
 
 Equal texts stay together: they take the place on the curve of their first document, and
 within a place rows are ordered by a hash of the text, then by a hash of doc_id. Only the
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from accordance.llm.common import saved
 
-SHARDS, BITS, PART, DISTINCT = 24, 4, 1000, 4096
+SHARDS, BITS, PART = 24, 4, 1000
 
 
 def curve_places(axes: int, bits: int) -> list[int]:
@@ -83,10 +82,16 @@ def classes(docs: DataFrame, name: str, bits: int) -> DataFrame:
     """One row: the least value of each class but the first; a value's class is the number of these at most as great, and one (0 is null's)."""
     most = (1 << bits) - 1
     values = docs.filter(F.col(name).isNotNull()).select(F.col(name).cast("string").alias("v")).distinct()
-    values = values.orderBy(F.xxhash64("v"), "v").limit(DISTINCT)  # of the table of ranks, not of the rows
-    ranks = F.array_sort(F.collect_list("v"))
-    at = [F.ceil(F.size(ranks) * F.lit(i) / F.lit(most)).cast("int") for i in range(1, most)]
-    return values.agg(F.filter(F.array(*[F.get(ranks, i) for i in at]), lambda x: x.isNotNull()).alias(f"{name}_cuts"))
+    dealt = saved(values.repartitionByRange("v").withColumn("p", F.spark_partition_id()), "values")  # ranges in ascending order
+    # a few rows: one for each range
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = dealt.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(whole).alias("all"))
+    rank = F.row_number().over(Window.partitionBy("p").orderBy("v")) - 1
+    ranks = dealt.withColumn("rn", rank).join(F.broadcast(starts), "p").withColumn("rank", F.col("start") + F.col("rn"))
+    # with fewer values than classes a value begins several classes
+    times = F.size(F.filter(F.sequence(F.lit(1), F.lit(most - 1)), lambda i: F.ceil(F.col("all") * i / F.lit(most)) == F.col("rank")))
+    return ranks.withColumn("times", times).filter("times > 0").agg(F.flatten(F.collect_list(F.array_repeat("v", F.col("times")))).alias(f"{name}_cuts"))
 
 
 def _code(name: str) -> Column:

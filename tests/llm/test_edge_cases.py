@@ -126,3 +126,13 @@ def test_stages_take_odd_rows(spark, docs, stage):
         assert len(ids) == len(ROWS)  # nothing here holds an item of that benchmark
     if name == "near_copies":
         assert 5 not in ids and ids.count(None) == 2 and {1, 2, 3, 4, 6, 7, 8} <= set(ids)
+
+
+def test_classes_of_shards_rank_all_distinct_values(spark):
+    from accordance.llm import hilbert
+
+    for n in (0, 1, 3, 40, 9000):
+        names = sorted(f"s{i * 7919 % 100_003}" for i in range(n))
+        df = spark.createDataFrame([(v,) for v in [*names, *names[:50], None]], "source string")
+        cuts = sorted(hilbert.classes(df, "source", 4).first().source_cuts)
+        assert cuts == [names[at] for i in range(1, 15) if (at := -(-n * i // 15)) < n]
