@@ -258,3 +258,10 @@ def test_buckets_of_ranks_are_cut_once(spark):
     df = spark.range(100).withColumn("g", F.lit("a"))
     plan = ranking.ranked(df, ["g"], "id", ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile_approx" not in plan  # approximate cuts of two evaluations may differ
+
+
+def test_rows_meet_small_tables_that_are_known_to_be_small(spark):
+    rows = spark.createDataFrame([("a", "100m", float(i), 1.0, 2.0, 1.0, 0.5, 1.5, 2.5) for i in range(9)], "stratum string, level string, du double, dv double, magnitude double, ctx_u double, onboard_u double, ctx_v double, onboard_v double")
+    sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("frame_size"))
+    for out, aggregates in ((ops.with_weights(rows, sizes), 0), (ops.outside_frame(rows), 1)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == aggregates
