@@ -199,16 +199,8 @@ def join_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def artifact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The artifacts flat: every axis cell, the strata and all together, at both levels and under both weightings."""
-    levels = pairs_sql._kept_levels(spark, sf_dir, *pairs_sql.CELL_COLUMNS)
-    rows = ops.regime_cells(ops.with_weights(levels, bindings.strata(spark, sf_dir)), pooled=True)
-    by = ["axis", "cell", "level"]
-    cells = ops.suppressed_split(rows, by).filter("published").drop("published")
-    out = None
-    for pooling, weight in (("sample", "one"), ("reweighted", "design_weight")):
-        signed = ops.bland_altman(rows, by, ("du", "dv"), None if weight == "one" else F.col(weight))
-        size = ranking.weighted_quantiles(rows, by, "magnitude", weight, {"p50": 0.5, "p97_5": 0.975})
-        made = cells.join(signed, by).join(size, by).withColumn("pooling", F.lit(pooling))
-        out = made if out is None else out.unionByName(made)
+    rows, axes = pairs_sql._axis_pairs(spark, sf_dir, pooled=True)
+    out = ops.cell_statistics(rows, axes, {"sample": None, "reweighted": "design_weight"}, ("du", "dv"), {"p50": 0.5, "p97_5": 0.975})
     return pairs_sql.rounded_doubles(out.withColumn("useful", F.col("p97_5") <= BAND))
 
 
@@ -221,8 +213,8 @@ def artifact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of a report's table of cells, filled from the artifacts and numbered."""
-    cells = pairs_sql.forest_table(spark, sf_dir)
-    counts = pairs_sql.regime_agreement(spark, sf_dir).filter("level = '100m'").select("axis", "cell", "n_windows", "n_runs")
+    made = pairs_sql.regime_agreement(spark, sf_dir)
+    cells, counts = pairs_sql.forest_places(made), made.filter("level = '100m'").select("axis", "cell", "n_windows", "n_runs")
     word = F.when(F.col("useful"), "within the band").otherwise("beyond the band")
     return cells.join(counts, ["axis", "cell"]).select("axis", "place", F.format_string("| %s | %s | %d windows of %d runs | %s |", "axis", "cell", "n_windows", "n_runs", word).alias("line"))
 
