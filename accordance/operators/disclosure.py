@@ -22,10 +22,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordance.operators.agreement import MIN_RUNS, MIN_VEHICLES, distinct_counts, publishable
+from accordance.operators.agreement import MIN_RUNS, MIN_VEHICLES, cell_number, masked_counts
 
 ATOMS = 20_000
-STATES = "axis string, cell string, state string"
+COUNTED = "axis string, cell string, n_windows long, n_runs long, n_vehicles long, state string"
 
 
 def on_axes(rows: DataFrame, axes: dict[str, Column]) -> DataFrame:
@@ -47,13 +47,26 @@ def derivable(published: np.ndarray, hidden: np.ndarray) -> np.ndarray:
 def guarded(rows: DataFrame, axes: dict[str, Column], min_runs: int = MIN_RUNS, min_vehicles: int = MIN_VEHICLES, atoms: int = ATOMS) -> DataFrame:
     """(axis, cell, n_windows, n_runs, n_vehicles, state): published, primary or complement; ``rows`` has run_id and vehicle."""
     spark, names = rows.sparkSession, list(axes)
-    placed = on_axes(rows.select("run_id", "vehicle", *[v.alias(f"_x{i}") for i, v in enumerate(axes.values())]), {k: F.col(f"_x{i}") for i, k in enumerate(names)})
-    counts = distinct_counts(placed, ["axis", "cell"]).withColumn("ok", publishable(F.col("n_runs"), F.col("n_vehicles"), min_runs, min_vehicles))
-    found = counts.limit(atoms + 1).collect()
-    named = [F.coalesce(v.cast("string"), F.lit("unknown")).alias(f"_x{i}") for i, v in enumerate(axes.values())]
-    combos = rows.select(*named).distinct().limit(atoms + 1).collect()
-    if max(len(found), len(combos)) > atoms:
+    xs = [f"_x{i}" for i in range(len(names))]
+    placed = rows.select("run_id", "vehicle", *[F.coalesce(v.cast("string"), F.lit("unknown")).alias(x) for x, v in zip(xs, axes.values(), strict=True)])
+    combos = placed.groupBy(*xs).agg(F.count(F.lit(1)).alias("n")).limit(atoms + 1).collect()
+    windows: dict[tuple[str, str], int] = {}
+    for row in combos:
+        for axis, x in zip(names, xs, strict=True):
+            windows[axis, row[x]] = windows.get((axis, row[x]), 0) + row["n"]
+    if max(len(windows), len(combos)) > atoms:
         raise ValueError(f"more than {atoms} cells or atoms: fewer or coarser axes are needed")
+    place = {k: i for i, k in enumerate(windows)}
+
+    def counted(numbers: dict[tuple[str, str], int], n: int) -> dict[int, tuple[int, int]]:
+        """Runs and vehicles of cells, or of unions of an axis' cells, by their number."""
+        each = placed.select("run_id", "vehicle", *[cell_number(F.col(x), {c: i for (a, c), i in numbers.items() if a == axis}).alias(x) for axis, x in zip(names, xs, strict=True)])
+        return {r["_c"]: (r["n_runs"], r["n_vehicles"]) for r in masked_counts(each, [F.col(x) for x in xs], n).collect()}
+
+    sizes = counted(place, len(place))
+    found = [{"axis": k[0], "cell": k[1], "n_windows": n, "n_runs": sizes[place[k]][0], "n_vehicles": sizes[place[k]][1]} for k, n in windows.items()]
+    for r in found:
+        r["ok"] = r["n_runs"] >= min_runs and r["n_vehicles"] >= min_vehicles
     state = {(r["axis"], r["cell"]): "published" if r["ok"] else "primary" for r in found}
     order = sorted(found, key=lambda r: (r["n_runs"], r["cell"]))
 
@@ -65,11 +78,12 @@ def guarded(rows: DataFrame, axes: dict[str, Column], min_runs: int = MIN_RUNS,
         return small is not None
 
     # what each axis hides, as one cell: its runs and vehicles are counted, not added up
-    hidden = spark.createDataFrame([k for k, s in state.items() if s == "primary"], "axis string, cell string")
-    unions = {r["axis"]: r for r in distinct_counts(placed.join(F.broadcast(hidden), ["axis", "cell"]), ["axis"]).collect()}  # no more rows than cells
-    for axis, r in unions.items():
+    hidden = {k: names.index(k[0]) for k, s in state.items() if s == "primary"}
+    unions = counted(hidden, len(names)) if hidden else {}
+    for i in sorted(set(hidden.values())):
+        axis, (runs, vehicles) = names[i], unions[i]
         alone = sum(a == axis and s == "primary" for (a, _), s in state.items()) == 1
-        if alone or r["n_runs"] < min_runs or r["n_vehicles"] < min_vehicles:
+        if alone or runs < min_runs or vehicles < min_vehicles:
             hide(axis)
     inside = {k: np.array([row[names.index(k[0])] == k[1] for row in combos], float) for k in state}
     while True:
@@ -78,8 +92,7 @@ def guarded(rows: DataFrame, axes: dict[str, Column], min_runs: int = MIN_RUNS,
         open_cells = [k for k, d in zip(kept, derivable(shown, np.array([inside[k] for k in kept]).reshape(len(kept), len(combos))), strict=True) if d and state[k] == "primary"]
         if not open_cells or not any([hide(axis) for axis in dict.fromkeys(a for a, _ in open_cells)] or [False]) and not any([hide(axis) for axis in names]):
             break
-    marked = spark.createDataFrame([(*k, s) for k, s in state.items()], STATES)
-    return counts.drop("ok").join(F.broadcast(marked), ["axis", "cell"])  # as many rows as cells
+    return spark.createDataFrame([(*k, r["n_windows"], r["n_runs"], r["n_vehicles"], state[k]) for r in found for k in [(r["axis"], r["cell"])]], COUNTED)
 
 
 def release_gaps(before: DataFrame, after: DataFrame, axes: dict[str, Column], min_runs: int = MIN_RUNS) -> DataFrame:
