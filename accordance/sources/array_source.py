@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RANGE = 8 << 20
+#: Bytes of a range at most, and those that are read first beyond a range for the end of its last record.
+RANGE, NEXT = 8 << 20, 4 << 10
 _QUOTE, _SLASH = 34, 92
 _STEP = np.zeros(256, np.int8)
 _STEP[[ord("{"), ord("[")]], _STEP[[ord("}"), ord("]")]] = 1, -1
@@ -98,7 +99,7 @@ def records(path: str, start: int, stop: int, size: int, inside: bool, depth: in
     data = np.frombuffer(_read(path, start, stop - start), np.uint8)
     if start == 0 and not data.tobytes().lstrip(b" \t\r\n\xef\xbb\xbf").startswith(b"[") and data.tobytes().strip():
         raise ValueError(f"not a JSON array: {path}")
-    open_at, at = None, start
+    open_at, at, reach = None, start, NEXT
     held = b""
     while True:
         quote, before = marks(data, _escaped(path, at, b""))
@@ -127,7 +128,7 @@ def records(path: str, start: int, stop: int, size: int, inside: bool, depth: in
         inside, depth, at = bool((inside + int(quote.sum())) % 2), int(after[-1]) if len(after) else depth, at + len(data)
         if at >= size:
             raise ValueError(f"the file ends inside a record: {path}")
-        data = np.frombuffer(_read(path, at, min(RANGE, size - at)), np.uint8)
+        data, reach = np.frombuffer(_read(path, at, min(reach, size - at)), np.uint8), min(reach * 2, RANGE)  # most records end soon
 
 
 def _gzipped(path: str) -> Iterator[bytes]:

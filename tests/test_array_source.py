@@ -62,3 +62,18 @@ def test_what_is_no_array_of_objects_fails(spark, tmp_path, text):
     (tmp_path / "bad.json").write_text(text)
     with pytest.raises(Exception, match="JSON array|isn't an object|inside a record"):
         split_json_array(spark, str(tmp_path / "bad.json"), "id long").collect()
+
+
+def test_a_range_reads_little_beyond_its_end(tmp_path, monkeypatch):
+    file, read = tmp_path / "a.json", []
+    file.write_text(json.dumps([{"id": i, "text": "x" * 80} for i in range(4000)]))
+    size, own = file.stat().st_size, array_source._read
+    monkeypatch.setattr(array_source, "_read", lambda p, at, n: read.append(n) or own(p, at, n))
+    found, inside, depth = 0, 0, 0
+    for start in range(0, size, 1 << 14):
+        stop = min(start + (1 << 14), size)
+        found += len(list(array_source.records(str(file), start, stop, size, bool(inside), depth)))
+        data = np.frombuffer(file.read_bytes()[start:stop], np.uint8)
+        quotes, plain, quoted = array_source.summary(data, False)
+        inside, depth = (inside + quotes) % 2, depth + (quoted if inside else plain)
+    assert found == 4000 and sum(read) < 2 * size
