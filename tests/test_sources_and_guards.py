@@ -225,3 +225,17 @@ def test_late_rows_are_given_out(spark, tmp_path):
     assert sorted((r.i, r.batch) for r in on_time.collect()) == [(1, 0), (2, 0), (5, 1)]
     assert sorted((r.i, r.batch) for r in behind.collect()) == [(3, 1), (4, 1)]  # their hours ended by 03:00, the watermark
     assert {r.i: r.seen for r in on_time.union(behind).collect()}[3] == 3
+
+
+def test_late_rows_are_marked_by_a_few_calls_for_many_groups(spark, tmp_path):
+    inbox = str(tmp_path / "in")
+    for k in range(2):
+        spark.range(300).selectExpr("CASE WHEN id > 1 THEN id DIV 2 + 9007199254740993 END AS run_id", "timestamp '2024-01-01 05:00:00' AS ts", f"id * 2 + {k} AS i").repartition(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema("run_id long, ts timestamp, i long").option("maxFilesPerTrigger", 1).parquet(inbox)
+    on_time, behind = late.split_stream(stream, "run_id", str(tmp_path / "out"))
+    assert behind.count() == 0
+    found = sorted((r.run_id or 0, r.batch, r.seen) for r in on_time.collect())
+    assert found == sorted((i // 2 + 9007199254740993 if i > 1 else 0, k, 2 * (k + 1)) for i in range(300) for k in range(2))
+    query = late.marked(stream, "run_id", buckets=4).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "few")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 5  # four buckets, and one of the rows without a run
