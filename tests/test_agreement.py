@@ -2,12 +2,14 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from accordance.functions import classify, geometry
 from accordance.operators import agreement as ops
 from accordance.operators import bootstrap, contracts, ranking, sampling
+from accordance.plans import bindings
 
 SCHEMA = "run_id string, vehicle string, stratum string, line int, onboard_u double, onboard_v double, u100 double, v100 double, u10 double, v10 double, var_u double, var_v double, distance_km double, one double"
 
@@ -265,3 +267,40 @@ def test_rows_meet_small_tables_that_are_known_to_be_small(spark):
     sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("frame_size"))
     for out, aggregates in ((ops.with_weights(rows, sizes), 0), (ops.outside_frame(rows), 1)):
         assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == aggregates
+
+
+def test_lines_are_joined_once_and_last(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = bindings.pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+        inner = plan.children().head()
+        while inner.nodeName() != "Join":
+            inner = inner.children().head()
+        assert inner.children().head().toString().count("Join") == 0  # one side is the lines alone
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_draws_of_a_quantile_meet_its_rows_once(spark):
+    df = spark.createDataFrame([("s", i // 2, "100m", float(i)) for i in range(40)], "stratum string, run_id long, level string, v double")
+    drawn = bootstrap.draws(bootstrap.numbered_runs(df), 7, 1)
+    assert "Window" not in drawn._jdf.queryExecution().optimizedPlan().toString()  # numbers of runs are written
+    out = bootstrap.quantile_interval(df, drawn, "v", 0.5, ["level"])
+    m = {(r.b, r.run_id): r.m for r in drawn.collect()}
+    medians = []
+    for b in range(7):
+        v = sorted(float(i) for i in range(40) for _ in range(m.get((b, i // 2), 0)))
+        medians.append(float((v[len(v) // 2 - 1] + v[len(v) // 2]) / 2))
+    low, high = np.quantile(medians, [0.025, 0.975])
+    r = out.first()
+    assert abs(r.low - low) < 1e-9 and abs(r.high - high) < 1e-9
+
+
+def test_large_groups_are_ranked_in_more_buckets(spark):
+    df = spark.range(4000).selectExpr("CASE WHEN id < 3900 THEN 'a' ELSE 'b' END AS g", "(id * 7919) % 4000 AS v", "id AS i")
+    few, many = ({(r.g, r.i): (r["rank"], r.group_n) for r in ranking.ranked(df, ["g"], "v", ["i"], full=n).collect()} for n in (1 << 30, 10))
+    want = {}
+    for g, lo, hi in (("a", 0, 3900), ("b", 3900, 4000)):
+        for k, i in enumerate(sorted(range(lo, hi), key=lambda i: i * 7919 % 4000)):
+            want[g, i] = (k + 1, hi - lo)
+    assert few == many == want
