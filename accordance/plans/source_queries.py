@@ -66,7 +66,7 @@ def topic_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their lines as nested records against a schema, with what breaks its rules and where."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"), F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped")).alias("dates")))).alias("lines"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"), F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped")).alias("dates")))).alias("lines"))
     own = F.transform("lines", lambda x: F.struct(F.when(x["part"] % 50 != 0, x["part"]).alias("part"), x["quantity"].alias("quantity"), x["flag"].alias("flag"), x["dates"].alias("dates"), F.when(x["part"] % 97 == 0, x["supp"]).alias("supp")))
     record = F.struct("key", F.col("o_orderstatus").alias("status"), own.alias("lines"))
     joined = lines.join(table(spark, sf_dir, "orders"), F.col("key") == F.col("o_orderkey"))

@@ -58,3 +58,10 @@ def test_what_cannot_be_judged_is_refused(spark):
     for schema, said in (({"oneOf": []}, "oneOf"), ({"$ref": "gone.json"}, "no such schema"), ({"$defs": {"a": {"$ref": "#/$defs/a"}}, "$ref": "#/$defs/a"}, "leads back"), ({"enum": [[1]]}, "enum and const")):
         with pytest.raises(ValueError, match=said):
             Compiler(schema).compiled(v)
+
+
+def test_a_value_is_parsed_once_however_many_rules_name_it(spark):
+    df = spark.createDataFrame([(1, "{}")], "id long, doc string")
+    rules = {f"p{i}": {"type": "integer", "minimum": 0, "maximum": 9} for i in range(4)}
+    plan = violations(df, "id", "doc", {"type": "object", "properties": {"a": {"type": "object", "properties": rules}}})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SchemaOfVariant.schemaOfVariant") <= 6  # one for each schema, and only of scalars
