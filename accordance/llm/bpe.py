@@ -104,7 +104,8 @@ class Encoder:
         if (known := self.pairs.get((a, b))) is None:
             if len(self.pairs) >= 2 * MEMO:
                 self.pairs.clear()
-            known = self.pairs[a, b] = tuple(self.merge(self.bytes_of[a] + self.bytes_of[b]))
+            key, known = (a, b), tuple(self.merge(self.bytes_of[a] + self.bytes_of[b]))
+            known = self.pairs[key] = key if known == key else known  # most stay: one tuple, not two
         return known
 
     def stable(self, a: int, b: int) -> bool:
@@ -195,15 +196,15 @@ def _encoder(path: str) -> Encoder:
 class Matches:
     """Splits texts and encodes their matches, with a memo of short ones in two halves: a full half replaces the other, so that frequent matches stay."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, decimal: bool = False):
         import regex
 
-        self.encoder, self.split = _encoder(ranks_path), regex.compile(pattern).findall
-        self.new: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.encoder, self.split, self.decimal = _encoder(ranks_path), regex.compile(pattern).findall, decimal
+        self.new: dict[str, bytes | tuple[bytes, str]] = {}
+        self.old: dict[str, bytes | tuple[bytes, str]] = {}
 
-    def of(self, text: str | None) -> list[tuple[bytes, str]]:
-        """(ids as an array's bytes, the ids in decimal) of each match."""
+    def of(self, text: str | None) -> list:
+        """Each match's ids as an array's bytes; with ``decimal`` a pair of these and the ids in decimal."""
         found = self.split(text) if text else []
         out = list(map(self.new.get, found))
         if None in out:
@@ -213,7 +214,9 @@ class Matches:
                     x = found[i]
                     if (hit := new.get(x) or old.get(x)) is None:
                         ids = self.encoder.encode(x.encode())
-                        hit = array("i", ids).tobytes(), " ".join(map(str, ids))
+                        hit = array("i", ids).tobytes()
+                        if self.decimal:
+                            hit = hit, " ".join(map(str, ids))
                     if len(x) <= SHORT:
                         if len(new) >= MEMO:
                             self.new, self.old = {}, new
@@ -223,18 +226,18 @@ class Matches:
         return out
 
 
-def joined_ids(found: list[tuple[bytes, str]]) -> array:
-    return array("i", b"".join([x[0] for x in found]))
+def joined_ids(found: list[bytes]) -> array:
+    return array("i", b"".join(found))
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, n_tokens, ids, decoded)."""
-    matches = Matches(ranks_path, pattern)
+    matches = Matches(ranks_path, pattern, decimal=True)
     for batch in batches:
         counts, ids_out, back = [], [], []
         for text in batch.column(1):
             found = matches.of(text.as_py())
-            ids = joined_ids(found)
+            ids = joined_ids([x[0] for x in found])
             counts.append(len(ids))
             ids_out.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
             back.append(hashlib.sha256(matches.encoder.decode(ids)).hexdigest())

@@ -53,6 +53,8 @@ SKETCH_LOG, SLICES = 21, 32
 FEW_IDS = 1 << 21
 #: Shingles and sets in a part of a cell, as a rule.
 CELL, CELL_SETS = 1 << 18, 1024
+#: Holders of shingles that a cell's block looks at at once.
+MET = 1 << 17
 #: How far below the asked percent two classes may lie and still be gathered in a family.
 NEAR = 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -87,16 +89,9 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]
 def _count(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """A task's sketch, in slices."""
     counts = np.zeros(1 << SKETCH_LOG, np.uint32)
-    held, some = 0, []
     for batch in batches:
         for _, own in shingle_sets(batch.column(0), words):
-            some.append(own >> np.uint64(64 - SKETCH_LOG))
-            held += len(own)
-            if held > 1_000_000:
-                counts += np.bincount(np.concatenate(some).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-                held, some = 0, []
-    if some:
-        counts += np.bincount(np.concatenate(some).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            np.add.at(counts, (own >> np.uint64(64 - SKETCH_LOG)).view(np.int64), np.uint32(1))  # in place: a bincount of all cells would be large
     if counts.any():
         lane = int(mix64(counts[:64].astype(np.uint64).sum(keepdims=True))[0] % np.uint64(16))
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
@@ -228,28 +223,29 @@ def _cell_links(group: pa.Table, percent: int) -> pa.Table:
     size = np.diff(lists.offsets.to_numpy())
     token, of = lists.values.to_numpy(), np.repeat(np.arange(len(ids)), size)
     order = np.argsort(token, kind="stable")
-    token, of = token[order], of[order]
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+    holder = of[order]
+    starts = np.flatnonzero(np.r_[True, token[order[1:]] != token[order[:-1]]]) if len(token) else np.zeros(0, np.int64)
     held = np.diff(np.r_[starts, len(token)])
-    rows = len(ids)
-    both = np.zeros(rows * rows, np.int32)
-    for h in np.unique(held[held > 1]):  # shingles with equally many holders at once
-        first = starts[held == h]
-        step = max(1, 1_000_000 // int(h) ** 2)
-        for i in range(0, len(first), step):
-            who = of[first[i : i + step, None] + np.arange(h)]
-            both += np.bincount((who[:, :, None] * rows + who[:, None, :]).ravel(), minlength=rows * rows).astype(np.int32)
-    both = both.reshape(rows, rows)
+    begin, many = np.empty(len(token), np.int64), np.empty(len(token), np.int64)  # of each shingle of a set: where its holders stand, and how many
+    begin[order], many[order] = np.repeat(starts, held), np.repeat(held, held)
+    rows, ends = len(ids), np.r_[0, np.cumsum(size)]
     linked, apart = np.zeros((rows, rows), bool), len(np.unique(part)) > 1
-    blocks = [slice(i, i + 256) for i in range(0, rows, 256)]  # whole matrices of 64-bit numbers would be large
+    blocks = [slice(i, min(i + 256, rows)) for i in range(0, rows, 256)]  # whole matrices of numbers would be large
     for at in blocks:
-        shared = both[at].astype(np.int64)
+        shared = np.zeros((at.stop - at.start) * rows, np.int64)
+        own = np.arange(ends[at.start], ends[at.stop])
+        own = own[many[own] > 1]
+        met = np.cumsum(many[own])
+        for some in np.split(own, np.searchsorted(met, np.arange(MET, met[-1], MET))) if len(own) else ():
+            n = many[some]
+            who = holder[np.repeat(begin[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            shared += np.bincount(np.repeat((of[some] - at.start) * rows, n) + who, minlength=len(shared))
+        shared = shared.reshape(-1, rows)
         linked[at] = 100 * shared >= percent * (size[at, None] + size[None, :] - shared)
         if apart:
             linked[at] &= part[at, None] != part[None, :]
     if not apart:
         np.fill_diagonal(linked, False)
-    del both
     least = ids.copy()  # the smallest document reached: minima along links, until they settle
     while True:
         near = np.concatenate([np.minimum(least[at], np.where(linked[at], least[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)) for at in blocks]) if rows else least
