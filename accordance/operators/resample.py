@@ -1,25 +1,27 @@
 """Percentile intervals from resamples of whole runs, without a bound on a group's size.
 
-A resample draws, in each stratum, as many runs as the stratum has, with replacement. A
-group's runs are dealt by a hash into blocks of about ``BLOCK`` runs. How many of a resample's
+A resample draws, in each stratum, as many runs as the stratum has, with replacement. Runs are
+dealt by a hash into blocks of at most about ``BLOCK`` runs of a cell. How many of a resample's
 draws fall into a block follows from halving: at each node of a binary tree over the blocks the
 draws of the node are split by a binomial in the ratio of the halves' runs, and the leaf's draws
 pick its runs evenly. So a block finds its own runs' multiplicities from its path alone, and all
 blocks together are one multinomial draw. Random numbers are seeded by the node, so that the
 result depends neither on partitions nor on lost tasks.
 
-1. Biases, limits of agreement and means come from the sums of runs, which a block multiplies by
-   the multiplicities and by the stratum's weights; Spark adds up the blocks.
-2. Quantiles: values are cut into buckets, narrow ones around the asked quantiles. The same
-   product gives every resample's mass in each bucket, and so the one or two buckets in which its
-   quantile lies. Buckets that are needed and hold more than ``ROWS`` rows are cut again, unless they
-   hold one value only.
-3. Only rows of needed buckets are looked at: blocks give their multiplicities in the resamples
-   that need the bucket, and a bucket's rows (``ROWS`` at most) give the copies next to the quantile's
-   place. Positions are (i - 1/2) / n of repeated rows, by weight, linear between.
-
-A task holds a block or a bucket, whatever the group's size. In a bucket of one value its least
-and greatest weight stand for those of its first and last drawn copy.
+1. Runs are counted for each cell, stratum and block: what a path needs.
+2. Rows are counted in cells of values, cut again where a quantile is near and they are too large, until the
+   places ``REACH`` standard errors around each quantile are known: a window of few rows, as a standard error's rows
+   grow with the root of the runs. Windows are cut into buckets of ``ROWS`` rows; a value of more rows is a
+   bucket of its own, and what lies between windows is one bucket.
+3. Rows are dealt to the blocks once, as they are, and get their cells and kinds there. A block multiplies the multiplicities by the sums of
+   its runs: moments, and masses of the buckets. A task adds up its blocks. Of runs with rows in a window the
+   multiplicities are kept, a byte for each resample.
+4. The masses tell in which one or two buckets each resample's quantile lies, and the rows of these with their multiplicities
+   the copies next to its place. Positions are (i - 1/2) / n of repeated rows, by weight, linear between. If a
+   quantile lies outside its window, its group is drawn again with one twice as wide.
+
+A task holds a block, a bucket or a group's masses, whatever the group's size; the driver a number of runs for each cell, stratum and block, and
+the buckets. In a bucket of one value its least and greatest weight stand for those of its first and last drawn copy.
 
 Weights are those of a sampling design: constant within a stratum (others end the run with an
 error). Null values and values that aren't numbers are left out. No rows give no rows.
@@ -28,50 +30,70 @@ error). Null values and values that aren't numbers are left out. No rows give no
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordance.operators.tables import written
 
 RESAMPLES, SEED, Z = 2000, 20260827, 1.96
-BLOCK, ROWS, CHUNK, LEVELS = 16_384, 4096, 200, 12
+BLOCK, ROWS, CHUNK = 16_384, 4096, 200
 SIGNED, SIZE = ("du", "dv", "dspeed"), "magnitude"
 QUANTILES = {"p95": 0.95, "p97_5": 0.975}
 STATISTICS = [f"{s}_{x}" for x in SIGNED for s in ("bias", "loa_low", "loa_high")] + ["mean_magnitude", *QUANTILES]
-#: Moments of a run for each weighting: weight, weighted sums, and weighted squares of what is signed.
+#: Moments of a run: rows, sums, and squares of what is signed.
 MOMENTS = 1 + len(SIGNED) + 1 + len(SIGNED)
-GRID = sorted({round(q + k * 0.0025, 4) for q in QUANTILES.values() for k in range(-20, 11)} - {x / 10_000 for x in range(10_000, 11_000)})
+#: Half a window's width at first, in standard errors of a quantile of independent runs.
+REACH = 4.0
+#: Draws that are counted at a time, as many as a core's cache holds.
+CACHED = 65_536
+#: Bits of a value that a cell leaves open, at each level of cutting: at first an octave has 1,024 cells.
+SHIFTS = (42, 32, 20, 0)
+#: What a bucket is: between windows, one value of many rows, rows. Cells up to which a run holds its cells as bits. Bytes of sums that a task holds before it gives them out.
+WIDE, ONE, ROWWISE = 0, 1, 2
+MASKED, HELD = 500, 256_000_000
 
 
 def _generator(*node: object) -> np.random.Generator:
     return np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.blake2b("|".join(map(str, node)).encode(), digest_size=16).digest())))
 
 
-def leaf_draws(key: str, stratum: str, block: int, path: Sequence[int], resamples: int, seed: int) -> np.ndarray:
-    """How many of each resample's draws fall into a block; ``path`` has the runs of the nodes from the root to it."""
-    draws = np.full(resamples, path[0], np.int64)
+def leaf_draws(key: str, stratum: str, block: int, path: Sequence[int], resamples: int, seed: int, kept: dict[int, tuple[int, np.ndarray]] | None = None) -> np.ndarray:
+    """How many of each resample's draws fall into a block; ``path`` has the runs of the nodes from the root to it. ``kept`` holds the last block's path, for the next."""
+    draws, kept = np.full(resamples, path[0], np.int64), {} if kept is None else kept
     bits = len(path) - 1
     for level in range(bits):
         child = block >> (bits - level - 1)
-        left = path[level + 1] if child % 2 == 0 else path[level] - path[level + 1]
-        to_left = _generator(seed, key, stratum, level, child >> 1).binomial(draws, left / path[level])
-        draws = to_left if child % 2 == 0 else draws - to_left
+        if kept.get(level, (-1,))[0] != child:
+            left = path[level + 1] if child % 2 == 0 else path[level] - path[level + 1]
+            to_left = _generator(seed, key, stratum, level, child >> 1).binomial(draws, left / path[level])
+            kept[level] = child, to_left if child % 2 == 0 else draws - to_left
+        draws = kept[level][1]
     return draws
 
 
-def multiplicities(key: str, stratum: str, block: int, path: Sequence[int], resamples: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+def multiplicities(key: str, stratum: str, block: int, path: Sequence[int], resamples: int, seed: int, kept: dict[int, tuple[int, np.ndarray]] | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(first resample, resamples by runs): how often each run of a block is drawn, some resamples at a time."""
-    draws, runs = leaf_draws(key, stratum, block, path, resamples, seed), path[-1]
+    draws, runs = leaf_draws(key, stratum, block, path, resamples, seed, kept), path[-1]
     for start in range(0, resamples, CHUNK):
-        own = draws[start : start + CHUNK]
-        picks = _generator(seed, key, stratum, "leaf", len(path), block, start).integers(0, runs, int(own.sum()))
-        yield start, np.bincount(np.repeat(np.arange(len(own)) * runs, own) + picks, minlength=len(own) * runs).reshape(len(own), runs)
+        own, pick = draws[start : start + CHUNK], _generator(seed, key, stratum, "leaf", len(path), block, start)
+        m = np.empty((len(own), runs), np.int64)
+        step = max(1, CACHED // runs)
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            picks = pick.integers(0, runs, int(some.sum()))
+            if len(some) > 1:
+                picks += np.repeat(np.arange(len(some)) * runs, some)
+            m[at : at + step] = np.bincount(picks, minlength=len(some) * runs).reshape(len(some), runs)
+        yield start, m
 
 
 def _importable(df: DataFrame) -> None:
@@ -81,25 +103,14 @@ def _importable(df: DataFrame) -> None:
         env["PYTHONPATH"] = f"{root}:{have}" if have else root
 
 
-def _dealt(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows dealt by key to as many tasks as a shuffle has. Few rows may mean much work here, so that partitions must not be merged by their bytes."""
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as a shuffle has. Few rows may mean much work here, so that partitions must not be merged by their bytes."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *key)
-
-
-def _kinds(df: DataFrame, names: Sequence[str]) -> str:
-    return ", ".join(f"{c} {t}" for c, t in df.select(*names).dtypes)
-
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
 
-def _key(group: pa.Table, names: Sequence[str]) -> str:
-    return "|".join(str(group.column(c)[0].as_py()) for c in names)
 
-
-def _bucket(value: Column, cuts: Column) -> Column:
-    """How many cuts are no greater than the value, by bisection."""
-    step = lambda at, width: F.when((at + width <= F.size(cuts)) & (F.get(cuts, at + width - 1) <= value), at + width).otherwise(at)
-    inside = F.aggregate(F.array(*[F.lit(1 << b) for b in range(9, -1, -1)]), F.lit(0), step)
-    return F.when(value < F.get(cuts, F.lit(0)), 0).otherwise(inside)  # most values lie before the first
+def _dealt(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    return df.repartition(_tasks(df), *key)
 
 
 def _matched(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
@@ -111,229 +122,466 @@ def _matched(left: DataFrame, right: DataFrame, names: Sequence[str], how: str =
     return left.join(other, on, how).drop(*[f"_r_{n}" for n in names])
 
 
-class _Groups:
-    """The rows, and what the passes over them share."""
-
-    def __init__(self, rows: DataFrame, by: Sequence[str], draw_by: Sequence[str], weights: Sequence[str], resamples: int, seed: int, block: int, most: int):
-        self.by, self.draw_by, self.weights = list(by), list(draw_by), list(weights)
-        self.more = [c for c in by if c not in draw_by]
-        self.resamples, self.seed, self.block, self.most = resamples, seed, block, most
-        ok = F.lit(True)
-        for c in (*SIGNED, SIZE):
-            ok &= F.col(c).isNotNull() & ~F.isnan(c)
-        own = [F.col(w).cast("double").alias(f"w{i}") for i, w in enumerate(weights)]
-        self.rows = rows.filter(ok).select(*self.by, "stratum", "run_id", *[F.col(c).cast("double").alias(c) for c in (*SIGNED, SIZE)], *own)
-
-    def edges(self) -> DataFrame:
-        """For each group: cuts, centre of each value, greatest weights, and the depth of its tree of blocks."""
-        out = self.rows.groupBy(*self.by).agg(
-            F.percentile_approx(SIZE, GRID, 2000).alias("cuts"), F.approx_count_distinct("run_id").alias("_runs"),
-            *[F.avg(c).alias(f"c_{c}") for c in (*SIGNED, SIZE)], *[F.max(f"w{i}").alias(f"most{i}") for i in range(len(self.weights))],
-        )
-        shared = Window.partitionBy(*self.draw_by)  # a few rows: the groups that share draws
-        bits = F.greatest(F.lit(0), F.ceil(F.log2(F.max("_runs").over(shared) / self.block))).cast("int")
-        out = out.withColumn("gid", F.monotonically_increasing_id()).withColumn("did", F.min("gid").over(shared))
-        return written(out.withColumn("bits", bits).withColumn("cuts", F.array_sort(F.array_distinct("cuts"))).drop("_runs"), "edges")
-
-    def summed(self, edges: DataFrame) -> DataFrame:
-        """For each run and bucket: rows, sums and squares around the group's centre, least and greatest value and weights; and the run's block and number in it."""
-        d = _matched(self.rows, edges, self.by)
-        off = {c: F.col(c) - F.col(f"c_{c}") for c in (*SIGNED, SIZE)}
-        moments = [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s_{c}") for c, x in off.items()], *[F.sum(off[c] * off[c]).alias(f"q_{c}") for c in SIGNED], F.min(SIZE).alias("v_min"), F.max(SIZE).alias("v_max")]
-        moments += [f(f"w{i}").alias(f"{name}{i}") for i in range(len(self.weights)) for name, f in (("least", F.min), ("top", F.max))]
-        d = d.withColumn("bucket", _bucket(F.col(SIZE), F.col("cuts"))).withColumn("sid", F.xxhash64("stratum"))
-        each = d.groupBy("gid", "sid", "run_id", "bucket").agg(*moments)  # by numbers; names come back after
-        strata = self.rows.select("stratum", F.xxhash64("stratum").alias("sid")).distinct()
-        each = each.join(edges.select("gid", "did", "bits", *self.by), "gid").join(strata, "sid")
-        block = F.when(F.col("bits") > 0, F.shiftrightunsigned(F.xxhash64("sid", "run_id"), 40).bitwiseAND(F.pow(F.lit(2), F.col("bits")).cast("long") - 1)).otherwise(0).cast("int")
-        inside = Window.partitionBy("did", "sid", "block").orderBy("run_id")  # a block's runs
-        return written(each.withColumn("block", block).withColumn("idx", (F.dense_rank().over(inside) - 1).cast("int")), "run-sums")
-
-    def paths(self, sums: DataFrame) -> DataFrame:
-        """For each block and stratum the runs of the nodes above it, from the root."""
-        key = [*self.draw_by, "stratum"]
-        sizes = sums.groupBy(*key, "block", "bits").agg((F.max("idx") + 1).cast("long").alias("runs"))
-        nodes = sizes.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("bits")))).withColumn("node", F.expr("shiftright(block, bits - level)"))
-        totals = nodes.groupBy(*key, "level", "node").agg(F.sum("runs").alias("total"))
-        both = _matched(nodes, totals, [*key, "level", "node"])
-        return both.groupBy(*key, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "total"))), lambda x: x["total"]).alias("path"))
-
-    def products(self, sums: DataFrame, paths: DataFrame, buckets: int) -> DataFrame:
-        """For each group and resample b: the moments, and the masses of the buckets, of each weighting."""
-        width = MOMENTS + buckets
-        names = [f"x{i}_{k}" for i in range(len(self.weights)) for k in range(width)]
-        by, more, draw_by, resamples, seed, weights = self.by, self.more, self.draw_by, self.resamples, self.seed, len(self.weights)
-        moments = ["n", *[f"s_{c}" for c in (*SIGNED, SIZE)], *[f"q_{c}" for c in SIGNED]]
-
-        def run(group: pa.Table, above: pa.Table) -> pa.Table:
-            kinds: dict[tuple, int] = {}
-            which = np.array([kinds.setdefault(t, len(kinds)) for t in zip(*[group.column(c).to_pylist() for c in more], strict=True)] if more else [kinds.setdefault((), 0)] * len(group))
-            strata, bucket, idx = group.column("stratum").to_pylist(), group.column("bucket").to_numpy(), group.column("idx").to_numpy()
-            places: dict[object, list[int]] = {}
-            for at, stratum in enumerate(strata):
-                places.setdefault(stratum, []).append(at)
-            values = np.stack([group.column(m).to_numpy() for m in moments])
-            least, top = (np.stack([group.column(f"{name}{i}").to_numpy() for i in range(weights)]) for name in ("least", "top"))
-            total = np.zeros((resamples, len(kinds), weights, width))
-            key = _key(group, draw_by)
-            for row in above.to_pylist():
-                mine = np.array(places[row["stratum"]])
-                if (top[:, mine] != least[:, mine[:1]]).any() or (least[:, mine] != least[:, mine[:1]]).any():
-                    raise ValueError("weights must be constant within a stratum")
-                dense = np.zeros((row["path"][-1], len(kinds) * width))
-                for k in range(MOMENTS):
-                    np.add.at(dense, (idx[mine], which[mine] * width + k), values[k, mine])
-                np.add.at(dense, (idx[mine], which[mine] * width + MOMENTS + bucket[mine]), values[0, mine])
-                used = np.flatnonzero(dense.any(0))
-                small = dense[:, used]
-                for start, m in multiplicities(key, row["stratum"], row["block"], row["path"], resamples, seed):
-                    made = np.zeros((len(m), dense.shape[1]))
-                    made[:, used] = m.astype(np.float64) @ small
-                    total[start : start + len(m)] += made.reshape(len(m), len(kinds), 1, width) * least[:, mine[0]][:, None]
-            out, first = [], [group.column(c)[0].as_py() for c in draw_by]
-            for other, k in kinds.items():
-                keys = dict(zip(draw_by, first, strict=True)) | dict(zip(more, other, strict=True))
-                arrays = [pa.array([keys[c]] * resamples, group.schema.field(c).type) for c in by]
-                part = total[:, k].reshape(resamples, weights * width)
-                out.append(pa.Table.from_arrays([*arrays, pa.array(np.arange(resamples, dtype=np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in part.T]], names=[*by, "b", *names]))
-            return pa.concat_tables(out)
+def _complete() -> Column:
+    """Rows with every value."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in (*SIGNED, SIZE)])
+
 
-        key = [*draw_by, "block"]
-        each = _dealt(sums, key).groupBy(*key).cogroup(_dealt(paths, key).groupBy(*key)).applyInArrow(run, f"{_kinds(sums, by)}, b int, " + ", ".join(f"{n} double" for n in names))
-        return written(each.groupBy(*by, "b").agg(*[F.sum(n).alias(n) for n in names]), "resamples")
+def _order(values: np.ndarray) -> np.ndarray:
+    """Numbers as integers in the same order: their bits."""
+    bits = np.ascontiguousarray(values, np.float64).view(np.int64)
+    return np.where(bits < 0, -(bits & np.int64(2**63 - 1)), bits)
 
-    def needed(self, table: DataFrame, edges: DataFrame, buckets: int) -> DataFrame:
-        """(group, weighting, q, b, bucket, before, after, target): the buckets next to each resample's quantiles, and the masses up to their ends."""
-        width, by, weights = MOMENTS + buckets, self.by, len(self.weights)
+
+def _value(place: int) -> float:
+    return float(np.array([place if place >= 0 else -place - 2**63], np.int64).view(np.float64)[0])
+
+
+def _numbered(runs: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Ids as numbers from 0, in their order, null first."""
+    if not runs.null_count and pa.types.is_integer(runs.type):
+        return np.unique(runs.to_numpy(), return_inverse=True)[1]
+    ids = runs.to_pylist()
+    place = {x: i for i, x in enumerate(sorted(set(ids), key=lambda x: (x is not None, x)))}
+    return np.array([place[x] for x in ids], np.int64)
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys begin."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+
+
+class _Draws:
+    """Rows of cells, and what the passes over them share.
+
+    ``narrow`` has stratum, run_id, w0, w1 and so on, and ``cells``: columns with the number of each cell that a row is in, null or
+    negative for none. ``expand`` makes of it rows with a kind, numbered from 0, and the values. A group is a cell and a kind, numbered
+    cell * kinds + kind; the kinds of a cell share its draws. ``keys`` names the cells.
+    """
+
+    def __init__(self, narrow: DataFrame, cells: Sequence[str], expand: Callable[[DataFrame], DataFrame], keys: Sequence[str], kinds: int, weights: int, resamples: int, seed: int, block: int, most: int):
+        self.cells, self.keys, self.kinds, self.weights = list(cells), list(keys), kinds, weights
+        self.resamples, self.seed, self.most, self.spark = resamples, seed, most, narrow.sparkSession
+        ends = [f(f"w{i}").alias(f"{name}{i}") for i in range(weights) for name, f in (("least", F.min), ("top", F.max))]
+        strata = sorted(expand(narrow).filter(_complete()).groupBy("stratum").agg(*ends).collect(), key=lambda r: (r["stratum"] is not None, r["stratum"]))
+        if any(r[f"least{i}"] != r[f"top{i}"] for r in strata for i in range(weights)):
+            raise ValueError("weights must be constant within a stratum")
+        self.strata = [r["stratum"] for r in strata]
+        self.w = np.array([[r[f"least{i}"] for r in strata] for i in range(weights)], np.float64).reshape(weights, len(strata))
+        sids = self.spark.createDataFrame([(s, i) for i, s in enumerate(self.strata)], f"stratum {dict(narrow.dtypes)['stratum']}, sid int")
+        hashed = F.shiftrightunsigned(F.xxhash64(F.xxhash64("stratum"), "run_id"), 40)
+        self.narrow = _matched(narrow, F.broadcast(sids), ["stratum"]).withColumn("_h", hashed).drop("stratum", *[f"w{i}" for i in range(weights)])
+        number = [F.coalesce(F.col(c), F.lit(-1)).cast("int").alias(c) for c in self.cells]
+        self.expand = lambda df: expand(df).filter(_complete()).select(*[c for c in ("_block", "_h") if c in df.columns], "sid", "run_id", *number, F.col("kind").cast("int").alias("kind"), *[F.col(c).cast("double").alias(c) for c in (*SIGNED, SIZE)])
+        self._count(block)
+
+    def _count(self, block: int) -> None:
+        """How many runs of each cell and stratum each block holds. Up to ``MASKED`` cells a run holds its cells as bits, beyond it is a row for each."""
+        n, rows = len(self.keys), self.expand(self.narrow)
+        if n <= MASKED:
+            of = lambda c, i: F.when((c >= 63 * i) & (c < 63 * i + 63), F.call_function("shiftleft", F.lit(1).cast("long"), c - 63 * i)).otherwise(F.lit(0).cast("long"))
+            words = [reduce(lambda a, b: a.bitwiseOR(b), [of(F.col(c), i) for c in self.cells]).alias(f"_m{i}") for i in range((n + 62) // 63)]
+            ids = written(rows.select("sid", "run_id", "_h", *words).groupBy("sid", "run_id", "_h").agg(*[F.bit_or(f"_m{i}").alias(f"_m{i}") for i in range(len(words))]), "ids")
+            held = F.array(*[F.sum(F.shiftright(F.col(f"_m{c // 63}"), c % 63).bitwiseAND(F.lit(1).cast("long"))) for c in range(n)])
+            counted = lambda df, by: df.groupBy(*by).agg(held.alias("_n")).select(*by, F.posexplode("_n").alias("cell", "runs")).filter("runs > 0")
+        else:
+            ids = written(rows.select("sid", "run_id", "_h", F.explode(F.array(*self.cells)).alias("cell")).filter("cell >= 0").distinct(), "ids")
+            counted = lambda df, by: df.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("runs"))
+        most = counted(ids, ["sid"]).groupBy("cell").agg(F.sum("runs").alias("runs")).agg(F.max("runs")).first()[0] or 0
+        self.bits = max(0, math.ceil(math.log2(most / block))) if most else 0
+        self.block = F.col("_h").bitwiseAND(F.lit((1 << self.bits) - 1).cast("long")).cast("int")
+        self.runs: dict[tuple[int, int], np.ndarray] = {}
+        for r in counted(ids.withColumn("_block", self.block), ["sid", "_block"]).collect():  # a number for each cell, stratum and block
+            self.runs.setdefault((r["cell"], r["sid"]), np.zeros(1 << self.bits, np.int64))[r["_block"]] = r["runs"]
+        size, square, self.top = (np.zeros((self.weights, n)) for _ in range(3))
+        for (cell, sid), counts in self.runs.items():
+            size[:, cell] += self.w[:, sid] * counts.sum()
+            square[:, cell] += self.w[:, sid] ** 2 * counts.sum()
+            self.top[:, cell] = np.maximum(self.top[:, cell], self.w[:, sid])
+        #: The standard error of a share of one half, of independent runs.
+        self.error = np.sqrt(square) / np.maximum(size, 1e-300)
+
+    def counted(self, shift: int, inside: dict[int, np.ndarray]) -> DataFrame:
+        """For each group and cell of values (their ``_order`` less its last ``shift`` bits): rows, least and greatest value, weights, and at one cell the sums of the group's values.
+
+        ``inside`` has the groups that are asked for; beyond the first pass, the cells of the pass before that are cut here.
+        """
+        kinds, weights, w, cells = self.kinds, self.weights, self.w, self.cells
+        first, before = shift == SHIFTS[0], SHIFTS[SHIFTS.index(shift) - 1] if shift != SHIFTS[0] else 0
+        asked = np.zeros(len(self.keys) * kinds, bool)
+        asked[list(inside)] = True
+        shared = self.spark.sparkContext.broadcast(inside)
+        schema = pa.schema([("gid", pa.int32()), ("cell", pa.int64()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), *[(f"{x}{i}", pa.float64()) for x in ("w", "least", "top") for i in range(weights)], *[(f"c{k}", pa.float64()) for k in range(4)]])
+
+        def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+            columns = [np.concatenate(p) for p in zip(*parts, strict=True)]
+            order = np.lexsort((columns[1], columns[0]))
+            columns = [c[order] for c in columns]
+            if not len(order):
+                return columns
+            at = np.flatnonzero(np.r_[True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])])
+            by = [None, None, np.add, np.minimum, np.maximum, *[np.add] * weights, *[np.minimum] * weights, *[np.maximum] * weights, *[np.add] * 4]
+            return [c[at] if f is None else f.reduceat(c, at) for f, c in zip(by, columns, strict=True)]
+
+        def part(batch: pa.RecordBatch) -> list[np.ndarray]:
+            member = np.stack([batch.column(c).to_numpy() for c in cells], 1)
+            row, col = np.nonzero(member >= 0)
+            gid = member[row, col] * kinds + batch.column("kind").to_numpy()[row]
+            kept = asked[gid]
+            row, gid = row[kept], gid[kept].astype(np.int32)
+            place = _order(batch.column(SIZE).to_numpy())
+            if not first:
+                kept, parent = np.zeros(len(row), bool), (place >> before)[row]
+                for g, own in shared.value.items():
+                    of = np.flatnonzero(gid == g)
+                    kept[of] = np.isin(parent[of], own)
+                row, gid = row[kept], gid[kept]
+            mass = w[:, batch.column("sid").to_numpy()[row]]
+            place = place[row]
+            sums = [np.zeros(len(row)) for _ in range(4)]
+            if first and len(row):
+                at = np.unique(gid, return_index=True)
+                for k, c in enumerate((*SIGNED, SIZE)):
+                    sums[k][at[1]] = np.bincount(gid, batch.column(c).to_numpy()[row])[at[0]]
+            return merged([[gid, place >> shift, np.ones(len(row), np.int64), place, place, *mass, *mass, *mass, *sums]])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, held = [], 0
             for batch in batches:
+                parts.append(part(batch))
+                held += len(parts[-1][0])
+                if held > 2_000_000:
+                    parts = [merged(parts)]
+                    held = -len(parts[0][0])
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(merged(parts), schema.types, strict=True)], schema=schema)
+
+        names = ", ".join([*[f"{x}{i} double" for x in ("w", "least", "top") for i in range(weights)], *[f"c{k} double" for k in range(4)]])
+        each = self.expand(self.narrow).mapInArrow(run, f"gid int, cell long, n long, lo long, hi long, {names}")
+        sums = [F.sum(c).alias(c) for c in ("n", *[f"w{i}" for i in range(weights)], *[f"c{k}" for k in range(4)])]
+        return each.groupBy("gid", "cell").agg(*sums, F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[f(f"{x}{i}").alias(f"{x}{i}") for x, f in (("least", F.min), ("top", F.max)) for i in range(weights)])
+
+    def _near(self, shift: int, known: dict[int, dict | None], reach: float, schema: pa.Schema) -> Callable[[pa.Table], pa.Table]:
+        """Of a group's cells those that are near a quantile, small ones joined."""
+        kinds, weights, most, top, error, before_shift = self.kinds, self.weights, self.most, self.top, self.error, SHIFTS[SHIFTS.index(shift) - 1]
+
+        def near(group: pa.Table) -> pa.Table:
+            group = group.sort_by("cell")
+            g, cell, n, lo, hi = group.column("gid")[0].as_py(), *[group.column(c).to_numpy() for c in ("cell", "n", "lo", "hi")]
+            mass, least, most_w = (np.stack([group.column(f"{x}{i}").to_numpy() for i in range(weights)]) for x in ("w", "least", "top"))
+            ends, above = np.cumsum(mass, 1), known[g]
+            if above is None:
+                total, rows, centre = ends[:, -1], n.sum(), [group.column(f"c{k}").to_numpy().sum() / n.sum() for k in range(4)]
+                start = ends - mass
+            else:  # cells of the pass before: what lies before each is known
+                total, rows, centre = above["total"], above["rows"], above["centre"]
+                at = _starts(cell >> (before_shift - shift))
+                size = np.diff(np.r_[at, len(cell)])
+                base = np.stack([above["open"][c] for c in (cell >> (before_shift - shift))[at]], 1)
+                start = ends - mass - np.repeat(ends[:, at] - mass[:, at], size, 1) + np.repeat(base, size, 1)
+            parent = cell >> (before_shift - shift) if above else np.zeros(len(cell), np.int64)
+            kept = np.zeros(len(cell), bool)
+            for q in QUANTILES.values():
                 for i in range(weights):
-                    mass = np.stack([batch.column(f"x{i}_{k}").to_numpy() for k in range(MOMENTS, width)], 1)
-                    after, most = np.cumsum(mass, 1), batch.column(f"most{i}").to_numpy()[:, None]
-                    for name, q in QUANTILES.items():
-                        target = q * after[:, -1:]
-                        row, bucket = np.nonzero((mass > 0) & (after - mass <= target + most) & (after >= target - most))
-                        at = pa.array(row)
-                        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in by], batch.column("b").take(at), pa.array(np.full(len(row), i, np.int32)), pa.array([name] * len(row), pa.string()), pa.array(bucket.astype(np.int32)), pa.array((after - mass)[row, bucket]), pa.array(after[row, bucket]), pa.array(target[row, 0])], [*by, "b", "weighting", "q", "bucket", "before", "after", "target"])
-
-        most = edges.select(*by, *[f"most{i}" for i in range(weights)])
-        return written(_matched(table, most, by).mapInArrow(run, f"{_kinds(table, by)}, b int, weighting int, q string, bucket int, before double, after double, target double"), "needed")
-
-    def recut(self, edges: DataFrame, sizes: DataFrame, asked: DataFrame) -> DataFrame | None:
-        """Edges with cuts inside the needed buckets that are too large; None if there are none."""
-        large = written(_matched(asked, sizes, [*self.by, "bucket"]).filter((F.col("n") > self.most) & (F.col("v_min") < F.col("v_max"))).select(*self.by, "bucket"), "large")
-        if large.isEmpty():
-            return None
-        d = _matched(self.rows, edges.select(*self.by, "cuts"), self.by).withColumn("bucket", _bucket(F.col(SIZE), F.col("cuts")))
-        inner = _matched(d, large, [*self.by, "bucket"]).groupBy(*self.by, "bucket").agg(F.percentile_approx(SIZE, [k / 16 for k in range(1, 16)], 1000).alias("inner"), F.max(SIZE).alias("last"))
-        # kept: the ends of needed buckets; new: cuts inside the large ones
-        ends = _matched(asked, edges.select(*self.by, "cuts"), self.by).select(*self.by, F.explode(F.array(F.get("cuts", F.col("bucket") - 1), F.get("cuts", "bucket"))).alias("cut")).filter("cut is not null")
-        cut = inner.select(*self.by, F.explode(F.array_append("inner", F.col("last"))).alias("cut")).union(ends)
-        new = cut.groupBy(*self.by).agg(F.array_sort(F.collect_set("cut")).alias("_new"))
-        out = _matched(edges, new, self.by, "left").withColumn("cuts", F.coalesce("_new", "cuts")).drop("_new")
-        return written(out, "edges")
-
-    def neighbours(self, edges: DataFrame, sums: DataFrame, paths: DataFrame, need: DataFrame, sizes: DataFrame) -> DataFrame:
-        """(group, weighting, q, b, target, lo, hi): the copies next to each resample's quantile, from the needed buckets."""
-        by, draw_by, resamples, seed, weights = self.by, self.draw_by, self.resamples, self.seed, len(self.weights)
-        facts = _matched(need, sizes, [*by, "bucket"])
-        # a bucket of one value: its first and last copies
-        of = lambda name: F.element_at(F.array(*[F.col(f"{name}{i}") for i in range(weights)]), F.col("weighting") + 1)
-        one = facts.filter("v_min = v_max").select(*by, "weighting", "q", "b", "target", (F.col("before") + of("least") / 2).alias("first"), (F.col("after") - of("top") / 2).alias("last"), F.col("v_min").alias("v"))
-        lo = F.when(F.col("first") <= F.col("target"), F.struct(F.least("last", "target").alias("c"), "v"))
-        hi = F.when(F.col("last") > F.col("target"), F.struct(F.greatest("first", "target").alias("c"), "v"))
-        one = one.select(*by, "weighting", "q", "b", "target", lo.alias("lo"), hi.alias("hi"))
-        # others: their rows, with multiplicities in the resamples that ask for them
-        asked = written(facts.filter("v_min < v_max").select(*by, "bucket", "b", "weighting", "q", "before", "target"), "asked")
-        which = asked.select(*by, "bucket").distinct()
-        d = _matched(self.rows, edges.select(*by, "cuts"), by).withColumn("bucket", _bucket(F.col(SIZE), F.col("cuts")))
-        ws = [f"w{i}" for i in range(weights)]
-        d = _matched(d, which, [*by, "bucket"], "left_semi").groupBy(*by, "stratum", "run_id", "bucket", F.col(SIZE).alias("v"), *ws).agg(F.count(F.lit(1)).alias("n"))
-        d = _matched(d, sums.select(*by, "stratum", "run_id", "bucket", "block", "idx"), [*by, "stratum", "run_id", "bucket"])
-        d = _matched(d, paths, [*draw_by, "stratum", "block"]).select(*by, "stratum", "block", "idx", "path", "bucket", "v", "n", *ws)
-        lists = asked.groupBy(*by, "bucket").agg(F.array_sort(F.collect_set("b")).alias("bs"))  # at most as many as there are resamples
-        blocks = sums.select(*draw_by, "block").distinct()
-        lists = written(_matched(lists, blocks, draw_by), "lists")
-        key = [*draw_by, "block"]
-
-        def drawn(group: pa.Table, wanted: pa.Table) -> pa.Table:
-            if not len(group):
-                return pa.table({c: group.column(c) for c in [*by, "bucket", "v", "n", *ws]} | {"m": pa.array([], pa.binary())})
-            lists = {tuple(r[c] for c in [*by, "bucket"]): np.array(r["bs"]) for r in wanted.to_pylist()}
-            rows = group.select([*by, "bucket", "stratum", "idx"]).to_pylist()
-            of = [tuple(r[c] for c in [*by, "bucket"]) for r in rows]
-            out, name = [b""] * len(rows), _key(group, draw_by)
-            by_stratum: dict[object, list[int]] = {}
-            for i, r in enumerate(rows):
-                by_stratum.setdefault(r["stratum"], []).append(i)
-            for stratum, mine in by_stratum.items():
-                path, block = group.column("path")[mine[0]].as_py(), group.column("block")[mine[0]].as_py()
-                idx = np.array([rows[i]["idx"] for i in mine])
-                held = np.empty((len(mine), resamples), np.int32)
-                for start, m in multiplicities(name, stratum, block, path, resamples, seed):
-                    held[:, start : start + len(m)] = m[:, idx].T
-                for i, m in zip(mine, held, strict=True):
-                    out[i] = m[lists[of[i]]].tobytes()
-            return pa.table({c: group.column(c) for c in [*by, "bucket", "v", "n", *ws]} | {"m": pa.array(out, pa.binary())})
-
-        schema = f"{_kinds(d, [*by, 'bucket', 'v', 'n', *ws])}, m binary"
-        rows = _dealt(d, key).groupBy(*key).cogroup(_dealt(lists, key).groupBy(*key)).applyInArrow(drawn, schema)
-
-        def beside(group: pa.Table, wanted: pa.Table) -> pa.Table:
-            names = [*by, "weighting", "q", "b", "target"]
-            if not len(group) or not len(wanted):
-                return pa.table({c: wanted.column(c).slice(0, 0) for c in names} | {c: pa.array([], pa.float64()) for c in ("lo_c", "lo_v", "hi_c", "hi_v")})
-            bs = np.unique(wanted.column("b").to_numpy())
-            copies = np.stack([np.frombuffer(m, np.int32) for m in group.column("m").to_pylist()], 1) * group.column("n").to_numpy()[None, :]  # resamples by rows
-            v = group.column("v").to_numpy()
-            found = np.full((len(wanted), 4), np.nan)
-            weighting, at = wanted.column("weighting").to_numpy(), np.searchsorted(bs, wanted.column("b").to_numpy())
-            before, target = wanted.column("before").to_numpy(), wanted.column("target").to_numpy()
-            for i in np.unique(weighting):
-                w = group.column(f"w{i}").to_numpy()
-                order = np.lexsort((w, v))
-                ww, vv, mass = w[order], v[order], copies[:, order] * w[order]
+                    wide = reach * math.sqrt(q * (1 - q)) * error[i, g // kinds] * total[i] + 2 * top[i, g // kinds]
+                    kept |= (start[i] <= q * total[i] + wide) & (start[i] + mass[i] >= q * total[i] - wide)
+            out, last = [], -2
+            for j in np.flatnonzero(kept):
+                large = n[j] > most
+                if out and last == j - 1 and parent[last] == parent[j] and not large and out[-1][3] <= most and out[-1][3] + n[j] <= most:  # joined with the cell before it
+                    one = out[-1]
+                    one[2], one[3], one[5] = (cell[j] + 1) << shift, one[3] + n[j], hi[j]
+                else:
+                    out.append([g, cell[j] << shift, (cell[j] + 1) << shift, n[j], lo[j], hi[j], *start[:, j], *total, *least[:, j], *most_w[:, j], rows, *centre])
+                last = j
+            return pa.Table.from_arrays([pa.array([int(x) if pa.types.is_integer(t) else float(x) for x in c], t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)] if out else [pa.array([], t) for t in schema.types], schema=schema)
+
+        return near
+
+    def windows(self, gids: Sequence[int], reach: float) -> dict[int, dict]:
+        """For each group its cuts, what its buckets are, and the centres of its values.
+
+        A window of ``reach`` standard errors around each quantile under each weighting is cut into buckets of ``most`` rows at most; a value
+        of more rows is a bucket of its own. What lies between windows is one bucket.
+        """
+        weights, most = self.weights, self.most
+        found: dict[int, dict] = {}
+        inside: dict[int, np.ndarray] = {g: np.zeros(0, np.int64) for g in gids}
+        schema = pa.schema([("gid", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), *[(f"{x}{i}", pa.float64()) for x in ("before", "total", "least", "top") for i in range(weights)], ("rows", pa.int64()), *[(f"c{k}", pa.float64()) for k in range(4)]])
+        for shift in SHIFTS:
+            counts, near = self.counted(shift, inside), self._near(shift, {g: found.get(g) for g in inside}, reach, schema)
+
+            kinds_of = ", ".join([*[f"{x}{i} double" for x in ("before", "total", "least", "top") for i in range(weights)], "rows long", *[f"c{k} double" for k in range(4)]])
+            opened: dict[int, list[int]] = {}
+            for r in counts.groupBy("gid").applyInArrow(near, f"gid int, start long, stop long, n long, lo long, hi long, {kinds_of}").collect():
+                own = found.setdefault(r["gid"], {"total": [r[f"total{i}"] for i in range(weights)], "rows": r["rows"], "centre": [r[f"c{k}"] for k in range(4)], "open": {}, "buckets": []})
+                if r["n"] > most and r["lo"] < r["hi"]:  # too coarse
+                    own["open"][r["start"] >> shift] = [r[f"before{i}"] for i in range(weights)]
+                    opened.setdefault(r["gid"], []).append(r["start"] >> shift)
+                else:
+                    own["buckets"].append((r["start"], r["stop"], r["n"] <= most, r["lo"], *[(r[f"least{i}"], r[f"top{i}"]) for i in range(weights)]))
+            inside = {g: np.array(c, np.int64) for g, c in opened.items()}
+            for g in inside:
+                found[g]["open"] = {c: found[g]["open"][c] for c in opened[g]}
+            if not inside:
+                break
+        for own in found.values():
+            own["cuts"] = np.array(sorted({x for b in own["buckets"] for x in b[:2]}), np.int64)
+            own["kind"] = np.full(len(own["cuts"]) + 1, WIDE, np.int8)
+            own["ends"] = {}
+            for start, _, few, lo, *ends in own["buckets"]:
+                at = int(np.searchsorted(own["cuts"], start, "right"))
+                own["kind"][at] = ROWWISE if few else ONE
+                if not few:
+                    own["ends"][at] = (_value(lo), ends)
+            del own["buckets"], own["open"]
+        return found
+
+    def drawn(self, windows: dict[int, dict]) -> DataFrame:
+        """(gid, bucket, sid, v, data). sid -1: over a task's blocks, the moments (bucket -1 - k) or the bucket's mass, of each weighting and resample;
+        else a run's values in a bucket of rows, and how often each resample draws it.
+        """
+        cells, kinds, weights, w, resamples, seed, bits, keys, strata, centres = self.cells, self.kinds, self.weights, self.w, self.resamples, self.seed, self.bits, self.keys, self.strata, np.zeros((len(self.keys) * self.kinds, 4))
+        for g, own in windows.items():
+            centres[g] = own["centre"]
+        asked = np.zeros(len(centres), bool)
+        asked[list(windows)] = True
+        shared = self.spark.sparkContext.broadcast((self.runs, {g: (own["cuts"], own["kind"]) for g, own in windows.items()}))
+        schema = pa.schema([("gid", pa.int32()), ("bucket", pa.int32()), ("sid", pa.int32()), ("v", pa.binary()), ("data", pa.binary())])
+        batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+        def of_block(rows: pa.Table, block: int, total: dict[int, np.ndarray], paths: dict) -> Iterator[pa.RecordBatch]:
+            runs, cuts = shared.value
+            member, kind, sid = np.stack([rows.column(c).to_numpy() for c in cells], 1), rows.column("kind").to_numpy(), rows.column("sid").to_numpy()
+            ids, values = _numbered(rows.column("run_id")), np.stack([rows.column(c).to_numpy() for c in (*SIGNED, SIZE)])
+            row, col = np.nonzero(member >= 0)
+            cell = member[row, col].astype(np.int64)
+            both = cell * len(strata) + sid[row]
+            order = np.argsort(both, kind="stable")
+            row, both = row[order], both[order]
+            for begin, end in zip(at := _starts(both), [*at[1:], len(both)], strict=True):
+                c, s = divmod(int(both[begin]), len(strata))
+                own = row[begin:end]
+                inside, idx = np.unique(ids[own], return_inverse=True)
+                here = [g for g in range(c * kinds, c * kinds + kinds) if asked[g]]
+                if not here:
+                    continue
+                counts = runs[c, s]
+                path = [int(counts[(block >> (bits - level)) << (bits - level) : ((block >> (bits - level)) + 1) << (bits - level)].sum()) for level in range(bits + 1)]
+                if path[-1] != len(inside):
+                    raise ValueError(f"{len(inside)} runs in a block of {path[-1]}")
+                dense, narrow, widths = [], [], []
+                for g in here:
+                    mine = np.flatnonzero(kind[own] == g % kinds)
+                    cut, what = cuts[g]
+                    bucket = np.searchsorted(cut, _order(values[3, own[mine]]), "right")
+                    off = values[:, own[mine]] - centres[g][:, None]
+                    wide = np.flatnonzero(what != ROWWISE)
+                    place = np.zeros(len(what), np.int64)
+                    place[wide] = np.arange(len(wide))
+                    few = what[bucket] == ROWWISE
+                    at, made = idx[mine], np.zeros((MOMENTS + len(wide), len(inside)))
+                    for k, x in enumerate([None, *off, *(off[:3] ** 2)]):
+                        made[k] = np.bincount(at, x, len(inside))
+                    made[MOMENTS:] = np.bincount(place[bucket[~few]] * len(inside) + at[~few], minlength=len(wide) * len(inside)).reshape(len(wide), len(inside))
+                    dense.append(made)
+                    widths.append(wide)
+                    for b, i, v in zip(bucket[few].tolist(), at[few].tolist(), values[3, own[mine[few]]].tolist(), strict=True):
+                        narrow.append((g, b, i, v))
+                    if g not in total:
+                        total[g] = np.zeros((weights, MOMENTS + len(what), resamples))
+                dense = np.concatenate(dense)
+                narrow.sort()
+                entries = [(*k, [x[3] for x in vs]) for k, vs in itertools.groupby(narrow, key=lambda x: x[:3])]
+                which = np.array([e[2] for e in entries], np.int64)
+                first = _starts(np.array([e[0] * 2**32 + e[1] for e in entries], np.int64))
+                times = np.array([len(e[3]) for e in entries], np.int64)
+                held = np.empty((len(entries), resamples), np.uint8)
+                for start, m in multiplicities(keys[c], strata[s], block, path, resamples, seed, paths.setdefault((c, s), {})):
+                    stop, base = start + len(m), 0
+                    made = dense @ m.T.astype(np.float64)
+                    for g, wide in zip(here, widths, strict=True):
+                        part = made[base : base + MOMENTS + len(wide)]
+                        base += len(part)
+                        for i in range(weights):
+                            total[g][i, :MOMENTS, start:stop] += w[i, s] * part[:MOMENTS]
+                            total[g][i, MOMENTS + wide, start:stop] += w[i, s] * part[MOMENTS:]
+                    if entries:
+                        mine = m[:, which]
+                        if mine.max() > 255:
+                            raise OverflowError("a run is drawn more than 255 times")
+                        held[:, start:stop] = mine.T
+                        for j, one in zip(first, np.add.reduceat(mine * times, first, 1).T, strict=True):
+                            for i in range(weights):
+                                total[entries[j][0]][i, MOMENTS + entries[j][1], start:stop] += w[i, s] * one
+                for begun in range(0, len(entries), 1000):
+                    yield batch_of([(g, b, s, np.array(v).tobytes(), m.tobytes()) for (g, b, _, v), m in zip(entries[begun : begun + 1000], held[begun : begun + 1000], strict=True)])
+
+        def flushed(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for g, sums in total.items():
+                rows = [(g, -1 - k if k < MOMENTS else k - MOMENTS, -1, b"", np.ascontiguousarray(sums[:, k]).tobytes()) for k in range(sums.shape[1])]
+                yield batch_of(rows)
+            total.clear()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, paths, block, parts = {}, {}, None, []
+            for batch in batches:
+                blocks = batch.column("_block").to_numpy()
+                for begin, end in zip(at := _starts(blocks), [*at[1:], len(blocks)], strict=True):
+                    if blocks[begin] != block and parts:
+                        yield from of_block(pa.Table.from_batches(parts), block, total, paths)
+                        parts = []
+                        if sum(t.nbytes for t in total.values()) > HELD:
+                            yield from flushed(total)
+                    block = int(blocks[begin])
+                    parts.append(batch.slice(begin, end - begin))
+            if parts:
+                yield from of_block(pa.Table.from_batches(parts), block, total, paths)
+            yield from flushed(total)
+
+        tasks = min(1 << self.bits, _tasks(self.narrow))
+        narrow = self.narrow.withColumn("_block", self.block)
+        dealt = narrow.repartitionById(tasks, F.shiftright(F.col("_block").cast("long") * tasks, self.bits).cast("int")).sortWithinPartitions("_block")  # blocks next to each other: they share most of their path
+        return written(self.expand(dealt).drop("_h").mapInArrow(run, "gid int, bucket int, sid int, v binary, data binary"), "draws")
+
+    def summed(self, drawn: DataFrame) -> DataFrame:
+        """(gid, bucket, data) over all blocks."""
+
+        def run(group: pa.Table) -> pa.Table:
+            made = sum(np.frombuffer(x, np.float64) for x in group.column("data").to_pylist())
+            return pa.table({"gid": group.column("gid").slice(0, 1), "bucket": group.column("bucket").slice(0, 1), "data": pa.array([made.tobytes()], pa.binary())})
+
+        return written(drawn.filter("sid < 0").select("gid", "bucket", "data").groupBy("gid", "bucket").applyInArrow(run, "gid int, bucket int, data binary"), "sums")
+
+    def moments(self, sums: DataFrame, windows: dict[int, dict]) -> DataFrame:
+        """(gid, weighting, statistic, b, value) of what follows from moments."""
+        weights, centres, read = self.weights, {g: own["centre"] for g, own in windows.items()}, _reader(self)
+        schema = pa.schema([("gid", pa.int32()), ("weighting", pa.int32()), ("statistic", pa.string()), ("b", pa.int32()), ("value", pa.float64())])
+
+        def run(group: pa.Table) -> pa.Table:
+            g, x = read(group, True)
+            out = []
+            for i in range(weights):
+                b = np.flatnonzero(x[0, i] > 0)
+                n, columns = x[0, i, b], {}
+                for k, c in enumerate(SIGNED):
+                    mean = x[k + 1, i, b] / n
+                    square = np.maximum(0.0, x[k + 2 + len(SIGNED), i, b] - n * mean * mean)
+                    sd = np.where(n > 1, np.sqrt(square / np.where(n > 1, n - 1, 1)), 0.0)
+                    columns |= {f"bias_{c}": mean + centres[g][k], f"loa_low_{c}": mean + centres[g][k] - Z * sd, f"loa_high_{c}": mean + centres[g][k] + Z * sd}
+                columns["mean_magnitude"] = x[1 + len(SIGNED), i, b] / n + centres[g][3]
+                for name, v in columns.items():
+                    out.append(pa.Table.from_arrays([pa.array(np.full(len(b), g, np.int32)), pa.array(np.full(len(b), i, np.int32)), pa.array([name] * len(b), pa.string()), pa.array(b.astype(np.int32)), pa.array(v)], schema=schema))
+            return pa.concat_tables(out)
+
+        return sums.filter("bucket < 0").groupBy("gid").applyInArrow(run, "gid int, weighting int, statistic string, b int, value double")
+
+    def needed(self, sums: DataFrame, windows: dict[int, dict]) -> DataFrame:
+        """(gid, weighting, q, b, bucket, kind, before, target, lo_c, lo_v, hi_c, hi_v): the buckets next to each resample's quantiles; the copies beside the quantile in a bucket of one value."""
+        weights, top, kinds, read = self.weights, self.top, self.kinds, _reader(self)
+        shared = self.spark.sparkContext.broadcast({g: (own["kind"], own["ends"]) for g, own in windows.items()})
+        ints, doubles = ("gid", "weighting", "b", "bucket", "kind"), ("before", "target", "lo_c", "lo_v", "hi_c", "hi_v")
+        schema = pa.schema([*[(c, pa.int32()) for c in ints], ("q", pa.string()), *[(c, pa.float64()) for c in doubles]])
+
+        def run(group: pa.Table) -> pa.Table:
+            g, x = read(group, False)
+            kind, ends = shared.value[g]
+            out = []
+            for i in range(weights):
+                mass = x[:, i].T
                 after = np.cumsum(mass, 1)
-                for r in np.flatnonzero(weighting == i):
-                    m, t = mass[at[r]], target[r] - before[r]
-                    there = np.flatnonzero(m > 0)
-                    end = after[at[r]][there]
-                    first, last = end - m[there] + ww[there] / 2, end - ww[there] / 2
-                    step = np.floor((t - first) / ww[there])
-                    below, above = np.flatnonzero(first <= t), np.flatnonzero(last > t)
-                    if len(below):
-                        j = below[-1]
-                        found[r, :2] = before[r] + min(last[j], first[j] + step[j] * ww[there][j]), vv[there][j]
-                    if len(above):
-                        j = above[0]
-                        found[r, 2:] = before[r] + (first[j] if first[j] > t else first[j] + (step[j] + 1) * ww[there][j]), vv[there][j]
-            return pa.table({c: wanted.column(c) for c in names} | {c: pa.array(np.ascontiguousarray(found[:, k]), mask=np.isnan(found[:, k])) for k, c in enumerate(("lo_c", "lo_v", "hi_c", "hi_v"))})
-
-        key = [*by, "bucket"]
-        pair = lambda side: F.when(F.col(f"{side}_c").isNotNull(), F.struct(F.col(f"{side}_c").alias("c"), F.col(f"{side}_v").alias("v"))).alias(side)
-        many = _dealt(rows, key).groupBy(*key).cogroup(_dealt(asked, key).groupBy(*key)).applyInArrow(beside, f"{_kinds(asked, [*by, 'weighting', 'q', 'b', 'target'])}, lo_c double, lo_v double, hi_c double, hi_v double")
-        return one.unionByName(many.select(*by, "weighting", "q", "b", "target", pair("lo"), pair("hi")))
-
-
-def _moments(table: DataFrame, edges: DataFrame, by: list[str], weights: int) -> DataFrame:
-    """(group, weighting, statistic, b, value) of what follows from moments."""
-    out = []
-    d = _matched(table, edges.select(*by, *[f"c_{c}" for c in (*SIGNED, SIZE)]), by)
-    for i in range(weights):
-        x = lambda k, i=i: F.col(f"x{i}_{k}")
-        n, columns = x(0), {}
-        for k, c in enumerate(SIGNED):
-            mean = x(k + 1) / n
-            sd = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), x(k + 2 + len(SIGNED)) - n * mean * mean) / (n - 1))).otherwise(0.0)
-            columns |= {f"bias_{c}": mean + F.col(f"c_{c}"), f"loa_low_{c}": mean + F.col(f"c_{c}") - Z * sd, f"loa_high_{c}": mean + F.col(f"c_{c}") + Z * sd}
-        columns["mean_magnitude"] = x(1 + len(SIGNED)) / n + F.col(f"c_{SIZE}")
-        wide = d.filter(n > 0).select(*by, F.lit(i).alias("weighting"), "b", *[v.alias(k) for k, v in columns.items()])
-        out.append(wide.unpivot([*by, "weighting", "b"], list(columns), "statistic", "value"))
-    both = out[0]
-    for o in out[1:]:
-        both = both.unionByName(o)
-    return both
+                for name, q in QUANTILES.items():
+                    target, most = q * after[:, -1:], top[i, g // kinds]
+                    b, bucket = np.nonzero((mass > 0) & (after - mass <= target + most) & (after >= target - most))
+                    found, t = np.full((len(b), 4), np.nan), target[b, 0]
+                    start = (after - mass)[b, bucket]
+                    for at, (v, pairs) in ends.items():  # the first and last copies of one value
+                        own = np.flatnonzero(bucket == at)
+                        first, last = start[own] + pairs[i][0] / 2, after[b[own], at] - pairs[i][1] / 2
+                        below, above = first <= t[own], last > t[own]
+                        found[own[below], 0], found[own[below], 1] = np.minimum(last, t[own])[below], v
+                        found[own[above], 2], found[own[above], 3] = np.maximum(first, t[own])[above], v
+                    columns = [np.full(len(b), g), np.full(len(b), i), b, bucket, kind[bucket]]
+                    out.append(pa.Table.from_arrays([*[pa.array(c.astype(np.int32)) for c in columns], pa.array([name] * len(b), pa.string()), pa.array(start), pa.array(t), *[pa.array(c.copy(), mask=np.isnan(c)) for c in found.T]], schema=schema))
+            return pa.concat_tables(out)
+
+        kinds_of = ", ".join([*[f"{c} int" for c in ints], "q string", *[f"{c} double" for c in doubles]])
+        return written(sums.filter("bucket >= 0").groupBy("gid").applyInArrow(run, kinds_of), "needed")
+
+    def beside(self, drawn: DataFrame, need: DataFrame) -> DataFrame:
+        """(gid, weighting, q, b, target, lo_c, lo_v, hi_c, hi_v): the copies next to each resample's quantile, from the rows of the needed buckets."""
+        w, names = self.w, ["gid", "weighting", "q", "b", "target"]
+        need = need.filter(f"kind = {ROWWISE}").select(*names, "bucket", "before")
+        rows = drawn.filter("sid >= 0").join(F.broadcast(need.select("gid", "bucket").distinct()), ["gid", "bucket"], "left_semi")
+
+        def run(group: pa.Table, wanted: pa.Table) -> pa.Table:
+            found = np.full((len(wanted), 4), np.nan)
+            if len(group) and len(wanted):
+                each = [np.frombuffer(x, np.float64) for x in group.column("v").to_pylist()]
+                entry = np.repeat(np.arange(len(each)), [len(x) for x in each])
+                v, sid = np.concatenate(each), group.column("sid").to_numpy()[entry]
+                m = np.stack([np.frombuffer(x, np.uint8) for x in group.column("data").to_pylist()])
+                weighting, b, before, target = (wanted.column(c).to_numpy() for c in ("weighting", "b", "before", "target"))
+                for i in np.unique(weighting):
+                    order = np.lexsort((w[i][sid], v))
+                    ww, vv, own = w[i][sid][order], v[order], entry[order]
+                    for r in np.flatnonzero(weighting == i):
+                        mass, t = m[:, b[r]][own] * ww, target[r] - before[r]
+                        there = np.flatnonzero(mass > 0)
+                        end, one = np.cumsum(mass[there]), ww[there]
+                        first, last = end - mass[there] + one / 2, end - one / 2
+                        below, above = np.searchsorted(first, t, "right") - 1, np.searchsorted(last, t, "right")
+                        if below >= 0:
+                            step = np.floor((t - first[below]) / one[below])
+                            found[r, :2] = before[r] + min(last[below], first[below] + step * one[below]), vv[there[below]]
+                        if above < len(there):
+                            step = np.floor((t - first[above]) / one[above])
+                            found[r, 2:] = before[r] + (first[above] if first[above] > t else first[above] + (step + 1) * one[above]), vv[there[above]]
+            return pa.table({c: wanted.column(c) for c in names} | {c: pa.array(found[:, k].copy(), mask=np.isnan(found[:, k])) for k, c in enumerate(("lo_c", "lo_v", "hi_c", "hi_v"))})
+
+        key = ["gid", "bucket"]
+        return _dealt(rows, key).groupBy(*key).cogroup(_dealt(need, key).groupBy(*key)).applyInArrow(run, "gid int, weighting int, q string, b int, target double, lo_c double, lo_v double, hi_c double, hi_v double")
+
+    def statistics(self) -> DataFrame:
+        """(gid, weighting, statistic, b, value)."""
+        gids = sorted({c * self.kinds + k for c, _ in self.runs for k in range(self.kinds)})
+        out, reach = None, REACH
+        while gids:
+            windows = self.windows(gids, reach)
+            drawn = self.drawn(windows)
+            sums = self.summed(drawn)
+            need = self.needed(sums, windows)
+            out = self.moments(sums, windows) if out is None else out
+            gids = sorted(r["gid"] for r in need.filter(f"kind = {WIDE}").select("gid").distinct().collect())  # a quantile beyond its window
+            done = need.filter(~F.col("gid").isin(gids)) if gids else need
+            names = ["gid", "weighting", "q", "b", "target", "lo_c", "lo_v", "hi_c", "hi_v"]
+            both = self.beside(drawn, done).unionByName(done.filter(f"kind = {ONE}").select(*names))
+            pair = lambda side, c: F.when(F.col(f"{side}_c").isNotNull(), F.struct(F.col(f"{side}_c").alias("c"), F.col(f"{side}_v").alias("v")))
+            each = both.groupBy("gid", "weighting", "q", "b").agg(F.max(pair("lo", "c")).alias("lo"), F.min(pair("hi", "c")).alias("hi"), F.first("target").alias("target"))
+            lo, hi = F.col("lo"), F.col("hi")
+            between = lo["v"] + (hi["v"] - lo["v"]) * (F.col("target") - lo["c"]) / (hi["c"] - lo["c"])
+            value = F.when(lo.isNull(), hi["v"]).when(hi.isNull() | (lo["v"] == hi["v"]), lo["v"]).otherwise(between)
+            out = out.unionByName(each.select("gid", "weighting", F.col("q").alias("statistic"), "b", value.alias("value")))
+            reach *= 2
+        return out
+
+
+def _reader(draws: _Draws) -> Callable[[pa.Table, bool], tuple[int, np.ndarray]]:
+    """``_sums`` without the rest of ``draws``, for tasks."""
+    weights, resamples = draws.weights, draws.resamples
+
+    def read(group: pa.Table, moments: bool) -> tuple[int, np.ndarray]:
+        group = group.sort_by([("bucket", "descending" if moments else "ascending")])
+        return group.column("gid")[0].as_py(), np.stack([np.frombuffer(x, np.float64).reshape(weights, resamples) for x in group.column("data").to_pylist()])
+
+    return read
+
+
+def _named(draws: _Draws | None, names: DataFrame, by: list[str]) -> DataFrame:
+    each = draws and draws.statistics()
+    if each is None:  # no rows
+        each = names.sparkSession.createDataFrame([], "gid int, weighting int, statistic string, b int, value double")
+    return each.join(F.broadcast(names), "gid").select(*by, "weighting", "statistic", "b", "value")
 
 
 def resamples(rows: DataFrame, by: Sequence[str], draw_by: Sequence[str], weights: Sequence[str], n: int = RESAMPLES, seed: int = SEED, block: int = BLOCK, most: int = ROWS) -> DataFrame:
@@ -343,30 +591,42 @@ def resamples(rows: DataFrame, by: Sequence[str], draw_by: Sequence[str], weight
     ``draw_by``, some of the columns of ``by``, share their draws.
     """
     _importable(rows)
-    groups = _Groups(rows, by, draw_by, weights, n, seed, block, most)
-    edges, by = groups.edges(), list(by)
-    for _ in range(LEVELS):
-        sums = groups.summed(edges)
-        paths = written(groups.paths(sums), "paths")
-        deepest = edges.agg(F.max(F.size("cuts"))).first()[0] or 0
-        table = groups.products(sums, paths, deepest + 1)
-        need = groups.needed(table, edges, deepest + 1)
-        ends = [f(f"{name}{i}").alias(f"{name}{i}") for i in range(len(groups.weights)) for name, f in (("least", F.min), ("top", F.max))]
-        sizes = written(sums.groupBy(*by, "bucket").agg(F.sum("n").alias("n"), F.min("v_min").alias("v_min"), F.max("v_max").alias("v_max"), *ends), "sizes")
-        cut = groups.recut(edges, sizes, need.select(*by, "bucket").distinct())
-        if cut is None:
-            break
-        edges = cut
-    beside = groups.neighbours(edges, sums, paths, need, sizes)
-    each = beside.groupBy(*by, "weighting", "q", "b").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"), F.first("target").alias("target"))
-    lo, hi = F.col("lo"), F.col("hi")
-    between = lo["v"] + (hi["v"] - lo["v"]) * (F.col("target") - lo["c"]) / (hi["c"] - lo["c"])
-    value = F.when(lo.isNull(), hi["v"]).when(hi.isNull() | (lo["v"] == hi["v"]), lo["v"]).otherwise(between)
-    quantiles = each.select(*by, "weighting", "b", F.col("q").alias("statistic"), value.alias("value"))
-    return _moments(table, edges, by, len(groups.weights)).unionByName(quantiles)
+    by, draw_by, spark = list(by), list(draw_by), rows.sparkSession
+    more = [c for c in by if c not in draw_by]
+    found = rows.select(*by).distinct().collect()
+    cells: dict[tuple, int] = {}
+    kinds: dict[tuple, int] = {}
+    numbers = [(*r, cells.setdefault(tuple(r[c] for c in draw_by), len(cells)), kinds.setdefault(tuple(r[c] for c in more), len(kinds))) for r in found]
+    types = "".join(f"{c} {t}, " for c, t in rows.select(*by).dtypes)
+    groups = spark.createDataFrame(numbers, f"{types}_cell int, kind int")
+    own = [F.col(w).cast("double").alias(f"w{i}") for i, w in enumerate(weights)]
+    narrow = _matched(rows.select(*by, "stratum", "run_id", *SIGNED, SIZE, *own), F.broadcast(groups), by).drop(*by)
+    draws = cells and _Draws(narrow, ["_cell"], lambda df: df, ["|".join(map(str, k)) for k in cells], max(1, len(kinds)), len(weights), n, seed, block, most)
+    return _named(draws or None, spark.createDataFrame([(*r[:-2], r[-2] * len(kinds) + r[-1]) for r in numbers], f"{types}gid int"), by)
+
+
+def cell_resamples(pairs: DataFrame, cells: dict[str, dict[str, int]], levels: Sequence[str], expand: Callable[[DataFrame], DataFrame], columns: Sequence[str], number: Callable[[Column, dict[str, int]], Column], weights: Sequence[Column], n: int = RESAMPLES, seed: int = SEED, block: int = BLOCK, most: int = ROWS) -> DataFrame:
+    """As ``resamples`` by axis, cell and level, from pairs that have a column for each axis: each pair is in a cell of each, and has a row at each level.
+
+    ``cells`` numbers each axis's cells, from 0 over all; ``expand`` makes the rows of the levels, from ``columns``; ``number`` gives the number of a pair's cell.
+    """
+    _importable(pairs)
+    spark, names = pairs.sparkSession, list(levels)
+    keys = sorted((i, axis, cell) for axis, own in cells.items() for cell, i in own.items())
+    own = [w.cast("double").alias(f"w{i}") for i, w in enumerate(weights)]
+    narrow = pairs.select("stratum", "run_id", *columns, *own, *[number(F.col(axis), own).alias(f"_c{i}") for i, (axis, own) in enumerate(cells.items())])
+    kind = reduce(lambda rest, j: F.when(F.col("level") == names[j], F.lit(j)).otherwise(rest), range(len(names)), F.lit(-1))
+    draws = keys and _Draws(narrow, [f"_c{i}" for i in range(len(cells))], lambda df: expand(df).withColumn("kind", kind), [f"{axis}|{cell}" for _, axis, cell in keys], len(names), len(weights), n, seed, block, most)
+    groups = [(axis, cell, level, i * len(names) + j) for i, axis, cell in keys for j, level in enumerate(names)]
+    return _named(draws or None, spark.createDataFrame(groups, "axis string, cell string, level string, gid int"), ["axis", "cell", "level"])
+
+
+def ends(each: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, weighting, statistic, low, high): the 2.5 and 97.5 percentiles of resamples; a group has as many values as resamples."""
+    found = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
+    return each.groupBy(*by, "weighting", "statistic").agg(found.alias("_e")).select(*by, "weighting", "statistic", F.col("_e")[0].alias("low"), F.col("_e")[1].alias("high"))
 
 
 def intervals(rows: DataFrame, by: Sequence[str], draw_by: Sequence[str], weights: Sequence[str], n: int = RESAMPLES, seed: int = SEED, block: int = BLOCK, most: int = ROWS) -> DataFrame:
-    """(by, weighting, statistic, low, high): the 2.5 and 97.5 percentiles of ``resamples``; a group has as many values as resamples."""
-    ends = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
-    return resamples(rows, by, draw_by, weights, n, seed, block, most).groupBy(*by, "weighting", "statistic").agg(ends.alias("_e")).select(*by, "weighting", "statistic", F.col("_e")[0].alias("low"), F.col("_e")[1].alias("high"))
+    """(by, weighting, statistic, low, high): the 2.5 and 97.5 percentiles of ``resamples``."""
+    return ends(resamples(rows, by, draw_by, weights, n, seed, block, most), by)

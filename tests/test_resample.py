@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from accordance.operators import resample
+from accordance.operators import resample, tables
 
 
 def made(rng, runs, values=None):
@@ -97,3 +97,27 @@ def test_no_rows_and_null_keys(spark):
     rows = made(np.random.default_rng(4), 20)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("cell", F.lit(None).cast("string"))
     assert resample.intervals(df, ["cell", "level"], ["cell"], ["one"], 20).count() == 2 * len(resample.STATISTICS)
+
+
+def test_tables_between_are_small(spark, tmp_path, monkeypatch):
+    """Rows are not written again for each group that they are in, only those near a quantile with their draws: few of many."""
+    runs = 60_000
+    rows = spark.range(4 * runs).select((F.col("id") % 3).alias("cell"), F.lit("low").alias("level"), (F.col("id") % 2).cast("string").alias("stratum"), (F.col("id") % runs).alias("run_id"), *[F.rand(i).alias(c) for i, c in enumerate(("du", "dv", "dspeed"))], F.exp(F.randn(9)).alias("magnitude"), F.lit(1.0).alias("one"))
+    monkeypatch.setattr(tables, "shared_folder", lambda spark: str(tmp_path))
+    assert resample.intervals(rows, ["cell", "level"], ["cell"], ["one"], 40).count() == 3 * len(resample.STATISTICS)
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 20 * 4 * runs
+
+
+def test_a_quantile_beyond_its_window_is_sought_in_a_wider_one(spark, monkeypatch):
+    """A few runs hold most rows, and all rows of a run are equal: a resample's quantile is anywhere."""
+    rng, rows = np.random.default_rng(8), []
+    for run in range(300):
+        size = float(rng.normal()) - run % 7
+        for level in ("low", "high"):
+            rows += [("x", level, "a", run, 0.0, 0.0, 0.0, size, 1.0, 1.0)] * (400 if run < 9 else 1)
+    passes, made = [], resample._Draws.drawn
+    monkeypatch.setattr(resample._Draws, "drawn", lambda *a: passes.append(1) or made(*a))
+    monkeypatch.setattr(resample, "REACH", 0.5)
+    got = {(r.cell, r.level, r.weighting, r.statistic, r.b): r.value for r in resample.resamples(spark.createDataFrame(rows, SCHEMA), ["cell", "level"], ["cell"], ["one", "design"], 40, 2, most=50).collect()}
+    want = plain(rows, 40, 2, 1 << 20)
+    assert len(passes) > 1 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9) for k in want)
